@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, line_dedup, shards, token_counts, token_files, topk
+from . import byte_bpe, fingerprint, jaccard, line_dedup, shards, token_counts, token_files, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,40 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard.classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return linked.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3
+    THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+    WHEN len(w) > 0 THEN ['' || array_to_string(w, ' ')] ELSE [] END) AS g FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT p.doc_id AS a, q.doc_id AS b
+  FROM grams p JOIN grams q ON p.g = q.g AND p.doc_id < q.doc_id
+  JOIN sizes s ON s.doc_id = p.doc_id JOIN sizes t ON t.doc_id = q.doc_id
+  GROUP BY p.doc_id, q.doc_id, s.n, t.n
+  HAVING 100 * count(*) >= 90 * (s.n + t.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  WITH RECURSIVE r AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, e.b FROM r JOIN edges e ON r.b = e.a
+  ) SELECT a, min(b) AS least FROM r GROUP BY a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, reach.least AS component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN reach ON reach.a = d.doc_id
+"""
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     read = token_files.store(docs, public_tokenizers.path("word_bpe_49k.json"), size=49_408, end_id=2)
@@ -120,6 +154,7 @@ QUERIES = {
     "op3_shards": op3_shards,
     "op4_fingerprints": op4_fingerprints,
     "op5_line_dedup": op5_line_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op10_token_counts": op10_token_counts,
 }
@@ -127,4 +162,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_topk": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op6_jaccard_join": OP6_SQL,
 }
