@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, jaccard, line_dedup, shards, token_counts, token_files, topk
+from . import byte_bpe, fingerprint, jaccard, line_dedup, mixing, shards, token_counts, token_files, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +142,19 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mixed(table(spark, sf_dir, "documents"), keep=0.7)
+    return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -156,6 +169,8 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
