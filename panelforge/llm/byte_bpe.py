@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 from ..session import ship
 
 #: Characters of a leaf of a text, bytes of a leaf of a piece, entries of a worker's cache.
-LEAF_CHARS, LEAF_BYTES, CACHE = 1 << 15, 12, 1 << 19
+LEAF_CHARS, LEAF_BYTES, CACHE = 1 << 15, 16, 1 << 18
+#: A rank above all.
+NEVER = 1 << 60
 #: Unicode white space, as the inside of a character class (fixed by the Unicode standard).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -45,22 +47,24 @@ class Codec:
         self.white = re.compile(f"[{WHITE}]").match
         self.seams: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def greedy(self, b: bytes) -> list[int]:
         """Merge the neighbours of lowest rank, leftmost first, until none is left."""
         ranks, n = self.ranks, len(b)
         if n > 64:
             return self._greedy_long(b)
+        get = ranks.get
         parts = [b[i : i + 1] for i in range(n)]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [get(b[i : i + 2], NEVER) for i in range(n - 1)]
+        while pairs and (best := min(pairs)) < NEVER:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], NEVER)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], NEVER)
         return [ranks[p] for p in parts]
 
     def _greedy_long(self, b: bytes) -> list[int]:
@@ -114,7 +118,7 @@ class Codec:
 
     def known(self, text: str) -> tuple[int, ...]:
         """A chunk that the pattern splits alike wherever it stands, by its pieces; kept in a bounded cache."""
-        got = self.cache.get(text)
+        got = self.cache.get(text) or self.older.get(text)
         if got is None:
             found = self.pieces(text)
             if len(found) > 1:
@@ -123,10 +127,10 @@ class Codec:
                 got = (rank,)
             else:
                 got = tuple(self.piece(b))
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(text) <= 64:
-                self.cache[text] = got
+        if len(text) <= 64:
+            if len(self.cache) >= CACHE:  # what is in use moves on, the rest goes with the older half
+                self.cache, self.older = {}, self.cache
+            self.cache[text] = got
         return got
 
     def leaf(self, text: str) -> list[int]:
@@ -136,9 +140,9 @@ class Codec:
         else:
             first, *rest = text.split(" ")
             parts = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        get, known = self.cache.get, self.known
+        known = self.known
         for p in parts:
-            ids.extend(get(p) or known(p))
+            ids.extend(self.cache.get(p) or known(p))
         return ids
 
     def encode(self, text: str) -> list[int]:

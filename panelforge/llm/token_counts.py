@@ -1,21 +1,23 @@
 """Token counts: each distinct pre-token is counted once, the counts are joined to the documents' pre-token
 frequencies, and no ids are materialised.
 
-Documents go by blocks of up to BLOCK rows: a block has one row for each of its distinct pre-tokens, with the
-(document, frequency) pairs packed into bytes. A frequent pre-token therefore has a row for each block, not for each
-occurrence; what is left of its skew the join can split.
+Documents go by blocks. A block sends each of its distinct pre-tokens once, packed by hash range; a range counts the
+tokens of each distinct pre-token once, whatever the number of blocks that ask, and answers every block; a block joins
+the answers to its own frequencies, packed as the gaps between the documents that hold a pre-token. A frequent
+pre-token is thus a message for each block, not for each occurrence.
 
 Defined results: null and empty texts count no tokens and no bytes; rows are counted each on its own, repeated or
-not, whatever their id; an empty table gives an empty result.
+not, whatever their id; extra columns take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .word_pieces import library, pre_tokens, shared
 
 #: Documents of a block; their numbers take two bytes.
-BLOCK = 4096
+BLOCK = 8192
 
 
 def _blocks(batches):
@@ -35,75 +37,84 @@ def _blocks(batches):
             k += 1
 
 
-def _distinct(batches):
-    """The pre-tokens of a task, each once as long as they fit into memory."""
-    seen: set[str] = set()
-    for _, b in _blocks(batches):
-        for x in b.column(1).to_pylist():
-            if x:
-                seen.update(pre_tokens(x))
-        if len(seen) > 1 << 19:
-            yield pa.record_batch([pa.array(list(seen), pa.string())], ["piece"])
-            seen.clear()
-    if seen:
-        yield pa.record_batch([pa.array(list(seen), pa.string())], ["piece"])
+def _coded(texts: list[str | None]) -> tuple[defaultdict, list[np.ndarray]]:
+    """A block's pre-tokens, numbered as they come, and each text's numbers."""
+    code: defaultdict[str, int] = defaultdict()
+    code.default_factory = code.__len__
+    return code, [np.array([code[w] for w in pre_tokens(x)] if x else [], np.int64) for x in texts]
 
 
-_POSTINGS = "block long, piece string, posting binary, ids array<long>, n_bytes array<long>"
+def _by_range(pieces: list[str], ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a block's pre-tokens by hash range, and where each range begins."""
+    of = np.array([zlib.crc32(p.encode()) % ranges for p in pieces], np.int64)
+    return np.argsort(of, kind="stable"), np.r_[0, np.cumsum(np.bincount(of, minlength=ranges))]
 
 
-def _postings(batches):
-    """A row for each distinct pre-token of a block, and one with the block's documents under a key of its own."""
-    names = ["block", "piece", "posting", "ids", "n_bytes"]
-    for k, b in _blocks(batches):
-        texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
-        code: defaultdict[str, int] = defaultdict()
-        code.default_factory = code.__len__
-        lists = [np.fromiter([code[w] for w in pre_tokens(x)] if x else [], np.int64) for x in texts]
-        doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        keys, freq = np.unique(np.concatenate(lists) * len(lists) + doc, return_counts=True)
-        of, doc = np.divmod(keys, len(lists))
-        rest = freq > 65535  # such pairs are told as several
-        while rest.any():
-            of, doc, freq = np.r_[of, of[rest]], np.r_[doc, doc[rest]], np.r_[np.where(rest, 65535, freq), freq[rest] - 65535]
-            order = np.argsort(of, kind="stable")
-            of, doc, freq = of[order], doc[order], freq[order]
-            rest = freq > 65535
-        pairs = np.stack([doc, freq], axis=1).astype("<u2")
-        ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(code)))].astype(np.int32) * 4
-        posting = pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())])
-        none = pa.nulls(len(code), pa.list_(pa.int64()))
-        if len(code):
-            yield pa.record_batch([pa.array(np.full(len(code), k)), pa.array(list(code), pa.string()), posting, none, none], names)
-        sizes = [len(x.encode()) if x else 0 for x in texts]
-        yield pa.record_batch([pa.array([k]), pa.array([f" {k}"]), pa.array([None], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64()))], names)
-
-
-def _sums(t: pa.Table) -> pa.Table:
-    """A block's documents with the sums of frequency times count."""
-    t = t.combine_chunks()
-    info = t.filter(pc.is_valid(t["ids"]))
-    rows = t.filter(pc.is_valid(t["posting"]))
-    ids, sizes = (info[c][0].as_py() for c in ("ids", "n_bytes"))
-    total = np.zeros(len(ids), np.int64)
-    if rows.num_rows:
-        pairs = np.frombuffer(b"".join(rows["posting"].to_pylist()), "<u2").reshape(-1, 2).astype(np.int64)
-        each = np.repeat(rows["n_tokens"].to_numpy(), pc.binary_length(rows["posting"]).to_numpy() // 4)
-        np.add.at(total, pairs[:, 0], pairs[:, 1] * each)
-    return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(total)})
+def _squeeze(*arrays: np.ndarray) -> list[bytes]:
+    own = zstandard.ZstdCompressor(level=1)
+    return [own.compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
+
+
+def _spread(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
 def token_counts(df: DataFrame, vocabulary: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, n_tokens) of each row's whole text, as the library counts it without added special tokens."""
     file = shared(df.sparkSession, vocabulary)
     two = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-
-    def count(batches):
+    ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for block, b in _blocks(batches):
+            code: dict[str, None] = {}
+            for x in b.column(1).to_pylist():
+                if x:
+                    code.update(dict.fromkeys(pre_tokens(x)))
+            pieces = list(code)
+            order, at = _by_range(pieces, ranges)
+            full = [r for r in range(ranges) if at[r] < at[r + 1]]
+            data = [squeeze("\n".join([pieces[i] for i in order[at[r] : at[r + 1]]]).encode()) for r in full]
+            yield pa.record_batch([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array(data, pa.binary())], ["range", "block", "pieces"])
+
+    def count(t: pa.Table) -> pa.Table:
         own = library(file.value)
-        for b in batches:
-            pieces = b.column(0).to_pylist()
-            yield pa.record_batch([b.column(0), pa.array(own.sizes(pieces), pa.int64())], ["piece", "n_tokens"])
-
-    sizes = two.mapInArrow(_distinct, "piece string").distinct().mapInArrow(count, "piece string, n_tokens long")
-    joined = two.mapInArrow(_postings, _POSTINGS).join(sizes, "piece", "left")
-    return joined.select("block", "posting", "n_tokens", "ids", "n_bytes").groupBy("block").applyInArrow(_sums, "id long, n_bytes long, n_tokens long")
+        code: defaultdict[str, int] = defaultdict()
+        code.default_factory = code.__len__
+        spread = zstandard.ZstdDecompressor().decompress
+        asked = [np.array([code[p] for p in spread(x).decode().split("\n")]) for x in t["pieces"].to_pylist()]
+        sizes = np.array(own.sizes(list(code)), "<u4")
+        answers = [_squeeze(sizes[a])[0] for a in asked]
+        return pa.table({"range": t["range"], "block": t["block"], "sizes": pa.array(answers, pa.binary())})
+
+    def hold(batches):
+        for block, b in _blocks(batches):
+            texts = b.column(1).to_pylist()
+            code, lists = _coded(texts)
+            order, _ = _by_range(list(code), ranges)
+            rank = np.empty(len(code), np.int64)
+            rank[order] = np.arange(len(code))
+            of = rank[np.concatenate(lists)]
+            doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[np.argsort(of, kind="stable")]
+            times = np.bincount(of, minlength=len(code)).astype("<u4")
+            gaps = np.diff(doc, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2)  # modulo 2**16
+            n_bytes = [len(x.encode()) if x else 0 for x in texts]
+            data = [pa.array([x], pa.binary()) for x in _squeeze(times, gaps[:, 0], gaps[:, 1])]
+            info = [pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([n_bytes], pa.list_(pa.int64()))]
+            yield pa.record_batch([pa.array([block], pa.int64()), *info, *data], ["block", "ids", "n_bytes", "times", "low", "high"])
+
+    def join(held: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, n_bytes = (held[c].to_pylist()[0] for c in ("ids", "n_bytes"))
+        total = np.zeros(len(ids), np.int64)
+        if answers.num_rows:
+            own = sorted(zip(answers["range"].to_pylist(), answers["sizes"].to_pylist()))
+            sizes = np.concatenate([_spread(x, "<u4") for _, x in own]).astype(np.int64)
+            times, low, high = (_spread(held[c].to_pylist()[0], k) for c, k in (("times", "<u4"), ("low", np.uint8), ("high", np.uint8)))
+            doc = np.cumsum(low.astype(np.int64) + (high.astype(np.int64) << 8)) & 0xFFFF
+            total += np.bincount(doc, weights=np.repeat(sizes, times), minlength=len(ids)).astype(np.int64)
+        return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(total)})
+
+    answers = two.mapInArrow(send, "range int, block long, pieces binary").groupBy("range").applyInArrow(count, "range int, block long, sizes binary")
+    held = two.mapInArrow(hold, "block long, ids array<long>, n_bytes array<long>, times binary, low binary, high binary")
+    return held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, "id long, n_bytes long, n_tokens long")

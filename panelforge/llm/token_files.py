@@ -46,14 +46,19 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def encode(df: DataFrame, vocabulary: str, end_id: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, tie, ids): the whole text's ids with the end id, as little-endian bytes; tie orders equal doc_ids."""
-    file = shared(df.sparkSession, vocabulary)
+def _kind(size: int) -> str:
+    """The kind of number that ids below size travel as."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def encode(df: DataFrame, vocabulary: str, size: int, end_id: int = 2, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, tie, ids): the whole text's ids with the end id, as bytes of _kind(size); tie orders equal doc_ids."""
+    file, kind = shared(df.sparkSession, vocabulary), _kind(size)
 
     def ids(batches):
         own = library(file.value)
         for b in batches:
-            coded = [np.array([*own.ids(x or ""), end_id], "<u4").tobytes() for x in b.column(2).to_pylist()]
+            coded = [np.array([*x, end_id], kind).tobytes() for x in own.ids(b.column(2).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(coded, pa.binary())], ["doc_id", "tie", "ids"])
 
     three = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
@@ -66,8 +71,7 @@ def by_frequency(coded: DataFrame, size: int) -> np.ndarray:
     def counts(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=size)[:size]
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), _kind(size)), minlength=size)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -83,7 +87,7 @@ _BLOCKS = "part int, first long, docs array<long>, lengths array<int>, control b
 
 def write(coded: DataFrame, path: str, size: int, partitions: int | None = None) -> None:
     """Write the ids in the order of doc_id. coded is read three times: give a written table."""
-    spark = coded.sparkSession
+    spark, kind = coded.sparkSession, _kind(size)
     order = by_frequency(coded, size)
     rank = spark.sparkContext.broadcast(np.argsort(order).astype("<u4"))
 
@@ -99,7 +103,7 @@ def write(coded: DataFrame, path: str, size: int, partitions: int | None = None)
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1)):
                 docs.append(d)
-                lists.append(np.frombuffer(x.as_buffer(), "<u4"))
+                lists.append(np.frombuffer(x.as_buffer(), kind))
                 held += len(lists[-1])
                 if held >= BLOCK:
                     yield block()
@@ -138,7 +142,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def store(df: DataFrame, vocabulary: str, size: int, end_id: int = 2, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
     """Encode, write to path (by default a folder of its own in the shared folder) and read back."""
     work = Work(df.sparkSession)
-    coded = work.cut(encode(df, vocabulary, end_id, text, id_col), "coded")
+    coded = work.cut(encode(df, vocabulary, size, end_id, text, id_col), "coded")
     path = path or work.path("files")
     write(coded, path, size)
     work.drop("coded")

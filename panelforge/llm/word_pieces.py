@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import SparkSession
 
@@ -35,30 +37,58 @@ class Library:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.own, self.cache = Tokenizer.from_str(file.decode()), {}
+        self.own = Tokenizer.from_str(file.decode())
+        # lower-case Latin letters alone: normalising and splitting would not change them
+        rule = json.loads(file)
+        steps = rule["pre_tokenizer"]["pretokenizers"]
+        self.bare = Tokenizer.from_str(json.dumps(rule | {"normalizer": None, "pre_tokenizer": next(x for x in steps if x["type"] == "ByteLevel")}))
+        self.cache: dict[str, list[int]] = {}
+
+    def encoded(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each of many pre-tokens, by the library."""
+        plain = [p.isalpha() and p.islower() and not _BEYOND(p) for p in pieces]
+        out: list[list[int]] = [[]] * len(pieces)
+        for kind, own in ((True, self.bare), (False, self.own)):
+            at = [i for i, x in enumerate(plain) if x is kind]
+            for i, e in zip(at, own.encode_batch_fast([pieces[i] for i in at], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
 
     def sizes(self, pieces: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.own.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def piece(self, p: str) -> list[int]:
-        got = self.cache.get(p)
-        if got is None:
-            core = p.rstrip(".,;:!?")
-            if core and len(core) < len(p) and core[-1].isalpha() and not _BEYOND(core[-1]):  # letters and signs are split apart in any case
-                got = self.piece(core) + self.piece(p[len(core) :])
-            else:
-                got = self.own.encode(p, add_special_tokens=False).ids
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(p) <= 64:
-                self.cache[p] = got
-        return got
-
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        get, piece = self.cache.get, self.piece
-        for p in pre_tokens(text):
-            out.extend(get(p) or piece(p))
+        return [n for at in range(0, len(pieces), 10_000) for n in map(len, self.encoded(pieces[at : at + 10_000]))]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Put the ids of pre-tokens into the cache. Letters before signs are tokens apart from these."""
+        if len(self.cache) + len(pieces) > CACHE:
+            self.cache.clear()
+        new = pieces.difference(self.cache)
+        tails = {}
+        for p in new:
+            if p[-1] in ".,;:!?" and (core := p.rstrip(".,;:!?")) and core[-1].isalpha() and core[-1] < "\u0130":
+                tails[p] = core
+        parts = list(new.difference(tails).union(tails.values(), [p[len(c) :] for p, c in tails.items()]).difference(self.cache))
+        self.cache.update(zip(parts, self.encoded(parts)))
+        for p, core in tails.items():
+            self.cache[p] = self.cache[core] + self.cache[p[len(core) :]]
+
+    def ids(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of whole texts; so many texts at a time that their pre-tokens fit into memory."""
+        out: list[list[int]] = []
+        lists: list[list[str]] = []
+        held = 0
+
+        def flush() -> None:
+            self.learn(set().union(*lists))
+            out.extend(list(chain.from_iterable(map(self.cache.__getitem__, x))) for x in lists)
+            lists.clear()
+
+        for x in texts:
+            lists.append(pre_tokens(x) if x else [])
+            held += len(lists[-1])
+            if held > 100_000:
+                flush()
+                held = 0
+        flush()
         return out
 
 

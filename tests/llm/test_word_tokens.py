@@ -27,8 +27,8 @@ def odd_texts():
 
 def test_ids_by_pre_token_are_the_librarys(library):
     own = Library(open(VOCABULARY, "rb").read())
-    for x in odd_texts():
-        assert own.ids(x) == library.encode(x, add_special_tokens=False).ids, repr(x)
+    for x, got in zip(odd_texts(), own.ids(odd_texts())):
+        assert got == library.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 def test_pack_round_trip():
