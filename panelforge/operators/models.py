@@ -226,7 +226,7 @@ def vol_regime(returns: DataFrame, w: int = 20, look: int = 252, low: float = 25
     """(…, vol, percentile, regime): the rolling deviation against its own last values."""
     order = Window.partitionBy(key).orderBy("date")
     n = F.row_number().over(order)
-    v = returns.withColumn("vol", F.when(n >= w, F.stddev_samp("ret").over(last_rows(order, w)))).filter("vol IS NOT NULL")
+    v = returns.withColumn("vol", F.when(n >= w, F.round(F.stddev_samp("ret").over(last_rows(order, w)), 12))).filter("vol IS NOT NULL")
     held = v.withColumn("__f", F.collect_list("vol").over(last_rows(order, look)))
     p = held.withColumn("percentile", share_below("vol", F.col("__f")) * 100).drop("__f")
     return p.withColumn("regime", F.when(F.col("percentile") <= low, "low").when(F.col("percentile") >= high, "high").otherwise("normal"))

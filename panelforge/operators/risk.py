@@ -111,8 +111,8 @@ def pnl_series(nav: DataFrame, keys: tuple[str, ...] = (), seed: float = SEED_NA
 def pnl_summary(returns: DataFrame, key: str = "strategy") -> DataFrame:
     """(key, total, annual, volatility, sharpe, max_drawdown, n)."""
     w = Window.partitionBy(key).orderBy("date")
-    logs = F.sum(F.log1p("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    p = returns.withColumn("__c", F.exp(logs)).withColumn("__m", F.greatest(F.lit(1.0), F.max("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    growth = F.product(1 + F.col("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    p = returns.withColumn("__c", growth).withColumn("__m", F.greatest(F.lit(1.0), F.max("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     a = p.groupBy(key).agg((F.product(1 + F.col("ret")) - 1).alias("total"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"), F.max(1 - F.col("__c") / F.col("__m")).alias("max_drawdown"), F.count("*").alias("n"))
     return a.select(key, "total", (F.col("m") * YEAR).alias("annual"), (F.col("s") * YEAR**0.5).alias("volatility"), F.coalesce(ratio("m", "s") * YEAR**0.5, F.lit(0.0)).alias("sharpe"), "max_drawdown", "n")
 
@@ -215,7 +215,7 @@ def backtest(scores: DataFrame, bars: DataFrame, cost_bps: float | Column = 5.0,
     turn = both.groupBy(*keys, "r").agg(F.sum("d").alias("turnover"))
     g = gross.join(turn, [*keys, "r"], "left").withColumn("turnover", F.when(F.col("k") % every == 0, F.coalesce("turnover", F.lit(0.0))).otherwise(0.0))
     g = g.withColumn("cost", F.col("turnover") * cost / 1e4).withColumn("ret", F.col("gross_ret") - F.col("cost"))
-    nav = F.exp(F.sum(F.log1p("ret")).over(Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    nav = F.product(1 + F.col("ret")).over(Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     return g.withColumn("nav", nav).select(*keys, "date", "gross_ret", "turnover", "cost", "ret", "nav")
 
 

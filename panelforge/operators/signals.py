@@ -114,7 +114,7 @@ def combine_signals(signals: DataFrame, weights: dict[str, float] | None = None,
 def evaluate_signals_batch(signals: DataFrame, returns: DataFrame, least_names: int = 3) -> DataFrame:
     """Per signal: IC mean, std, t, IR, share of positive ICs, rank turnover, an estimate of Sharpe, periods, status."""
     ics = daily_ic(signals, returns, least_names)
-    a = ics.groupBy("signal").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"), F.count("*").alias("n_periods"))
+    a = ics.groupBy("signal").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.round("ic", 9) > 0).cast("double")).alias("hit_rate"), F.count("*").alias("n_periods"))
     x = Window.partitionBy("signal", "date")
     ranks = signals.select("signal", "ticker", "date", average_rank("score", x, "signal", "date").alias("r"), F.count("*").over(x).alias("n"))
     w = Window.partitionBy("signal", "ticker").orderBy("date")

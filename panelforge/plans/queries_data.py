@@ -38,42 +38,47 @@ def a02(spark, sf):
     return rounded(qual.latest_bar(views.bars(spark, sf)))
 
 
-@query("a03_normalise_vendor_frame", f"""SELECT date, ticker, {r('close')} AS close, volume FROM bars WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3')""")
+@query("a03_normalise_vendor_frame", f"SELECT date, ticker, {r('close')} AS close, volume FROM bars")
 def a03(spark, sf):
     b = views.bars(spark, sf)
-    names = ["Brand#1", "Brand#2", "Brand#3"]
-    wide = b.filter(F.col("ticker").isin(names)).groupBy("date").pivot("ticker", names).agg(F.first("close").alias("c"), F.first("volume").alias("v"))
+    names = [x.ticker for x in b.select("ticker").distinct().orderBy("ticker").collect()]  # a vendor's columns
+    wide = b.groupBy("date").pivot("ticker", names).agg(F.first("close").alias("c"), F.first("volume").alias("v"))
     wide = wide.select("date", *[F.col(f"`{n}_{k}`").alias(f"{f}_{n}") for n in names for k, f in (("c", "adj close"), ("v", "volume"))])
     return rounded(qual.normalise_vendor_frame(wide, ["adj close", "volume"]))
 
 
-@query("a01_read_bars_csv", f"SELECT date, ticker, {r('close')} AS close FROM bars WHERE date >= DATE '1995-01-01' AND date < DATE '1996-01-01' AND ticker IN ('Brand#1', 'Brand#7')")
+@query("a01_read_bars_csv", f"SELECT date, ticker, {r('close')} AS close, volume FROM bars")
 def a01(spark, sf):
     path = Work(spark).path("csv")
-    views.bars(spark, sf).select(F.col("date").alias("Date"), F.col("ticker").alias(" Ticker"), F.col("close").alias("Close")).write.csv(path, header=True)
-    return rounded(src.read_bars_csv(spark, path, ["Brand#1", "Brand#7"], "1995-01-01", "1996-01-01"))
+    views.bars(spark, sf).select(F.col("date").alias("Date"), F.col("ticker").alias(" Ticker"), F.col("close").alias("Close"), F.col("volume").alias("Volume")).write.csv(path, header=True)
+    return rounded(src.read_bars_csv(spark, path))
 
 
-@query("a04_a05_save_and_load", f"SELECT ticker, {r('close')} AS close, date FROM bars WHERE date >= DATE '1995-01-01' AND date < DATE '1995-03-01'")
+def monthly(spark, sf) -> DataFrame:
+    """Bars dated by their month's first day: as many partitions as months."""
+    return views.bars(spark, sf).select("ticker", F.col("date").alias("day"), "close", F.trunc("date", "month").alias("date"))
+
+
+@query("a04_a05_save_and_load", f"SELECT ticker, date AS day, {r('close')} AS close, CAST(date_trunc('month', date) AS DATE) AS date FROM bars")
 def a05(spark, sf):
     root = Work(spark).path("store")
-    b = views.bars(spark, sf).filter("date >= '1994-12-01' AND date < '1995-04-01'")
-    src.save_dataset(b.select("ticker", "close", "date"), root, "bars", "raw")
-    return rounded(src.load_dataset(spark, root, "bars", "raw", "1995-01-01", "1995-03-01").select("ticker", "close", "date"))
+    src.save_dataset(monthly(spark, sf), root, "bars", "raw")
+    return rounded(src.load_dataset(spark, root, "bars", "raw", "1900-01-01", "2100-01-01"))
+
 
+MONTHS = "SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS m FROM bars"
 
-@query("a06_purge_old_partitions", "SELECT count(DISTINCT date) FILTER (WHERE date < DATE '1995-02-01') AS removed, count(DISTINCT date) FILTER (WHERE date >= DATE '1995-02-01') AS kept FROM bars WHERE date >= DATE '1995-01-01' AND date < DATE '1995-04-01'")
+
+@query("a06_purge_old_partitions", f"SELECT count(*) FILTER (WHERE m < DATE '1995-02-01') AS removed, count(*) FILTER (WHERE m >= DATE '1995-02-01') AS kept FROM ({MONTHS})")
 def a06(spark, sf):
-    root = Work(spark).path("store")
-    path = src.save_dataset(views.bars(spark, sf).filter("date >= '1995-01-01' AND date < '1995-04-01'").select("ticker", "date"), root, "bars", "raw")
+    path = src.save_dataset(monthly(spark, sf), Work(spark).path("store"), "bars", "raw")
     gone, kept = src.purge_old_partitions(spark, path, "1995-02-01")
     return spark.createDataFrame([(gone, kept)], "removed long, kept long")
 
 
-@query("a07_storage_stats", "SELECT min(date) AS oldest, max(date) AS newest, count(DISTINCT date) AS partitions FROM bars WHERE date >= DATE '1995-01-01' AND date < DATE '1995-02-01'")
+@query("a07_storage_stats", f"SELECT min(m) AS oldest, max(m) AS newest, count(*) AS partitions FROM ({MONTHS})")
 def a07(spark, sf):
-    root = Work(spark).path("store")
-    path = src.save_dataset(views.bars(spark, sf).filter("date >= '1995-01-01' AND date < '1995-02-01'"), root, "bars", "raw")
+    path = src.save_dataset(monthly(spark, sf), Work(spark).path("store"), "bars", "raw")
     return src.storage_stats(spark, path).select("oldest", "newest", "partitions")
 
 
@@ -108,11 +113,12 @@ def a11(spark, sf):
     return rounded(qual.offending_rows(b, AS_OF).select("ticker", "date", "close", "rule"))
 
 
-@query("a12_load_prices", f"""WITH acts AS ({ACTIONS}) SELECT b.ticker, b.date, {r('any_value(b.close) * coalesce(product(a.adjustment_factor), 1.0)')} AS close FROM bars b LEFT JOIN acts a ON a.ticker = b.ticker AND b.date < a.ex_date
-    WHERE b.date >= DATE '1997-11-01' AND b.date < DATE '{AS_OF}' GROUP BY b.ticker, b.date""")
+@query("a12_load_prices", f"""WITH acts AS ({ACTIONS}), m AS (SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS date, max(close) AS close FROM bars GROUP BY 1, 2)
+    SELECT b.ticker, b.date, {r('any_value(b.close) * coalesce(product(a.adjustment_factor), 1.0)')} AS close FROM m b LEFT JOIN acts a ON a.ticker = b.ticker AND b.date < a.ex_date WHERE b.date < DATE '{AS_OF}' GROUP BY b.ticker, b.date""")
 def a12(spark, sf):
     root = Work(spark).path("store")
-    src.save_dataset(views.bars(spark, sf).filter("date >= '1997-11-01' AND date < '1998-02-01'"), root, "bars", "raw")
+    agg = [F.max(c).alias(c) for c in ("open", "high", "low", "close", "volume")]
+    src.save_dataset(views.bars(spark, sf).groupBy("ticker", F.trunc("date", "month").alias("date")).agg(*agg), root, "bars", "raw")
     return rounded(src.load_prices(spark, root, "bars", AS_OF, actions(spark, sf)).select("ticker", "date", "close"))
 
 

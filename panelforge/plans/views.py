@@ -85,6 +85,24 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
     return bars(spark, sf).select("date", "ticker", ((F.rank().over(x.orderBy("close")) / F.count("*").over(x) - 0.5) / F.count("*").over(x)).alias("weight"))
 
 
+def signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Three signals (date, ticker, signal, score): momentum, reversal and relative volume."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("ticker").orderBy("date")
+    c, v = F.col("close"), F.col("volume")
+    b = bars(spark, sf).select("date", "ticker", ((c - F.lag("close", 19).over(w)) / F.lag("close", 19).over(w)).alias("mom"), (-(c - F.lag("close", 4).over(w)) / F.lag("close", 4).over(w)).alias("rev"), (v / F.avg("volume").over(w.rowsBetween(-19, 0))).alias("vol"))
+    return b.unpivot(["date", "ticker"], ["mom", "rev", "vol"], "signal", "score").filter("score IS NOT NULL")
+
+
+def fwd(spark: SparkSession, sf: str) -> DataFrame:
+    """The return to the next close."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("ticker").orderBy("date")
+    return bars(spark, sf).select("date", "ticker", (F.lead("close").over(w) / F.col("close") - 1).alias("ret")).filter("ret IS NOT NULL")
+
+
 def chain(spark: SparkSession, sf: str) -> DataFrame:
     """An option chain from parts."""
     k = F.col("p_partkey")
@@ -122,6 +140,10 @@ CTE = {
         sum(CAST(round(ret * 1000000) AS BIGINT)) / count(*) / 1e6 AS m,
         sum(CAST(round(CASE sector WHEN 'S0' THEN ret WHEN 'S1' THEN -ret ELSE 0.0 END * 1000000) AS BIGINT)) / count(*) / 1e6 AS s
         FROM returns JOIN sectors USING (ticker) GROUP BY date)""",
+    "signals": """SELECT date, ticker, signal, score FROM (SELECT date, ticker, unnest(['mom', 'rev', 'vol']) AS signal, unnest([mom, rev, vol]) AS score FROM (SELECT date, ticker,
+        (close - lag(close, 19) OVER w) / lag(close, 19) OVER w AS mom, -(close - lag(close, 4) OVER w) / lag(close, 4) OVER w AS rev,
+        volume / avg(volume) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vol FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date))) WHERE score IS NOT NULL""",
+    "fwd": "SELECT * FROM (SELECT date, ticker, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS ret FROM bars) WHERE ret IS NOT NULL",
     "weights": "SELECT date, ticker, (rank() OVER (PARTITION BY date ORDER BY close) / count(*) OVER (PARTITION BY date) - 0.5) / count(*) OVER (PARTITION BY date) AS weight FROM bars",
     "chain": """SELECT p_brand AS ticker, p_partkey AS id, p_size * 20.0 AS strike, 500.0 AS spot, CAST(DATE '1998-01-01' + CAST(p_partkey % 180 AS INT) AS DATE) AS expiry,
         0.1 + (p_partkey % 37) / 100.0 AS implied_vol, CASE WHEN p_partkey % 2 = 0 THEN 'put' ELSE 'call' END AS option_type,
@@ -129,7 +151,7 @@ CTE = {
     "estimates": """SELECT o_orderpriority AS ticker, CAST(o_custkey % 20 AS VARCHAR) AS analyst, o_orderkey AS id,
         year(o_orderdate) || 'Q' || quarter(o_orderdate) AS period, o_totalprice AS value, CAST(o_orderdate AS DATE) AS date FROM orders""",
 }
-NEEDS = {"bars": ["trades"], "orders_t": ["trades", "bars"], "returns": ["bars"], "factors": ["returns", "sectors"], "weights": ["bars"]}
+NEEDS = {"bars": ["trades"], "orders_t": ["trades", "bars"], "returns": ["bars"], "factors": ["returns", "sectors"], "weights": ["bars"], "signals": ["bars"], "fwd": ["bars"]}
 
 
 def with_views(body: str) -> str:

@@ -49,7 +49,8 @@ def compare(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, sf, name):
-    assert compare(spark, sf, name) > 0 or name in EMPTY
+    # what asks for long histories has rows at the next size
+    assert compare(spark, sf, name) > 0 or compare(spark, "/root/testdata/sf0.01", name) > 0 or name in EMPTY
 
 
 #: Reports of what is wrong, where nothing is at this size.
