@@ -539,7 +539,7 @@ def j20_depth(spark, sf):
 
 @query("j21_estimate_fills", f"""WITH o AS (SELECT order_id, ticker, side, CAST(target AS BIGINT) AS q, CASE WHEN target % 2 = 0 THEN 'limit' ELSE 'market' END AS ot, decision_px AS lp FROM orders_t), m AS (SELECT ticker, close AS mid, volume * 30 AS adv FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
     f AS (SELECT *, CASE WHEN side = 'buy' THEN 1 ELSE -1 END AS s, mid * (1 + CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (5 + least(500, 2 * pow(q / adv, 0.6) * 1e4)) / 1e4) AS px FROM o JOIN m USING (ticker)),
-    g AS (SELECT *, CAST(CASE WHEN q > adv * 0.01 THEN greatest(1, floor(q * least(1.0, adv * 0.01 / q))) ELSE q END AS BIGINT) AS qty FROM f WHERE NOT (ot = 'limit' AND s * (px - lp) > 0)) SELECT ticker, side, count(*) AS n, sum(qty)::BIGINT AS fill_qty, {r('max(px)')} AS fill_px, {r('sum(qty) * 0.005')} AS commission FROM g GROUP BY 1, 2""")
+    g AS (SELECT *, CAST(CASE WHEN q > adv * 0.01 THEN greatest(1, floor(q * least(1.0, adv * 0.01 / q))) ELSE q END AS BIGINT) AS qty FROM f WHERE NOT (ot = 'limit' AND s * (px - lp) > 0)) SELECT ticker, side, count(*) AS n, sum(qty)::BIGINT AS fill_qty, {r('max(px)')} AS fill_px, {r('CAST(sum(qty) AS DOUBLE) * 0.005::DOUBLE')} AS commission FROM g GROUP BY 1, 2""")
 def j21(spark, sf):
     c = F.col
     o = views.orders_t(spark, sf).select("order_id", "ticker", "side", c("target").cast("long").alias("quantity"), F.when(c("target") % 2 == 0, "limit").otherwise("market").alias("order_type"), c("decision_px").alias("limit_price"))
@@ -551,14 +551,14 @@ def j21(spark, sf):
 LEDGER = "lf AS (SELECT ticker, date, order_id, CASE WHEN side = 'buy' THEN filled ELSE -filled END AS s, fill_px, filled * 0.005 AS c FROM orders_t)"
 
 
-@query("j22_position_ledger", f"WITH {LEDGER} SELECT ticker, sum(s) AS position, round(sum(s * fill_px + c), 2) + 0.0 AS spent, max(p) AS highest FROM (SELECT *, sum(s) OVER (PARTITION BY ticker ORDER BY date RANGE UNBOUNDED PRECEDING) AS p FROM lf) GROUP BY ticker")
+@query("j22_position_ledger", f"WITH {LEDGER} SELECT ticker, sum(s) AS position, round(sum(s * fill_px + c), 4) + 0.0 AS spent, max(p) AS highest FROM (SELECT *, sum(s) OVER (PARTITION BY ticker ORDER BY date RANGE UNBOUNDED PRECEDING) AS p FROM lf) GROUP BY ticker")
 def j22(spark, sf):
     c = F.col
     f = views.orders_t(spark, sf).select("ticker", "date", c("order_id").alias("k"), "side", c("filled").alias("qty"), c("fill_px").alias("px"), (c("filled") * 0.005).alias("commission"))
     led = ex.position_ledger(f)
     day = Window.partitionBy("ticker", "date")
     last = led.withColumn("n", F.count("*").over(day)).withColumn("j", F.row_number().over(day.orderBy("k"))).filter("j = n")
-    return last.groupBy("ticker").agg(F.max_by("position", "date").alias("position"), F.round(F.max_by("spent", "date"), 2).alias("spent"), F.max("position").alias("highest"))
+    return last.groupBy("ticker").agg(F.max_by("position", "date").alias("position"), F.round(F.max_by("spent", "date"), 4).alias("spent"), F.max("position").alias("highest"))
 
 
 QUAL = "ql AS (SELECT *, CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (fill_px - decision_px) / decision_px * 1e4 AS shortfall_bps, CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (fill_px - 1400) / 1400 * 1e4 AS vs_vwap_bps, filled / nullif(target, 0) AS fill_rate FROM orders_t)"

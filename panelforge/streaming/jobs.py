@@ -38,7 +38,7 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
 
     q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    schema = df.schema.add("__batch", "int") if mode == "update" else df.schema
+    schema = df.schema.add("__batch", "integer") if mode == "update" else df.schema
     return spark.read.schema(schema).parquet(f"{root}/out")
 
 
