@@ -17,9 +17,11 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,8 @@ from pyspark.sql import types as T
 from ..session import ship
 
 #: Characters of a leaf of a text, bytes of a leaf of a piece, entries of a worker's cache.
-LEAF_CHARS, LEAF_BYTES, CACHE = 1 << 15, 16, 1 << 18
+LEAF_CHARS, LEAF_BYTES, CACHE = 1 << 15, 6, 1 << 18
+EMPTY = np.empty(0, np.int32)
 #: A rank above all.
 NEVER = 1 << 60
 #: Unicode white space, as the inside of a character class (fixed by the Unicode standard).
@@ -41,13 +44,18 @@ class Codec:
     def __init__(self, ranks_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
         self.tokens: dict[int, bytes] = {i: b for b, i in self.ranks.items()}
+        self.sizes = np.zeros(max(self.tokens) + 1, np.int64)
+        self.sizes[list(self.tokens)] = [len(b) for b in self.tokens.values()]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join([self.tokens[i] for i in sorted(self.tokens)]), np.uint8)
         own = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.pieces = regex.compile(own).findall
         self.spaced = re.compile(rf"[{WHITE}] | [{WHITE}]").search
         self.white = re.compile(f"[{WHITE}]").match
-        self.seams: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.seams: dict[tuple[int, int], list[int]] = {}
+        self.parts: dict[bytes, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, list[int]] = {}
 
     def greedy(self, b: bytes) -> list[int]:
         """Merge the neighbours of lowest rank, leftmost first, until none is left."""
@@ -90,79 +98,94 @@ class Codec:
             i = end[i]
         return out
 
-    def stable(self, left: int, right: int) -> bool:
-        """Do the two tokens stay as they are when they are encoded together?"""
+    def seam(self, left: int, right: int) -> list[int]:
+        """Two tokens encoded together."""
         got = self.seams.get((left, right))
         if got is None:
             if len(self.seams) >= CACHE:
                 self.seams.clear()
-            got = self.seams[left, right] = self.greedy(self.tokens[left] + self.tokens[right]) == [left, right]
+            got = self.seams[left, right] = self.greedy(self.tokens[left] + self.tokens[right])
         return got
 
+    def stable(self, left: int, right: int) -> bool:
+        """Do two tokens stay as they are when they are encoded together?"""
+        return self.seam(left, right) == [left, right]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of both sides' bytes, from the sides' encodings."""
-        k = 1
-        while left and right:
-            a, c = left[-k:], right[:k]
-            mid = self.greedy(b"".join([self.tokens[i] for i in a + c]))
-            if (k >= len(left) or self.stable(left[-k - 1], mid[0])) and (k >= len(right) or self.stable(mid[-1], right[k])):
-                return left[:-k] + mid + right[k:]
+        if not left or not right:
+            return left or right
+        mid, k = self.seam(left[-1], right[0]), 1
+        while not ((k >= len(left) or self.stable(left[-k - 1], mid[0])) and (k >= len(right) or self.stable(mid[-1], right[k]))):
             k *= 2
-        return left or right
+            mid = self.greedy(b"".join([self.tokens[i] for i in left[-k:] + right[:k]]))
+        return left[:-k] + mid + right[k:]
 
     def piece(self, b: bytes) -> list[int]:
-        """A piece by halves."""
-        if len(b) <= LEAF_BYTES:
-            return self.greedy(b)
-        return self.join(self.piece(b[: len(b) // 2]), self.piece(b[len(b) // 2 :]))
-
-    def known(self, text: str) -> tuple[int, ...]:
-        """A chunk that the pattern splits alike wherever it stands, by its pieces; kept in a bounded cache."""
-        got = self.cache.get(text) or self.older.get(text)
+        """A piece by halves; short ones are kept, as words share them."""
+        n = len(b)
+        if n > LEAF_BYTES:
+            return self.join(self.piece(b[: n // 2]), self.piece(b[n // 2 :]))
+        got = self.parts.get(b)
         if got is None:
-            found = self.pieces(text)
-            if len(found) > 1:
-                got = tuple(i for p in found for i in self.known(p))
-            elif (rank := self.ranks.get(b := "".join(found).encode())) is not None:
-                got = (rank,)
-            else:
-                got = tuple(self.piece(b))
-        if len(text) <= 64:
-            if len(self.cache) >= CACHE:  # what is in use moves on, the rest goes with the older half
-                self.cache, self.older = {}, self.cache
-            self.cache[text] = got
+            if len(self.parts) >= CACHE:
+                self.parts.clear()
+            got = self.parts[b] = self.greedy(b)
         return got
 
-    def leaf(self, text: str) -> list[int]:
-        ids: list[int] = []
-        if self.spaced(text):  # runs of white space: where they end decides how they split
-            parts = self.pieces(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        known = self.known
-        for p in parts:
-            ids.extend(self.cache.get(p) or known(p))
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> list[int]:
+        """The ids of a text that the pattern splits alike wherever it stands, by its pieces."""
+        out: list[int] = []
+        words = self.words
+        for p in self.pieces(text):
+            got = words.get(p)
+            if got is None:
+                b = p.encode()
+                rank = self.ranks.get(b)
+                got = [rank] if rank is not None else self.piece(b)
+                if len(b) <= 64:
+                    if len(words) >= CACHE:
+                        words.clear()
+                    words[p] = got
+            out += got
+        return out
+
+    def leaf(self, text: str) -> bytes:
+        """A leaf's ids, four native bytes each, chunk by chunk: chunks are cut at blanks and begin with theirs, but for
+        the first. Runs of white space are no such cut, as where they end decides how they split: the text is one chunk
+        then."""
+        if self.spaced(text):
+            return array("i", self.chunk(text)).tobytes()
+        first, *rest = text.split(" ")
+        out = [array("i", self.chunk(first)).tobytes()] if first else []
+        get, put = self.cache.get, out.append
+        for c in rest:
+            got = get(c)
+            if got is None:
+                if len(self.cache) >= 2 * CACHE:
+                    self.cache.clear()
+                got = self.cache[c] = array("i", self.chunk(" " + c)).tobytes()
+            put(got)
+        return b"".join(out)
+
+    def encode(self, text: str) -> bytes:
         """A text by halves, cut where a blank follows something else: no match of the pattern crosses that."""
         if len(text) <= LEAF_CHARS:
             return self.leaf(text)
         at = text.find(" ", len(text) // 2)
         while at > 0 and self.white(text[at - 1]):
             at = text.find(" ", at + 1)
-        if at <= 0:
-            return self.leaf(text)
-        return self.encode(text[:at]) + self.encode(text[at:])
+        return self.leaf(text) if at <= 0 else self.encode(text[:at]) + self.encode(text[at:])
 
-    def decode(self, ids) -> bytes:
-        if len(ids) <= LEAF_CHARS:
-            try:
-                return b"".join([self.tokens[i] for i in ids])
-            except KeyError as e:
-                raise ValueError(f"no token has the id {e}") from None
-        return self.decode(ids[: len(ids) // 2]) + self.decode(ids[len(ids) // 2 :])
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids: a leaf by table lookup, halves concatenated."""
+        if len(ids) > LEAF_CHARS:
+            return self.decode(ids[: len(ids) // 2]) + self.decode(ids[len(ids) // 2 :])
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.sizes[ids].all()):
+            raise ValueError("no token has such an id")
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        return self.data[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -181,10 +204,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
     """df with the ids of each whole text as an array of ints."""
     file = _shared(df.sparkSession, ranks_path)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(texts: pa.Array) -> pa.Array:
         c = codec(file.value, pattern)
-        return pd.Series([c.encode(x) if x else [] for x in texts], dtype=object)
+        lists = [np.frombuffer(c.encode(x), np.int32) if x else EMPTY for x in texts.to_pylist()]
+        ends = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else EMPTY))
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -193,10 +218,10 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     """df with the bytes that each array of ids stands for."""
     file = _shared(df.sparkSession, ranks_path)
 
-    @F.pandas_udf(T.BinaryType())
-    def data(lists: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.BinaryType())
+    def data(lists: pa.Array) -> pa.Array:
         c = codec(file.value, pattern)
-        return pd.Series([None if x is None else c.decode(list(x)) for x in lists], dtype=object)
+        return pa.array([c.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists], pa.binary())
 
     return df.withColumn(out, data(F.col(ids)))
 

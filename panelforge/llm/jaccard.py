@@ -14,7 +14,7 @@ The steps, none of which holds a group of unbounded size or emits the pairs of a
  4. Each posting list links its documents to the one with the fewest shingles of its own, as far as they are truly
     similar: that joins the bulk of a group of near copies in linear work.
  5. Posting lists that still hold several components give the pairs across components, filtered by sizes, positions
-    and the number of matches; the similar ones among them complete the links. Pairs inside a component cannot change
+    (a shingle of one document or component cannot match across) and the number of matches; the similar ones among them complete the links. Pairs inside a component cannot change
     it, so the components are exact.
 
 Defined results: null, empty and wordless texts have an empty set, and link with nothing; rows without an id are left
@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Work, ship
@@ -238,9 +238,12 @@ def classes(df: DataFrame, k: int = 5, num: int = 8, den: int = 10, text: str =
     # what is left: pairs across components
     placed = work.cut(postings.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
     mixed = work.cut(placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("h"), "mixed")
-    rest = work.cut(placed.join(mixed, "h"), "rest")
+    # a shingle that one component alone holds cannot match across: at counts a document's others before a position
+    w = Window.partitionBy("id").orderBy("pos")
+    open_ = placed.join(mixed, "h").withColumn("at", F.row_number().over(w) - 1).withColumn("left", F.count("*").over(Window.partitionBy("id")))
+    rest = work.cut(open_.filter("left >= l"), "rest")
     need = f"ceil({num} * (p.n + q.n) / {num + den})"
-    reach = "least(p.pos, q.pos) + 1 + least(p.n - p.pos, q.n - q.pos) - 1"
+    reach = "least(p.at, q.at) + least(p.n - p.pos, q.n - q.pos)"
     across = rest.alias("p").join(rest.alias("q"), F.expr(f"p.h = q.h AND p.id < q.id AND p.comp <> q.comp AND {den} * least(p.n, q.n) >= {num} * greatest(p.n, q.n) AND {reach} >= {need}"))
     met = across.groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("p.l", "q.l")).alias("l"))
     more = work.cut(met.filter("m >= l").select("a", "b"), "more")

@@ -58,7 +58,7 @@ def encode(df: DataFrame, vocabulary: str, size: int, end_id: int = 2, text: str
     def ids(batches):
         own = library(file.value)
         for b in batches:
-            coded = [np.array([*x, end_id], kind).tobytes() for x in own.ids(b.column(2).to_pylist())]
+            coded = [np.append(np.frombuffer(x, np.uint32), np.uint32(end_id)).astype(kind).tobytes() for x in own.ids(b.column(2).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(coded, pa.binary())], ["doc_id", "tie", "ids"])
 
     three = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))

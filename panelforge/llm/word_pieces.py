@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 from pyspark.sql import SparkSession
 
@@ -42,7 +42,7 @@ class Library:
         rule = json.loads(file)
         steps = rule["pre_tokenizer"]["pretokenizers"]
         self.bare = Tokenizer.from_str(json.dumps(rule | {"normalizer": None, "pre_tokenizer": next(x for x in steps if x["type"] == "ByteLevel")}))
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def encoded(self, pieces: list[str]) -> list[list[int]]:
         """The ids of each of many pre-tokens, by the library."""
@@ -58,7 +58,7 @@ class Library:
         return [n for at in range(0, len(pieces), 10_000) for n in map(len, self.encoded(pieces[at : at + 10_000]))]
 
     def learn(self, pieces: set[str]) -> None:
-        """Put the ids of pre-tokens into the cache. Letters before signs are tokens apart from these."""
+        """Put the ids of pre-tokens, as bytes, into the cache. Letters before signs are tokens apart from these."""
         if len(self.cache) + len(pieces) > CACHE:
             self.cache.clear()
         new = pieces.difference(self.cache)
@@ -67,19 +67,20 @@ class Library:
             if p[-1] in ".,;:!?" and (core := p.rstrip(".,;:!?")) and core[-1].isalpha() and core[-1] < "\u0130":
                 tails[p] = core
         parts = list(new.difference(tails).union(tails.values(), [p[len(c) :] for p, c in tails.items()]).difference(self.cache))
-        self.cache.update(zip(parts, self.encoded(parts)))
+        self.cache.update(zip(parts, (array("I", x).tobytes() for x in self.encoded(parts))))
         for p, core in tails.items():
             self.cache[p] = self.cache[core] + self.cache[p[len(core) :]]
 
-    def ids(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of whole texts; so many texts at a time that their pre-tokens fit into memory."""
-        out: list[list[int]] = []
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts, four native bytes each; so many texts at a time that their pre-tokens fit into
+        memory."""
+        out: list[bytes] = []
         lists: list[list[str]] = []
         held = 0
 
         def flush() -> None:
             self.learn(set().union(*lists))
-            out.extend(list(chain.from_iterable(map(self.cache.__getitem__, x))) for x in lists)
+            out.extend(b"".join(map(self.cache.__getitem__, x)) for x in lists)
             lists.clear()
 
         for x in texts:
