@@ -49,12 +49,18 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def half_up(x: Column | str, places: int = 6) -> Column:
+    """x rounded as the nearest whole number of units of the last place: what other engines do with doubles."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x * float(10**places), 0) / float(10**places)
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """df with its doubles rounded, negative zeros and NaN made zero and null."""
     def one(c: str, t: str) -> Column:
         if t != "double":
             return F.col(c)
-        r = F.round(c, places)
+        r = half_up(c, places)
         return F.when(F.isnan(r), None).when(r == 0, 0.0).otherwise(r).alias(c)
 
     return df.select(*[one(c, t) for c, t in df.dtypes])

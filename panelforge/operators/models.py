@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, last_rows, ratio, safe_corr
+from ..functions.columns import average_rank, half_up, last_rows, ratio, safe_corr
 from .altdata import share_below
 from .signals import bootstrap_ic_ci
 
@@ -257,7 +257,7 @@ def cosine_top(vectors: DataFrame, top: int = 10, by: str = "label") -> DataFram
     v = vectors.withColumn("v", F.transform("v", lambda x: x.cast("double"))).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).filter("norm > 0")
     a, b = v.alias("a"), v.alias("b")
     j = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.id") != F.col("b.id")))
-    s = j.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.round(dot(F.col("a.v"), F.col("b.v")) / (F.col("a.norm") * F.col("b.norm")), 6).alias("similarity"))
+    s = j.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), half_up(dot(F.col("a.v"), F.col("b.v")) / (F.col("a.norm") * F.col("b.norm"))).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return s.withColumn("rank", rank).filter(F.col("rank") <= top)
 

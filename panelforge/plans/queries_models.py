@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import rounded
+from ..functions.columns import half_up, rounded
 from ..operators import models as mod
 from ..operators import normalise as norm
 from ..operators import pairs
@@ -438,7 +438,7 @@ def vol_base(spark, sf) -> DataFrame:
 
 @query("f17_vol_regime", f"WITH {VOL} SELECT ticker, date, {r('vol')} AS vol, round(percentile, 3) AS percentile, regime FROM vr")
 def f17(spark, sf):
-    return rounded(mod.vol_regime(vol_base(spark, sf)).select("ticker", "date", "vol", F.round("percentile", 3).alias("percentile"), "regime"))
+    return rounded(mod.vol_regime(vol_base(spark, sf)).select("ticker", "date", "vol", half_up("percentile", 3).alias("percentile"), "regime"))
 
 
 @query("f18_market_state", f"""WITH {VOL}, s AS (SELECT *, sum(ret) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) AS s FROM vr), t AS (SELECT *, CASE WHEN percentile >= 95 AND s < -0.1 THEN 'crisis' WHEN regime = 'high' THEN 'risk_off' WHEN regime = 'low' THEN 'risk_on' ELSE 'transition' END AS state FROM s)
@@ -510,7 +510,7 @@ def g01(spark, sf):
 
 @query("g02_pair_hedge_ratio", f"WITH {PAIR} SELECT a, b, {r('beta')} AS beta, round(alpha, 4) + 0.0 AS alpha, n FROM hr")
 def g02(spark, sf):
-    return rounded(pairs.pair_hedge_ratio(pair_rows(spark, sf)).withColumn("alpha", F.round("alpha", 4)))
+    return rounded(pairs.pair_hedge_ratio(pair_rows(spark, sf)).withColumn("alpha", half_up("alpha", 4)))
 
 
 @query("g03_adf_simple", f"WITH {PAIR} SELECT a, b, {r('t')} AS t, p FROM ap")

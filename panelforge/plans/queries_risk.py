@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import rounded
+from ..functions.columns import half_up, rounded
 from ..operators import execution as ex
 from ..operators import governance as gov
 from ..operators import portfolio as port
@@ -558,7 +558,7 @@ def j22(spark, sf):
     led = ex.position_ledger(f)
     day = Window.partitionBy("ticker", "date")
     last = led.withColumn("n", F.count("*").over(day)).withColumn("j", F.row_number().over(day.orderBy("k"))).filter("j = n")
-    return last.groupBy("ticker").agg(F.max_by("position", "date").alias("position"), F.round(F.max_by("spent", "date"), 4).alias("spent"), F.max("position").alias("highest"))
+    return last.groupBy("ticker").agg(F.max_by("position", "date").alias("position"), half_up(F.max_by("spent", "date"), 4).alias("spent"), F.max("position").alias("highest"))
 
 
 QUAL = "ql AS (SELECT *, CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (fill_px - decision_px) / decision_px * 1e4 AS shortfall_bps, CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (fill_px - 1400) / 1400 * 1e4 AS vs_vwap_bps, filled / nullif(target, 0) AS fill_rate FROM orders_t)"
@@ -575,7 +575,7 @@ def j23(spark, sf):
 
 @query("j24_execution_summary", f"WITH {QUAL} SELECT ticker, count(*) AS n, {r('avg(shortfall_bps)')} AS shortfall_bps, {r('avg(vs_vwap_bps)')} AS vs_vwap_bps, {r('avg(fill_rate)')} AS fill_rate, count(*) FILTER (WHERE shortfall_bps > 20) AS adverse, round(sum(shortfall_bps), 3) + 0.0 AS total_bps FROM ql GROUP BY ticker")
 def j24(spark, sf):
-    return rounded(ex.execution_summary(quality(spark, sf)).withColumn("total_bps", F.round("total_bps", 3)))
+    return rounded(ex.execution_summary(quality(spark, sf)).withColumn("total_bps", half_up("total_bps", 3)))
 
 
 @query("j24_adverse_orders", f"WITH {QUAL} SELECT order_id, {r('shortfall_bps')} AS shortfall_bps FROM ql WHERE shortfall_bps > 20")
