@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ..session import ship
 
 #: Characters of a leaf of a text, bytes of a leaf of a piece, entries of a worker's cache.
-LEAF_CHARS, LEAF_BYTES, CACHE = 1 << 15, 6, 1 << 18
+LEAF_CHARS, LEAF_BYTES, CACHE = 1 << 15, 6, 1 << 17
 EMPTY = np.empty(0, np.int32)
 #: A rank above all.
 NEVER = 1 << 60

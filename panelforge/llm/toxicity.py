@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import Work, ship
 
 #: Labelled documents of each label that the lexicon is learned from; entries of the lexicon; of a worker's cache.
-SAMPLE, LEXICON, CACHE = 20_000, 50_000, 1 << 18
+SAMPLE, LEXICON, CACHE = 20_000, 50_000, 1 << 17
 #: Documents of base rate that a word's share of toxic documents is pulled by; the least share of a weighed word.
 PULL, LEAST = 10, 0.3
 
@@ -179,13 +179,26 @@ class Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted logistic regression by Newton steps, slightly pulled to zero."""
+    """Weighted logistic regression, pulled to zero, by Newton steps that are halved until the loss falls."""
     x = np.c_[np.ones(len(x)), x]
-    pull = np.diag([1e-6, 0.05, 0.05])
+    pull = np.array([1e-3, 1.0, 1.0])
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + (pull * b * b).sum() / 2)
+
     b = np.zeros(3)
-    for _ in range(40):
+    now = loss(b)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        b += np.clip(np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + pull, x.T @ (w * (y - p)) - pull @ b), -2, 2)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (w * (y - p)) - pull * b)
+        size = 1.0
+        while size > 1e-6 and loss(b + size * step) >= now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        b = b + size * step
+        now = loss(b)
     return b
 
 

@@ -101,3 +101,12 @@ def test_mixing_query(spark, sf):
         assert all(abs(fitted[k] - want[k]) < 1e-5 for k in want)
     assert abs(sum(r.n_tokens * r.probability for r in got) / total - 0.7) < 1e-6
     assert abs(sum(r.n_tokens for r in got if r.kept) / total - 0.7) < 0.12
+
+
+def test_regression_on_separable_evidence():
+    r = np.random.default_rng(6)
+    y = (r.random(4000) < 0.3).astype(float)
+    x = np.where(y[:, None] == 1, r.choice([7.8, 7.5], (4000, 2)), r.choice([0.0, 2.0, 2.5], (4000, 2)))
+    a, b, c = toxicity._logistic(x, y, np.ones(4000))
+    p = 1 / (1 + np.exp(-(a + x @ [b, c])))
+    assert p[y == 1].min() > 0.8 and p[y == 0].max() < 0.2
