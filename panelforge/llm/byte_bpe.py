@@ -1,191 +1,107 @@
 """Byte-level BPE, encoding and decoding, as a monoid tree reduction.
 
-Encoding halves a text at places where the splitting pattern cannot look across, down to leaves; a leaf's
-pieces (matches of the pattern) are halved again, byte by byte, and neighbours are joined by encoding a
-window over their seam afresh. The window doubles until both its ends are provably stable: a sequence of
-tokens is the encoding of its bytes if and only if each two neighbours, encoded together, stay as they are.
-Decoding concatenates the tokens' bytes up the same kind of tree.
+Encoding halves a text, anywhere, down to leaves of LEAF_CHARS characters, encodes the leaves and joins neighbours: the
+ids of both sides are kept but for a window over their seam, which is encoded afresh. The window doubles until both its
+ends are provably stable: they stand where a blank follows something that is not white space. No match of the splitting
+pattern crosses such a place and what follows it is split alike whatever stands before, so the ids before the window and
+those after it are the ids of the joined text. A side that has no such place is encoded to its end. A leaf's pieces are
+merged by the library that defines the result. Decoding concatenates the tokens' bytes up the same kind of tree.
 
 Defined results: null and empty texts give no ids and no bytes; a null list of ids decodes to null; an id
-outside the vocabulary raises ValueError. Other columns pass through; a column with the output's name is replaced.
-Repeated rows are encoded each on its own. There is no shuffle, and memory is bounded by one Arrow batch and
-caches of CACHE entries.
+outside the vocabulary, or a null one, raises ValueError. Other columns pass through; a column with the output's name is
+replaced. Repeated rows are encoded each on its own. The pattern must not match a blank after anything but white space
+(byte-level patterns do not). There is no shuffle, and memory is bounded by one Arrow batch: nothing is cached.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
-import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
 
-#: Characters of a leaf of a text, bytes of a leaf of a piece, entries of a worker's cache.
-LEAF_CHARS, LEAF_BYTES, CACHE = 1 << 15, 6, 1 << 17
-EMPTY = np.empty(0, np.int32)
-#: A rank above all.
-NEVER = 1 << 60
+#: Characters of a leaf of a text, ids of a leaf of a list of ids, characters on each side of the first window.
+LEAF_CHARS, LEAF_IDS, WINDOW = 1 << 10, 1 << 15, 1 << 4
 #: Unicode white space, as the inside of a character class (fixed by the Unicode standard).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as a set.
+_WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 
 
 class Codec:
-    """Ranks of a vocabulary and what follows from them; one for each Python worker."""
+    """A vocabulary's ranks and the splitting pattern; one for each Python worker."""
 
     def __init__(self, ranks_file: bytes, pattern: str):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
-        self.tokens: dict[int, bytes] = {i: b for b, i in self.ranks.items()}
-        self.sizes = np.zeros(max(self.tokens) + 1, np.int64)
-        self.sizes[list(self.tokens)] = [len(b) for b in self.tokens.values()]
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join([self.tokens[i] for i in sorted(self.tokens)]), np.uint8)
-        own = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
-        self.pieces = regex.compile(own).findall
-        self.spaced = re.compile(rf"[{WHITE}] | [{WHITE}]").search
-        self.white = re.compile(f"[{WHITE}]").match
-        self.seams: dict[tuple[int, int], list[int]] = {}
-        self.parts: dict[bytes, list[int]] = {}
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
-
-    def greedy(self, b: bytes) -> list[int]:
-        """Merge the neighbours of lowest rank, leftmost first, until none is left."""
-        ranks, n = self.ranks, len(b)
-        if n > 64:
-            return self._greedy_long(b)
-        get = ranks.get
-        parts = [b[i : i + 1] for i in range(n)]
-        pairs = [get(b[i : i + 2], NEVER) for i in range(n - 1)]
-        while pairs and (best := min(pairs)) < NEVER:
-            i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], NEVER)
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], NEVER)
-        return [ranks[p] for p in parts]
-
-    def _greedy_long(self, b: bytes) -> list[int]:
-        """The same with a heap over a linked list, for windows that grew long."""
-        ranks, n = self.ranks, len(b)
-        end, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(b[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, mid, stop = heapq.heappop(heap)
-            if not live[i] or end[i] != mid or mid >= n or not live[mid] or end[mid] != stop:
-                continue
-            end[i], live[mid] = stop, False
-            if stop < n:
-                before[stop] = i
-                if (r := ranks.get(b[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, stop, end[stop]))
-            if (p := before[i]) >= 0 and (r := ranks.get(b[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, i, stop))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[b[i : end[i]]])
-            i = end[i]
-        return out
-
-    def seam(self, left: int, right: int) -> list[int]:
-        """Two tokens encoded together."""
-        got = self.seams.get((left, right))
-        if got is None:
-            if len(self.seams) >= CACHE:
-                self.seams.clear()
-            got = self.seams[left, right] = self.greedy(self.tokens[left] + self.tokens[right])
-        return got
-
-    def stable(self, left: int, right: int) -> bool:
-        """Do two tokens stay as they are when they are encoded together?"""
-        return self.seam(left, right) == [left, right]
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of both sides' bytes, from the sides' encodings."""
-        if not left or not right:
-            return left or right
-        mid, k = self.seam(left[-1], right[0]), 1
-        while not ((k >= len(left) or self.stable(left[-k - 1], mid[0])) and (k >= len(right) or self.stable(mid[-1], right[k]))):
-            k *= 2
-            mid = self.greedy(b"".join([self.tokens[i] for i in left[-k:] + right[:k]]))
-        return left[:-k] + mid + right[k:]
-
-    def piece(self, b: bytes) -> list[int]:
-        """A piece by halves; short ones are kept, as words share them."""
-        n = len(b)
-        if n > LEAF_BYTES:
-            return self.join(self.piece(b[: n // 2]), self.piece(b[n // 2 :]))
-        got = self.parts.get(b)
-        if got is None:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            got = self.parts[b] = self.greedy(b)
-        return got
-
-    def chunk(self, text: str) -> list[int]:
-        """The ids of a text that the pattern splits alike wherever it stands, by its pieces."""
-        out: list[int] = []
-        words = self.words
-        for p in self.pieces(text):
-            got = words.get(p)
-            if got is None:
-                b = p.encode()
-                rank = self.ranks.get(b)
-                got = [rank] if rank is not None else self.piece(b)
-                if len(b) <= 64:
-                    if len(words) >= CACHE:
-                        words.clear()
-                    words[p] = got
-            out += got
-        return out
-
-    def leaf(self, text: str) -> bytes:
-        """A leaf's ids, four native bytes each, chunk by chunk: chunks are cut at blanks and begin with theirs, but for
-        the first. Runs of white space are no such cut, as where they end decides how they split: the text is one chunk
-        then."""
-        if self.spaced(text):
-            return array("i", self.chunk(text)).tobytes()
-        first, *rest = text.split(" ")
-        out = [array("i", self.chunk(first)).tobytes()] if first else []
-        get, put = self.cache.get, out.append
-        for c in rest:
-            got = get(c)
-            if got is None:
-                if len(self.cache) >= 2 * CACHE:
-                    self.cache.clear()
-                got = self.cache[c] = array("i", self.chunk(" " + c)).tobytes()
-            put(got)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """A text by halves, cut where a blank follows something else: no match of the pattern crosses that."""
-        if len(text) <= LEAF_CHARS:
-            return self.leaf(text)
-        at = text.find(" ", len(text) // 2)
-        while at > 0 and self.white(text[at - 1]):
-            at = text.find(" ", at + 1)
-        return self.leaf(text) if at <= 0 else self.encode(text[:at]) + self.encode(text[at:])
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids: a leaf by table lookup, halves concatenated."""
-        if len(ids) > LEAF_CHARS:
-            return self.decode(ids[: len(ids) // 2]) + self.decode(ids[len(ids) // 2 :])
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.sizes[ids].all()):
-            raise ValueError("no token has such an id")
-        n = self.sizes[ids]
-        ends = np.cumsum(n)
-        return self.data[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
+        self.tokens: dict[int, bytes] = {i: b for b, i in ranks.items()}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
+        self.leaf = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, text: str, lo: int = 0, hi: int | None = None) -> list[int]:
+        """The ids of text[lo:hi], by halves."""
+        hi = len(text) if hi is None else hi
+        if hi - lo <= LEAF_CHARS:
+            return self.leaf(text[lo:hi])
+        mid = (lo + hi) // 2
+        return self.join(text, lo, mid, hi, self.encode(text, lo, mid), self.encode(text, mid, hi))
+
+    def join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
+        """The ids of text[lo:hi] from those of its sides."""
+        reach = WINDOW
+        while (start := _stable_before(text, lo, mid, reach)) is None:
+            reach *= 2
+        reach = WINDOW
+        while (stop := _stable_after(text, mid, hi, reach)) is None:
+            reach *= 2
+        sizes, size = self.sizes, len(text[start:mid].encode())
+        keep = len(left)
+        while size > 0:
+            keep -= 1
+            size -= sizes[left[keep]]
+        size, skip = len(text[mid:stop].encode()), 0
+        while size > 0:
+            size -= sizes[right[skip]]
+            skip += 1
+        left[keep:] = self.leaf(text[start:stop])
+        left += right[skip:]
+        return left
+
+    def decode(self, ids: list[int]) -> bytes:
+        """The bytes of ids: a leaf by lookups, halves concatenated."""
+        if len(ids) > LEAF_IDS:
+            half = len(ids) // 2
+            return self.decode(ids[:half]) + self.decode(ids[half:])
+        try:
+            return b"".join(map(self.tokens.__getitem__, ids))
+        except KeyError as e:
+            raise ValueError("no token has such an id") from e
+
+
+def _stable_before(text: str, lo: int, mid: int, reach: int) -> int | None:
+    """The last stable place of the left side in reach of the seam: its start, if that is within reach."""
+    low, at = max(lo, mid - reach), mid
+    while (at := text.rfind(" ", low + 1, at)) > 0:
+        if text[at - 1] not in _WHITE:
+            return at
+    return lo if low == lo else None
+
+
+def _stable_after(text: str, mid: int, hi: int, reach: int) -> int | None:
+    """The first stable place of the right side in reach of the seam: its end, if that is within reach."""
+    high, at = min(hi, mid + reach), mid
+    while (at := text.find(" ", at + 1, high)) > 0:
+        if text[at - 1] not in _WHITE:
+            return at
+    return hi if high == hi else None
 
 
 @lru_cache(maxsize=2)
@@ -206,10 +122,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
-        c = codec(file.value, pattern)
-        lists = [np.frombuffer(c.encode(x), np.int32) if x else EMPTY for x in texts.to_pylist()]
-        ends = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else EMPTY))
+        c, flat, ends = codec(file.value, pattern), array("i"), array("i", [0])
+        for x in texts:
+            if s := x.as_py():
+                flat.fromlist(c.encode(s))
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -221,7 +139,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     @F.arrow_udf(T.BinaryType())
     def data(lists: pa.Array) -> pa.Array:
         c = codec(file.value, pattern)
-        return pa.array([c.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists], pa.binary())
+        return pa.array([c.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in lists], pa.binary())
 
     return df.withColumn(out, data(F.col(ids)))
 
