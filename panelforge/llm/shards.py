@@ -2,27 +2,32 @@
 buckets that fit into memory; the second shuffles each bucket by Fisher-Yates and writes it.
 
 A record's shard is the one whose seeded hash with the record's key is highest, so the key and the number of shards
-decide it, and a further shard takes records only into itself. Each shard has as many buckets as its share of the bytes
-asks for; a record's place in its shard is its bucket's first place plus its place after the bucket's shuffle.
+decide it, and a further shard takes records only into itself. Each shard has as many buckets as its own bytes ask for;
+a record's place in its shard is its bucket's first place plus its place after the bucket's shuffle. The buckets' first
+places are a table that Spark joins to them: what comes to the driver is one number for each shard.
 
 Defined results: null and empty texts weigh only the record's overhead; records without a key go to one shard, spread
-over its buckets by their text; equal rows are placed each on its own; the input's columns come back as they were, but
-for those named shard, grown_shard, slot or size, which are replaced; an empty table gives no rows. The same rows, seed
-and number of shards give the same shards in any order and partitioning of the input; the slots are fixed by these and
-the bucket size.
+over its buckets by their text; equal rows are placed each on its own (in one bucket: a key and a text that repeat more
+than fit into a task are what a bucket cannot split); the input's columns come back as they were, whatever their types
+and nulls, but for those named shard, grown_shard, slot or size, which are replaced; an empty table gives no rows. The
+same rows, seed and number of shards give the same shards in any order and partitioning of the input; the slots are
+fixed by these and the bucket size.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Work, ship
 
 #: Bytes of text of a bucket, about.
 BUCKET_BYTES = 16 << 20
+#: Columns that no input column keeps.
+_OWN = ("shard", "grown_shard", "slot", "size")
 
 
 def highest(key: str, n: int, seed: int) -> Column:
@@ -30,45 +35,39 @@ def highest(key: str, n: int, seed: int) -> Column:
     return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: F.struct(F.xxhash64(F.lit(seed), F.col(key), s).alias("h"), s.cast("int").alias("s"))))["s"]
 
 
+def fisher_yates(n: int, *seed: int) -> np.ndarray:
+    """A random order of n places, the same for the same seed."""
+    order = np.arange(n)
+    for i, j in zip(range(n - 1, 0, -1), np.random.default_rng(seed).integers(0, np.arange(n, 1, -1))):
+        order[i], order[j] = order[j], order[i]
+    return order
+
+
 def shuffled(df: DataFrame, shards: int = 24, seed: int = 1, key: str = "doc_id", text: str = "text", overhead: int = 8, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
     """Write df's records with shard, grown_shard (with one shard more), slot and size to path, by shard, and read
     them back."""
     spark, work = df.sparkSession, Work(df.sparkSession)
     ship(spark)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long")
-    own = df.drop("shard", "grown_shard", "slot", "size")
-    total = own.agg(F.sum(size)).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
+    own = df.drop(*_OWN)
+    of_key = own.select(key, size.alias("size")).withColumn("shard", highest(key, shards, seed))
+    total = {r["shard"]: r["n"] for r in of_key.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a row for each shard
+    buckets = F.lit([max(1, -(-total.get(s, 0) // bucket_bytes)) for s in range(shards)])
     content = F.xxhash64(F.lit(seed + 1), key, text)
-    placed = own.select(
-        "*",
-        size.alias("size"),
-        highest(key, shards, seed).alias("shard"),
-        highest(key, shards + 1, seed).alias("grown_shard"),
-        F.pmod(content, F.lit(buckets)).cast("int").alias("__bucket"),
-        content.alias("__tie"),
-    )
-    # a row for each bucket: their number is that of the data in units of bucket_bytes
-    counts = placed.groupBy("shard", "__bucket").count().collect()
-    first: dict[tuple[int, int], int] = {}
-    at: dict[int, int] = {}
-    for s, b, n in sorted((r["shard"], r["__bucket"], r["count"]) for r in counts):
-        first[s, b] = at.get(s, 0)
-        at[s] = first[s, b] + n
+    placed = own.select("*", size.alias("size"), highest(key, shards, seed).alias("shard"), highest(key, shards + 1, seed).alias("grown_shard"), content.alias("__tie"))
+    placed = placed.withColumn("__bucket", F.pmod(F.col("__tie"), F.element_at(buckets, F.col("shard") + 1)))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("__bucket")) - F.col("n")
+    first = placed.groupBy("shard", "__bucket").agg(F.count("*").alias("n")).withColumn("first", before)
 
-    def fisher_yates(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, b = int(pdf["shard"].iloc[0]), int(pdf["__bucket"].iloc[0])
-        n = len(pdf)
-        pdf = pdf.iloc[np.lexsort((pdf[key].fillna(-1), pdf["__tie"]))]  # the same start whatever order rows came in
-        order = np.arange(n)
-        for i, j in zip(range(n - 1, 0, -1), np.random.default_rng([seed, s, b]).integers(0, np.arange(n, 1, -1))):
-            order[i], order[j] = order[j], order[i]
-        out = pdf.iloc[order].drop(columns=["__bucket", "__tie"])
-        out["slot"] = first[s, b] + np.arange(n)
-        return out
+    def mix(rows: pa.Table, at: pa.Table) -> pa.Table:
+        keys = [("__tie", "ascending"), (key, "ascending")]  # the same start whatever order rows came in
+        start = pc.sort_indices(rows, sort_keys=keys)
+        rows = rows.take(start.take(pa.array(fisher_yates(rows.num_rows, seed, rows["shard"][0].as_py(), rows["__bucket"][0].as_py()))))
+        slot = at["first"][0].as_py() + np.arange(rows.num_rows)
+        return rows.drop_columns(["__tie", "__bucket"]).append_column("slot", pa.array(slot, pa.int64()))
 
     schema = placed.drop("__bucket", "__tie").withColumn("slot", F.lit(0).cast("long")).schema
     path = path or work.path("shards")
-    placed.groupBy("shard", "__bucket").applyInPandas(fisher_yates, schema).write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    columns = schema.names
-    return spark.read.schema(schema).parquet(path).select(*columns)
+    mixed = placed.groupBy("shard", "__bucket").cogroup(first.groupBy("shard", "__bucket")).applyInArrow(mix, schema)
+    mixed.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
