@@ -32,6 +32,13 @@ def tie_window(w: WindowSpec, value: Column, *keys: Column | str) -> WindowSpec:
     return Window.partitionBy(*keys, value)
 
 
+def exact_sum(x: Column | str, over: WindowSpec | None = None, places: int = 9) -> Column:
+    """The sum of doubles as whole units of the last place, so that no order of adding them matters."""
+    x = F.col(x) if isinstance(x, str) else x
+    units = F.sum(F.round(x * float(10**places), 0).cast("long"))
+    return (units if over is None else units.over(over)) / float(10**places)
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson's correlation, null where a side does not vary."""
     return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
@@ -68,3 +75,13 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def sessions(df: DataFrame, keys: list[str], order: list[str], gap_s: float, ts: str = "ts", out: str = "__session") -> DataFrame:
+    """df with a number that rises where at least gap_s seconds lie between a row and the one before it of the same
+    keys. A rule that forgets what is gap_s old starts anew there, so it can be worked off by session: a group then
+    holds one burst, not a key's whole history."""
+    w = Window.partitionBy(*keys).orderBy(ts, *order)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    starts = F.coalesce(at - F.lag(at).over(w) >= int(gap_s * 1_000_000), F.lit(True))
+    return df.withColumn("__starts", starts.cast("int")).withColumn(out, F.sum("__starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__starts")

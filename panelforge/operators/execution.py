@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import last_rows, ratio
+from ..functions.columns import last_rows, ratio, sessions
 
 # The day's volume by half hour, from the open.
 VOLUME_PROFILE = [0.12, 0.08, 0.07, 0.06, 0.06, 0.06, 0.06, 0.06, 0.06, 0.06, 0.07, 0.09, 0.15]
@@ -54,8 +54,9 @@ def order_safety_report(orders: DataFrame, max_shares: float = 1e6, pct_nav: flo
 
 
 def order_rate_and_duplicate_flags(orders: DataFrame, per_second: int = 5, window_s: float = 60.0) -> DataFrame:
-    """orders (order_id, ticker, side, quantity, ts) with rate_limited and duplicate, where only accepted ones count: a
-    greedy rule, worked off in order inside each ticker and day."""
+    """orders (order_id, ticker, side, quantity, ts) with rate_limited and duplicate, where only accepted ones count: two
+    greedy rules, worked off in order inside each burst of a ticker, wherever midnight falls. After a pause of a window
+    neither rule remembers anything."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "order_id"])
@@ -74,8 +75,8 @@ def order_rate_and_duplicate_flags(orders: DataFrame, per_second: int = 5, windo
                 seen[side, q] = now
         return pdf[["order_id", "ticker"]].assign(rate_limited=rate, duplicate=again)
 
-    keyed = orders.select("order_id", "ticker", "side", "quantity", "ts", F.to_date("ts").alias("day"))
-    return keyed.groupBy("ticker", "day").applyInPandas(walk, "order_id string, ticker string, rate_limited boolean, duplicate boolean")
+    bursts = sessions(orders.select("order_id", "ticker", "side", "quantity", "ts"), ["ticker"], ["order_id"], max(window_s, 1.0))
+    return bursts.groupBy("ticker", "__session").applyInPandas(walk, "order_id string, ticker string, rate_limited boolean, duplicate boolean")
 
 
 def route_algo(order_type: Column, quantity: Column, adv: Column, share: float = 0.01) -> Column:

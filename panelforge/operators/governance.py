@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import ratio, sessions
 
 # Where an approval may go from each state.
 TRANSITIONS = {
@@ -114,7 +114,8 @@ def feed_freshness(events: DataFrame, now: str, stale_s: float = 300.0, feed: st
 
 def dedupe_alerts(alerts: DataFrame, window_s: float = 300.0) -> DataFrame:
     """alerts (source, message, level, ts, alert_id) without those that repeat an accepted one within the window. The
-    greedy rule is worked off in order inside each key."""
+    greedy rule is worked off in order inside each burst of a key: after a pause of a window it accepts whatever comes."""
+    keys = ["source", "message", "level"]
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "alert_id"])
@@ -123,9 +124,9 @@ def dedupe_alerts(alerts: DataFrame, window_s: float = 300.0) -> DataFrame:
             ok = last is None or (ts - last).total_seconds() >= window_s
             keep.append(ok)
             last = ts if ok else last
-        return pdf[keep]
+        return pdf[keep].drop(columns="__session")
 
-    return alerts.groupBy("source", "message", "level").applyInPandas(walk, alerts.schema)
+    return sessions(alerts, keys, ["alert_id"], window_s).groupBy(*keys, "__session").applyInPandas(walk, alerts.schema)
 
 
 def active_alerts(alerts: DataFrame, level: str | None = None, since: str | None = None) -> DataFrame:

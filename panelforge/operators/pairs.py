@@ -69,38 +69,39 @@ def find_pairs(bars: DataFrame, tickers: DataFrame, least: int = 252, most_p: fl
     return good.orderBy("p", "half_life", *PAIR).limit(cap).select(*PAIR, "beta", "p", "half_life")
 
 
-def kalman_pair_signal(rows: DataFrame, q: float = 1e-4, r: float = 1.0, span: int = 60, entry: float = 2.0, leave: float = 0.5, stop: float = 3.5) -> DataFrame:
-    """(a, b, date, beta, spread, z, signal): a two-state filter of y on x, its innovation scored by exponential mean
-    and variance, and a position that enters, leaves and stops. Sequential inside a pair, parallel over pairs."""
+def kalman_pair_signal(rows: DataFrame, q: float = 1e-4, r: float = 1.0, span: int = 60, entry: float = 2.0, leave: float = 0.5, stop: float = 3.5, least: int = 10) -> DataFrame:
+    """(a, b, date, beta, spread, z, signal): a filter of y on x whose state, slope and intercept, walks at random from
+    (1, 0). What is left after each update is scored by exponential mean and variance, from 0 and 1. A short spread is
+    entered above entry and left below leave, a long one the other way round, and either beyond stop. Pairs of fewer
+    than least dates have no rows. Sequential inside a pair, parallel over pairs."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        cols = ["a", "b", "date", "beta", "spread", "z", "signal"]
-        if len(pdf) < 10:
-            return pd.DataFrame(columns=cols)
-        state, p = np.zeros(2), np.eye(2)
-        mean, var, position, k, out = 0.0, 1.0, 0, 2.0 / (span + 1), []
-        for i, (d, y, x) in enumerate(zip(pdf["date"], pdf["y"], pdf["x"])):
-            h = np.array([x, 1.0])
+        if len(pdf) < least:
+            return pd.DataFrame(columns=["a", "b", "date", "beta", "spread", "z", "signal"])
+        slope, intercept, p = 1.0, 0.0, np.eye(2)
+        mean, var, side, k, out = 0.0, 1.0, 0, 2.0 / (span + 1), []
+        for y, x in zip(pdf["y"], pdf["x"]):
             p = p + q * np.eye(2)
-            e = y - h @ state
-            s = h @ p @ h + r
-            gain = p @ h / s
-            state = state + gain * e
-            p = p - np.outer(gain, h) @ p
-            spread = y - state[0] * x - state[1]
-            mean = spread if i == 0 else mean + k * (spread - mean)
-            var = var if i == 0 else (1 - k) * (var + k * (spread - mean) ** 2)
-            z = (spread - mean) / max(var**0.5, 1e-10)
-            if position == 0:
-                position = -1 if entry < z < stop else 1 if -stop < z < -entry else 0
-            elif abs(z) < leave or abs(z) > stop:
-                position = 0
-            out.append((d, state[0], spread, z, position))
-        got = pd.DataFrame(out, columns=cols[2:])
-        got.insert(0, "b", pdf["b"].iloc[0])
-        got.insert(0, "a", pdf["a"].iloc[0])
-        return got
+            seen = np.array([x, 1.0])
+            reach = p @ seen
+            gain = reach / (seen @ reach + r)
+            off = y - slope * x - intercept
+            slope, intercept = slope + gain[0] * off, intercept + gain[1] * off
+            p = p - np.outer(gain, reach)
+            spread = y - slope * x - intercept
+            mean += k * (spread - mean)
+            var += k * ((spread - mean) ** 2 - var)
+            z = (spread - mean) / max(var, 1e-10) ** 0.5
+            if side:
+                # how far the spread still stands on the side that it was entered on
+                held = -side * z
+                side = 0 if held < leave or held > stop else side
+            elif abs(z) > entry:
+                side = -1 if z > 0 else 1
+            out.append((slope, spread, z, side))
+        beta, spreads, zs, signals = zip(*out)
+        return pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "date": pdf["date"], "beta": beta, "spread": spreads, "z": zs, "signal": signals})
 
     return rows.groupBy(*PAIR).applyInPandas(walk, "a string, b string, date date, beta double, spread double, z double, signal int")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import last_rows, ratio, z_of
+from ..session import Work
 
 YEAR = 252
 
@@ -20,22 +21,22 @@ def _last_dates(df: DataFrame, n: int) -> DataFrame:
 
 
 def factor_exposures(returns: DataFrame, factors: DataFrame, window: int = 252, least: int = 60) -> DataFrame:
-    """(ticker, factor, beta): least squares with intercept over the last common dates; 0 below least dates. Spark sums
-    the products; the small systems are solved by ticker."""
-    near = _last_dates(factors, window)
-    both = F.collect_list(F.struct("factor", "ret"))
-    x = near.groupBy("date").agg(F.array_sort(both).alias("f"))
-    rows = returns.join(x, "date").filter("ret IS NOT NULL")
-    flat = rows.select("ticker", F.concat(F.array(F.lit(1.0)), F.transform("f", lambda s: s["ret"])).alias("x"), F.col("ret").alias("y"), F.transform("f", lambda s: s["factor"]).alias("names"))
-    cell = flat.select("ticker", "names", F.posexplode(F.concat(F.col("x"), F.array("y"))).alias("i", "u"), "x", "y").select("ticker", "names", "i", "u", F.posexplode(F.concat(F.col("x"), F.array("y"))).alias("j", "v"))
-    gram = cell.groupBy("ticker", "i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("s"), F.first("names").alias("names"))
+    """(ticker, factor, beta): least squares with intercept over the dates, of the last window, on which every factor
+    has a return; 0 below least dates. Spark sums the products of named columns; the small systems are solved by ticker.
+    The names of the factors, not their rows, come to the driver."""
+    names = [r.factor for r in factors.select("factor").distinct().orderBy("factor").collect()]
+    near = _last_dates(factors, window).groupBy("date").pivot("factor", names).agg(F.first("ret")).dropna()
+    vector = F.array(F.lit(1.0), *[F.col(f"`{n}`").cast("double") for n in names], F.col("__y"))
+    rows = returns.filter("ret IS NOT NULL").select("ticker", "date", F.col("ret").alias("__y")).join(near, "date").select("ticker", vector.alias("v"))
+    cell = rows.select("ticker", "v", F.posexplode("v").alias("i", "a")).select("ticker", "i", "a", F.posexplode("v").alias("j", "b"))
+    gram = cell.groupBy("ticker", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    k = len(names) + 1
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["i"].max())
         g = np.zeros((k + 1, k + 1))
         g[pdf["i"], pdf["j"]] = pdf["s"]
         beta = np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=None)[0] if g[0, 0] >= least else np.zeros(k)
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "factor": list(pdf["names"].iloc[0]), "beta": beta[1:]})
+        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "factor": names, "beta": beta[1:]})
 
     return gram.groupBy("ticker").applyInPandas(solve, "ticker string, factor string, beta double")
 
@@ -122,7 +123,7 @@ def top_risk_contributors(weights: DataFrame, full: DataFrame, top: int = 10) ->
 
 def validate_weights(weights: DataFrame, sectors: DataFrame, position: float = 0.02, gross: float = 2.0, neutral: bool = True, net: float = 0.01, sector: float = 0.20, key: str = "date", slack: float = 1e-6) -> DataFrame:
     """(key, rule, name, value): what breaks a limit."""
-    w = weights.join(F.broadcast(sectors), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
+    w = weights.join(sectors, "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
     row = lambda rule, name, v: (F.col(key), F.lit(rule).alias("rule"), name.alias("name"), v.alias("value"))
     out = w.filter(F.abs("weight") > position + slack).select(*row("position", F.col("ticker"), F.col("weight")))
     total = w.groupBy(key).agg(F.sum(F.abs("weight")).alias("g"), F.sum("weight").alias("n"))
@@ -135,7 +136,7 @@ def validate_weights(weights: DataFrame, sectors: DataFrame, position: float = 0
 
 def mean_variance_weights(alpha: DataFrame, exposures: DataFrame, cov: DataFrame, aversion: float = 1.0, ridge: float = 1e-6, most: float = 0.02, gross: float = 2.0, rounds: int = 20) -> DataFrame:
     """(ticker, weight): (B F B' + ridge I)^-1 alpha / aversion, then rounds of clipping, centring and scaling. By the
-    Woodbury identity only K x K sums leave Spark."""
+    Woodbury identity only K x K sums leave Spark, and two sums a round: no task holds the cross-section."""
     names = [r.f1 for r in cov.select("f1").distinct().orderBy("f1").collect()]
     k = len(names)
     f = np.zeros((k, k))
@@ -154,14 +155,24 @@ def mean_variance_weights(alpha: DataFrame, exposures: DataFrame, cov: DataFrame
     coef = F.create_map(*[c for n, v in zip(names, m) for c in (F.lit(n), F.lit(float(v)))])[F.col("factor")]
     fit = exposures.groupBy("ticker").agg(F.sum(F.col("beta") * coef).alias("fit"))
     w = alpha.join(fit, "ticker", "left").select("ticker", ((F.col("alpha") - F.coalesce("fit", F.lit(0.0))) / ridge / aversion).alias("weight"))
-    one = Window.partitionBy()
-    for _ in range(rounds):  # a projection each: one window over the cross-section
-        clip = F.greatest(F.least(F.col("weight"), F.lit(most)), F.lit(-most))
-        w = w.withColumn("weight", clip).withColumn("weight", F.col("weight") - F.avg("weight").over(one))
-        w = w.withColumn("weight", F.greatest(F.least(F.col("weight"), F.lit(most)), F.lit(-most)))
-        g = F.sum(F.abs("weight")).over(one)
-        w = w.withColumn("weight", F.when(g > gross, F.col("weight") * gross / g).otherwise(F.col("weight")))
-    return w
+    # clipped weights are written once; a round is one aggregate of two sums over them, and what it changes is a column
+    v = Work(alpha.sparkSession).cut(w.withColumn("weight", clipped(F.col("weight"), most)), "clipped") if rounds else w
+    at, mean = F.col("weight"), None
+    for _ in range(rounds):
+        if mean is None:
+            mean = v.agg(F.avg(at)).first()[0] or 0.0
+        at = clipped(at - mean, most)
+        g, total, n = v.agg(F.sum(F.abs(at)), F.sum(at), F.count("*")).first()
+        scale = gross / g if g and g > gross else 1.0
+        at = at * scale if scale != 1.0 else at
+        mean = (total or 0.0) * scale / max(n, 1)  # clipping does not change what is inside already
+        if abs(mean) < 1e-15:
+            break  # centred, inside and small enough: further rounds change nothing
+    return v.select("ticker", at.alias("weight"))
+
+
+def clipped(x: Column, most: float) -> Column:
+    return F.greatest(F.least(x, F.lit(most)), F.lit(-most))
 
 
 def alpha_proportional_weights(alpha: DataFrame, gross: float = 0.5, key: str = "date") -> DataFrame:

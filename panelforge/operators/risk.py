@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import last_rows, ratio
+from ..functions.columns import exact_sum, last_rows, ratio
 
 YEAR = 252
 SEED_NAV = 1e6
@@ -63,7 +63,7 @@ def enforce_leverage(weights: DataFrame, most: float = 2.0, key: str = "date") -
 
 def exposure_breaches(weights: DataFrame, sectors: DataFrame, exposures: DataFrame | None = None, gross: float = 2.0, single: float = 0.02, sector: float = 0.20, factor: float = 2.0, key: str = "date") -> DataFrame:
     """(key, rule, name, value)."""
-    w = weights.join(F.broadcast(sectors), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
+    w = weights.join(sectors, "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
     row = lambda rule, name, v: (F.col(key), F.lit(rule).alias("rule"), name.alias("name"), v.alias("value"))
     total = w.groupBy(key).agg(F.sum(F.abs("weight")).alias("v"))
     out = total.filter(F.col("v") > gross).select(*row("gross", F.lit(""), F.col("v")))
@@ -87,7 +87,7 @@ def risk_cascade(nav: DataFrame, weights: DataFrame, sectors: DataFrame, gross:
 
 
 def factor_exposure_history(weights: DataFrame, exposures: DataFrame, key: str = "date") -> DataFrame:
-    return weights.join(exposures, "ticker").groupBy(key, "factor").agg(F.sum(F.col("weight") * F.col("beta")).alias("exposure"))
+    return weights.join(exposures, "ticker").groupBy(key, "factor").agg(exact_sum(F.col("weight") * F.col("beta")).alias("exposure"))
 
 
 def stress_test(exposures: DataFrame, scenarios: dict[str, dict[str, float]] = SCENARIOS, idio: DataFrame | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def stress_test(exposures: DataFrame, scenarios: dict[str, dict[str, float]] = S
     parameter table."""
     rows = [(s, f, v) for s, shocks in scenarios.items() for f, v in shocks.items()]
     table = F.broadcast(exposures.sparkSession.createDataFrame(rows, "scenario string, factor string, shock double"))
-    r = exposures.join(table, "factor").groupBy("key", "scenario").agg(F.sum(F.col("exposure") * F.col("shock")).alias("ret"))
+    r = exposures.join(table, "factor").groupBy("key", "scenario").agg(exact_sum(F.col("exposure") * F.col("shock")).alias("ret"))
     if idio is not None:
         r = r.join(idio, "key", "left").withColumn("ret", F.col("ret") - 0.5 * F.coalesce("penalty", F.lit(0.0))).drop("penalty")
     return r.withColumn("drawdown", F.abs(F.least(F.lit(0.0), F.col("ret"))))
@@ -119,7 +119,7 @@ def pnl_summary(returns: DataFrame, key: str = "strategy") -> DataFrame:
 
 def risk_snapshot(weights: DataFrame, sectors: DataFrame, exposures: DataFrame | None = None, top: int = 10, key: str = "date") -> DataFrame:
     """(key, kind, name, value): gross, net, net by sector, factors, and the largest positions."""
-    w = weights.join(F.broadcast(sectors), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
+    w = weights.join(sectors, "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
     row = lambda kind, name, v: (F.col(key), F.lit(kind).alias("kind"), name.alias("name"), v.alias("value"))
     t = w.groupBy(key).agg(F.sum(F.abs("weight")).alias("g"), F.sum("weight").alias("n"))
     out = t.select(*row("gross", F.lit(""), F.col("g"))).union(t.select(*row("net", F.lit(""), F.col("n"))))
@@ -203,16 +203,16 @@ def backtest(scores: DataFrame, bars: DataFrame, cost_bps: float | Column = 5.0,
     dates = scores.select(*keys, "date").distinct().withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("date")) - 1)
     s = scores.join(dates, [*keys, "date"]).filter(F.col("k") % every == 0)
     centred = F.percent_rank().over(x.orderBy("score")) - 0.5
-    w = s.withColumn("__c", centred).withColumn("w", F.coalesce(ratio("__c", F.sum(F.abs("__c")).over(x)), F.lit(0.0))).withColumn("r", (F.col("k") / every).cast("long"))
+    w = s.withColumn("__c", centred).withColumn("w", F.coalesce(ratio("__c", exact_sum(F.abs("__c"), x)), F.lit(0.0))).withColumn("r", (F.col("k") / every).cast("long"))
     w = w.select(*keys, "ticker", "r", "w")
     nxt = bars.select("ticker", "date", (F.lead("close").over(Window.partitionBy("ticker").orderBy("date")) / F.col("close") - 1).alias("next"))
     days = dates.withColumn("r", (F.col("k") / every).cast("long"))
     held = days.join(w, [*keys, "r"]).join(nxt, ["ticker", "date"], "left")
-    gross = held.groupBy(*keys, "date", "k", "r").agg(F.sum(F.col("w") * F.coalesce("next", F.lit(0.0))).alias("gross_ret"))
+    gross = held.groupBy(*keys, "date", "k", "r").agg(exact_sum(F.col("w") * F.coalesce("next", F.lit(0.0))).alias("gross_ret"))
     before = w.select(*keys, "ticker", (F.col("r") + 1).alias("r"), F.col("w").alias("w0"))
     last = w.groupBy(*keys).agg(F.max("r").alias("__last"))
     both = w.join(before, [*keys, "ticker", "r"], "full").select(*keys, "r", F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("w0", F.lit(0.0))).alias("d"))
-    turn = both.groupBy(*keys, "r").agg(F.sum("d").alias("turnover"))
+    turn = both.groupBy(*keys, "r").agg(exact_sum("d").alias("turnover"))
     g = gross.join(turn, [*keys, "r"], "left").withColumn("turnover", F.when(F.col("k") % every == 0, F.coalesce("turnover", F.lit(0.0))).otherwise(0.0))
     g = g.withColumn("cost", F.col("turnover") * cost / 1e4).withColumn("ret", F.col("gross_ret") - F.col("cost"))
     nav = F.product(1 + F.col("ret")).over(Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))

@@ -183,11 +183,12 @@ def linear_combos(features: DataFrame, names: list[str], n: int = 50, seed: int
 
 
 def ratio_candidates(features: DataFrame, least: float = 1e-8) -> DataFrame:
-    """(date, ticker, candidate, value): each feature over each other; null over near zero."""
-    a, b = features.alias("a"), features.alias("b")
-    on = (F.col("a.date") == F.col("b.date")) & (F.col("a.ticker") == F.col("b.ticker")) & (F.col("a.feature") != F.col("b.feature"))
+    """(date, ticker, candidate, value): each feature over each other; null over near zero. A (date, ticker) brings its
+    features together once, and makes its ratios from them."""
+    held = features.groupBy("date", "ticker").agg(F.collect_list(F.struct("feature", "value")).alias("f"))
+    each = held.withColumn("a", F.explode("f")).withColumn("b", F.explode("f")).filter("a.feature <> b.feature")
     v = F.when(F.abs("b.value") > least, ratio("a.value", "b.value"))
-    return a.join(b, on).select("a.date", "a.ticker", F.concat("a.feature", F.lit("/"), "b.feature").alias("candidate"), v.alias("value"))
+    return each.select("date", "ticker", F.concat("a.feature", F.lit("/"), "b.feature").alias("candidate"), v.alias("value"))
 
 
 def interaction_candidates(features: DataFrame, regimes: DataFrame) -> DataFrame:
@@ -274,7 +275,7 @@ def ensemble_diversity(predictions: DataFrame, models: list[str], limit: float =
 
 
 def _lifecycle(state: tuple[str, float, object], ic: float, date) -> tuple[str, float, object]:
-    """The next (status, multiplier, since) of a strategy."""
+    """The next (status, multiplier, since) of a strategy; suspended and retired ones stay so whatever their IC."""
     status, _, since = state
     if status == "active" and ic < 0.01:
         return "under_review", 0.5, date
@@ -285,9 +286,10 @@ def _lifecycle(state: tuple[str, float, object], ic: float, date) -> tuple[str,
     return state
 
 
-def strategy_lifecycle(events: DataFrame) -> DataFrame:
+def strategy_lifecycle(events: DataFrame, retired: DataFrame | None = None) -> DataFrame:
     """(strategy, date, ic) to (strategy, date, status, multiplier). Each strategy's own history is worked off in
-    order; its first event registers it as active."""
+    order; its first event registers it as active. retired (strategy, date): a strategy is retired by hand from that date
+    on, for good; the earliest counts."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", kind="stable")
@@ -297,7 +299,13 @@ def strategy_lifecycle(events: DataFrame) -> DataFrame:
             out.append((pdf["strategy"].iloc[0], d, state[0], state[1]))
         return pd.DataFrame(out, columns=["strategy", "date", "status", "multiplier"])
 
-    return events.groupBy("strategy").applyInPandas(walk, "strategy string, date date, status string, multiplier double")
+    out = events.groupBy("strategy").applyInPandas(walk, "strategy string, date date, status string, multiplier double")
+    if retired is None:
+        return out
+    over = F.col("date") >= F.col("__over")
+    ends = retired.groupBy("strategy").agg(F.min("date").alias("__over"))
+    known = out.join(ends, "strategy", "left")
+    return known.select("strategy", "date", F.when(over, "retired").otherwise(F.col("status")).alias("status"), F.when(over, 0.0).otherwise(F.col("multiplier")).alias("multiplier"))
 
 
 def normal_cdf(x: float) -> float:

@@ -262,7 +262,8 @@ def e16(spark, sf):
     return rounded(sig.linear_combos(features(spark, sf), ["mom", "rev", "vol"], 10))
 
 
-@query("e17_ratio_candidates", f"WITH {FEAT} SELECT a.date, a.ticker, a.feature || '/' || b.feature AS candidate, round(CASE WHEN abs(b.value) > 1e-8 THEN a.value / b.value END, 4) + 0.0 AS value FROM feat a JOIN feat b ON a.date = b.date AND a.ticker = b.ticker AND a.feature <> b.feature")
+@query("e17_ratio_candidates", f"""WITH {FEAT}, h AS (SELECT date, ticker, list({{'f': feature, 'v': value}}) AS l FROM feat GROUP BY 1, 2), a AS (SELECT date, ticker, l, unnest(l) AS a FROM h), b AS (SELECT date, ticker, a, unnest(l) AS b FROM a)
+    SELECT date, ticker, a.f || '/' || b.f AS candidate, round(CASE WHEN abs(b.v) > 1e-8 THEN a.v / b.v END * 1e4) / 1e4 + 0.0 AS value FROM b WHERE a.f <> b.f""")
 def e17(spark, sf):
     return rounded(sig.ratio_candidates(features(spark, sf)), 4)
 
@@ -313,9 +314,15 @@ def e22(spark, sf):
     return rounded(sig.ensemble_diversity(s, ["mom", "rev", "vol"]))
 
 
-@query("e23_strategy_lifecycle")
+@query("e23_strategy_lifecycle", f"""WITH {ICS}, k AS (SELECT signal AS strategy, date, ic, row_number() OVER (PARTITION BY signal ORDER BY date) AS k FROM ics),
+    w AS (WITH RECURSIVE w AS (SELECT strategy, date, k, 'active' AS status, 1.0::DOUBLE AS multiplier, date AS since FROM k WHERE k = 1 UNION ALL
+        SELECT strategy, date, k, nxt, CASE nxt WHEN 'active' THEN 1.0 WHEN 'under_review' THEN 0.5 ELSE 0.0 END::DOUBLE, CASE WHEN nxt = status THEN since ELSE date END FROM (
+            SELECT k.strategy, k.date, k.k, w.status, w.since, CASE WHEN status = 'active' AND ic < 0.01 THEN 'under_review' WHEN status = 'under_review' AND ic >= 0.03 THEN 'active' WHEN status = 'under_review' AND ic < 0 AND k.date - w.since >= 30 THEN 'suspended' ELSE status END AS nxt
+            FROM w JOIN k ON k.strategy = w.strategy AND k.k = w.k + 1)) SELECT * FROM w),
+    o AS (SELECT 'vol' AS strategy, DATE '1998-06-01' AS over) SELECT strategy, date, CASE WHEN date >= over THEN 'retired' ELSE status END AS status, CASE WHEN date >= over THEN 0.0 ELSE multiplier END AS multiplier FROM w LEFT JOIN o USING (strategy)""")
 def e23(spark, sf):
-    return sig.strategy_lifecycle(ics(spark, sf).select(F.col("signal").alias("strategy"), "date", "ic"))
+    retired = spark.createDataFrame([("vol", "1998-06-01")], "strategy string, date string").withColumn("date", F.col("date").cast("date"))
+    return sig.strategy_lifecycle(ics(spark, sf).select(F.col("signal").alias("strategy"), "date", "ic"), retired)
 
 
 WIDE = """wide AS (SELECT date, ticker, max(score) FILTER (WHERE signal = 'mom') AS mom, max(score) FILTER (WHERE signal = 'rev') AS rev, max(score) FILTER (WHERE signal = 'vol') AS vol FROM signals GROUP BY 1, 2 HAVING count(*) = 3)"""

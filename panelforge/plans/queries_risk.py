@@ -16,6 +16,11 @@ from .queries_data import AS_OF, r
 from .queries_models import corr_sql, market, scored, wide
 from .registry import query
 
+def units(x: str, more: str = "") -> str:
+    """The sum of doubles in whole billionths; more: a filter or a window."""
+    return f"(sum(CAST(round(({x}) * 1e9) AS BIGINT)) {more} / 1e9)"
+
+
 NEWEST = "newest AS (SELECT ticker, weight FROM weights WHERE date = (SELECT max(date) FROM weights))"
 
 
@@ -49,7 +54,11 @@ def idio(spark, sf) -> DataFrame:
     return port.idiosyncratic_variance(views.returns(spark, sf), views.factors(spark, sf), expo(spark, sf))
 
 
-@query("h01_factor_exposures")
+FITS = f"""fd AS (SELECT date, max(ret) FILTER (WHERE factor = 'Market') AS m, max(ret) FILTER (WHERE factor = 'Spread') AS s FROM factors WHERE date IN (SELECT DISTINCT date FROM factors ORDER BY date DESC LIMIT 252) GROUP BY date HAVING count(*) = 2),
+    fs AS (SELECT ticker, count(*) AS n, covar_pop(ret, m) AS cm, covar_pop(ret, s) AS cs, var_pop(m) AS vm, var_pop(s) AS vs, covar_pop(m, s) AS ms FROM returns JOIN fd USING (date) GROUP BY ticker)"""
+
+
+@query("h01_factor_exposures", f"WITH {FITS} SELECT ticker, unnest(['Market', 'Spread']) AS factor, unnest([CASE WHEN n >= 60 THEN {r('(cm * vs - cs * ms) / (vm * vs - ms * ms)')} ELSE 0 END, CASE WHEN n >= 60 THEN {r('(cs * vm - cm * ms) / (vm * vs - ms * ms)')} ELSE 0 END]) AS beta FROM fs")
 def h01(spark, sf):
     return rounded(port.factor_exposures(views.returns(spark, sf), views.factors(spark, sf)))
 
@@ -238,7 +247,7 @@ def i04(spark, sf):
 
 
 @query("i05_exposure_breaches", f"""WITH {BETAS}, {WS} SELECT date, 'gross' AS rule, '' AS name, {r('sum(abs(weight))')} AS value FROM ws GROUP BY date HAVING sum(abs(weight)) > 0.25 UNION ALL SELECT date, 'single_name', ticker, {r('weight')} FROM ws WHERE abs(weight) > 0.02
-    UNION ALL SELECT date, 'sector', sector, {r('sum(abs(weight))')} FROM ws GROUP BY date, sector HAVING sum(abs(weight)) > 0.2 UNION ALL SELECT date, 'factor', factor, {r('sum(weight * beta)')} FROM weights JOIN expo USING (ticker) GROUP BY date, factor HAVING abs(sum(weight * beta)) > 0.1""")
+    UNION ALL SELECT date, 'sector', sector, {r('sum(abs(weight))')} FROM ws GROUP BY date, sector HAVING sum(abs(weight)) > 0.2 UNION ALL SELECT date, 'factor', factor, {r(units('weight * beta'))} FROM weights JOIN expo USING (ticker) GROUP BY date, factor HAVING abs({units('weight * beta')}) > 0.1""")
 def i05(spark, sf):
     return rounded(risk.exposure_breaches(views.weights(spark, sf), views.sectors(spark, sf), expo(spark, sf), 0.25, 0.02, 0.2, 0.1))
 
@@ -250,13 +259,13 @@ def i06(spark, sf):
     return rounded(risk.risk_cascade(views.nav(spark, sf), views.weights(spark, sf), views.sectors(spark, sf)))
 
 
-@query("i07_factor_exposure_history", f"WITH {BETAS} SELECT date, factor, {r('sum(weight * beta)')} AS exposure FROM weights JOIN expo USING (ticker) GROUP BY 1, 2")
+@query("i07_factor_exposure_history", f"WITH {BETAS} SELECT date, factor, {r(units('weight * beta'))} AS exposure FROM weights JOIN expo USING (ticker) GROUP BY 1, 2")
 def i07(spark, sf):
     return rounded(risk.factor_exposure_history(views.weights(spark, sf), expo(spark, sf)))
 
 
-@query("i08_stress_test", f"""WITH {BETAS}, sc AS (SELECT unnest(['2008_financial_crisis', '2020_covid_crash', '2022_rate_shock']) AS scenario, unnest([-0.40, -0.35, -0.20]) AS m, unnest([-0.25, -0.15, 0.10]) AS v), e AS (SELECT date AS key, sum(weight * beta) FILTER (WHERE factor = 'Market') AS a, sum(weight * beta) FILTER (WHERE factor = 'Spread') AS b FROM weights JOIN expo USING (ticker) GROUP BY 1),
-    s AS (SELECT key, scenario, coalesce(a, 0) * m + coalesce(b, 0) * v AS ret FROM e, sc) SELECT key, scenario, {r('ret')} AS ret, {r('abs(least(0, ret))')} AS drawdown FROM s""")
+@query("i08_stress_test", f"""WITH {BETAS}, sc AS (SELECT unnest(['2008_financial_crisis', '2020_covid_crash', '2022_rate_shock']) AS scenario, unnest([-0.40, -0.35, -0.20]) AS m, unnest([-0.25, -0.15, 0.10]) AS v), e AS (SELECT date AS key, {units('weight * beta', "FILTER (WHERE factor = 'Market')")} AS a, {units('weight * beta', "FILTER (WHERE factor = 'Spread')")} AS b FROM weights JOIN expo USING (ticker) GROUP BY 1),
+    s AS (SELECT key, scenario, (coalesce(CAST(round(a * m * 1e9) AS BIGINT), 0) + coalesce(CAST(round(b * v * 1e9) AS BIGINT), 0)) / 1e9 AS ret FROM e, sc) SELECT key, scenario, {r('ret')} AS ret, {r('abs(least(0, ret))')} AS drawdown FROM s""")
 def i08(spark, sf):
     e = risk.factor_exposure_history(views.weights(spark, sf), expo(spark, sf))
     names = F.when(F.col("factor") == "Market", "market").otherwise("value")
@@ -324,9 +333,9 @@ def scores(spark, sf) -> DataFrame:
 
 
 BT = """wd AS (SELECT date, ticker, max(score) FILTER (WHERE signal = 'mom') AS score FROM signals JOIN fwd USING (date, ticker) GROUP BY 1, 2 HAVING count(*) = 3), dk AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM wd)),
-    c0 AS (SELECT date, k, ticker, percent_rank() OVER (PARTITION BY date ORDER BY score) - 0.5 AS c FROM wd JOIN dk USING (date) WHERE k % {f} = 0), bw AS (SELECT ticker, k // {f} AS r, coalesce(c / nullif(sum(abs(c)) OVER (PARTITION BY date), 0), 0) AS w FROM c0),
-    nx AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS nx FROM bars), gr AS (SELECT date, k, k // {f} AS r, sum(w * coalesce(nx, 0)) AS gross_ret FROM dk JOIN bw ON bw.r = dk.k // {f} LEFT JOIN nx USING (ticker, date) GROUP BY 1, 2, 3),
-    tu AS (SELECT r, sum(d) AS turnover FROM (SELECT coalesce(a.r, b.r + 1) AS r, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS d FROM bw a FULL JOIN bw b ON a.ticker = b.ticker AND a.r = b.r + 1) GROUP BY 1),
+    c0 AS (SELECT date, k, ticker, percent_rank() OVER (PARTITION BY date ORDER BY score) - 0.5 AS c FROM wd JOIN dk USING (date) WHERE k % {f} = 0), bw AS (SELECT ticker, k // {f} AS r, coalesce(c / nullif(sum(CAST(round(abs(c) * 1e9) AS BIGINT)) OVER (PARTITION BY date) / 1e9, 0), 0) AS w FROM c0),
+    nx AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS nx FROM bars), gr AS (SELECT date, k, k // {f} AS r, sum(CAST(round(w * coalesce(nx, 0) * 1e9) AS BIGINT)) / 1e9 AS gross_ret FROM dk JOIN bw ON bw.r = dk.k // {f} LEFT JOIN nx USING (ticker, date) GROUP BY 1, 2, 3),
+    tu AS (SELECT r, sum(CAST(round(d * 1e9) AS BIGINT)) / 1e9 AS turnover FROM (SELECT coalesce(a.r, b.r + 1) AS r, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS d FROM bw a FULL JOIN bw b ON a.ticker = b.ticker AND a.r = b.r + 1) GROUP BY 1),
     bt AS (SELECT date, gross_ret, CASE WHEN k % {f} = 0 THEN coalesce(turnover, 0) ELSE 0 END AS turnover FROM gr LEFT JOIN tu USING (r)), bn AS (SELECT *, turnover * 5 / 1e4 AS cost, gross_ret - turnover * 5 / 1e4 AS ret FROM bt)"""
 
 
@@ -389,7 +398,18 @@ def j03(spark, sf):
     return ex.order_safety_report(safe_orders(spark, sf)).groupBy("check").agg(F.count("*").alias("n"))
 
 
-@query("j04_order_rate_and_duplicate_flags")
+GREEDY = """o AS (SELECT ticker, side, target AS quantity, epoch(ts) AS t FROM orders_t),
+    dk AS (SELECT *, row_number() OVER (PARTITION BY ticker, side, quantity ORDER BY t) AS k FROM o),
+    dn AS (SELECT *, min(k) OVER (PARTITION BY ticker, side, quantity ORDER BY t RANGE BETWEEN 60 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM dk),
+    du AS (WITH RECURSIVE w AS (SELECT ticker, side, quantity, nxt FROM dn WHERE k = 1 UNION ALL SELECT d.ticker, d.side, d.quantity, d.nxt FROM w JOIN dn d ON d.ticker = w.ticker AND d.side = w.side AND d.quantity = w.quantity AND d.k = w.nxt)
+        SELECT ticker, count(*) AS accepted FROM w GROUP BY ticker),
+    rk AS (SELECT ticker, t, row_number() OVER (PARTITION BY ticker ORDER BY t) AS k FROM o),
+    ra AS (WITH RECURSIVE w AS (SELECT ticker, k, [t] AS s, 0 AS limited FROM rk WHERE k = 1 UNION ALL
+        SELECT n.ticker, n.k, CASE WHEN len(s) < 5 OR n.t - s[1] >= 1 THEN list_append(s, n.t)[-5:] ELSE s END, CASE WHEN len(s) < 5 OR n.t - s[1] >= 1 THEN 0 ELSE 1 END FROM w JOIN rk n ON n.ticker = w.ticker AND n.k = w.k + 1)
+        SELECT ticker, count(*) AS n, sum(limited) AS limited FROM w GROUP BY ticker)"""
+
+
+@query("j04_order_rate_and_duplicate_flags", f"WITH {GREEDY} SELECT ticker, n, CAST(limited AS BIGINT) AS rate_limited, n - accepted AS duplicates FROM ra JOIN du USING (ticker)")
 def j04(spark, sf):
     o = views.orders_t(spark, sf).select("order_id", "ticker", "side", F.col("target").alias("quantity"), F.col("ts").cast("timestamp").alias("ts"))
     return ex.order_rate_and_duplicate_flags(o).groupBy("ticker").agg(F.count("*").alias("n"), F.sum(F.col("rate_limited").cast("int")).alias("rate_limited"), F.sum(F.col("duplicate").cast("int")).alias("duplicates"))
@@ -730,9 +750,11 @@ def alerts(spark, sf) -> DataFrame:
     return e.select(F.col("event_type").alias("source"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("message"), F.when(F.col("value") > 20, "CRITICAL").otherwise("WARNING").alias("level"), "ts", F.col("event_id").alias("alert_id"), (F.col("event_id") % 4 == 0).alias("acknowledged"))
 
 
-@query("k11_dedupe_alerts")
+@query("k11_dedupe_alerts", """WITH a AS (SELECT event_type AS source, 'm' || (user_id % 3) AS message, CASE WHEN value > 20 THEN 'CRITICAL' ELSE 'WARNING' END AS level, ts, event_id AS alert_id FROM events),
+    k AS (SELECT *, row_number() OVER (PARTITION BY source, message, level ORDER BY ts, alert_id) AS k FROM a), n AS (SELECT *, min(k) OVER (PARTITION BY source, message, level ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM k),
+    w AS (WITH RECURSIVE w AS (SELECT * FROM n WHERE k = 1 UNION ALL SELECT n.* FROM w JOIN n ON n.source = w.source AND n.message = w.message AND n.level = w.level AND n.k = w.nxt) SELECT * FROM w) SELECT source, message, level, alert_id FROM w""")
 def k11(spark, sf):
-    return gov.dedupe_alerts(alerts(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), 3600.0)
+    return gov.dedupe_alerts(alerts(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), 3600.0).select("source", "message", "level", "alert_id")
 
 
 @query("k12_active_alerts", "SELECT event_id AS alert_id, CASE WHEN value > 20 THEN 'CRITICAL' ELSE 'WARNING' END AS level FROM events WHERE event_id % 4 <> 0 AND value > 20 AND ts >= TIMESTAMP '2024-01-05'")

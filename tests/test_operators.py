@@ -77,6 +77,13 @@ def test_lifecycle(spark):
     assert out == ["active", "under_review", "under_review", "under_review", "suspended", "suspended", "suspended"] or out[4:] == ["suspended"] * 3
 
 
+def test_retired_strategies_stay_retired(spark):
+    rows = [("s", day(i), 0.05) for i in range(6)] + [("t", day(i), 0.05) for i in range(6)]
+    over = spark.createDataFrame([("s", day(3)), ("s", day(5))], "strategy string, date date")
+    out = signals.strategy_lifecycle(spark.createDataFrame(rows, "strategy string, date date, ic double"), over).orderBy("strategy", "date").collect()
+    assert [(r.status, r.multiplier) for r in out] == [("active", 1.0)] * 3 + [("retired", 0.0)] * 3 + [("active", 1.0)] * 6
+
+
 def test_purged_folds_keep_apart(spark):
     d = spark.createDataFrame([(day(i),) for i in range(50)], "date date")
     f = models.purged_kfold(d, 5, 3).groupBy("fold").pivot("role", ["train", "test", "embargo"]).count().orderBy("fold").collect()
@@ -126,6 +133,40 @@ def test_rate_and_duplicates(spark):
     assert [out[str(i)][1] for i in range(7)] == [False] + [True] * 5 + [False]
 
 
+def test_rate_and_duplicates_reach_across_midnight(spark):
+    t = dt.datetime(2024, 1, 2, 23, 59, 59, 600_000)
+    rows = [(f"{i}", "A", "buy", float(i % 6), t + dt.timedelta(milliseconds=100 * i)) for i in range(8)] + [("9", "A", "buy", 0.0, t + dt.timedelta(seconds=59)), ("z", "A", "buy", 0.0, t + dt.timedelta(seconds=200))]
+    out = {r.order_id: (r.rate_limited, r.duplicate) for r in execution.order_rate_and_duplicate_flags(spark.createDataFrame(rows, "order_id string, ticker string, side string, quantity double, ts timestamp")).collect()}
+    assert [out[str(i)][0] for i in range(8)] == [False] * 5 + [True] * 3
+    assert [out[str(i)][1] for i in range(8)] == [False] * 6 + [True] * 2 and out["9"] == (False, True) and out["z"] == (False, False)
+
+
+def test_greedy_rules_by_burst_equal_a_walk_over_everything(spark):
+    import random
+
+    r, t, rows, at = random.Random(6), dt.datetime(2024, 1, 1), [], 0.0
+    for i in range(600):
+        at += r.choice([0.1, 0.3, 5.0, 40.0, 70.0, 400.0]) * r.random()
+        rows.append((f"{i:04}", r.choice("AB"), "buy", float(r.randrange(3)), t + dt.timedelta(seconds=round(at, 3))))
+    out = {x.order_id: (x.rate_limited, x.duplicate) for x in execution.order_rate_and_duplicate_flags(spark.createDataFrame(rows, "order_id string, ticker string, side string, quantity double, ts timestamp")).collect()}
+    sent: dict = {}
+    seen: dict = {}
+    for i, a, b, q, ts in rows:
+        own = [x for x in sent.get(a, []) if (ts - x).total_seconds() < 1]
+        limited = len(own) >= 5
+        sent[a] = own if limited else [*own, ts]
+        again = (a, b, q) in seen and (ts - seen[a, b, q]).total_seconds() < 60
+        seen[a, b, q] = seen[a, b, q] if again else ts
+        assert out[i] == (limited, again)
+    alerts = spark.createDataFrame([(a, "m", "W", ts, int(i)) for i, a, _, _, ts in rows], "source string, message string, level string, ts timestamp, alert_id long")
+    last, want = {}, []
+    for i, a, _, _, ts in rows:
+        if a not in last or (ts - last[a]).total_seconds() >= 30:
+            last[a] = ts
+            want.append(int(i))
+    assert sorted(x.alert_id for x in governance.dedupe_alerts(alerts, 30.0).collect()) == want
+
+
 def test_sessions(spark):
     times = ["2024-07-03 16:59:00", "2024-07-03 17:01:00", "2024-07-04 15:00:00", "2024-07-06 15:00:00", "2024-07-05 13:29:00", "2024-07-05 13:30:00", "2024-07-05 19:56:00"]
     df = spark.createDataFrame([(x,) for x in times], "ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
@@ -159,6 +200,71 @@ def test_cointegrated_pair_is_found(spark):
     assert sig.count() == 400 and {-1, 0, 1} >= {r.signal for r in sig.collect()}
 
 
+def test_pair_filter_against_matrices(spark):
+    """The same filter written as matrices, and positions that jump over the band in which they are left."""
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    x, y = 50 + np.cumsum(r.normal(0, 1, 300)), 80 + np.cumsum(r.normal(0, 2, 300))
+    y[::17] += r.choice([-30, 30], len(y[::17]))
+    b = spark.createDataFrame([(day(i), t, float(v)) for i in range(300) for t, v in (("X", x[i]), ("Y", y[i]))], "date date, ticker string, close double")
+    got = pairs.kalman_pair_signal(pairs.aligned(b, spark.createDataFrame([("Y", "X")], "a string, b string"))).orderBy("date").collect()
+    m, c = np.array([[1.0], [0.0]]), np.eye(2)
+    mean, var, a, pos, seen = 0.0, 1.0, 2 / 61, 0, set()
+    for i, g in enumerate(got):
+        c = c + 1e-4 * np.eye(2)
+        h = np.array([[x[i], 1.0]])
+        k = c @ h.T @ np.linalg.inv(h @ c @ h.T + 1.0)
+        m = m + k @ (np.array([[y[i]]]) - h @ m)
+        c = (np.eye(2) - k @ h) @ c
+        e = y[i] - (h @ m)[0, 0]
+        mean = a * e + (1 - a) * mean
+        var = a * (e - mean) ** 2 + (1 - a) * var
+        z = (e - mean) / np.sqrt(max(var, 1e-10))
+        before = pos
+        if pos == 0 and abs(z) > 2:
+            pos = -int(np.sign(z))
+        elif pos == 1 and (z > -0.5 or z < -3.5) or pos == -1 and (z < 0.5 or z > 3.5):
+            pos = 0
+        seen.add((before, pos))
+        assert (g.beta, g.spread, g.z) == pytest.approx((m[0, 0], e, z), abs=1e-8) and g.signal == pos
+    assert {(0, 1), (1, 0), (0, -1), (-1, 0)} <= seen
+    assert pairs.kalman_pair_signal(pairs.aligned(b.filter("date < '2024-01-06'"), spark.createDataFrame([("Y", "X")], "a string, b string"))).count() == 0
+
+
+def test_mean_variance_rounds_against_plain_arrays(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    n = 60
+    b, f, a = r.normal(size=(n, 2)), np.array([[0.04, 0.01], [0.01, 0.02]]), r.normal(size=n)
+    e = spark.createDataFrame([(f"t{i:02}", f"f{k}", float(b[i, k])) for i in range(n) for k in range(2)], "ticker string, factor string, beta double")
+    c = spark.createDataFrame([(f"f{i}", f"f{j}", float(f[i, j])) for i in range(2) for j in range(2)], "f1 string, f2 string, cov double")
+    got = portfolio.mean_variance_weights(spark.createDataFrame([(f"t{i:02}", float(a[i])) for i in range(n)], "ticker string, alpha double"), e, c, ridge=0.1, most=0.02, gross=0.9)
+    w = np.linalg.solve(b @ f @ b.T + 0.1 * np.eye(n), a)
+    for _ in range(20):
+        w = np.clip(w, -0.02, 0.02)
+        w = np.clip(w - w.mean(), -0.02, 0.02)
+        w = w * min(1, 0.9 / np.abs(w).sum())
+    assert [x.weight for x in got.orderBy("ticker").collect()] == pytest.approx(list(w), abs=1e-12)
+    assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_exposures_where_a_date_lacks_a_factor(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(120, 2))
+    rets = x @ np.array([[1.0, -0.5], [0.3, 2.0]]).T + 0.01 * r.normal(size=(120, 2))
+    known = [i for i in range(120) if i % 9]
+    factors = spark.createDataFrame([(day(i), n, float(x[i, k])) for i in range(120) for k, n in enumerate(("m", "s")) if i in known or k], "date date, factor string, ret double")
+    returns = spark.createDataFrame([(day(i), f"t{j}", float(rets[i, j])) for i in range(120) for j in range(2)], "date date, ticker string, ret double")
+    got = {(g.ticker, g.factor): g.beta for g in portfolio.factor_exposures(returns, factors).collect()}
+    for j in range(2):
+        want = np.linalg.lstsq(np.c_[np.ones(len(known)), x[known]], rets[known, j], rcond=None)[0]
+        assert (got[f"t{j}", "m"], got[f"t{j}", "s"]) == pytest.approx(tuple(want[1:]), abs=1e-9)
+
+
 def test_csv_round_trip_per_ticker(spark, tmp_path):
     for t in ("AA", "BB"):
         (tmp_path / f"{t}.csv").write_text("Date, Close ,Volume\n2024-01-01,1.5,10\n2024-01-02,2.5,20\n")
