@@ -5,7 +5,7 @@ documents hold a shingle, the rarest first, so that linked documents share l shi
 n - ceil(num / den * n) + l of each, for any l. A document's l is the one of least estimated cost: the postings its
 prefix reads, and the candidates they may leave, of which each must be met l times.
 
-The steps, none of which holds a group of unbounded size or emits the pairs of a group:
+The steps, none of which holds a group of unbounded size:
  1. Documents of equal sets form a class; its smallest id stands for it.
  2. A document can link only if at most n - ceil(num / den * n) of its shingles are its own alone. A hash range of the
     shingle space is enough to rule out those that have more inside it already; they are most. Each block of documents
@@ -13,9 +13,14 @@ The steps, none of which holds a group of unbounded size or emits the pairs of a
  3. For what is left, shingles are counted exactly, by blocks again, and prefixes chosen.
  4. Each posting list links its documents to the one with the fewest shingles of its own, as far as they are truly
     similar: that joins the bulk of a group of near copies in linear work.
- 5. Posting lists that still hold several components give the pairs across components, filtered by sizes, positions
-    (a shingle of one document or component cannot match across) and the number of matches; the similar ones among them complete the links. Pairs inside a component cannot change
-    it, so the components are exact.
+ 5. Posting lists that still hold several components give the pairs across components, met by bands of sizes and
+    filtered by sizes, positions (a shingle of one component alone cannot match across) and the number of matches,
+    which must reach the smaller l of the two; the similar ones among them complete the links. Pairs inside a component
+    cannot change it, so the components are exact. This step is the one whose work is not linear: a posting list of m
+    documents in as many components of like sizes gives up to m * m / 2 pairs of numbers, spread over tasks by list and
+    band (and split further by AQE where one is hot); rarity keeps frequent shingles out of prefixes.
+
+A block's messages number at most its shingles, however many ranges there are, so what is sent grows in proportion.
 
 Defined results: null, empty and wordless texts have an empty set, and link with nothing; rows without an id are left
 out of the join and come back without a component; rows that repeat an id with equal text are answered alike (an id
@@ -24,6 +29,8 @@ with different texts stands for both); extra columns take no part; an empty tabl
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,6 +60,13 @@ def _ranges(h: np.ndarray, top: int, parts: int) -> tuple[np.ndarray, list[bytes
     return at, [((h[s:e] - np.uint64(lo)) >> shift).astype("<u4").tobytes() for lo, s, e in zip(low, at[:-1], at[1:])]
 
 
+def _counts(doc: np.ndarray, n: np.ndarray) -> bytes:
+    """Counts by document, in 16 bits, up to the last that has any."""
+    out = np.zeros(int(doc[-1]) + 1 if len(doc) else 0, "<u2")
+    out[doc] = np.minimum(n, 0xFFFF)
+    return out.tobytes()
+
+
 def _merge(t: pa.Table, second: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """The messages of a hash range: hash, second value and row of each, and the rows' lengths."""
     hs = [np.frombuffer(x, "<u4") for x in t["h"].to_pylist()]
@@ -104,7 +118,10 @@ def possible(df: DataFrame, k: int, num: int, den: int, shingles: int) -> DataFr
         _, first, n = np.unique(h, return_index=True, return_counts=True)
         alone = first[n == 1]
         alone = alone[doc[alone] != SEVERAL]
-        own = [np.bincount(doc[alone[row[alone] == r]]).astype("<u2").tobytes() for r in range(len(lengths))]
+        # one count for each (message, document) that has such a hash; messages lie one after the other
+        at, n = np.unique(row[alone].astype(np.int64) << 16 | doc[alone], return_counts=True)
+        ends = np.searchsorted(at, np.arange(1, len(lengths) + 1, dtype=np.int64) << 16)
+        own = [_counts(at[s:e] & 0xFFFF, n[s:e]) for s, e in zip(np.r_[0, ends[:-1]], ends)]
         none = [None] * len(own)
         return pa.Table.from_batches([_batch(names2, kinds2, [t["block"].to_pylist(), own, none, none])])
 
@@ -239,12 +256,16 @@ def classes(df: DataFrame, k: int = 5, num: int = 8, den: int = 10, text: str =
     placed = work.cut(postings.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
     mixed = work.cut(placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("h"), "mixed")
     # a shingle that one component alone holds cannot match across: at counts a document's others before a position
-    w = Window.partitionBy("id").orderBy("pos")
-    open_ = placed.join(mixed, "h").withColumn("at", F.row_number().over(w) - 1).withColumn("left", F.count("*").over(Window.partitionBy("id")))
-    rest = work.cut(open_.filter("left >= l"), "rest")
+    at = F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1
+    # sizes that may be similar stand in the same band or the next
+    band = F.floor(F.log("n") / F.lit(math.log(den / num)) if num < den else F.col("n")).cast("int")
+    rest = work.cut(placed.join(mixed, "h").withColumn("at", at).withColumn("band", band), "rest")
     need = f"ceil({num} * (p.n + q.n) / {num + den})"
     reach = "least(p.at, q.at) + least(p.n - p.pos, q.n - q.pos)"
-    across = rest.alias("p").join(rest.alias("q"), F.expr(f"p.h = q.h AND p.id < q.id AND p.comp <> q.comp AND {den} * least(p.n, q.n) >= {num} * greatest(p.n, q.n) AND {reach} >= {need}"))
+    size = f"{den} * least(p.n, q.n) >= {num} * greatest(p.n, q.n)"
+    near = rest.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    across = rest.alias("p").join(near.alias("q"), F.expr(f"p.h = q.h AND p.band = q.band AND p.id < q.id AND p.comp <> q.comp AND {size} AND {reach} >= {need}"))
+    # a pair shares as many shingles as the shorter of its prefixes asks for, whatever each document has left
     met = across.groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("p.l", "q.l")).alias("l"))
     more = work.cut(met.filter("m >= l").select("a", "b"), "more")
     late = work.cut(verified(more, sets, num, den), "late")

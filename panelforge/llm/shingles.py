@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark import TaskContext
 
-#: Bytes hashed at a time, documents of a block.
-CHUNK, BLOCK = 2 << 20, 4096
+#: Bytes hashed at a time, documents of a block, characters of a block.
+CHUNK, BLOCK, BLOCK_BYTES = 2 << 20, 4096, 16 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20_240_601).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -82,11 +82,22 @@ def _chunk(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def cut(batches, column: int):
+    """A task's Arrow batches in slices of at most BLOCK rows and, unless a text alone has more, BLOCK_BYTES of the
+    column's text."""
+    for b in batches:
+        ends = np.cumsum([len(x) if x else 0 for x in b.column(column).to_pylist()])
+        at = 0
+        while at < b.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right"))
+            to = min(at + BLOCK, max(most, at + 1))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def blocks(batches, k: int):
     """(block, ids, sets) of a task's (id, text) batches; a repeated task numbers its blocks alike."""
     block = TaskContext.get().partitionId() << 32
-    for b in batches:
-        for at in range(0, b.num_rows, BLOCK):
-            part = b.slice(at, BLOCK)
-            yield block, part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k)
-            block += 1
+    for part in cut(batches, 1):
+        yield block, part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), k)
+        block += 1

@@ -77,6 +77,34 @@ def test_components_against_brute_force(spark, k, num, den, seed):
     assert got == brute(rows, k, num, den)
 
 
+def test_partner_with_a_shorter_prefix_is_found(spark):
+    """10 and 11 share 20 of 22 shingles; most of what 11 has left is shared with other components."""
+    w = lambda a, b, x="w": [f"{x}{i}" for i in range(a, b)]
+    rows = [(1, w(1, 4)), (10, w(1, 23)), (11, w(1, 23) + ["z1", "z2"])]
+    for i in range(8):
+        rows += [(100 + i, w(0, 42, f"r{i}_") + w(2, 23)), (200 + i, w(0, 42, f"r{i}_") + w(0, 22, "t"))]
+    rows = [(i, " ".join(x)) for i, x in rows]
+    got = {x.id: (x.n, x.comp) for x in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100) and got[11][1] == 10
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unequal_prefixes_against_brute_force(spark, seed):
+    """Documents put together from shared passages, so that prefixes and what they ask for differ."""
+    r = random.Random(seed)
+    passages = [[f"p{i}_{j}" for j in range(r.randrange(3, 40))] for i in range(25)]
+    rows = []
+    for i in range(160):
+        own = [x for p in r.sample(passages, r.randrange(1, 5)) for x in p]
+        for _ in range(r.randrange(3)):
+            own.insert(r.randrange(len(own)), f"u{r.randrange(60)}")
+        rows.append((i, " ".join(own)))
+        rows.append((1000 + i, " ".join(own + [f"z{r.randrange(9)}"] * r.randrange(3))))
+    for k, num, den in ((3, 90, 100), (2, 7, 10)):
+        got = {x.id: (x.n, x.comp) for x in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), k, num, den).collect()}
+        assert got == brute(rows, k, num, den)
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A  B c\nd"), (3, None)], "doc_id long, text string")
     got = sorted(((r.id, r.n, r.comp) for r in jaccard.classes(df, 3, 9, 10).collect()), key=str)
