@@ -4,47 +4,52 @@ The tokens of each (source, language, topic) cell are raked until the weighted t
 source, language and topic; a document is then kept with a probability in proportion to its cell's weight, calibrated
 so that the expected tokens meet the budget while no probability exceeds one.
 
-Documents are only counted and filtered by Spark; what comes to the driver is the cell table. Its size is bounded by
-MOST categories in a dimension: the rest of a dimension, by tokens, is one category, OTHER.
-
-Defined results: null and empty texts have no tokens and share their cell's fate; null sources and languages are the
-category OTHER; repeated rows are drawn alike (the draw is a seeded hash of id and text, so a repeated task draws the
-same); targets for categories without tokens are left out and the others made to sum to one; extra columns pass
-through, those with the names of outputs are replaced; an empty table gives no rows.
+Spark counts, joins and filters the documents; the texts are read once, and what follows from them is written beside the
+row. What comes to the driver is the table of cells that occur, every category of every dimension among them. It must
+have at most MOST_CELLS rows, else ValueError: nothing is folded away. It is broadcast back only if it is small.
+
+A document's topic is the kind its form tells (tabular, linked, list-like, or prose by length), unless the caller names
+a column that has it; its tokens are the runs between white space.
+
+Defined results: null and empty texts have no tokens and share their cell's fate, and a cell without tokens is kept;
+null sources, languages and topics are the category OTHER; repeated rows are drawn alike (the draw is a seeded hash of
+id and text, so a repeated task draws the same); targets for categories without tokens are left out and the others made
+to sum to one; categories without a target, where others have one, get none; extra columns pass through, those with the
+names of outputs are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import Work
+from ..session import Work, ship
 
-#: Categories of a dimension, and the name of those beyond.
-MOST, OTHER = 64, "__other"
+#: Rows of the table of cells at most, and up to which it is broadcast; the name of the category of nulls.
+MOST_CELLS, BROADCAST_CELLS, OTHER = 1 << 20, 10_000, "__other"
 DIMENSIONS = ("source", "lang", "topic")
+_OUT = ("topic", "n_tokens", "weight", "probability", "kept")
 
 
-def words(text: Column) -> Column:
-    """The number of runs between white space."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(t == "", 0).otherwise(F.char_length(t) - F.char_length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+def topic(text: str) -> str:
+    """A document's kind by its form: tabular, linked, list-like, or prose by length."""
+    if " | " in text:
+        return "tabular"
+    if "http" in text or "@" in text:
+        return "linked"
+    if len(text) < 40 * (text.count("\n") + 1):
+        return "list"
+    return "short" if len(text) < 1000 else "middle" if len(text) < 4000 else "long"
 
 
-def topic(text: Column) -> Column:
-    """A document's kind by its form: tabular, linked, list-like, or prose by length."""
-    t = F.coalesce(text, F.lit(""))
-    lines = F.size(F.split(t, "\n"))
-    n = F.char_length(t)
-    return (
-        F.when(t.contains(" | "), "tabular")
-        .when(t.contains("http") | t.contains("@"), "linked")
-        .when(n < 40 * lines, "list")
-        .when(n < 1000, "short")
-        .when(n < 4000, "middle")
-        .otherwise("long")
-    )
+@F.arrow_udf(T.StructType().add("topic", "string").add("n_tokens", "long"))
+def _read(texts: pa.Array) -> pa.Array:
+    """Topic and tokens of each text."""
+    own = [x or "" for x in texts.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([topic(x) for x in own], pa.string()), pa.array([len(x.split()) for x in own], pa.int64())], ["topic", "n_tokens"])
 
 
 def tempered(shares: dict[str, float], power: float = 0.5) -> dict[str, float]:
@@ -54,19 +59,17 @@ def tempered(shares: dict[str, float], power: float = 0.5) -> dict[str, float]:
     return {k: v / total for k, v in up.items()}
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, close: float = 1e-10) -> np.ndarray:
-    """Weights of the cells of an array, such that the weighted tokens' margins are the targets (which sum to one)."""
+def rake(tokens: np.ndarray, of: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, close: float = 1e-10) -> np.ndarray:
+    """Weights of cells, such that the weighted tokens' margins are the targets. of: for each dimension the number of
+    each cell's category; targets: for each dimension the categories' shares, which sum to one."""
     fitted = tokens / max(tokens.sum(), 1e-300)
     for _ in range(rounds):
         off = 0.0
-        for axis, want in enumerate(targets):
-            others = tuple(i for i in range(fitted.ndim) if i != axis)
-            have = fitted.sum(axis=others)
+        for own, want in zip(of, targets):
+            have = np.bincount(own, weights=fitted, minlength=len(want))
             factor = np.divide(want, have, out=np.ones_like(want), where=have > 0)
             off = max(off, float(np.abs(have - want)[have > 0].max(initial=0)))
-            shape = [1] * fitted.ndim
-            shape[axis] = -1
-            fitted = fitted * factor.reshape(shape)
+            fitted = fitted * factor[own]
         if off < close:
             break
     return np.divide(fitted, tokens, out=np.zeros_like(fitted), where=tokens > 0)
@@ -74,11 +77,10 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, close
 
 def calibrate(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
     """min(1, c * weight) with c such that the expected tokens are the budget, or all of them if it is larger."""
-    low, high = 0.0, 1.0
     positive = weight[weight > 0]
     if not len(positive):
         return np.zeros_like(weight)
-    high = 1.0 / positive.min()
+    low, high = 0.0, 1.0 / positive.min()
     for _ in range(200):
         c = (low + high) / 2
         if (tokens * np.minimum(1, c * weight)).sum() < budget:
@@ -88,35 +90,34 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarr
     return np.minimum(1, high * weight)
 
 
-def mixed(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.7, seed: int = 11, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def mixed(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.7, seed: int = 11, text: str = "text", id_col: str = "doc_id", topic_col: str | None = None) -> DataFrame:
     """df with topic, n_tokens, weight, probability and kept. targets: for each dimension the wanted share of each
     category; a dimension without targets gets tempered shares. keep: the share of all tokens that is the budget."""
-    spark = df.sparkSession
-    own = df.drop("topic", "n_tokens", "weight", "probability", "kept")
-    counted = own.withColumn("topic", topic(F.col(text))).withColumn("n_tokens", words(F.col(text)))
-    # a row for each cell there is, written: the texts are read for it once
-    cells = Work(spark).cut(counted.groupBy(*[F.coalesce(d, F.lit(OTHER)).alias(d) for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("n")), "cells")
-    known = {}
+    spark, work = df.sparkSession, Work(df.sparkSession)
+    ship(spark)
+    own = [c for c in df.columns if c not in _OUT]
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text), 11) / F.lit(float(2**53))
+    made = df.withColumn("__read", _read(F.col(text))).withColumn("__draw", draw)
+    made = made.select(*own, (F.col(topic_col) if topic_col else F.col("__read.topic")).alias("topic"), "__read.n_tokens", "__draw")
+    made = work.cut(made, "read")
+    cells = made.groupBy(*[F.coalesce(d, F.lit(OTHER)).alias(d) for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("n"))
+    rows = cells.limit(MOST_CELLS + 1).toArrow()
+    if rows.num_rows > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} cells of source, language and topic")
+    tokens, of, wanted = rows["n"].to_numpy().astype(float), [], []
     for d in DIMENSIONS:
-        rows = cells.groupBy(d).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), d).limit(MOST).collect()
-        known[d] = [r[d] for r in rows if r[d] != OTHER]
-    folded = cells.groupBy(*[F.when(F.col(d).isin(known[d]), F.col(d)).otherwise(OTHER).alias(d) for d in DIMENSIONS]).agg(F.sum("n").alias("n"))
-    rows = folded.collect()  # at most (MOST + 1) ** 3
-    at = [{k: i for i, k in enumerate([*known[d], OTHER])} for d in DIMENSIONS]
-    tokens = np.zeros([len(a) for a in at])
-    for r in rows:
-        tokens[tuple(a[r[d]] for a, d in zip(at, DIMENSIONS))] = r["n"]
-    wanted = []
-    for axis, (a, d) in enumerate(zip(at, DIMENSIONS)):
-        have = tokens.sum(axis=tuple(i for i in range(3) if i != axis))
-        given = (targets or {}).get(d) or tempered({k: have[i] for k, i in a.items()})
-        want = np.array([given.get(k, 0.0) if have[i] > 0 else 0.0 for k, i in a.items()])
+        coded = rows[d].combine_chunks().dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        have = np.bincount(at, weights=tokens, minlength=len(names))
+        given = (targets or {}).get(d) or tempered(dict(zip(names, have)))
+        want = np.array([given.get(k, 0.0) if n > 0 else 0.0 for k, n in zip(names, have)])
+        of.append(at)
         wanted.append(want / max(want.sum(), 1e-300))
-    weight = rake(tokens, wanted)
-    chance = calibrate(weight, tokens, keep * tokens.sum())
-    table = [(*(r[d] for d in DIMENSIONS), float(weight[i]), float(chance[i]) if tokens[i] else 1.0) for r in rows for i in [tuple(a[r[d]] for a, d in zip(at, DIMENSIONS))]]
-    small = spark.createDataFrame(table, "c_source string, c_lang string, c_topic string, weight double, probability double")
-    same = [F.when(F.col(d).isin(known[d]), F.col(d)).otherwise(OTHER) == F.col(f"c_{d}") for d in DIMENSIONS]
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text), 11) / F.lit(float(2**53))
-    joined = counted.join(F.broadcast(small), same[0] & same[1] & same[2], "left")
-    return joined.withColumn("kept", drawn < F.col("probability")).drop("c_source", "c_lang", "c_topic")
+    weight = rake(tokens, of, wanted)
+    chance = np.where(tokens > 0, calibrate(weight, tokens, keep * tokens.sum()), 1.0)
+    table = pa.table([*[rows[d] for d in DIMENSIONS], pa.array(weight), pa.array(chance)], [*[f"__{d}" for d in DIMENSIONS], "weight", "probability"])
+    small = spark.createDataFrame(table, ", ".join(f"__{d} string" for d in DIMENSIONS) + ", weight double, probability double")
+    small = F.broadcast(small) if rows.num_rows <= BROADCAST_CELLS else small
+    same = [F.coalesce(d, F.lit(OTHER)) == F.col(f"__{d}") for d in DIMENSIONS]
+    joined = made.join(small, same[0] & same[1] & same[2], "left")
+    return joined.select(*own, "topic", "n_tokens", "weight", "probability", (F.col("__draw") < F.col("probability")).alias("kept"))
