@@ -1,14 +1,16 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A text's suspicious tokens (letters mixed with look-alike signs, letters told apart by blanks or dots, letters repeated)
-become lattices of the letters that each sign may stand for. The path that a character trigram model of the whole
-corpus likes best, less the cost of the changes, is the restored token (Viterbi over pairs of letters). Words of the
-restored text and their first letters are weighed by a lexicon learned from labels, and the two strongest weights of a
-document give its score by logistic regression.
+become lattices of what each sign may stand for: a letter, nothing, or the end of a word. The path that a character
+trigram model of the whole corpus likes best, less the cost of the changes, is the restored token (Viterbi over pairs of
+letters, in time linear in the token, so tokens of any length are restored). The words of the restored text and their
+first letters are weighed by a lexicon learned from labels, and the two strongest weights of a document give its score by
+logistic regression.
 
-The lexicon is learned from at most 2 * SAMPLE labelled documents (SAMPLE of each label, by a hash of the id), three
-quarters for the weights and the rest for the regression; the shares of the labels come from all labelled rows. The
-character counts cover every document; they are bounded by the alphabet.
+The lexicon is learned from at most 2 * sample labelled documents (sample of each label, by a hash of the id), three
+quarters for the weights and the rest for the regression; the shares of the labels come from all labelled rows. It has
+no bound of its own: every word of that sample that is toxic often enough is in it. The character counts cover every
+document; they are bounded by the alphabet.
 
 Defined results: null and empty texts score as a text without any weighed word; repeated rows score alike; labels
 without a document, or null, are left out; a repeated label counts again; without labels of both kinds every score is
@@ -30,13 +32,16 @@ from pyspark.sql import functions as F
 
 from ..session import Work, ship
 
-#: Labelled documents of each label that the lexicon is learned from; entries of the lexicon; of a worker's cache.
-SAMPLE, LEXICON, CACHE = 20_000, 50_000, 1 << 17
+#: Labelled documents of each label that the lexicon is learned from; entries of a worker's cache, and their characters.
+SAMPLE, CACHE, CACHED_CHARS = 20_000, 1 << 16, 64
 #: Documents of base rate that a word's share of toxic documents is pulled by; the least share of a weighed word.
 PULL, LEAST = 10, 0.3
 
 #: Letters of the character model; all else is one sign, number 0.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
+#: What changes cost, in log-likelihood: a sign read as a letter, a sign dropped, the same at the end of a token (where
+#: it is mostly punctuation), letters told apart that belong together, and the end of a word between them.
+READ, DROP, DROP_LAST, GLUE, BREAK = 1.0, 2.5, 0.3, 0.2, 2.0
 #: What a sign may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
 _AT = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -45,6 +50,7 @@ _SIGNS = re.escape("".join(LOOKS_LIKE))
 _BETWEEN = r".\-_*~'"
 _ODD = re.compile(rf"[^\W\d_][{_SIGNS}{_BETWEEN}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]{{2}}|[^\W\d_]{{2}}[{_SIGNS}]$|([^\W\d_])\1\1").search
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*~]{1,2}[^\W_]){3,}(?!\w)")
+_RUNS = re.compile(r"(.)\1*", re.S)
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -83,6 +89,18 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three).astype(np.float32)
 
 
+def _steps(c: str, n: int, last: bool) -> list[tuple[str, float]]:
+    """What n times the sign c may stand for, and what that costs."""
+    if c in _AT:
+        return [(c * n, 0.0)] if n < 3 else [(c, 0.0), (c * 2, 0.5)]
+    if c in LOOKS_LIKE:
+        once = [(x, READ) for x in LOOKS_LIKE[c]]
+        return once + [(2 * x, READ) for x, _ in once if n > 1] + [("", DROP_LAST if last and not c.isdigit() else DROP)]
+    if c == " ":
+        return [(" ", 0.0)] if n > 1 else [("", GLUE), (" ", BREAK)]
+    return [("", GLUE), (" ", BREAK)]
+
+
 @dataclass
 class Model:
     logs: np.ndarray
@@ -98,42 +116,45 @@ class Model:
 
     def decode(self, token: str) -> str:
         """The best path through a token's lattice."""
-        states = {(0, 0): (0.0, "")}
-        for m in re.finditer(r"(.)\1*", token, re.S):
-            c, n = m.group(1), len(m.group())
-            if c in _AT:
-                steps = [(c * n, 0.0)] if n < 3 else [(c, 0.0), (c * 2, 0.5)]
-            elif c in LOOKS_LIKE:
-                steps = [(x * min(n, 2), 1.0) for x in LOOKS_LIKE[c]] + [("", 2.5)]
-            else:
-                steps = [("", 0.2)]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, path) in states.items():
+        states = {(0, 0): 0.0}
+        back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+        for m in _RUNS.finditer(token):
+            steps = _steps(m.group(1), len(m.group()), m.end() == len(token))
+            best: dict[tuple[int, int], float] = {}
+            came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+            for at, score in states.items():
                 for letters, cost in steps:
-                    x, y, s = a, b, score - cost
+                    (x, y), s = at, score - cost
                     for letter in letters:
-                        z = _AT[letter]
+                        z = _AT.get(letter, 0)
                         s += self.logs[x, y, z]
                         x, y = y, z
-                    if (x, y) not in after or after[x, y][0] < s:
-                        after[x, y] = (s, path + letters)
-            states = after
-        return max((s + self.logs[a, b, 0], path) for (a, b), (s, path) in states.items())[1]
+                    if (x, y) not in best or best[x, y] < s:
+                        best[x, y], came[x, y] = s, (at, letters)
+            states = best
+            back.append(came)
+        at = max(states, key=lambda k: states[k] + self.logs[k[0], k[1], 0])
+        out = []
+        for came in reversed(back):
+            at, letters = came[at]
+            out.append(letters)
+        return "".join(reversed(out))
 
     def restored_token(self, token: str) -> str:
         got = self.kept.get(token)
         if got is None:
             low = token.lower()
             got = self.decode(low) if any(c in _AT for c in low) else low
-            if len(self.kept) >= CACHE:
-                self.kept.clear()
-            self.kept[token] = got
+            if len(token) <= CACHED_CHARS:
+                if len(self.kept) >= CACHE:
+                    self.kept.clear()
+                self.kept[token] = got
         return got
 
     def restored(self, text: str) -> str:
         """The text in lower case with its suspicious tokens restored."""
-        spaced = _SPACED.sub(lambda m: self.restored_token(re.sub(r'[ .*~_-]', '', m.group())), text)
-        return re.sub(r"\S+", lambda m: self.restored_token(m.group()) if _ODD(m.group()) and len(m.group()) <= 64 else m.group().lower(), spaced)
+        spaced = _SPACED.sub(lambda m: self.restored_token(m.group()), text)
+        return re.sub(r"\S+", lambda m: self.restored_token(m.group()) if _ODD(m.group()) else m.group().lower(), spaced)
 
     def features(self, text: str) -> set[str]:
         """Distinct words of the restored text, and their first four and five letters."""
@@ -142,14 +163,17 @@ class Model:
             out.update(self._chunk(chunk))
         return out
 
-    def _chunks(self, text: str):
-        extra = [self.restored_token(re.sub(r"[ .*~_-]", "", m)) for m in (x.group() for x in _SPACED.finditer(text))]
-        return text.split() + extra
+    def _chunks(self, text: str) -> list[str]:
+        """The tokens of a text, and the words of what it tells apart letter by letter (whose letters alone are no
+        words)."""
+        chunks = text.split()
+        for m in _SPACED.finditer(text):
+            chunks += self.restored_token(m.group()).split()
+        return chunks
 
     def _chunk(self, chunk: str) -> set[str]:
-        words = _WORDS(chunk.lower())
-        if len(chunk) <= 64 and _ODD(chunk):
-            words.append(self.restored_token(chunk))
+        """What a token, restored, is weighed by."""
+        words = _WORDS(self.restored_token(chunk) if _ODD(chunk) else chunk.lower())
         return {f for w in words if len(w) > 2 for f in ((w, w[:4] + "*", w[:5] + "*") if len(w) > 5 else (w, w[:4] + "*") if len(w) == 5 else (w,))}
 
     def evidence(self, text: str) -> tuple[float, float]:
@@ -160,9 +184,10 @@ class Model:
             got = self.weighed.get(chunk)
             if got is None:
                 got = max(((self.lexicon.get(f, 0.0), f) for f in self._chunk(chunk)), default=(0.0, ""))
-                if len(self.weighed) >= CACHE:
-                    self.weighed.clear()
-                self.weighed[chunk] = got
+                if len(chunk) <= CACHED_CHARS:
+                    if len(self.weighed) >= 2 * CACHE:
+                        self.weighed.clear()
+                    self.weighed[chunk] = got
             w, f = got
             if w > first:
                 if f != named:
@@ -239,8 +264,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc
     clean = F.col("clean") * scale
     share = (F.col("toxic") + base * PULL) / (F.col("toxic") + clean + PULL)
     weight = F.log(share / (1 - share)) - math.log(base / (1 - base))
-    best = counted.filter((F.col("f") != "") & (F.col("toxic") >= 2) & (share >= max(LEAST, 2 * base))).select("f", weight.alias("w"), "toxic").orderBy(F.desc("w"), F.desc("toxic"), "f").limit(LEXICON).collect()
-    model.lexicon = {r.f: r.w for r in best}
+    best = counted.filter((F.col("f") != "") & (F.col("toxic") >= 2) & (share >= max(LEAST, 2 * base))).select("f", weight.alias("w")).toArrow()  # words of at most sample toxic documents
+    model.lexicon = dict(zip(best["f"].to_pylist(), best["w"].to_pylist()))
     shared = spark.sparkContext.broadcast(model)
 
     def weigh(batches):

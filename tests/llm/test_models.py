@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import mixing, toxicity
 from panelforge.llm.queries import op8_toxicity, op9_mixing
@@ -26,7 +27,7 @@ def small_model(spark):
     return toxicity.fit(docs, labels)
 
 
-@pytest.mark.parametrize("token, word", [("1d1ot", "idiot"), ("i.d.i.o.t", "idiot"), ("stuuuupid", "stupid"), ("$tup1d", "stupid"), ("m0r0n", "moron"), ("M0R0N", "moron"), ("st-up-id", "stupid")])
+@pytest.mark.parametrize("token, word", [("1d1ot", "idiot"), ("i.d.i.o.t", "idiot"), ("stuuuupid", "stupid"), ("$tup1d", "stupid"), ("m0r0n", "moron"), ("M0R0N", "moron"), ("st-up-id", "stupid"), ("idiot!", "idiot"), ("s" + "t" * 90 + "upid", "stupid"), ("m" + "0" * 300 + "ron", "moron")])
 def test_decoding(small_model, token, word):
     assert small_model.restored_token(token) == word
     assert small_model.restored(f"the {token} walked") == f"the {word} walked"
@@ -41,6 +42,39 @@ def test_obfuscated_and_clean_texts(spark, small_model):
     assert toxicity.restore(df, small_model).filter("text = 'STUPID idiot'").first().restored == "stupid idiot"
 
 
+def test_spaced_letters_end_where_words_do(small_model):
+    assert small_model.restored("s t u p i d  i d i o t") == "stupid idiot"
+    assert small_model.restored("s t u p i d m o r o n") == "stupid moron"
+    assert {"stupid", "moron"} <= small_model.features("s t u p i d m o r o n")
+
+
+def test_tokens_of_any_length_are_restored(small_model):
+    """Repeated letters, and a token far beyond what is cached, in linear time."""
+    plain = small_model.score("you idiot and stupid")
+    for n in (3, 50, 65, 500, 20_000):
+        assert abs(small_model.score(f"you id{'i' * n}ot and stu{'u' * n}pid") - plain) < 1e-9
+    assert "stupid" in small_model.restored("s.t.u.p.i.d. " + "q-7x" * 20_000)
+
+
+def test_path_is_the_best_of_all(small_model):
+    """Viterbi against every path of small lattices."""
+    import itertools
+
+    r = random.Random(3)
+    for _ in range(60):
+        token = "".join(r.choice("stu0p1d$.iim") for _ in range(r.randrange(1, 8)))
+        runs = [(m.group(1), len(m.group()), m.end() == len(token)) for m in toxicity._RUNS.finditer(token)]
+
+        def value(path):
+            text, s = "".join(x for x, _ in path), -sum(c for _, c in path)
+            at = [0, 0, *(toxicity._AT.get(c, 0) for c in text), 0]
+            return s + sum(float(small_model.logs[a, b, c]) for a, b, c in zip(at, at[1:], at[2:]))
+
+        paths = list(itertools.product(*(toxicity._steps(*x) for x in runs)))
+        top = max(map(value, paths))
+        assert any("".join(x for x, _ in p) == small_model.decode(token) and abs(value(p) - top) < 1e-3 for p in paths)
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -63,23 +97,59 @@ def test_held_out_accuracy(spark):
     assert hits > 0.95 and auc > 0.95 and recall > 0.8 and false < 0.02
 
 
-def test_rake_meets_margins():
+def test_rake_meets_margins_as_dense_fitting_does():
     r = np.random.default_rng(3)
     tokens = r.integers(1, 1000, (5, 4, 3)).astype(float)
+    tokens[r.random(tokens.shape) < 0.2] = 0
     wants = [w / w.sum() for w in (r.random(5) + 0.1, r.random(4) + 0.1, r.random(3) + 0.1)]
-    fitted = mixing.rake(tokens, wants) * tokens
+    of = [x.ravel() for x in np.indices(tokens.shape)]
+    weight = mixing.rake(tokens.ravel(), of, wants)
+    fitted = (weight * tokens.ravel()).reshape(tokens.shape)
+    brute = tokens / tokens.sum()
+    for _ in range(3000):
+        for axis, want in enumerate(wants):
+            others = tuple(i for i in range(3) if i != axis)
+            brute = brute * np.expand_dims(want / brute.sum(axis=others), others)
+    assert np.allclose(fitted, brute, atol=1e-9)
     for axis, want in enumerate(wants):
         assert np.allclose(fitted.sum(axis=tuple(i for i in range(3) if i != axis)), want, atol=1e-8)
-    p = mixing.calibrate(mixing.rake(tokens, wants), tokens, 0.4 * tokens.sum())
-    assert np.isclose((p * tokens).sum(), 0.4 * tokens.sum()) and p.max() <= 1
+    p = mixing.calibrate(weight, tokens.ravel(), 0.4 * tokens.sum())
+    assert np.isclose((p * tokens.ravel()).sum(), 0.4 * tokens.sum()) and p.max() <= 1
+
+
+MIX = "doc_id long, text string, source string, lang string"
 
 
 def test_mixing_odd_rows(spark):
-    rows = [(1, "a b", "s", "en"), (1, "a b", "s", "en"), (None, None, None, None), (3, "", "t", None)]
-    out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), keep=1.0).collect()
-    assert len(out) == 4 and all(r.kept is not None for r in out)
-    assert [r.n_tokens for r in out if r.doc_id == 1] == [2, 2]
-    assert mixing.mixed(spark.createDataFrame([], "doc_id long, text string, source string, lang string")).count() == 0
+    rows = [(1, "a b", "s", "en"), (1, "a b", "s", "en"), (None, None, None, None), (3, "", "t", None), (4, "word " * 200_000, "s", "en")]
+    df = spark.createDataFrame(rows, MIX)
+    for c in ("c_lang", "c_source", "weight", "kept", "n", "__x"):  # names that could clash
+        df = df.withColumn(c, F.lit(5))
+    out = mixing.mixed(df, keep=1.0).collect()
+    assert len(out) == 5 and all(r.kept is not None and (r.c_lang, r.c_source, r.n, r["__x"]) == (5, 5, 5, 5) for r in out)
+    assert [r.n_tokens for r in out if r.doc_id == 1] == [2, 2] and [r.n_tokens for r in out if r.doc_id == 4] == [200_000]
+    assert mixing.mixed(spark.createDataFrame([], MIX)).count() == 0
+
+
+def test_every_source_that_is_targeted_gets_weight(spark):
+    rows = [(i, f"word{i} and more", f"s{i % 100}", "en") for i in range(400)]
+    out = mixing.mixed(spark.createDataFrame(rows, MIX), {"source": {f"s{i}": 0.01 for i in range(100)}}, keep=0.5).collect()
+    assert all(abs(r.probability - 0.5) < 1e-6 for r in out)
+
+
+def test_more_cells_than_the_bound_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_CELLS", 10)
+    with pytest.raises(ValueError):
+        mixing.mixed(spark.createDataFrame([(i, "a", f"s{i}", "en") for i in range(11)], MIX))
+
+
+def test_mixing_without_a_broadcast_and_by_a_given_topic(spark, monkeypatch):
+    rows = [(i, "some words " * (1 + i % 7), f"s{i % 3}", "en", ["art", None][i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, MIX + ", topic string")
+    want = sorted(map(str, mixing.mixed(df, topic_col="topic").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    got = mixing.mixed(df, topic_col="topic")
+    assert sorted(map(str, got.collect())) == want and {r.topic for r in got.collect()} == {"art", None}
 
 
 def test_mixing_query(spark, sf):
