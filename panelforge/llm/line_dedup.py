@@ -1,18 +1,21 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A store holds runs, tables of (hash, n_docs, last_doc) sorted by the hash inside their parts, by levels: a batch adds a
-run at level 0, and when a level has FANOUT runs they are merged into one run of the next. A batch of documents is
-merge-anti-joined with the runs: what finds a line there is known, the rest is new.
+A store holds runs, tables of (h, n_docs, last_doc) sorted by the hash, by levels: no two runs share a hash. A batch of
+documents is merge-anti-joined with the runs: the lines that no run holds become the batch's own run at level 0, and
+what the batch adds to lines that some run holds goes to a table of additions. When a level has FANOUT runs they are
+compacted into one run of the next.
 
-dedup_lines works a corpus off in batches: one pass hashes the lines, each batch adds its run, and the merged runs tell
-which lines stand in at least min_docs documents and which document keeps them. dedup_batch is the running form: it
-drops the lines that earlier batches, or earlier documents of the same one, hold.
+dedup_lines works a corpus off in batches: one pass hashes the lines, each batch is anti-joined and adds its run, and
+the runs with the additions tell which lines stand in at least min_docs documents and which document keeps them. Only a
+line that a batch met again, or that is frequent inside its batch, can be such a line, so of the runs no more than those
+are brought together in the end. dedup_batch is the running form: it drops the lines that earlier batches, or earlier
+documents of the same one, hold.
 
 A line's key is the line without the white space [\\x20\\x09-\\x0D] at its ends, A-Z lower-cased; its hash has 128 bits.
-Lines whose key is shorter than min_chars stay. Defined results: null and empty texts have one empty line; a repeated
-row counts as a document of its own; documents without an id count for nothing and keep all their lines; a document
-that holds a line several times and is its keeper keeps them all; other columns pass through, but those named n_lines,
-n_dropped or kept are replaced; an empty table gives no rows.
+Lines whose key is shorter than min_chars stay. Defined results: null and empty texts have one empty line; rows that
+repeat an id are one document, and each loses the lines that the document loses; documents without an id count for
+nothing and keep all their lines; a document that holds a line several times and is its keeper keeps them all; other
+columns pass through, but those named n_lines, n_dropped or kept are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from ..session import Work, ship
 
-FANOUT, BATCHES = 4, 4
+#: Runs of a level that are compacted into one; batches that dedup_lines deals a corpus into.
+FANOUT, BATCHES = 4, 8
 _WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -55,43 +59,62 @@ def line_hashes(df: DataFrame, min_chars: int, text: str = "text", id_col: str =
 
 
 class Runs:
-    """The levelled runs, in the shared folder."""
+    """The levelled runs, in the shared folder. A run's files are read through its own plan, so compaction may delete
+    them as soon as the larger run is written."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.work, self.fanout, self.made = spark, Work(spark), fanout, 0
+        self.spark, self.work, self.fanout, self.made, self.compactions = spark, Work(spark), fanout, 0, 0
         self.levels: list[list[tuple[str, DataFrame]]] = []
+        self.added: list[DataFrame] = []
 
-    def _write(self, merged: DataFrame, level: int) -> None:
+    def _write(self, rows: DataFrame, level: int) -> None:
         name, self.made = f"run{self.made}", self.made + 1
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append((name, self.work.cut(merged.sortWithinPartitions("h"), name)))
+        self.levels[level].append((name, self.work.cut(rows.sortWithinPartitions("h"), name)))
         if len(full := self.levels[level]) >= self.fanout:
-            self.levels[level] = []
-            self._write(self._merge([r for _, r in full]), level + 1)
+            self.levels[level], self.compactions = [], self.compactions + 1
+            # runs share no hash: to merge them is to sort them together
+            self._write(_union([r for _, r in full]).repartition("h"), level + 1)
             self.work.drop(*[n for n, _ in full])
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
-        for r in runs[1:]:
-            both = both.unionByName(r)
-        return both.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def add(self, hashes: DataFrame) -> None:
-        """A batch's own run: (h, doc_id) in, counted before it is shuffled."""
-        self._write(hashes.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
-
-    def new(self, hashes: DataFrame) -> DataFrame:
-        """Those of a batch's hashes that no run holds."""
-        for level in self.levels:
-            for _, run in level:
-                hashes = hashes.join(run.select("h"), "h", "left_anti")
-        return hashes
-
-    def merged(self) -> DataFrame | None:
-        """All runs as one table."""
+    def all(self) -> DataFrame | None:
+        """(h, n_docs, last_doc) of all runs: each hash once, without the additions."""
         runs = [r for level in self.levels for _, r in level]
-        return self._merge(runs) if len(runs) > 1 else runs[0] if runs else None
+        return _union(runs) if runs else None
+
+    def add(self, hashes: DataFrame) -> DataFrame:
+        """A batch's distinct (h, doc_id): its lines are counted and merge-joined with the runs once. Those of no run
+        become the batch's own run, those of one are noted as additions. Returns (h, n_docs, last_doc, known)."""
+        own, held = hashes.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), self.all()
+        if held is None:
+            met = own.withColumn("known", F.lit(False))
+        else:
+            met = own.hint("merge").join(held.select("h", F.lit(True).alias("known")), "h", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        met = self.work.cut(met, f"met{self.made}_{len(self.added)}", "known")
+        self._write(met.filter("NOT known").drop("known"), 0)
+        self.added.append(met.filter("known").drop("known"))
+        return met
+
+    def frequent(self, least: int) -> DataFrame:
+        """(h, last_doc) of the lines that at least so many documents hold."""
+        added, held = _union(self.added), self.all()
+        again = held.join(added.select("h").distinct(), "h", "left_semi")
+        summed = again.union(added).groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        # the rest stands in one batch alone
+        once = held.filter(F.col("n_docs") >= least).join(added.select("h").distinct(), "h", "left_anti")
+        return summed.filter(F.col("n_docs") >= least).union(once).select("h", "last_doc")
+
+    def drop(self) -> None:
+        """Delete everything."""
+        self.work.drop("")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def rebuilt(df: DataFrame, drops: DataFrame, min_chars: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -110,7 +133,7 @@ def rebuilt(df: DataFrame, drops: DataFrame, min_chars: int, text: str = "text",
         return pd.DataFrame(rows, columns=["kept", "n_lines", "n_dropped"])
 
     own = df.drop("kept", "n_lines", "n_dropped")
-    joined = own.join(drops.withColumnRenamed("doc_id", "__doc").hint("shuffle_hash"), F.col(id_col) == F.col("__doc"), "left")
+    joined = own.join(drops.withColumnRenamed("doc_id", "__doc"), F.col(id_col) == F.col("__doc"), "left")
     made = joined.withColumn("__made", without(F.col(text), F.col("__drop")))
     return made.select(*own.columns, "__made.kept", "__made.n_lines", "__made.n_dropped")
 
@@ -121,17 +144,17 @@ def _gathered(pairs: DataFrame) -> DataFrame:
 
 def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, text: str = "text", id_col: str = "doc_id", batches: int = BATCHES) -> DataFrame:
     """df with kept, n_lines and n_dropped: lines found in at least min_docs documents stay in the one of the largest
-    id alone. Batches are dealt by a hash of the id."""
-    spark = df.sparkSession
-    runs = Runs(spark)
-    hashes = line_hashes(df, min_chars, text, id_col)
+    id alone. Batches are dealt by a hash of the id, so a document that several rows stand for is in one batch."""
+    runs = Runs(df.sparkSession)
+    # (h, doc_id) once each: rows that repeat an id are one document
+    hashes = line_hashes(df, min_chars, text, id_col).distinct()
     hashes = runs.work.cut(hashes.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "hashes", "batch")
     for b in range(batches):
         runs.add(hashes.filter(F.col("batch") == b).select("h", "doc_id"))
-    common = runs.work.cut(runs.merged().filter(F.col("n_docs") >= min_docs).select("h", "last_doc"), "common")
+    common = runs.work.cut(runs.frequent(min_docs), "common")
     lost = hashes.join(common, "h").filter(F.col("doc_id") < F.col("last_doc")).select("doc_id", "h")
-    drops = runs.work.cut(_gathered(lost), "drops")
-    runs.work.drop("hashes", "common", *[n for level in runs.levels for n, _ in level])
+    drops = Work(df.sparkSession).cut(_gathered(lost), "drops")
+    runs.drop()
     return rebuilt(df, drops, min_chars, text, id_col)
 
 
@@ -139,10 +162,9 @@ def dedup_batch(df: DataFrame, runs: Runs, min_chars: int = 40, text: str = "tex
     """df with kept, n_lines and n_dropped, without the lines that the runs hold or that a document of a smaller id
     holds; the batch's run is added."""
     name = f"batch{runs.made}"
-    hashes = runs.work.cut(line_hashes(df, min_chars, text, id_col), name)
-    fresh = runs.new(hashes)
-    first = runs.work.cut(fresh.groupBy("h").agg(F.min("doc_id").alias("first")), f"{name}_first")
+    hashes = runs.work.cut(line_hashes(df, min_chars, text, id_col).distinct(), name)
+    met = runs.add(hashes)
+    first = hashes.join(met.filter(~F.col("known")).select("h"), "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("first"))
     lost = hashes.join(first, "h", "left").filter(F.col("first").isNull() | (F.col("doc_id") > F.col("first"))).select("doc_id", "h")
     drops = runs.work.cut(_gathered(lost), f"{name}_drops")
-    runs.add(hashes)
     return rebuilt(df, drops, min_chars, text, id_col)
