@@ -133,7 +133,7 @@ def rebuilt(df: DataFrame, drops: DataFrame, min_chars: int, text: str = "text",
         return pd.DataFrame(rows, columns=["kept", "n_lines", "n_dropped"])
 
     own = df.drop("kept", "n_lines", "n_dropped")
-    joined = own.join(drops.withColumnRenamed("doc_id", "__doc"), F.col(id_col) == F.col("__doc"), "left")
+    joined = own.join(drops.withColumnRenamed("doc_id", "__doc").hint("merge"), F.col(id_col) == F.col("__doc"), "left")
     made = joined.withColumn("__made", without(F.col(text), F.col("__drop")))
     return made.select(*own.columns, "__made.kept", "__made.n_lines", "__made.n_dropped")
 
