@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import statistics
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, half_up, last_rows, ratio, safe_corr
+from ..functions.columns import draw, half_up, last_rows, poisson_weight, ratio
+from ..functions.pooled import pooled_spearman
 from .altdata import share_below
 from .signals import bootstrap_ic_ci
 
+#: Fixed value: the Euler-Mascheroni constant.
+EULER = 0.5772156649015329
 SPANS = "fold int, date date, role string"
 
 
@@ -38,10 +45,10 @@ def _fit(est, df: DataFrame, features: list[str], share: float) -> tuple[DataFra
 
 def _report(scored: DataFrame, name: str) -> DataFrame:
     """(model, role, r2, ic, n) from columns ret and prediction."""
-    x = Window.partitionBy("role")
-    r = scored.select("role", "ret", "prediction", average_rank("ret", x, "role").alias("a"), average_rank("prediction", x, "role").alias("b"))
     mse, var = F.avg((F.col("ret") - F.col("prediction")) ** 2), F.var_pop("ret")
-    return r.groupBy("role").agg((1 - ratio(mse, var)).alias("r2"), safe_corr(F.col("a"), F.col("b")).alias("ic"), F.count("*").alias("n")).select(F.lit(name).alias("model"), "role", "r2", "ic", "n")
+    fit = scored.groupBy("role").agg((1 - ratio(mse, var)).alias("r2"))
+    ic = pooled_spearman(scored, ["role"], "ret", "prediction").withColumnRenamed("corr", "ic")
+    return fit.join(ic, "role").select(F.lit(name).alias("model"), "role", "r2", "ic", "n")
 
 
 def gbt_alpha(df: DataFrame, features: list[str], trees: int = 200, depth: int = 5, seed: int = 42) -> DataFrame:
@@ -117,35 +124,64 @@ def combinatorial_purged_cv(dates: DataFrame, groups: int = 6, tests: int = 2, e
     return j.select("fold", "date", role.alias("role"))
 
 
-def walk_forward_eval(df: DataFrame, features: list[str], make=None, train: int = 504, test: int = 63, step: int = 21) -> DataFrame:
-    """(n_folds, ic_mean, ic_std, t_stat, significant): a fit for each fold, its ICs from one grouped pass."""
-    from pyspark.ml.regression import LinearRegression
-
-    make = make or (lambda: LinearRegression(featuresCol="features", labelCol="ret", regParam=0.1))
-    splits = walk_forward_splits(df, train, test, step)
+def _fold_scores(df: DataFrame, features: list[str], splits: DataFrame, make) -> DataFrame | None:
+    """(fold, ret, prediction) of each fold's test rows; make gives an estimator, or is a Column that needs no fit."""
     data = _vector(df.dropna().select("date", "ticker", *features, "ret"), features)
+    if isinstance(make, Column):
+        held = splits.filter("role = 'test'")
+        return data.join(F.broadcast(held), "date").select("fold", "ret", make.cast("double").alias("prediction"))
     folds = [r.fold for r in splits.select("fold").distinct().orderBy("fold").collect()]  # as many as fits
     scored = None
     for f in folds:
         j = data.join(F.broadcast(splits.filter(F.col("fold") == f)), "date")
         out = make().fit(j.filter("role = 'train'")).transform(j.filter("role = 'test'")).select("fold", "ret", "prediction")
         scored = out if scored is None else scored.unionByName(out)
+    return scored
+
+
+def fold_metrics(scored: DataFrame) -> DataFrame:
+    """(fold, ic, r2): Spearman's correlation (0 where a side does not vary) and the share of variance explained."""
+    tidy = scored.select("fold", "ret", "prediction").dropna()
+    mean = F.avg("ret").over(Window.partitionBy("fold"))
+    ss = tidy.withColumn("m", mean).groupBy("fold").agg(F.sum((F.col("ret") - F.col("prediction")) ** 2).alias("res"), F.sum((F.col("ret") - F.col("m")) ** 2).alias("tot"))
+    r2 = ss.select("fold", F.coalesce(1 - ratio("res", "tot"), F.lit(0.0)).alias("r2"))
+    return pooled_spearman(tidy, ["fold"], "ret", "prediction").select("fold", F.coalesce("corr", F.lit(0.0)).alias("ic")).join(r2, "fold")
+
+
+def walk_forward_eval(df: DataFrame, features: list[str], make=None, train: int = 504, test: int = 63, step: int = 21) -> DataFrame:
+    """(n_folds, ic_mean, ic_std, t_stat, r2_mean, significant): a fit for each fold, its figures from one grouped pass.
+    The mean and t count folds alike; without folds one row of zeros."""
+    from pyspark.ml.regression import LinearRegression
+
+    make = make if make is not None else (lambda: LinearRegression(featuresCol="features", labelCol="ret", regParam=0.1))
+    scored = _fold_scores(df, features, walk_forward_splits(df, train, test, step), make)
     if scored is None:
-        return df.sparkSession.createDataFrame([], "n_folds long, ic_mean double, ic_std double, t_stat double, significant boolean")
-    x = Window.partitionBy("fold")
-    r = scored.select("fold", average_rank("ret", x, "fold").alias("a"), average_rank("prediction", x, "fold").alias("b"))
-    ic = r.groupBy("fold").agg(safe_corr(F.col("a"), F.col("b")).alias("ic"))
-    t = ratio(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count("ic"))
-    return ic.agg(F.count("*").alias("n_folds"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), t.alias("t_stat"), ((F.avg("ic") > 0.03) & (t > 2)).alias("significant"))
+        scored = df.sparkSession.createDataFrame([], "fold int, ret double, prediction double")
+    t = F.coalesce(ratio(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count("ic")), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return fold_metrics(scored).agg(F.count("*").alias("n_folds"), zero(F.avg("ic")).alias("ic_mean"), zero(F.stddev_samp("ic")).alias("ic_std"), t.alias("t_stat"), zero(F.avg("r2")).alias("r2_mean"), (zero(F.avg("ic")) > 0.03).alias("__ic")).withColumn("significant", F.col("__ic") & (F.col("t_stat") > 2)).drop("__ic")
 
 
-def model_comparison(df: DataFrame, features: list[str], makers: dict, **spans: int) -> DataFrame:
-    """walk_forward_eval by model, with beats_all: is its IC above every other's?"""
-    parts = [walk_forward_eval(df, features, m, **spans).withColumn("model", F.lit(n)) for n, m in makers.items()]
+def model_comparison(df: DataFrame, features: list[str], makers: dict, baselines: dict[str, Column] | None = None, **spans: int) -> DataFrame:
+    """walk_forward_eval by model, with the models' plain scores beside them (baselines: columns of features that need no
+    fit), with dsr, the chance that the mean IC is above what the best of as many tries has by luck, and
+    beats_all_baselines."""
+    parts = [walk_forward_eval(df, features, m, **spans).withColumns({"model": F.lit(n), "is_baseline": F.lit(plain)}) for plain, group in ((False, makers), (True, baselines or {})) for n, m in group.items()]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return both.withColumn("beats_all", F.col("ic_mean") == F.max("ic_mean").over(Window.partitionBy()))
+    trials, normal = len(parts), statistics.NormalDist()
+    luck = (1 - EULER) * normal.inv_cdf(1 - 1 / trials) + EULER * normal.inv_cdf(1 - 1 / (trials * math.e)) if trials > 1 else 0.0
+
+    @F.pandas_udf("double")
+    def phi(z: pd.Series) -> pd.Series:
+        own = statistics.NormalDist()
+        return z.map(lambda v: own.cdf(v) if v == v else 0.0)
+
+    # (mean - luck * se) / se
+    z = F.when((F.col("n_folds") >= 2) & (F.col("ic_std") > 0), F.col("ic_mean") / F.col("ic_std") * F.sqrt("n_folds") - luck)
+    best = F.coalesce(F.max(F.when(F.col("is_baseline"), F.col("ic_mean"))).over(Window.partitionBy()), F.lit(0.0))  # a row for each model
+    return both.withColumn("dsr", F.when(z.isNull(), 0.0).otherwise(phi(F.coalesce(z, F.lit(0.0))))).withColumn("beats_all_baselines", ~F.col("is_baseline") & (F.col("ic_mean") > best))
 
 
 def train_test_gap(scores: DataFrame, most: float = 0.15) -> DataFrame:
@@ -180,9 +216,7 @@ def complexity_curve(df: DataFrame, features: list[str], strengths: tuple[float,
 
 def overfit_probability(ics: DataFrame, b: int = 1000, seed: int = 13) -> DataFrame:
     """(signal, p): the share of bootstrap means at or below zero."""
-    cut = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "signal", "date", "i"), 11) / F.lit(float(2**53))
-    drawn = ics.select("signal", "date", "ic", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("i")).withColumn("w", sum((F.when(u >= c, 1).otherwise(0) for c in cut), F.lit(0)))
+    drawn = ics.select("signal", "date", "ic", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("i")).withColumn("w", poisson_weight(draw(seed, "signal", "date", "i")))
     means = drawn.groupBy("signal", "i").agg(F.sum(F.col("w") * F.col("ic")).alias("s"))
     return means.groupBy("signal").agg(F.avg((F.col("s") <= 0).cast("double")).alias("p"))
 
@@ -204,15 +238,24 @@ def perturbed(df: DataFrame, columns: list[str], kind: str = "noise", size: floa
 
 
 def regime_clusters(returns: DataFrame, k: int = 2, window: int = 20, seed: int = 42) -> DataFrame:
-    """(date, ret, vol, label): k-means on the standardised return and rolling deviation of one series."""
+    """(date, ret, vol, label, p0, p1, …): k-means on the standardised return and rolling deviation of one series, and
+    how near each row is to the k centres: the softmax of the squared distances, in units of twice the largest. The
+    labels' transition_matrix is the other half of such a model."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     w = Window.orderBy("date")  # one series
     r = returns.withColumn("vol", F.stddev_samp("ret").over(last_rows(w, window))).dropna()
     stages = [VectorAssembler(inputCols=["ret", "vol"], outputCol="v"), StandardScaler(inputCol="v", outputCol="s", withMean=True), KMeans(featuresCol="s", predictionCol="label", k=k, maxIter=100, tol=1e-4, seed=seed)]
-    return Pipeline(stages=stages).fit(r).transform(r).select("date", "ret", "vol", "label")
+    model = Pipeline(stages=stages).fit(r)
+    at = vector_to_array("s")
+    far = F.array(*[sum(((at[i] - float(x)) ** 2 for i, x in enumerate(c)), F.lit(0.0)) for c in model.stages[-1].clusterCenters()])
+    near = F.transform("__far", lambda d: F.exp(-d / (2 * F.array_max("__far") + 1e-10)))
+    total = F.aggregate("__near", F.lit(0.0), lambda a, x: a + x)
+    out = model.transform(r).withColumn("__far", far).withColumn("__near", near)
+    return out.select("date", "ret", "vol", "label", *[(F.col("__near")[i] / total).alias(f"p{i}") for i in range(k)])
 
 
 def transition_matrix(labels: DataFrame, key: str = "series") -> DataFrame:
@@ -241,14 +284,21 @@ def market_state(vol: DataFrame, key: str = "ticker") -> DataFrame:
 
 
 def feature_compression(df: DataFrame, features: list[str], d: int = 16) -> DataFrame:
-    """(n, d, explained, error): standardised, projected on d principal components and back."""
+    """(n, d, explained, error): standardised, projected on d principal components and back; error is the mean square of
+    what a feature of a row loses on the way."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import vector_to_array
 
     v = _vector(df.dropna(subset=features), features)
     model = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="s", withMean=True), PCA(k=d, inputCol="s", outputCol="p")]).fit(v)
     share = float(sum(model.stages[1].explainedVariance))
-    return v.agg(F.count("*").alias("n")).select("n", F.lit(d).alias("d"), F.lit(share).alias("explained"), F.lit(1 - share).alias("error"))
+    axes = model.stages[1].pc.toArray()  # features x d
+    lost = np.eye(len(features)) - axes @ axes.T  # what projecting and coming back loses
+    at = vector_to_array("s")
+    left = [sum((float(x) * at[i] for i, x in enumerate(row)), F.lit(0.0)) for row in lost]
+    error = F.avg(sum((e * e for e in left), F.lit(0.0)) / len(features))
+    return model.transform(v).agg(F.count("*").alias("n"), error.alias("error")).select("n", F.lit(d).alias("d"), F.lit(share).alias("explained"), "error")
 
 
 def cosine_top(vectors: DataFrame, top: int = 10, by: str = "label") -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import average_rank, last_rows, ratio, safe_corr
-from .altdata import share_below
+from ..functions.pooled import pooled_ranks, pooled_spearman
 
 CROSS = ("date", "feature")
 SERIES = ("ticker", "feature")
@@ -61,11 +65,21 @@ def zscore_temporal(df: DataFrame, least: int = 60, keys: tuple[str, ...] = SERI
 
 
 def percentile_temporal(df: DataFrame, least: int = 60, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """The share of the history so far below the value, from least known values on. A history is one ticker's feature:
-    as long as its days."""
-    w = _expanding(keys)
-    held = df.withColumn("__f", F.collect_list("value").over(w))
-    return held.withColumn("percentile", F.when((F.size("__f") >= least) & F.col("value").isNotNull(), share_below("value", F.col("__f")))).drop("__f")
+    """The share of the history so far below the value, from least known values on. A series is worked off in the order
+    of its dates against its sorted history, so its cost is that of sorting it; series run in parallel."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", kind="stable")
+        held: list[float] = []
+        share = []
+        for v in pdf["value"]:
+            known = v is not None and v == v
+            if known:
+                insort(held, v)
+            share.append(bisect_left(held, v) / len(held) if known and len(held) >= least else None)
+        return pdf.assign(percentile=pd.array(share, "Float64"))
+
+    return df.groupBy(*keys).applyInPandas(walk, StructType([*df.schema.fields, StructField("percentile", DoubleType())]))
 
 
 def mutual_information(df: DataFrame) -> DataFrame:
@@ -81,16 +95,14 @@ def mutual_information(df: DataFrame) -> DataFrame:
 
 
 def spearman_importance(df: DataFrame) -> DataFrame:
-    """(feature, importance): |Spearman| of value and target."""
-    x = Window.partitionBy("feature")
-    r = df.select("feature", average_rank("value", x, "feature").alias("rv"), average_rank("target", x, "feature").alias("rt"))
-    return r.groupBy("feature").agg(F.abs(safe_corr(F.col("rv"), F.col("rt"))).alias("importance"))
+    """(feature, importance): |Spearman| of value and target, over all rows."""
+    return pooled_spearman(df, ["feature"], "value", "target").select("feature", F.abs("corr").alias("importance"))
 
 
 def feature_correlations(df: DataFrame) -> DataFrame:
     """(f1, f2, corr): |Spearman| of each pair of features over their common (date, ticker) rows."""
-    x = Window.partitionBy("feature")
-    r = df.filter("value IS NOT NULL").select("date", "ticker", "feature", average_rank("value", x, "feature").alias("r"))
+    known = df.filter("value IS NOT NULL").select("date", "ticker", "feature", "value")
+    r = pooled_ranks(known, ["feature"], "value").withColumnRenamed("rank_value", "r")
     a, b = r.alias("a"), r.alias("b")
     j = a.join(b, (F.col("a.date") == F.col("b.date")) & (F.col("a.ticker") == F.col("b.ticker")) & (F.col("a.feature") < F.col("b.feature")))
     return j.groupBy(F.col("a.feature").alias("f1"), F.col("b.feature").alias("f2")).agg(F.abs(safe_corr(F.col("a.r"), F.col("b.r"))).alias("corr"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import statistics
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_sum, last_rows, ratio
+from ..functions.columns import draw, exact_sum, last_rows, ratio
 
 YEAR = 252
+#: Fixed value: the Euler-Mascheroni constant.
+EULER = 0.5772156649015329
 SEED_NAV = 1e6
 
 # Shocks of the built-in scenarios by factor.
@@ -165,7 +168,7 @@ def deflated_sharpe(returns: DataFrame, trials: int, key: str = "strategy") -> D
     by luck, with skewness and kurtosis."""
     normal = statistics.NormalDist()
     n = max(2, trials)
-    best = (1 - 0.5772156649015329) * normal.inv_cdf(1 - 1 / n) + 0.5772156649015329 * normal.inv_cdf(1 - 1 / (n * 2.718281828459045))
+    best = (1 - EULER) * normal.inv_cdf(1 - 1 / n) + EULER * normal.inv_cdf(1 - 1 / (n * math.e))
     a = returns.groupBy(key).agg(ratio(F.avg("ret"), F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("g"), F.kurtosis("ret").alias("k"), F.count("*").alias("n"))
     a = a.withColumn("expected_max", best / F.sqrt("n"))
     se = F.sqrt(F.greatest((1 - F.col("g") * F.col("sr") + (F.col("k") + 2) / 4 * F.col("sr") ** 2) / (F.col("n") - 1), F.lit(1e-12)))
@@ -178,14 +181,19 @@ def deflated_sharpe(returns: DataFrame, trials: int, key: str = "strategy") -> D
     return a.select(key, F.col("sr").alias("sharpe"), "expected_max", phi((F.col("sr") - F.col("expected_max")) / se).alias("dsr"))
 
 
+def bootstrap_ci(series: DataFrame, b: int = 1000, level: float = 0.95, seed: int = 17, key: str = "strategy") -> DataFrame:
+    """(key, low, high): percentiles of the mean over b resamples of single rows."""
+    return block_bootstrap(series, b, 1, level, seed, key)
+
+
 def block_bootstrap(series: DataFrame, b: int = 200, block: int = 10, level: float = 0.95, seed: int = 17, key: str = "strategy") -> DataFrame:
     """(key, low, high): percentiles of the mean over b resamples made of blocks of consecutive rows. A resample is a
-    list of block starts by a seeded hash, joined to the rows by position."""
+    list of block starts by a seeded digest, joined to the rows by position."""
     w = Window.partitionBy(key).orderBy("date")
     s = series.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(key)))
     n = s.groupBy(key).agg(F.max("n").alias("n"))
     starts = n.select(key, "n", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("i")).select(key, "n", "i", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("j"))
-    first = F.pmod(F.xxhash64(F.lit(seed), key, "i", "j"), F.greatest(F.col("n") - block + 1, F.lit(1)))
+    first = F.floor(draw(seed, key, "i", "j") * F.greatest(F.col("n") - block + 1, F.lit(1)))
     places = starts.withColumn("first", first).select(key, "i", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + block, F.col("n")) - 1)).alias("k"))
     m = places.join(s.select(key, "k", "ret"), [key, "k"]).groupBy(key, "i").agg(F.avg("ret").alias("m"))
     tail = (1 - level) / 2

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, by_ticker, last_rows, ratio, safe_corr
+from ..functions.columns import average_rank, by_ticker, draw, last_rows, poisson_weight, ratio, safe_corr
+from ..functions.pooled import pooled_ranks, pooled_spearman
 
 YEAR = 252
 
@@ -36,9 +37,7 @@ def signal_turnover(signals: DataFrame) -> DataFrame:
 def crowding(signal: DataFrame, existing: DataFrame, least: int = 10) -> DataFrame:
     """(crowding): the largest |Spearman|, pooled, with an existing signal; more than least common rows."""
     j = signal.select("date", "ticker", "score").join(existing.select("date", "ticker", F.col("signal").alias("other"), F.col("score").alias("theirs")), ["date", "ticker"])
-    x = Window.partitionBy("other")
-    r = j.select("other", average_rank("score", x, "other").alias("a"), average_rank("theirs", x, "other").alias("b"))
-    each = r.groupBy("other").agg(F.abs(safe_corr(F.col("a"), F.col("b"))).alias("c"), F.count("*").alias("n")).filter(F.col("n") > least)
+    each = pooled_spearman(j, ["other"], "score", "theirs").select(F.abs("corr").alias("c"), "n").filter(F.col("n") > least)
     return each.agg(F.coalesce(F.max("c"), F.lit(0.0)).alias("crowding"))
 
 
@@ -92,12 +91,8 @@ def score_signals_fdr(scored: DataFrame, fdr: float = 0.1) -> DataFrame:
 
 def bootstrap_ic_ci(ics: DataFrame, b: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
     """(signal, low, high): percentiles of the means of b resamples of the dates, each date drawn with Poisson(1)
-    weights by a seeded hash; (0, 0) below ten dates. Rows are reduced map-side, so b copies of a date never meet."""
-    # inverse distribution of Poisson(1) at a hashed uniform number
-    cut = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885]
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "signal", "date", "i"), 11) / F.lit(float(2**53))
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cut), F.lit(0))
-    drawn = ics.select("signal", "date", "ic", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("i")).withColumn("w", weight)
+    weights by a seeded digest; (0, 0) below ten dates. Rows are reduced map-side, so b copies of a date never meet."""
+    drawn = ics.select("signal", "date", "ic", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("i")).withColumn("w", poisson_weight(draw(seed, "signal", "date", "i")))
     means = drawn.groupBy("signal", "i").agg(ratio(F.sum(F.col("w") * F.col("ic")), F.sum("w").cast("double")).alias("m"), F.count("*").alias("n"))
     tail = (1 - level) / 2
     return means.groupBy("signal").agg(F.when(F.max("n") < 10, 0.0).otherwise(F.percentile("m", tail)).alias("low"), F.when(F.max("n") < 10, 0.0).otherwise(F.percentile("m", 1 - tail)).alias("high"))
@@ -218,9 +213,7 @@ def expression_search(wide: DataFrame, names: list[str], target: str, population
     found = {t: (c, k) for t, c, k in (_expression(r, names, r.randint(1, 3)) for _ in range(population))}
     cols = [F.struct(F.lit(t).alias("expression"), F.lit(k).alias("size"), c.cast("double").alias("v")) for t, (c, k) in found.items()]
     long = wide.select(F.col(target).alias("y"), F.explode(F.array(*cols)).alias("e")).select("y", "e.*").filter("v IS NOT NULL AND y IS NOT NULL AND NOT isnan(v)")
-    x = Window.partitionBy("expression")
-    ranks = long.select("expression", "size", average_rank("v", x, "expression").alias("a"), average_rank("y", x, "expression").alias("b"))
-    out = ranks.groupBy("expression", "size").agg(safe_corr(F.col("a"), F.col("b")).alias("ic"), F.count("*").alias("n")).filter("n >= 50 AND ic IS NOT NULL")
+    out = pooled_spearman(long, ["expression", "size"], "v", "y").withColumnRenamed("corr", "ic").filter("n >= 50 AND ic IS NOT NULL")
     return out.select("expression", "size", "ic", (F.abs("ic") - cost * F.col("size")).alias("fitness")).orderBy(F.desc("fitness"), "expression").limit(top)
 
 
@@ -265,8 +258,7 @@ def ensemble_diversity(predictions: DataFrame, models: list[str], limit: float =
     """(mean_corr, n, warning): mean |Spearman| of the models' pairs over complete rows; 0 below five rows."""
     wide = predictions.groupBy("date", "ticker").pivot("model", models).agg(F.first("score")).dropna()
     long = wide.unpivot(["date", "ticker"], models, "model", "score")
-    x = Window.partitionBy("model")
-    r = long.select("date", "ticker", "model", average_rank("score", x, "model").alias("r"))
+    r = pooled_ranks(long, ["model"], "score").withColumnRenamed("rank_score", "r")
     a, b = r.alias("a"), r.alias("b")
     on = (F.col("a.date") == F.col("b.date")) & (F.col("a.ticker") == F.col("b.ticker")) & (F.col("a.model") < F.col("b.model"))
     each = a.join(b, on).groupBy(F.col("a.model").alias("m1"), F.col("b.model").alias("m2")).agg(F.abs(safe_corr(F.col("a.r"), F.col("b.r"))).alias("c"), F.count("*").alias("n"))

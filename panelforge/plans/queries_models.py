@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import half_up, rounded
+from ..functions.columns import POISSON, half_up, rounded
 from ..operators import models as mod
 from ..operators import normalise as norm
 from ..operators import pairs
@@ -27,6 +29,7 @@ def features(spark, sf) -> DataFrame:
     return views.signals(spark, sf).select("date", "ticker", F.col("signal").alias("feature"), F.col("score").alias("value"))
 
 
+NAMES = ["mom", "rev", "vol"]
 FEAT = "feat AS (SELECT date, ticker, signal AS feature, score AS value FROM signals)"
 X = "OVER (PARTITION BY date, feature)"
 EXPAND = "OVER (PARTITION BY ticker, feature ORDER BY date ROWS UNBOUNDED PRECEDING)"
@@ -196,7 +199,18 @@ def e08(spark, sf):
     return rounded(sig.score_signals_fdr(scored(spark, sf)))
 
 
-@query("e09_bootstrap_ic_ci")
+def draw_sql(seed: int, *parts: str) -> str:
+    """A number in [0, 1) by the first 32 bits of a digest."""
+    return f"(('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def resampled_sql(b: int, seed: int) -> str:
+    times = " + ".join(f"CAST(u >= {c} AS INT)" for c in POISSON)
+    return f"""{ICS}, dr AS (SELECT signal, date, ic, i, {draw_sql(seed, 'signal', 'date', 'i')} AS u FROM ics, (SELECT unnest(range(1, {b} + 1)) AS i)), dw AS (SELECT *, {times} AS w FROM dr),
+    ms AS (SELECT signal, i, sum(w * ic) AS s, sum(w * ic) / nullif(sum(w), 0) AS m, count(*) AS n FROM dw GROUP BY 1, 2)"""
+
+
+@query("e09_bootstrap_ic_ci", f"WITH {resampled_sql(200, 7)} SELECT signal, CASE WHEN max(n) < 10 THEN 0 ELSE {r('quantile_cont(m, 0.025)')} END AS low, CASE WHEN max(n) < 10 THEN 0 ELSE {r('quantile_cont(m, 0.975)')} END AS high FROM ms GROUP BY signal")
 def e09(spark, sf):
     return rounded(sig.bootstrap_ic_ci(ics(spark, sf), 200))
 
@@ -257,7 +271,14 @@ def e15(spark, sf):
     return rounded(sig.ic_half_life(ics(spark, sf)))
 
 
-@query("e16_linear_combos")
+def combos_sql() -> str:
+    """The coefficients as a table: the same seeded draws."""
+    g = random.Random(3)
+    rows = [(f"combo_{i}", f, g.gauss(0, 1)) for i in range(10) for f in g.sample(NAMES, min(len(NAMES), g.randint(2, 5)))]
+    return ", ".join(f"('{c}', '{f}', {v!r}::DOUBLE)" for c, f, v in rows)
+
+
+@query("e16_linear_combos", f"WITH {FEAT}, co(candidate, feature, coef) AS (VALUES {combos_sql()}) SELECT date, ticker, candidate, {r('sum(coef * coalesce(value, 0))')} AS value FROM feat JOIN co USING (feature) GROUP BY 1, 2, 3")
 def e16(spark, sf):
     return rounded(sig.linear_combos(features(spark, sf), ["mom", "rev", "vol"], 10))
 
@@ -334,7 +355,6 @@ def f01(spark, sf):
     return mod.temporal_split(wide(spark, sf)).groupBy("role").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-NAMES = ["mom", "rev", "vol"]
 
 
 @query("f02_gbt_alpha")
@@ -388,7 +408,8 @@ def f10(spark, sf):
     from pyspark.ml.regression import LinearRegression
 
     makers = {f"ridge_{s}": (lambda s=s: LinearRegression(featuresCol="features", labelCol="ret", regParam=s)) for s in (0.01, 1.0)}
-    return rounded(mod.model_comparison(wide(spark, sf), NAMES, makers, train=1200, test=63, step=900))
+    plain = {"zero": F.lit(0.0), "mean_reversion": F.col("rev"), "momentum": F.col("mom")}
+    return rounded(mod.model_comparison(wide(spark, sf), NAMES, makers, plain, train=1200, test=63, step=900))
 
 
 @query("f11_train_test_gap", f"WITH {ICS}, s AS (SELECT signal AS model, avg(ic) FILTER (WHERE year(date) < 1996) AS train, avg(ic) FILTER (WHERE year(date) >= 1996) AS test FROM ics GROUP BY signal) SELECT model, {r('train')} AS train, {r('test')} AS test, {r('train - test')} AS gap, {r('test / nullif(train, 0)')} AS ratio, train - test > 0.15 AS overfit FROM s")
@@ -408,7 +429,7 @@ def f12_complexity(spark, sf):
     return rounded(mod.complexity_curve(wide(spark, sf), NAMES, (0.1, 1.0)))
 
 
-@query("f13_overfit_probability")
+@query("f13_overfit_probability", f"WITH {resampled_sql(200, 13)} SELECT signal, {r('avg(CAST(s <= 0 AS DOUBLE))')} AS p FROM ms GROUP BY signal")
 def f13(spark, sf):
     return rounded(mod.overfit_probability(ics(spark, sf), 200))
 
@@ -427,6 +448,12 @@ def f15(spark, sf):
     return rounded(mod.regime_clusters(market(spark, sf)))
 
 
+@query("f15_regime_transitions")
+def f15_transitions(spark, sf):
+    labels = mod.regime_clusters(market(spark, sf)).select("date", "label", F.lit("market").alias("series"))
+    return rounded(mod.transition_matrix(labels))
+
+
 @query("f16_transition_matrix", f"""WITH l AS (SELECT ticker, CASE WHEN ret > 0.05 THEN 'up' WHEN ret < -0.05 THEN 'down' ELSE 'flat' END AS label, date FROM returns), m AS (SELECT label, lead(label) OVER (PARTITION BY ticker ORDER BY date) AS nx FROM l), c AS (SELECT label AS from_label, nx AS to_label, count(*) AS n FROM m WHERE nx IS NOT NULL GROUP BY 1, 2)
     SELECT from_label, to_label, n, {r('n / sum(n) OVER (PARTITION BY from_label)')} AS p FROM c""")
 def f16(spark, sf):

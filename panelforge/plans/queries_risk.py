@@ -13,7 +13,7 @@ from ..operators import risk
 from ..streaming import jobs
 from . import views
 from .queries_data import AS_OF, r
-from .queries_models import corr_sql, market, scored, wide
+from .queries_models import corr_sql, draw_sql, market, scored, wide
 from .registry import query
 
 def units(x: str, more: str = "") -> str:
@@ -323,7 +323,20 @@ def i15(spark, sf):
     return rounded(risk.deflated_sharpe(strategy_returns(spark, sf), 20))
 
 
-@query("i16_block_bootstrap")
+def blocks_sql(b: int, block: int, level: float = 0.95, seed: int = 17) -> str:
+    tail = (1 - level) / 2
+    return f"""WITH {SR}, s AS (SELECT strategy, ret, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS k, count(*) OVER (PARTITION BY strategy) AS n FROM sr), n AS (SELECT strategy, max(n) AS n FROM s GROUP BY 1),
+    st AS (SELECT strategy, n, i, unnest(range(0, CAST(ceil(n / {block}) AS BIGINT))) AS j FROM n, (SELECT unnest(range(1, {b} + 1)) AS i)), fi AS (SELECT *, CAST(floor({draw_sql(seed, 'strategy', 'i', 'j')} * greatest(n - {block} + 1, 1)) AS BIGINT) AS f FROM st),
+    pl AS (SELECT strategy, i, unnest(range(f, least(f + {block}, n))) AS k FROM fi), m AS (SELECT strategy, i, avg(ret) AS m FROM pl JOIN s USING (strategy, k) GROUP BY 1, 2)
+    SELECT strategy, {r(f'quantile_cont(m, {tail})')} AS low, {r(f'quantile_cont(m, {1 - tail})')} AS high FROM m GROUP BY 1"""
+
+
+@query("i16_bootstrap_ci", blocks_sql(100, 1))
+def i16_ci(spark, sf):
+    return rounded(risk.bootstrap_ci(strategy_returns(spark, sf), 100))
+
+
+@query("i16_block_bootstrap", blocks_sql(100, 5))
 def i16(spark, sf):
     return rounded(risk.block_bootstrap(strategy_returns(spark, sf), 100, 5))
 
@@ -344,7 +357,18 @@ def i17(spark, sf):
     return rounded(risk.backtest(scores(spark, sf), views.bars(spark, sf), 5.0, 5))
 
 
-@query("i18_parameter_sweep")
+def sweep_sql(costs: tuple[float, ...], freqs: tuple[int, ...]) -> str:
+    """The backtest and its summary for each point, one below the other."""
+    def point(c: float, f: int) -> str:
+        body = BT.format(f=f).replace("turnover * 5 / 1e4", f"turnover * {c} / 1e4")
+        return f"""SELECT md5('{{"cost_bps":{c},"freq":{f}}}') AS point_id, {c}::DOUBLE AS cost_bps, {f} AS freq, coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252), 0) AS sharpe, product(1 + ret) - 1 AS total, max(1 - c / m) AS max_drawdown
+            FROM (WITH {body}, cu AS (SELECT date, ret, product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS c FROM bn) SELECT date, ret, c, greatest(1.0, max(c) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS m FROM cu)"""
+
+    points = " UNION ALL ".join(point(c, f) for c in costs for f in freqs)
+    return f"WITH p AS ({points}) SELECT point_id, cost_bps, freq, {r('sharpe')} AS sharpe, {r('total')} AS total, {r('max_drawdown')} AS max_drawdown, CAST(row_number() OVER (ORDER BY sharpe DESC, point_id) AS INT) AS rank FROM p"
+
+
+@query("i18_parameter_sweep", sweep_sql((1.0, 5.0), (1, 5)))
 def i18(spark, sf):
     return rounded(risk.parameter_sweep(scores(spark, sf), views.bars(spark, sf), [{"cost_bps": c, "freq": f} for c in (1.0, 5.0) for f in (1, 5)]))
 
@@ -813,16 +837,20 @@ def st5(spark, sf):
     return out.groupBy("portfolio").agg(F.count("*").alias("n"), F.min(F.when(F.col("halted"), F.col("ts"))).cast("timestamp_ntz").alias("first_halt"))
 
 
-@query("st6_stream_strategy_lifecycle")
+@query("st6_stream_strategy_lifecycle", """WITH k AS (SELECT event_type AS strategy, ts, (value - 20) / 100 AS ic, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events),
+    w AS (WITH RECURSIVE w AS (SELECT strategy, ts, k, 'active' AS status, ts AS since FROM k WHERE k = 1 UNION ALL SELECT strategy, ts, k, nxt, CASE WHEN nxt = status THEN since ELSE ts END FROM (
+        SELECT k.strategy, k.ts, k.k, w.status, w.since, CASE WHEN status = 'active' AND ic < 0.01 THEN 'under_review' WHEN status = 'under_review' AND ic >= 0.03 THEN 'active' WHEN status = 'under_review' AND ic < 0 AND k.ts - w.since >= INTERVAL 30 DAY THEN 'suspended' ELSE status END AS nxt
+        FROM w JOIN k ON k.strategy = w.strategy AND k.k = w.k + 1)) SELECT * FROM w) SELECT strategy, status, count(*) AS n, sum(CASE status WHEN 'active' THEN 1.0 WHEN 'under_review' THEN 0.5 ELSE 0.0 END)::DOUBLE AS multipliers FROM w GROUP BY 1, 2""")
 def st6(spark, sf):
     e = stream(spark, sf).select(F.col("event_type").alias("strategy"), "ts", ((F.col("value") - 20) / 100).alias("ic"))
-    return jobs.run_available(jobs.stream_strategy_lifecycle(e))
+    return jobs.run_available(jobs.stream_strategy_lifecycle(e)).groupBy("strategy", "status").agg(F.count("*").alias("n"), F.sum("multiplier").alias("multipliers"))
 
 
-@query("st7_stream_prediction_drift")
+@query("st7_stream_prediction_drift", f"""WITH k AS (SELECT event_type AS model, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS k FROM events), a AS (SELECT model, max(ts) AS ts, count(*) AS n, abs(avg(value) - 20) / 5 AS score FROM k WHERE k <= 500 GROUP BY 1)
+    SELECT model, ts, n, {r('score')} AS score, n >= 50 AND score > 2.5 AS drifted FROM a""")
 def st7(spark, sf):
     e = stream(spark, sf).select(F.col("event_type").alias("model"), "ts", "value")
-    return rounded(jobs.run_available(jobs.stream_prediction_drift(e, 20.0, 5.0)))
+    return rounded(jobs.run_available(jobs.stream_prediction_drift(e, 20.0, 5.0))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("st8_stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS nw FROM events), s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")

@@ -56,10 +56,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let no union claim its inputs' partitioning. Spark 4.1 zips the inputs then, and fails where adaptive execution
+    has coalesced them into unequal numbers of partitions."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 class Work:
     """Tables written into the shared folder to cut a plan: they survive the loss of any executor."""
 
     def __init__(self, spark: SparkSession):
+        plain_unions(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/panelforge/{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
