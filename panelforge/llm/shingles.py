@@ -6,7 +6,7 @@ import numpy as np
 from pyspark import TaskContext
 
 #: Bytes hashed at a time, documents of a block, characters of a block.
-CHUNK, BLOCK, BLOCK_BYTES = 2 << 20, 4096, 16 << 20
+CHUNK, BLOCK, BLOCK_CHARS = 2 << 20, 4096, 16 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20_240_601).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -82,15 +82,15 @@ def _chunk(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def cut(batches, column: int):
-    """A task's Arrow batches in slices of at most BLOCK rows and, unless a text alone has more, BLOCK_BYTES of the
+def cut(batches, column: int, rows: int = BLOCK, size: int = BLOCK_CHARS):
+    """A task's Arrow batches in slices of at most so many rows and, unless a text alone has more, characters of the
     column's text."""
     for b in batches:
         ends = np.cumsum([len(x) if x else 0 for x in b.column(column).to_pylist()])
         at = 0
         while at < b.num_rows:
-            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, "right"))
-            to = min(at + BLOCK, max(most, at + 1))
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            to = min(at + rows, max(most, at + 1))
             yield b.slice(at, to - at)
             at = to
 
