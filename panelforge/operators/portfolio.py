@@ -12,6 +12,8 @@ from ..functions.columns import last_rows, ratio, z_of
 from ..session import Work
 
 YEAR = 252
+#: Distinct weights that mean_variance_weights brings to the driver at most.
+MOST_VALUES = 1 << 16
 
 
 def _last_dates(df: DataFrame, n: int) -> DataFrame:
@@ -136,36 +138,50 @@ def validate_weights(weights: DataFrame, sectors: DataFrame, position: float = 0
 
 def mean_variance_weights(alpha: DataFrame, exposures: DataFrame, cov: DataFrame, aversion: float = 1.0, ridge: float = 1e-6, most: float = 0.02, gross: float = 2.0, rounds: int = 20) -> DataFrame:
     """(ticker, weight): (B F B' + ridge I)^-1 alpha / aversion, then rounds of clipping, centring and scaling. By the
-    Woodbury identity only K x K sums leave Spark, and two sums a round: no task holds the cross-section."""
-    names = [r.f1 for r in cov.select("f1").distinct().orderBy("f1").collect()]
-    k = len(names)
-    f = np.zeros((k, k))
-    for r in cov.collect():  # K x K
-        f[names.index(r.f1), names.index(r.f2)] = r["cov"]
-    j = alpha.join(exposures, "ticker")
-    x, y = exposures.alias("x"), exposures.alias("y")
-    sums = x.join(y, F.col("x.ticker") == F.col("y.ticker")).join(alpha.select("ticker"), F.col("x.ticker") == alpha["ticker"], "left_semi")
-    bb, ba = np.zeros((k, k)), np.zeros(k)
-    for r in sums.groupBy(F.col("x.factor").alias("i"), F.col("y.factor").alias("j")).agg(F.sum(F.col("x.beta") * F.col("y.beta")).alias("s")).collect():
-        bb[names.index(r.i), names.index(r.j)] = r.s
-    for r in j.groupBy("factor").agg(F.sum(F.col("beta") * F.col("alpha")).alias("s")).collect():
-        ba[names.index(r.factor)] = r.s
+    Woodbury identity only K x K sums leave Spark, and for the rounds the distinct clipped weights with their counts; if
+    these are more than MOST_VALUES, two sums a round. No task holds the cross-section. Factors that cov lacks count for
+    nothing."""
+    work = Work(alpha.sparkSession)
+    alpha, exposures = work.cut(alpha.select("ticker", "alpha"), "alpha"), work.cut(exposures.select("ticker", "factor", "beta"), "exposures")
+    cells = cov.collect()  # K x K
+    names = sorted({r.f1 for r in cells})
+    k, at = len(names), {n: i for i, n in enumerate(names)}
+    f, bb, ba = np.zeros((k, k)), np.zeros((k, k)), np.zeros(k)
+    for r in cells:
+        f[at[r.f1], at[r.f2]] = r["cov"]
+    exposures = exposures.filter(F.col("factor").isin(names))
+    held = exposures.join(alpha, "ticker")
+    x, y = held.alias("x"), exposures.alias("y")
+    pair = x.join(y, F.col("x.ticker") == F.col("y.ticker")).groupBy(F.col("x.factor").alias("i"), F.col("y.factor").alias("j"))
+    for r in pair.agg(F.sum(F.col("x.beta") * F.col("y.beta")).alias("s"), F.sum(F.when(F.col("x.factor") == F.col("y.factor"), F.col("x.beta") * F.col("x.alpha"))).alias("t")).collect():  # K x K
+        bb[at[r.i], at[r.j]] = r.s
+        if r.i == r.j:
+            ba[at[r.i]] = r.t
     # (ridge I + B F B')^-1 a = (a - B M B'a) / ridge with M = (ridge F^-1 + B'B)^-1
     m = np.linalg.solve(ridge * np.linalg.pinv(f) + bb, ba)
     coef = F.create_map(*[c for n, v in zip(names, m) for c in (F.lit(n), F.lit(float(v)))])[F.col("factor")]
     fit = exposures.groupBy("ticker").agg(F.sum(F.col("beta") * coef).alias("fit"))
     w = alpha.join(fit, "ticker", "left").select("ticker", ((F.col("alpha") - F.coalesce("fit", F.lit(0.0))) / ridge / aversion).alias("weight"))
-    # clipped weights are written once; a round is one aggregate of two sums over them, and what it changes is a column
-    v = Work(alpha.sparkSession).cut(w.withColumn("weight", clipped(F.col("weight"), most)), "clipped") if rounds else w
-    at, mean = F.col("weight"), None
+    if not rounds:
+        return w
+    # clipped weights are written once; most of them stand at a limit, so they have few values
+    v = work.cut(w.withColumn("weight", clipped(F.col("weight"), most)), "clipped")
+    few = v.groupBy("weight").count().limit(MOST_VALUES + 1).toPandas()
+    at, small = F.col("weight"), len(few) <= MOST_VALUES
+    x, times = few["weight"].to_numpy(), few["count"].to_numpy()
+    n = int(times.sum()) if small else v.count()
+    mean = float((x * times).sum() / max(n, 1)) if small else v.agg(F.avg(at)).first()[0]
     for _ in range(rounds):
-        if mean is None:
-            mean = v.agg(F.avg(at)).first()[0] or 0.0
         at = clipped(at - mean, most)
-        g, total, n = v.agg(F.sum(F.abs(at)), F.sum(at), F.count("*")).first()
-        scale = gross / g if g and g > gross else 1.0
-        at = at * scale if scale != 1.0 else at
-        mean = (total or 0.0) * scale / max(n, 1)  # clipping does not change what is inside already
+        if small:
+            x = np.clip(x - mean, -most, most)
+            g, total = float((np.abs(x) * times).sum()), float((x * times).sum())
+        else:
+            g, total = v.agg(F.sum(F.abs(at)), F.sum(at)).first()
+        scale = gross / g if g > gross else 1.0
+        if scale != 1.0:
+            at, x = at * scale, x * scale
+        mean = total * scale / max(n, 1)  # clipping does not change what is inside already
         if abs(mean) < 1e-15:
             break  # centred, inside and small enough: further rounds change nothing
     return v.select("ticker", at.alias("weight"))
