@@ -26,14 +26,10 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(b != 0, a / F.when(b != 0, b))
 
 
-def average_rank(value: Column | str, w: WindowSpec, *tie: Column | str) -> Column:
-    """The mean of the ranks that equal values share. w: the partition alone; tie: its keys."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(tie_window(w, value, *tie)) - 1) / 2
-
-
-def tie_window(w: WindowSpec, value: Column, *keys: Column | str) -> WindowSpec:
-    return Window.partitionBy(*keys, value)
+def average_rank(value: Column | str, w: WindowSpec) -> Column:
+    """The mean of the ranks that equal values share, in one window. w: the partition alone."""
+    o = w.orderBy(F.col(value) if isinstance(value, str) else value)
+    return F.rank().over(o) + (F.count("*").over(o.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
 def exact_sum(x: Column | str, over: WindowSpec | None = None, places: int = 9) -> Column:

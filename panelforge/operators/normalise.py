@@ -32,7 +32,7 @@ def _ranked(df: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, Column, Co
     """The known values with their average rank and number."""
     x = Window.partitionBy(*keys)
     known = df.filter("value IS NOT NULL")
-    return known, average_rank("value", x, *keys), F.count("*").over(x)
+    return known, average_rank("value", x), F.count("*").over(x)
 
 
 def rank_cs(df: DataFrame, keys: tuple[str, ...] = CROSS) -> DataFrame:
@@ -144,7 +144,7 @@ def importance_drift(log: DataFrame, window: int = 5, threshold: float = 0.3) ->
     new, old = (F.avg(F.when(F.col("__r").between(a, b), F.col("importance"))) for a, b in ((1, window), (window + 1, 2 * window)))
     mean = r.groupBy("model", "feature").agg(new.alias("new"), old.alias("old"), F.max("__r").alias("steps"))
     x = Window.partitionBy("model")
-    ranks = mean.select("model", "steps", average_rank("new", x, "model").alias("a"), average_rank("old", x, "model").alias("b"))
+    ranks = mean.select("model", "steps", average_rank("new", x).alias("a"), average_rank("old", x).alias("b"))
     out = ranks.groupBy("model").agg(safe_corr(F.col("a"), F.col("b")).alias("c"), F.max("steps").alias("steps"))
     stable = F.when(F.col("steps") < 2 * window, 1.0).otherwise(F.coalesce("c", F.lit(0.0)))
     return out.select("model", stable.alias("stability"), (stable < 1 - threshold).alias("drifted"))

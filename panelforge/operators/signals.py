@@ -19,7 +19,7 @@ def daily_ic(signals: DataFrame, returns: DataFrame, least: int = 5, keys: tuple
     """(signal, date, ic, n): Spearman of score and return across the date's tickers."""
     x = Window.partitionBy(*keys, "date")
     j = signals.join(returns, ["date", "ticker"]).filter("score IS NOT NULL AND ret IS NOT NULL")
-    r = j.select(*keys, "date", average_rank("score", x, *keys, "date").alias("a"), average_rank("ret", x, *keys, "date").alias("b"))
+    r = j.select(*keys, "date", average_rank("score", x).alias("a"), average_rank("ret", x).alias("b"))
     out = r.groupBy(*keys, "date").agg(safe_corr(F.col("a"), F.col("b")).alias("ic"), F.count("*").alias("n"))
     return out.filter((F.col("n") >= least) & F.col("ic").isNotNull())
 
@@ -111,7 +111,7 @@ def evaluate_signals_batch(signals: DataFrame, returns: DataFrame, least_names:
     ics = daily_ic(signals, returns, least_names)
     a = ics.groupBy("signal").agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.round("ic", 9) > 0).cast("double")).alias("hit_rate"), F.count("*").alias("n_periods"))
     x = Window.partitionBy("signal", "date")
-    ranks = signals.select("signal", "ticker", "date", average_rank("score", x, "signal", "date").alias("r"), F.count("*").over(x).alias("n"))
+    ranks = signals.select("signal", "ticker", "date", average_rank("score", x).alias("r"), F.count("*").over(x).alias("n"))
     w = Window.partitionBy("signal", "ticker").orderBy("date")
     turn = ranks.withColumn("d", F.abs(F.col("r") - F.lag("r").over(w)) / F.col("n")).groupBy("signal").agg(F.avg("d").alias("turnover"))
     ir = F.coalesce(ratio("ic_mean", "ic_std"), F.lit(0.0))

@@ -303,12 +303,13 @@ def c08(spark, sf):
     return rounded(alt.inflation_trend(alt.growth_momentum(macro(spark, sf))).select("date", "series", "growth", "inflation"))
 
 
-@query("c09_macro_regime", f"""WITH {MACRO}, x AS (SELECT date, series, coalesce(value - lag(value, 4) {WS}, 0) > 0 AS up, coalesce(value / nullif(lag(value, 12) {WS}, 0) - 1, 0) > 0.025 AS hot FROM mac)
-    SELECT date, series, CASE WHEN up AND NOT hot THEN 'goldilocks' WHEN up AND hot THEN 'risk_on_growth' WHEN hot THEN 'stagflation' ELSE 'deflation' END AS regime,
-    CAST(CASE WHEN up AND NOT hot THEN 1.2 WHEN up THEN 1.0 WHEN hot THEN 0.6 ELSE 0.8 END AS DOUBLE) AS multiplier FROM x""")
+@query("c09_macro_regime", f"""WITH {MACRO}, x AS (SELECT date, series, coalesce(value - lag(value, 4) {WS}, 0) > 0 AS up, coalesce(value / nullif(lag(value, 12) {WS}, 0) - 1, 0) > 0.025 AS hot FROM mac),
+    g AS (SELECT date, series, CASE WHEN up AND NOT hot THEN 'goldilocks' WHEN up AND hot THEN 'risk_on_growth' WHEN hot THEN 'stagflation' ELSE 'deflation' END AS regime FROM x),
+    t(regime, strategy, multiplier) AS (VALUES {", ".join(f"('{g}', '{k}', {m}::DOUBLE)" for g, by in alt.REGIME_MULTIPLIERS.items() for k, m in by.items())})
+    SELECT date, series, regime, strategy, multiplier FROM g JOIN t USING (regime)""")
 def c09(spark, sf):
     m = alt.inflation_trend(alt.growth_momentum(macro(spark, sf)))
-    return alt.regime_multipliers(m.withColumn("regime", alt.macro_regime(F.col("growth"), F.col("inflation")))).filter("strategy = 'momentum'").select("date", "series", "regime", "multiplier")
+    return alt.regime_multipliers(m.withColumn("regime", alt.macro_regime(F.col("growth"), F.col("inflation")))).select("date", "series", "regime", "strategy", "multiplier")
 
 
 @query("c10_clean_text", r"""SELECT doc_id, md5(substr(trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), 1, 512)) AS cleaned,

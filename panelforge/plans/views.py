@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,20 +26,25 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_made: dict[tuple[str, str], tuple[str, StructType]] = {}
+_made: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
-def bars(spark: SparkSession, sf: str) -> DataFrame:
-    """The daily bars, written once a session into the shared folder and read from there, as a library on top of stored
-    bars does."""
-    key = (spark.sparkContext.applicationId, sf)
+def _once(spark: SparkSession, sf: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table that many queries start from, written once a session into the shared folder and read from there, as a
+    library on top of stored bars does."""
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _made:
         work = Work(spark)
-        _made[key] = (work.path("bars"), work.cut(made_bars(spark, sf), "bars").schema)
+        _made[key] = (work.path(name), work.cut(make(spark, sf), name).schema)
     path, schema = _made[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily bars."""
+    return _once(spark, sf, "bars", made_bars)
+
+
 def made_bars(spark: SparkSession, sf: str) -> DataFrame:
     order = F.struct(*TIE)
     return trades(spark, sf).groupBy("ticker", "date").agg(
@@ -104,6 +111,10 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     """Three signals (date, ticker, signal, score): momentum, reversal and relative volume."""
+    return _once(spark, sf, "signals", made_signals)
+
+
+def made_signals(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("ticker").orderBy("date")

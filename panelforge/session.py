@@ -6,12 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
+_works: list[Work] = []
 
 
 def build(cpus: int | str = "*", partitions: int = 8, name: str = "panelforge", **conf: str) -> SparkSession:
@@ -68,6 +71,7 @@ class Work:
     def __init__(self, spark: SparkSession):
         plain_unions(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/panelforge/{uuid.uuid4().hex}"
+        _works.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -84,3 +88,16 @@ class Work:
         for n in names:
             p = jvm.org.apache.hadoop.fs.Path(self.path(n))
             p.getFileSystem(conf).delete(p, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, in the end, what every Work made inside has written. What is read later must be written before that, by
+    a Work from outside."""
+    before = len(_works)
+    try:
+        yield
+    finally:
+        for w in _works[before:]:
+            w.drop("")
+        del _works[before:]
