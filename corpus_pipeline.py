@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm import byte_bpe, jaccard, line_dedup, mixing, toxicity
-from panelforge.session import Work
+from panelforge.session import Work, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected as toxic from this probability on.
@@ -79,7 +79,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for i, (_, stage) in enumerate(STAGES):
-        docs = work.cut(stage(spark, docs, sf_dir), f"stage{i}")
+        with scratch():  # what the stage's operators have written besides
+            docs = work.cut(stage(spark, docs, sf_dir), f"stage{i}")
         if i:
             work.drop(f"stage{i - 1}")
     return docs
