@@ -8,6 +8,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
+from panelforge import session
 from panelforge.llm import mixing
 
 from .test_jaccard import brute
@@ -121,3 +122,11 @@ def test_run_is_the_stages_one_after_the_other(spark, rows, folder):
     final = pipe.run(spark, folder)
     assert sorted(map(str, final.collect())) == sorted(map(str, docs.collect())) and final.count() > 20
     assert final.filter("NOT decodes").count() == 0
+
+
+def test_run_leaves_nothing_but_its_result(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    final = pipe.run(spark, folder)
+    assert final.count() > 20
+    left = [str(x.relative_to(tmp_path)) for x in tmp_path.rglob("*.parquet")]
+    assert left and all("/stage4/" in x for x in left)
