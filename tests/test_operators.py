@@ -200,6 +200,24 @@ def test_cointegrated_pair_is_found(spark):
     assert sig.count() == 400 and {-1, 0, 1} >= {r.signal for r in sig.collect()}
 
 
+def test_one_pass_over_pairs_equals_the_spreads_tests(spark):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    x = 50 + np.cumsum(r.normal(0, 0.5, (300, 5)), axis=0)
+    x[:, 3] = 1.7 * x[:, 0] + r.normal(0, 1, 300)
+    b = spark.createDataFrame([(day(i), f"t{j}", float(x[i, j])) for i in range(300) for j in range(5) if i % 50 or j], "date date, ticker string, close double")
+    rows = pairs.aligned(b, pairs.pair_candidates(spark.createDataFrame([(f"t{j}",) for j in range(5)], "ticker string")))
+    h = pairs.pair_hedge_ratio(rows)
+    s = pairs.pair_spread(rows, h)
+    want = {(r.a, r.b): r for r in h.join(pairs.adf_simple(s), ["a", "b"]).join(pairs.half_life(s), ["a", "b"]).collect()}
+    got = pairs.pair_tests(rows).collect()
+    assert len(got) == len(want) == 10
+    for g in got:
+        w = want[g.a, g.b]
+        assert (g.beta, g.t, g.p, g.phi) == pytest.approx((w.beta, w.t, w.p, w.phi), rel=1e-8) and (g.half_life == w.half_life or g.half_life == pytest.approx(w.half_life, rel=1e-8))
+
+
 def test_pair_filter_against_matrices(spark):
     """The same filter written as matrices, and positions that jump over the band in which they are left."""
     import numpy as np
