@@ -3,10 +3,11 @@
 The canonical text is compatibility-composed (NFKC) and case-folded by the Unicode library that ships with Spark, with
 each run of white space made one blank and the ends stripped. Its fingerprint is wide: two 64-bit xxhashes of different
 seeds. Documents are grouped by it, and inside equal groups the canonical bytes are compared: a group that holds
-different texts (a collision) tells them apart by a number after the hashes.
+different texts (a collision) tells them apart by a number after the hashes. Texts that are compared with documents
+without being documents take the numbers of the equal ones.
 
 Defined results: null and empty texts have the fingerprint of the empty text; repeated rows have equal fingerprints;
-other columns pass through, and columns with the names of outputs are replaced; an empty table gives no rows.
+rows without an id, and those of one id, follow each other in one range; other columns pass through, and columns with the names of outputs are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,16 +44,25 @@ def collisions(df: DataFrame, hash_col: str = "fingerprint", canon_col: str = "c
     return groups.select(hash_col, F.posexplode(F.array_sort("texts")).alias("n", canon_col))
 
 
-def fingerprints(df: DataFrame, text: str = "text", work: Work | None = None) -> DataFrame:
-    """df with the columns canonical and fingerprint, told apart by bytes inside equal hashes."""
-    canon = df.withColumn("canonical", canonical(F.col(text)))
-    hashed = canon.withColumn("fingerprint", wide(F.col("canonical")))
-    work = work or Work(df.sparkSession)
-    found = work.cut(collisions(hashed.select("fingerprint", "canonical")), "collisions")
-    if found.isEmpty():
-        return hashed
-    numbered = hashed.join(found, ["fingerprint", "canonical"], "left")
-    return numbered.withColumn("fingerprint", F.concat_ws("-", "fingerprint", F.nullif("n", F.lit(0)).cast("string"))).drop("n")
+def told_apart(df: DataFrame, found: DataFrame, hash_col: str = "fingerprint", canon_col: str = "canonical") -> DataFrame:
+    """df with the numbers of collisions, as collisions() gives them, after its hashes."""
+    known = found.select(F.col("fingerprint").alias("__hash"), F.col("canonical").alias("__text"), F.col("n").alias("__number"))
+    met = df.join(known, (F.col(hash_col) == F.col("__hash")) & (F.col(canon_col) == F.col("__text")), "left")
+    return met.withColumn(hash_col, F.concat_ws("-", hash_col, F.nullif("__number", F.lit(0)).cast("string"))).drop("__hash", "__text", "__number")
+
+
+def hashed(df: DataFrame, text: str = "text", canon_col: str = "canonical", hash_col: str = "fingerprint") -> DataFrame:
+    """df with the canonical text and its hashes, not yet told apart."""
+    canon = df.withColumn(canon_col, canonical(F.col(text)))
+    return canon.withColumn(hash_col, wide(F.col(canon_col)))
+
+
+def fingerprints(df: DataFrame, text: str = "text", work: Work | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """df with the columns canonical and fingerprint, told apart by bytes inside equal hashes; and the collisions that
+    there are among df's texts, for told_apart() to number other texts alike, or None."""
+    own = hashed(df, text)
+    found = (work or Work(df.sparkSession)).cut(collisions(own.select("fingerprint", "canonical")), "collisions")
+    return (own, None) if found.isEmpty() else (told_apart(own, found), found)
 
 
 def likeness(a: str, b: str, canon_a: Column, canon_b: Column) -> Column:

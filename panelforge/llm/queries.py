@@ -60,12 +60,13 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = fingerprint.with_next(fingerprint.fingerprints(docs).drop("canonical"), ["text", "fingerprint"])
+    own, found = fingerprint.fingerprints(docs)
+    both = fingerprint.with_next(own.drop("canonical"), ["text", "fingerprint"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    hashed = edited.withColumn("edited_canonical", fingerprint.canonical(F.col("edited")))
-    hashed = hashed.withColumn("edited_fingerprint", fingerprint.wide(F.col("edited_canonical")))
+    hashed = fingerprint.hashed(edited, "edited", "edited_canonical", "edited_fingerprint")
+    hashed = fingerprint.told_apart(hashed, found, "edited_fingerprint", "edited_canonical") if found else hashed
     own, following = fingerprint.canonical(F.col("text")), fingerprint.canonical(F.col("next_text"))
     return hashed.select(
         "doc_id",

@@ -41,6 +41,35 @@ def test_maxscore_against_brute_force(spread, negative):
         assert [(-int(s), int(v)) for s, v in zip(c[a == ids[i]], b[a == ids[i]])] == want
 
 
+def test_maxscore_visits_fewer_rows_than_there_are():
+    """Sparse vectors: rows that stand in non-essential postings alone are never scored. Dense ones: fewer probes."""
+    r = np.random.default_rng(5)
+    x = (r.integers(1, 40, (20_000, 300)) * (r.random((20_000, 300)) < 0.02)).astype(np.int64)
+    q = np.zeros((20, 300), np.int64)
+    for row in q:
+        row[r.choice(300, 3, replace=False)] = [60, 50, 1]
+        row[r.choice(300, 20)] += 1
+    seen: dict = {}
+    a, b, c = topk.maxscore(np.arange(20), q, np.arange(100, 20_100), x, 10, seen)
+    for i in range(20):
+        want = sorted((-int(s), 100 + v) for v, s in enumerate(x @ q[i]))[:10]
+        assert [(-int(s), int(v)) for s, v in zip(c[a == i], b[a == i])] == want
+    assert seen["rows"] < 0.3 * 20 * 20_000
+    x, seen = np.floor(64 * r.normal(0, 0.12, (20_000, 64))).astype(np.int64), {}
+    topk.maxscore(np.arange(20), x[:20], np.arange(20_000), x, 20, seen)
+    assert seen["probes"] < 0.1 * 20 * 20_000 * 64
+
+
+def test_topk_with_extra_columns_wide_numbers_and_small_parts(spark):
+    rows = [(i, [2**28 * (i % 7) - i, -i, 5], "x", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>, b string, s int")
+    got = topk.top_k(df.filter("vec_id % 50 = 0"), df, 4, shard=20, block=2).collect()
+    for i in range(0, 300, 50):
+        want = sorted((-sum(p * o for p, o in zip(rows[i][1], rows[j][1])), j) for j in range(300) if j != i)[:4]
+        own = sorted((r["rank"], r.vec_id) for r in got if r.query_id == i)
+        assert [v for _, v in own] == [j for _, j in want]
+
+
 def test_topk_rows_without_part(spark):
     rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [0.5, -0.01]), (6, [0.5, -0.01]), (7, [1.0]), (8, [])]
     df = spark.createDataFrame(rows, "vec_id long, e array<double>").select("vec_id", topk.quantised(F.col("e")).alias("v"))
@@ -75,6 +104,30 @@ def test_shards_of_odd_rows(spark):
     assert shards.shuffled(df.limit(0), 3).count() == 0
 
 
+def test_shards_keep_large_ids_beside_nulls(spark):
+    rows = [((2**53 + 2 * i + 1) if i % 2 else None, f"t{i}", None if i % 3 else 2**60 + i, [1, None]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other long, list array<int>")
+    out = shards.shuffled(df, 2, bucket_bytes=200).select("doc_id", "text", "other", "list").collect()
+    assert sorted(map(tuple, out), key=lambda r: r[1]) == sorted(rows, key=lambda r: r[1])
+
+
+def test_shards_are_the_rule_and_fisher_yates_moves_everything(spark):
+    """The shard and the slots by the rule itself, without buckets' help."""
+    rows = [(i, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = shards.shuffled(df, 5, seed=3, bucket_bytes=10**9).collect()
+    ranks = df.select("doc_id", *[F.xxhash64(F.lit(3), "doc_id", F.lit(s)).alias(f"h{s}") for s in range(6)]).collect()
+    best = {r.doc_id: max(range(5), key=lambda s: r[f"h{s}"]) for r in ranks}
+    more = {r.doc_id: max(range(6), key=lambda s: r[f"h{s}"]) for r in ranks}
+    assert all((r.shard, r.grown_shard) == (best[r.doc_id], more[r.doc_id]) for r in out)
+    tie = dict(df.select("doc_id", F.xxhash64(F.lit(4), "doc_id", "text")).collect())
+    for s in range(5):
+        start = sorted((i for i in best if best[i] == s), key=tie.get)
+        order = shards.fisher_yates(len(start), 3, s, 0)
+        assert [r.doc_id for r in sorted((r for r in out if r.shard == s), key=lambda r: r.slot)] == [start[i] for i in order]
+    assert sorted(order) == list(range(len(order))) and (order != np.arange(len(order))).mean() > 0.8
+
+
 def canonical(x):
     import re
 
@@ -87,7 +140,7 @@ TEXTS = ["Straße  Weg", "STRASSE weg", "ﬁne", "fine", "É", "É", "  a\tb\n",
 
 def test_canonical_groups(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(TEXTS)], "doc_id long, text string")
-    out = {r.doc_id: r for r in fingerprint.fingerprints(df).collect()}
+    out = {r.doc_id: r for r in fingerprint.fingerprints(df)[0].collect()}
     for i, x in enumerate(TEXTS):
         assert out[i].canonical == canonical(x)
         for j, y in enumerate(TEXTS):
@@ -99,6 +152,28 @@ def test_collisions_are_told_apart(spark):
     assert sorted(tuple(r) for r in fingerprint.collisions(df).select("fingerprint", "n", "canonical").collect()) == [("h", 0, "a"), ("h", 1, "b")]
 
 
+def test_every_hash_collides(spark, sf, monkeypatch, tmp_path):
+    """With one hash for all texts, bytes alone tell documents, and the texts compared with them, apart."""
+    monkeypatch.setattr(fingerprint, "wide", lambda c: F.lit("h"))
+    df = spark.createDataFrame([(i, x, 7) for i, x in enumerate(TEXTS)], "doc_id long, text string, n int")
+    own, found = fingerprint.fingerprints(df)
+    out = {r.doc_id: r for r in own.collect()}
+    for i, x in enumerate(TEXTS):
+        assert out[i].n == 7
+        for j, y in enumerate(TEXTS):
+            assert (out[i].fingerprint == out[j].fingerprint) == (canonical(x) == canonical(y))
+    other = fingerprint.told_apart(fingerprint.hashed(df.select("doc_id", F.upper("text").alias("t")), "t"), found)
+    for r in other.collect():
+        want = [out[i].fingerprint for i, x in enumerate(TEXTS) if canonical(x) == canonical((TEXTS[r.doc_id] or "").upper())]
+        assert not want or r.fingerprint == want[0]
+    rows = [(1, "Ab"), (2, "a"), (3, "b"), (4, "AB"), (5, "ab")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_fingerprints(spark, str(tmp_path)).collect()}
+    assert len({got[i].fingerprint for i in (1, 4, 5)}) == 1 and len({got[i].fingerprint for i in (1, 2, 3)}) == 3
+    # 5 becomes "aA", 4 "Ab", 1 "Aa"
+    assert got[4].edited_fingerprint == got[1].fingerprint and got[4].near_edited == 1.0 and got[1].near_edited == 0.0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 500])
 def test_next_in_descending_order(spark, n):
     r = random.Random(n)
@@ -155,5 +230,29 @@ def test_running_batches_and_compaction(spark):
         for i, x in rows:
             keep = [k for k in x.split("\n") if seen.setdefault(k, i) == i]
             assert got[i].kept == "\n".join(keep)
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert runs.merged().count() == len(seen)
+    assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.compactions == 3
+    held = [r.h for r in runs.all().collect()]
+    assert len(held) == len(set(held)) == len(seen)
+
+
+def test_documents_that_rows_repeat(spark, tmp_path):
+    """Four rows of one document are one document: the line stands in two, not in five."""
+    for others in (1, 4):
+        rows = [(1, LINE)] * 4 + [(2 + i, LINE) for i in range(others)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(df, min_docs=5).collect())
+        assert got == sorted((i, int(others == 4 and i < 5)) for i, _ in rows)
+
+
+def test_a_corpus_by_batches_that_are_compacted(spark, monkeypatch):
+    r, made, init = random.Random(8), [], line_dedup.Runs.__init__
+    monkeypatch.setattr(line_dedup.Runs, "__init__", lambda self, *a, **b: made.append(self) or init(self, *a, **b))
+    rows = [(i, "\n".join(f"{'line ' * 9}{r.randrange(60)}" for _ in range(3))) for i in range(100)]
+    got = {x.doc_id: x.kept for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    holders: dict = {}
+    for i, x in rows:
+        for k in set(x.split("\n")):
+            holders.setdefault(k, []).append(i)
+    for i, x in rows:
+        assert got[i] == "\n".join(k for k in x.split("\n") if len(holders[k]) < 5 or max(holders[k]) == i)
+    assert made[0].compactions >= 2 and any(len(h) < 5 for h in holders.values())
