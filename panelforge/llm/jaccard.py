@@ -15,7 +15,7 @@ The steps, none of which holds a group of unbounded size:
     similar: that joins the bulk of a group of near copies in linear work.
  5. Posting lists that still hold several components give the pairs across components, met by bands of sizes and
     filtered by sizes, positions (a shingle of one component alone cannot match across) and the number of matches,
-    which must reach the smaller l of the two; the similar ones among them complete the links. Pairs inside a component
+    which must reach the smaller l of the two; matches close together are met once, and count as enough. The similar ones among them complete the links. Pairs inside a component
     cannot change it, so the components are exact. This step is the one whose work is not linear: a posting list of m
     documents in as many components of like sizes gives up to m * m / 2 pairs of numbers, spread over tasks by list and
     band (and split further by AQE where one is hot); rarity keeps frequent shingles out of prefixes.
@@ -43,6 +43,8 @@ from .shingles import blocks, shingle_sets
 
 #: Shingles of a hash range, about; marks a hash that several documents of a block hold; matches that l may ask for.
 RANGE, SEVERAL, MOST_MATCHES = 1 << 21, 0xFFFF, 4
+#: Places of a prefix, among those that can match, that count as close together.
+NEAR = 6
 #: What verifying a candidate costs, in postings read.
 VERIFY = 8
 
@@ -255,18 +257,27 @@ def classes(df: DataFrame, k: int = 5, num: int = 8, den: int = 10, text: str =
     # what is left: pairs across components
     placed = work.cut(postings.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
     mixed = work.cut(placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("h"), "mixed")
-    # a shingle that one component alone holds cannot match across: at counts a document's others before a position
-    at = F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1
+    # a shingle that one component alone holds cannot match across: at counts a document's others before a position. Two
+    # documents that share several close together meet at the first of these alone
+    w = Window.partitionBy("id").orderBy("pos")
+    at = F.row_number().over(w) - 1
+    beside = {"before": F.collect_list("h").over(w.rowsBetween(-NEAR, -1)), "after": F.collect_list("h").over(w.rowsBetween(1, NEAR))}
     # sizes that may be similar stand in the same band or the next
     band = F.floor(F.log("n") / F.lit(math.log(den / num)) if num < den else F.col("n")).cast("int")
-    rest = work.cut(placed.join(mixed, "h").withColumn("at", at).withColumn("band", band), "rest")
+    left = F.count("*").over(Window.partitionBy("id"))
+    rest = work.cut(placed.join(mixed, "h").withColumns({"at": at, "left": left, "band": band} | beside), "rest")
     need = f"ceil({num} * (p.n + q.n) / {num + den})"
     reach = "least(p.at, q.at) + least(p.n - p.pos, q.n - q.pos)"
-    size = f"{den} * least(p.n, q.n) >= {num} * greatest(p.n, q.n)"
+    # what both prefixes can still share, and beyond the shorter reaching prefix no more than is left of that document
+    open_ = "least(p.at, q.at) + least(p.left - p.at, q.left - q.at)"
+    beyond = f"greatest(ceil({num} * p.n / {den}) - p.l, ceil({num} * q.n / {den}) - q.l)"
+    size = f"{den} * least(p.n, q.n) >= {num} * greatest(p.n, q.n) AND least(p.l, q.l) <= least(p.left, q.left)"
     near = rest.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    across = rest.alias("p").join(near.alias("q"), F.expr(f"p.h = q.h AND p.band = q.band AND p.id < q.id AND p.comp <> q.comp AND {size} AND {reach} >= {need}"))
-    # a pair shares as many shingles as the shorter of its prefixes asks for, whatever each document has left
-    met = across.groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b")).agg(F.count("*").alias("m"), F.min(F.least("p.l", "q.l")).alias("l"))
+    across = rest.alias("p").join(near.alias("q"), F.expr(f"p.h = q.h AND p.band = q.band AND p.id < q.id AND p.comp <> q.comp AND {size} AND {reach} >= {need} AND {open_} + {beyond} >= {need} AND NOT arrays_overlap(p.before, q.before)"))
+    # a pair shares as many shingles as the shorter of its prefixes asks for, so both must have that many left
+    # a meeting with more shared shingles near stands for as many as any l asks for: they are not all looked at
+    shared = F.when(F.arrays_overlap("p.after", "q.after"), MOST_MATCHES).otherwise(1)
+    met = across.groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b")).agg(F.sum(shared).alias("m"), F.min(F.least("p.l", "q.l")).alias("l"))
     more = work.cut(met.filter("m >= l").select("a", "b"), "more")
     late = work.cut(verified(more, sets, num, den), "late")
     if not late.isEmpty():
