@@ -41,7 +41,7 @@ def _simple(piece: str) -> bool:
     return not _INVOLVED(piece)
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: printable Latin-1 characters for themselves, the
     others numbered from U+0100 on (the rule of the format)."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -57,7 +57,7 @@ class Library:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(file.decode())
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.cache: dict[str, bytes] = {}
 
     def tokens(self, part: str) -> list:
