@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -27,12 +27,7 @@ class ByteLevel:
     """One vocabulary; plain: special tokens' strings in a text are ordinary text, else they are those tokens."""
 
     def __init__(self, file: bytes, plain: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.own = Tokenizer.from_str(file.decode())
-        self.own.encode_special_tokens = plain
-        said = json.loads(file)
+        self.file, self.plain, said = file, plain, json.loads(file)
         specials = {t["content"]: t["id"] for t in said["added_tokens"]}
         letters = {c: b for b, c in byte_letters().items()}
         vocabulary = {bytes(map(letters.__getitem__, k)): i for k, i in said["model"]["vocab"].items() if k not in specials}
@@ -48,6 +43,16 @@ class ByteLevel:
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens=specials)
         self.allowed = set() if plain else set(specials)
 
+    @cached_property
+    def own(self):
+        """The library, where it is needed."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_str(self.file.decode())
+        own.encode_special_tokens = self.plain
+        return own
+
     def ids(self, text: str) -> np.ndarray:
         """The ids of a whole text, without added special tokens."""
         if self.fast is None or len(text) >= LONG_BLANK and _LONG_BLANK(text):
