@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.chains import accepted
 from ..functions.columns import last_rows, ratio, sessions
 
 # The day's volume by half hour, from the open.
@@ -54,29 +56,30 @@ def order_safety_report(orders: DataFrame, max_shares: float = 1e6, pct_nav: flo
 
 
 def order_rate_and_duplicate_flags(orders: DataFrame, per_second: int = 5, window_s: float = 60.0) -> DataFrame:
-    """orders (order_id, ticker, side, quantity, ts) with rate_limited and duplicate, where only accepted ones count: two
-    greedy rules, worked off in order inside each burst of a ticker, wherever midnight falls. After a pause of a window
-    neither rule remembers anything."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "order_id"])
-        recent: list[float] = []
-        seen: dict[tuple, float] = {}
-        rate, again = [], []
-        for ts, side, q in zip(pdf["ts"], pdf["side"], pdf["quantity"]):
-            now = ts.timestamp()
-            recent = [t for t in recent if now - t < 1.0]
-            rate.append(len(recent) >= per_second)
-            if not rate[-1]:
-                recent.append(now)
-            last = seen.get((side, q))
-            again.append(last is not None and now - last < window_s)
-            if not again[-1]:
-                seen[side, q] = now
-        return pdf[["order_id", "ticker"]].assign(rate_limited=rate, duplicate=again)
-
-    bursts = sessions(orders.select("order_id", "ticker", "side", "quantity", "ts"), ["ticker"], ["order_id"], max(window_s, 1.0))
-    return bursts.groupBy("ticker", "__session").applyInPandas(walk, "order_id string, ticker string, rate_limited boolean, duplicate boolean")
+    """(order_id, ticker, rate_limited, duplicate) of orders (order_id, ticker, side, quantity, ts), where only accepted
+    ones count. Repeats of a ticker's side and quantity within the window go by pointers. The rate remembers as many
+    accepted orders as it allows: a ticker's orders run past it in order, a burst (a second's pause ends it) in one task
+    but never in memory together."""
+
+    own = accepted(orders.select("order_id", "ticker", "side", "quantity", "ts"), ["ticker", "side", "quantity"], ["order_id"], window_s)
+    bursts = sessions(own.withColumn("order_id", F.col("order_id").cast("string")), ["ticker"], ["order_id"], 1.0)
+    ran = bursts.repartition("ticker", "__session").sortWithinPartitions("ticker", "__session", "ts", "order_id")
+    kinds = dict(own.dtypes)
+
+    def flags(batches):
+        at, recent = None, []
+        for b in batches:
+            out = []
+            for ticker, session, now in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (ticker, session) != at:
+                    at, recent = (ticker, session), []
+                out.append(len(recent) >= per_second and (not per_second or now - recent[-per_second] < 1_000_000))
+                if not out[-1]:
+                    recent = [*recent, now][-per_second:] if per_second else []
+            yield pa.record_batch([b.column(3), b.column(0), pa.array(out, pa.bool_()), b.column(4)], ["order_id", "ticker", "rate_limited", "duplicate"])
+
+    five = ran.select("ticker", "__session", F.unix_micros(F.col("ts").cast("timestamp")), "order_id", (~F.col("accepted")).alias("duplicate"))
+    return five.mapInArrow(flags, f"order_id string, ticker {kinds['ticker']}, rate_limited boolean, duplicate boolean")
 
 
 def route_algo(order_type: Column, quantity: Column, adv: Column, share: float = 0.01) -> Column:

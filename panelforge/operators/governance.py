@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, sessions
+from ..functions.chains import accepted
+from ..functions.columns import ratio
 
 # Where an approval may go from each state.
 TRANSITIONS = {
@@ -113,20 +113,9 @@ def feed_freshness(events: DataFrame, now: str, stale_s: float = 300.0, feed: st
 
 
 def dedupe_alerts(alerts: DataFrame, window_s: float = 300.0) -> DataFrame:
-    """alerts (source, message, level, ts, alert_id) without those that repeat an accepted one within the window. The
-    greedy rule is worked off in order inside each burst of a key: after a pause of a window it accepts whatever comes."""
-    keys = ["source", "message", "level"]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "alert_id"])
-        keep, last = [], None
-        for ts in pdf["ts"]:
-            ok = last is None or (ts - last).total_seconds() >= window_s
-            keep.append(ok)
-            last = ts if ok else last
-        return pdf[keep].drop(columns="__session")
-
-    return sessions(alerts, keys, ["alert_id"], window_s).groupBy(*keys, "__session").applyInPandas(walk, alerts.schema)
+    """alerts (source, message, level, ts, alert_id) without those that repeat an accepted one within the window: a
+    greedy rule, worked off by pointers, so a key that never pauses is no task's."""
+    return accepted(alerts, ["source", "message", "level"], ["alert_id"], window_s).filter("accepted").drop("accepted")
 
 
 def active_alerts(alerts: DataFrame, level: str | None = None, since: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw, half_up, last_rows, poisson_weight, ratio
+from ..functions.columns import draw, last_rows, poisson_weight, ratio
 from ..functions.pooled import pooled_spearman
 from .altdata import share_below
 from .signals import bootstrap_ic_ci
@@ -301,17 +301,6 @@ def feature_compression(df: DataFrame, features: list[str], d: int = 16) -> Data
     return model.transform(v).agg(F.count("*").alias("n"), error.alias("error")).select("n", F.lit(d).alias("d"), F.lit(share).alias("explained"), "error")
 
 
-def cosine_top(vectors: DataFrame, top: int = 10, by: str = "label") -> DataFrame:
-    """(id, other, similarity, rank): the most similar within each group (a sector, a label)."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.withColumn("v", F.transform("v", lambda x: x.cast("double"))).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).filter("norm > 0")
-    a, b = v.alias("a"), v.alias("b")
-    j = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.id") != F.col("b.id")))
-    s = j.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), half_up(dot(F.col("a.v"), F.col("b.v")) / (F.col("a.norm") * F.col("b.norm"))).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
-    return s.withColumn("rank", rank).filter(F.col("rank") <= top)
-
-
 def embeddings_as_of(store: DataFrame, model: str, as_of: str, tickers: list[str] | None = None) -> DataFrame:
     """The model's newest snapshot before as_of."""
     rows = store.filter((F.col("model_id") == model) & (F.col("date") < F.lit(as_of).cast("date")))

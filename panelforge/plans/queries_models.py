@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import POISSON, half_up, rounded
+from ..operators import embedding
 from ..operators import models as mod
 from ..operators import normalise as norm
 from ..operators import pairs
@@ -490,7 +491,40 @@ def f19(spark, sf):
     k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM s) SELECT id, other, similarity + 0.0 AS similarity, rank FROM k WHERE rank <= 10""")
 def f20(spark, sf):
     v = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
-    return rounded(mod.cosine_top(v).withColumn("rank", F.col("rank").cast("long")))
+    return rounded(embedding.nearest(v).withColumn("rank", F.col("rank").cast("long")))
+
+
+def monthly(spark, sf) -> DataFrame:
+    """Each ticker's return from the last close of a month to that of the next."""
+    m = views.bars(spark, sf).groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.max_by("close", "date").alias("close"))
+    before = F.lag("close").over(Window.partitionBy("ticker").orderBy("month"))
+    return m.select("ticker", F.col("month").alias("date"), (F.col("close") / before - 1).alias("ret")).filter("ret IS NOT NULL")
+
+
+@query("f20_correlation_embedding")
+def f20_embedding(spark, sf):
+    return rounded(embedding.correlation_embedding(monthly(spark, sf))[0])
+
+
+MONTHLY = """mo AS (SELECT ticker, month AS date, close / lag(close) OVER (PARTITION BY ticker ORDER BY month) - 1 AS ret FROM (SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS month, arg_max(close, date) AS close FROM bars GROUP BY 1, 2)),
+    mk AS (SELECT * FROM mo WHERE ret IS NOT NULL AND date IN (SELECT date FROM mo WHERE ret IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT ticker) FROM mo WHERE ret IS NOT NULL)))"""
+
+
+@query("f20_embedding_fit", f"""WITH {MONTHLY}, c AS (SELECT a.ticker AS a, b.ticker AS b, corr(a.ret, b.ret) AS c FROM mk a JOIN mk b USING (date) GROUP BY 1, 2), n AS (SELECT count(DISTINCT ticker) AS n, count(DISTINCT date) AS t FROM mk)
+    SELECT n AS n_tickers, least(16, n - 1) AS embedding_dim, t AS n_dates, {r('(SELECT sum(c * c) FROM c) / (n * n)')} AS mean_square FROM n""")
+def f20_fit(spark, sf):
+    """The report, with the mean squared correlation that the error and the embedding's own products add up to."""
+    vectors, report = embedding.correlation_embedding(monthly(spark, sf))
+    names = [c for c in vectors.columns if c != "ticker"]
+    # the squared values of the decomposition are those of the columns' lengths
+    own = vectors.agg(*[F.sum(F.col(c) ** 2).alias(c) for c in names]).select(sum((F.col(c) ** 2 for c in names), F.lit(0.0)).alias("kept"))
+    both = report.join(F.broadcast(own))
+    return rounded(both.select("n_tickers", F.col("embedding_dim").cast("long").alias("embedding_dim"), "n_dates", (F.col("reconstruction_mse") + F.col("kept") / F.col("n_tickers") ** 2).alias("mean_square")))
+
+
+@query("f20_similar_assets")
+def f20_similar(spark, sf):
+    return rounded(embedding.similar_assets(embedding.correlation_embedding(monthly(spark, sf))[0]))
 
 
 @query("f21_embeddings_as_of", "WITH s AS (SELECT 'm' || (vec_id % 3) AS model_id, CAST(vec_id AS VARCHAR) AS ticker, CAST(DATE '2024-01-01' + CAST(label AS INT) AS DATE) AS date FROM embeddings), x AS (SELECT * FROM s WHERE model_id = 'm1' AND date < DATE '2024-01-05') SELECT model_id, ticker, date FROM x WHERE date = (SELECT max(date) FROM x)")
