@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Work
@@ -60,11 +60,12 @@ def encoded(df: DataFrame, vocabulary: str, end_id: int = 1, text: str = "text",
 
 
 def placed(blocks: DataFrame) -> DataFrame:
-    """Blocks with at, the ids of all partitions before: prefix sums over a table with a row for each partition."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocks.groupBy("part").agg(F.sum("n").alias("n"))
-    starts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return blocks.join(starts, "part").select((F.col("start") + F.col("first")).alias("at"), "docs", "lengths", "ids")
+    """Blocks with at, the ids of all partitions before: prefix sums over the partitions' totals, of which the driver gets
+    a row each."""
+    totals = blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    starts = [(r.part, at - r.n) for r, at in zip(totals, np.cumsum([r.n for r in totals]).tolist())]
+    places = blocks.sparkSession.createDataFrame(starts, "part int, start long")
+    return blocks.join(F.broadcast(places), "part").select((F.col("start") + F.col("first")).alias("at"), "docs", "lengths", "ids")
 
 
 def cut(at: int, docs: list, lengths: np.ndarray, ids: bytes, size: int) -> pa.RecordBatch:
