@@ -1,15 +1,21 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-The tokens of each (source, language, topic) cell are raked until the weighted tokens meet the target share of every
-source, language and topic; a document is then kept with a probability in proportion to its cell's weight, calibrated
-so that the expected tokens meet the budget while no probability exceeds one.
+The tokens of each (source, language, topic) cell are raked until the kept tokens meet the target share of every source,
+language and topic: a document is kept with its cell's probability, and the probabilities are what is raked, with the
+bound of one inside. A category's factor is found exactly, by water-filling: cells that the factor lifts to the bound stay
+there, and the others share what is left. So the sample is expected to have the wanted margins, not only the weights.
+
+What cannot be had is not given silently. Where no targets are named, shares are tempered towards equal parts as far as
+the budget allows (power 1/2 at most). Named targets keep their shares, and the budget is lowered to what they allow.
+mixture returns the targets, what the sample is expected to hold, and whether that meets them: where categories only occur
+together, no probabilities may.
 
 Spark counts, joins and filters the documents; the texts are read once, and what follows from them is written beside the
 row. What comes to the driver is the table of cells that occur, every category of every dimension among them. It must
 have at most MOST_CELLS rows, else ValueError: nothing is folded away. It is broadcast back only if it is small.
 
-A document's topic is the kind its form tells (tabular, linked, list-like, or prose by length), unless the caller names
-a column that has it; its tokens are the runs between white space.
+A document's tokens are those of a byte-level vocabulary of the tokenizers library. Its topic is the kind its form tells
+(tabular, linked, list-like, or prose by length), unless the caller names a column that has it.
 
 Defined results: null and empty texts have no tokens and share their cell's fate, and a cell without tokens is kept;
 null sources, languages and topics are the category OTHER; repeated rows are drawn alike (the draw is a seeded hash of
@@ -26,7 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import Work, ship
+from ..session import Work
+from .byte_level import byte_level
+from .word_pieces import shared
 
 #: Rows of the table of cells at most, and up to which it is broadcast; the name of the category of nulls.
 MOST_CELLS, BROADCAST_CELLS, OTHER = 1 << 20, 10_000, "__other"
@@ -45,11 +53,19 @@ def topic(text: str) -> str:
     return "short" if len(text) < 1000 else "middle" if len(text) < 4000 else "long"
 
 
-@F.arrow_udf(T.StructType().add("topic", "string").add("n_tokens", "long"))
-def _read(texts: pa.Array) -> pa.Array:
-    """Topic and tokens of each text."""
-    own = [x or "" for x in texts.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([topic(x) for x in own], pa.string()), pa.array([len(x.split()) for x in own], pa.int64())], ["topic", "n_tokens"])
+def _reader(vocabulary):
+    """Topic and tokens of each text; vocabulary: the file, broadcast."""
+
+    @F.arrow_udf(T.StructType().add("topic", "string").add("n_tokens", "long"))
+    def read(texts: pa.Array) -> pa.Array:
+        own, kinds, counts = byte_level(vocabulary.value, True), [], []
+        for x in texts:
+            text = x.as_py() or ""
+            kinds.append(topic(text))
+            counts.append(len(own.ids(text)))
+        return pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(counts, pa.int64())], ["topic", "n_tokens"])
+
+    return read
 
 
 def tempered(shares: dict[str, float], power: float = 0.5) -> dict[str, float]:
@@ -59,65 +75,134 @@ def tempered(shares: dict[str, float], power: float = 0.5) -> dict[str, float]:
     return {k: v / total for k, v in up.items()}
 
 
-def rake(tokens: np.ndarray, of: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, close: float = 1e-10) -> np.ndarray:
-    """Weights of cells, such that the weighted tokens' margins are the targets. of: for each dimension the number of
+def _filled(z: np.ndarray, most: np.ndarray, own: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Each category's factor a such that its cells' min(most, a z) sum to what it wants: infinite where all of most is
+    too little. own: each cell's category."""
+    factor = np.full(len(want), np.inf)
+    held = np.flatnonzero(z > 0)
+    order = held[np.lexsort(((most[held] / z[held]), own[held]))]
+    begin = np.searchsorted(own[order], np.arange(len(want) + 1))
+    for k, (s, e) in enumerate(zip(begin[:-1], begin[1:])):
+        i = order[s:e]
+        before = np.append(0.0, np.cumsum(most[i])[:-1]) if e > s else most[i]  # of the cells filled first
+        after = np.cumsum(z[i][::-1])[::-1]  # of this one and the rest, below their bounds
+        a = (want[k] - before) / after
+        ok = np.flatnonzero(a * z[i] <= most[i])
+        if want[k] <= 0:
+            factor[k] = 0.0
+        elif len(ok):
+            factor[k] = max(a[ok[0]], 0.0)
+    return factor
+
+
+def rake(tokens: np.ndarray, of: list[np.ndarray], targets: list[np.ndarray], budget: float | None = None, rounds: int = 2000, close: float = 1e-9) -> tuple[np.ndarray, float]:
+    """Probabilities of cells, none above one, such that the kept tokens' margins are the targets of the budget (None: of
+    as little that no bound matters), and how far off the furthest share still is. of: for each dimension the number of
     each cell's category; targets: for each dimension the categories' shares, which sum to one."""
-    fitted = tokens / max(tokens.sum(), 1e-300)
-    for _ in range(rounds):
-        off = 0.0
+    total = max(tokens.sum(), 1e-300)
+    budget = total * 1e-9 if budget is None else budget
+    y, off, before = tokens * (budget / total), np.inf, np.inf
+    for i in range(rounds):
         for own, want in zip(of, targets):
-            have = np.bincount(own, weights=fitted, minlength=len(want))
-            factor = np.divide(want, have, out=np.ones_like(want), where=have > 0)
-            off = max(off, float(np.abs(have - want)[have > 0].max(initial=0)))
-            fitted = fitted * factor[own]
+            factor = _filled(y, tokens, own, want * budget)
+            y = y * np.clip(factor, 0, 1e30)[own]
+            y = np.where(y > 0, np.clip(y, tokens * 1e-40, tokens * 1e40), 0.0)
+        kept = np.minimum(tokens, y)
+        off = max(float(np.abs(np.bincount(own, weights=kept, minlength=len(want)) / max(budget, 1e-300) - want).max(initial=0)) for own, want in zip(of, targets))
         if off < close:
             break
-    return np.divide(fitted, tokens, out=np.zeros_like(fitted), where=tokens > 0)
-
-
-def calibrate(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
-    """min(1, c * weight) with c such that the expected tokens are the budget, or all of them if it is larger."""
-    positive = weight[weight > 0]
-    if not len(positive):
-        return np.zeros_like(weight)
-    low, high = 0.0, 1.0 / positive.min()
-    for _ in range(200):
-        c = (low + high) / 2
-        if (tokens * np.minimum(1, c * weight)).sum() < budget:
-            low = c
-        else:
-            high = c
-    return np.minimum(1, high * weight)
-
-
-def mixed(df: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.7, seed: int = 11, text: str = "text", id_col: str = "doc_id", topic_col: str | None = None) -> DataFrame:
-    """df with topic, n_tokens, weight, probability and kept. targets: for each dimension the wanted share of each
-    category; a dimension without targets gets tempered shares. keep: the share of all tokens that is the budget."""
+        if i % 100 == 99:  # it does not come nearer any more
+            if off > 0.9 * before:
+                break
+            before = off
+    return np.divide(np.minimum(tokens, y), tokens, out=np.zeros_like(y), where=tokens > 0), off
+
+
+#: How far from its target a category's share of the kept tokens may be.
+MET = 1e-6
+
+
+def allowed(tokens: np.ndarray, of: list[np.ndarray], targets, budget: float, named: bool) -> tuple[list[np.ndarray], float, np.ndarray, float]:
+    """(targets, budget, probabilities, off): what comes nearest to what is asked. targets: from a power between 1 (the
+    shares as they are) and 0 (equal parts) to each dimension's targets; named: these are not the power's."""
+    wanted = targets(0.5)
+    chance, off = rake(tokens, of, wanted, budget)
+    if off <= MET:
+        return wanted, budget, chance, off
+    if named:
+        free, off = rake(tokens, of, wanted)
+        if off > MET:  # no budget meets them
+            chance, off = rake(tokens, of, wanted, budget)
+            return wanted, budget, chance, off
+        low, high, best = 0.0, budget, None
+        for _ in range(30):
+            mid = (low + high) / 2
+            chance, off = rake(tokens, of, wanted, mid)
+            low, high, best = (mid, high, (mid, chance, off)) if off <= MET else (low, mid, best)
+        if best is None:
+            best = (tokens.sum() * 1e-9, free, off)
+        return wanted, *best
+    low, high, best = 0.5, 1.0, None
+    for _ in range(20):
+        mid = (low + high) / 2
+        tried = targets(mid)
+        chance, off = rake(tokens, of, tried, budget)
+        low, high, best = (low, mid, (tried, chance, off)) if off <= MET else (mid, high, best)
+    if best is None:
+        best = (targets(1.0), np.where(tokens > 0, budget / max(tokens.sum(), 1e-300), 0.0), 0.0)
+    return best[0], budget, best[1], best[2]
+
+
+_REPORT = "dimension string, category string, available double, target double, expected double, met boolean"
+
+
+def mixture(df: DataFrame, vocabulary: str, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.7, seed: int = 11, text: str = "text", id_col: str = "doc_id", topic_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, report): df with topic, n_tokens, weight, probability and kept, and for each category its share of all
+    tokens, its target, the share of the kept tokens that is expected, and whether that meets the target. targets: for
+    each dimension the wanted share of each category; a dimension without targets gets tempered shares. keep: the share
+    of all tokens that is the budget. weight: the probability over the mean one."""
     spark, work = df.sparkSession, Work(df.sparkSession)
-    ship(spark)
+    file = shared(spark, vocabulary)
     own = [c for c in df.columns if c not in _OUT]
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text), 11) / F.lit(float(2**53))
-    made = df.withColumn("__read", _read(F.col(text))).withColumn("__draw", draw)
-    made = made.select(*own, (F.col(topic_col) if topic_col else F.col("__read.topic")).alias("topic"), "__read.n_tokens", "__draw")
+    read = _reader(file)
+    made = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(topic_col or text).alias("given"), read(F.col(text)).alias("read"), draw.alias("draw"))
+    made = made.select("row", (F.col("given") if topic_col else F.col("read.topic")).alias("topic"), "read.n_tokens", "draw")
     made = work.cut(made, "read")
-    cells = made.groupBy(*[F.coalesce(d, F.lit(OTHER)).alias(d) for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("n"))
-    rows = cells.limit(MOST_CELLS + 1).toArrow()
+    at = {d: F.coalesce(F.col("topic" if d == "topic" else f"row.{d}").cast("string"), F.lit(OTHER)) for d in DIMENSIONS}
+    cells = made.groupBy(*[c.alias(d) for d, c in at.items()]).agg(F.sum("n_tokens").alias("n"))
+    rows = cells.limit(MOST_CELLS + 1).toArrow().sort_by([(d, "ascending") for d in DIMENSIONS])
     if rows.num_rows > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} cells of source, language and topic")
-    tokens, of, wanted = rows["n"].to_numpy().astype(float), [], []
+    tokens, of, names = rows["n"].to_numpy().astype(float), [], []
     for d in DIMENSIONS:
         coded = rows[d].combine_chunks().dictionary_encode()
-        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        have = np.bincount(at, weights=tokens, minlength=len(names))
-        given = (targets or {}).get(d) or tempered(dict(zip(names, have)))
-        want = np.array([given.get(k, 0.0) if n > 0 else 0.0 for k, n in zip(names, have)])
-        of.append(at)
-        wanted.append(want / max(want.sum(), 1e-300))
-    weight = rake(tokens, of, wanted)
-    chance = np.where(tokens > 0, calibrate(weight, tokens, keep * tokens.sum()), 1.0)
-    table = pa.table([*[rows[d] for d in DIMENSIONS], pa.array(weight), pa.array(chance)], [*[f"__{d}" for d in DIMENSIONS], "weight", "probability"])
+        names.append(coded.dictionary.to_pylist())
+        of.append(coded.indices.to_numpy())
+    have = [np.bincount(o, weights=tokens, minlength=len(k)) for o, k in zip(of, names)]
+
+    def wanted(power: float) -> list[np.ndarray]:
+        out = []
+        for d, k, h in zip(DIMENSIONS, names, have):
+            given = (targets or {}).get(d) or tempered(dict(zip(k, h)), power)
+            want = np.array([given.get(x, 0.0) if n > 0 else 0.0 for x, n in zip(k, h)])
+            out.append(want / max(want.sum(), 1e-300))
+        return out
+
+    goal, budget, chance, _ = allowed(tokens, of, wanted, keep * tokens.sum(), bool(targets))
+    expected = [np.bincount(o, weights=tokens * chance, minlength=len(k)) for o, k in zip(of, names)]
+    report = [(d, x, float(n / max(tokens.sum(), 1e-300)), float(t), float(e / max((tokens * chance).sum(), 1e-300))) for d, k, h, g, es in zip(DIMENSIONS, names, have, goal, expected) for x, n, t, e in zip(k, h, g, es)]
+    mean = (tokens * chance).sum() / max(tokens.sum(), 1e-300)
+    chance = np.where(tokens > 0, chance, 1.0)
+    table = pa.table([*[rows[d] for d in DIMENSIONS], pa.array(chance / max(mean, 1e-300)), pa.array(chance)], [*[f"__{d}" for d in DIMENSIONS], "weight", "probability"])
     small = spark.createDataFrame(table, ", ".join(f"__{d} string" for d in DIMENSIONS) + ", weight double, probability double")
     small = F.broadcast(small) if rows.num_rows <= BROADCAST_CELLS else small
-    same = [F.coalesce(d, F.lit(OTHER)) == F.col(f"__{d}") for d in DIMENSIONS]
+    same = [at[d] == F.col(f"__{d}") for d in DIMENSIONS]
     joined = made.join(small, same[0] & same[1] & same[2], "left")
-    return joined.select(*own, "topic", "n_tokens", "weight", "probability", (F.col("__draw") < F.col("probability")).alias("kept"))
+    out = joined.select(*[F.col(f"row.`{c}`") for c in own], "topic", "n_tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("kept"))
+    return out, spark.createDataFrame([(*x, abs(x[3] - x[4]) <= 10 * MET) for x in report], _REPORT)
+
+
+def mixed(df: DataFrame, vocabulary: str, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.7, **more) -> DataFrame:
+    """The documents of mixture."""
+    return mixture(df, vocabulary, targets, keep, **more)[0]

@@ -152,7 +152,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.mixed(table(spark, sf_dir, "documents"), keep=0.7)
+    drawn = mixing.mixed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=0.7)
     return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
 
 

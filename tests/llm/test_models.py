@@ -4,8 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from panelforge.llm import mixing, toxicity
 from panelforge.llm.queries import op8_toxicity, op9_mixing
@@ -97,24 +99,76 @@ def test_held_out_accuracy(spark):
     assert hits > 0.95 and auc > 0.95 and recall > 0.8 and false < 0.02
 
 
+VOCABULARY = P.path("byte_bpe_50k.json")
+
+
+def cells(seed, shape=(5, 4, 3), empty=0.2):
+    r = np.random.default_rng(seed)
+    tokens = r.integers(1, 1000, shape).astype(float)
+    tokens[r.random(shape) < empty] = 0
+    return r, tokens, [x.ravel() for x in np.indices(shape)]
+
+
+def margins(kept, shape):
+    x = kept.reshape(shape)
+    return [x.sum(axis=tuple(i for i in range(3) if i != axis)) for axis in range(3)]
+
+
 def test_rake_meets_margins_as_dense_fitting_does():
-    r = np.random.default_rng(3)
-    tokens = r.integers(1, 1000, (5, 4, 3)).astype(float)
-    tokens[r.random(tokens.shape) < 0.2] = 0
+    r, tokens, of = cells(3)
     wants = [w / w.sum() for w in (r.random(5) + 0.1, r.random(4) + 0.1, r.random(3) + 0.1)]
-    of = [x.ravel() for x in np.indices(tokens.shape)]
-    weight = mixing.rake(tokens.ravel(), of, wants)
-    fitted = (weight * tokens.ravel()).reshape(tokens.shape)
+    chance, off = mixing.rake(tokens.ravel(), of, wants)
+    fitted = (chance * tokens.ravel()).reshape(tokens.shape)
+    fitted = fitted / fitted.sum()
     brute = tokens / tokens.sum()
     for _ in range(3000):
         for axis, want in enumerate(wants):
             others = tuple(i for i in range(3) if i != axis)
             brute = brute * np.expand_dims(want / brute.sum(axis=others), others)
-    assert np.allclose(fitted, brute, atol=1e-9)
-    for axis, want in enumerate(wants):
-        assert np.allclose(fitted.sum(axis=tuple(i for i in range(3) if i != axis)), want, atol=1e-8)
-    p = mixing.calibrate(weight, tokens.ravel(), 0.4 * tokens.sum())
-    assert np.isclose((p * tokens.ravel()).sum(), 0.4 * tokens.sum()) and p.max() <= 1
+    assert off < 1e-8 and np.allclose(fitted, brute, atol=1e-8)
+
+
+def test_filling_is_what_bisection_finds():
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        n, k = r.integers(1, 30), r.integers(1, 6)
+        own, most, z = r.integers(0, k, n), r.integers(0, 9, n).astype(float), r.random(n) * (r.random(n) < 0.8)
+        want = np.bincount(own, weights=most * (z > 0), minlength=k) * r.choice([0.0, 0.3, 0.9, 1.0, 1.5], k)
+        got = mixing._filled(z, most, own, want)
+        for c in range(k):
+            mine = own == c
+            reach = np.minimum(most, 1e18 * z)[mine].sum()
+            assert np.isclose(np.minimum(most, min(got[c], 1e30) * z)[mine].sum(), min(want[c], reach))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bounded_raking_meets_margins_that_are_possible(seed):
+    """Margins of some probabilities below one can be met by definition, and the bound is where it must be: the result is
+    min(1, a product of the categories' factors)."""
+    r, tokens, of = cells(seed, empty=0.1)
+    some = np.minimum(1.0, r.random(tokens.shape) * 1.6)
+    wants = [m / (some * tokens).sum() for m in margins(some * tokens, tokens.shape)]
+    chance, off = mixing.rake(tokens.ravel(), of, wants, (some * tokens).sum())
+    assert off < 1e-6 and chance.max() <= 1 and chance.min() >= 0
+    for m, w in zip(margins(chance * tokens.ravel(), tokens.shape), wants):
+        assert np.abs(m / (some * tokens).sum() - w).max() < 1e-6
+
+
+def test_what_cannot_be_had():
+    tokens, of = np.array([900.0, 80.0, 20.0]), [np.array([0, 1, 2]), np.zeros(3, int), np.zeros(3, int)]
+    shares = lambda power: [np.array(list(mixing.tempered({"a": 900.0, "b": 80.0, "c": 20.0}, power).values())), np.ones(1), np.ones(1)]
+    # tempered as far as the budget allows: c is kept whole, or nearly
+    goal, budget, chance, off = mixing.allowed(tokens, of, shares, 700.0, False)
+    assert budget == 700 and off < 1e-6 and np.isclose((chance * tokens).sum(), 700) and 0.99 < chance[2] <= 1
+    assert np.allclose(chance * tokens / 700, goal[0], atol=1e-6)
+    # named shares stay, the budget gives way: 20 tokens of c are a third of 60
+    third = lambda power: [np.ones(3) / 3, np.ones(1), np.ones(1)]
+    goal, budget, chance, off = mixing.allowed(tokens, of, third, 700.0, True)
+    assert abs(budget - 60) < 0.01 and np.allclose(chance * tokens, 20, atol=0.01) and off <= 1e-6
+    # categories that only occur together have one share
+    of = [np.array([0, 1]), np.array([0, 1]), np.zeros(2, int)]
+    goal, budget, chance, off = mixing.allowed(np.array([10.0, 10.0]), of, lambda p: [np.array([0.5, 0.5]), np.array([0.9, 0.1]), np.ones(1)], 5.0, True)
+    assert off > 0.1
 
 
 MIX = "doc_id long, text string, source string, lang string"
@@ -123,54 +177,75 @@ MIX = "doc_id long, text string, source string, lang string"
 def test_mixing_odd_rows(spark):
     rows = [(1, "a b", "s", "en"), (1, "a b", "s", "en"), (None, None, None, None), (3, "", "t", None), (4, "word " * 200_000, "s", "en")]
     df = spark.createDataFrame(rows, MIX)
-    for c in ("c_lang", "c_source", "weight", "kept", "n", "__x"):  # names that could clash
+    for c in ("c_lang", "c_source", "weight", "kept", "n", "__x", "__draw", "__read", "row", "draw", "read", "given", "__source"):  # names that could clash
         df = df.withColumn(c, F.lit(5))
-    out = mixing.mixed(df, keep=1.0).collect()
-    assert len(out) == 5 and all(r.kept is not None and (r.c_lang, r.c_source, r.n, r["__x"]) == (5, 5, 5, 5) for r in out)
-    assert [r.n_tokens for r in out if r.doc_id == 1] == [2, 2] and [r.n_tokens for r in out if r.doc_id == 4] == [200_000]
-    assert mixing.mixed(spark.createDataFrame([], MIX)).count() == 0
+    out = mixing.mixed(df, VOCABULARY, keep=1.0).collect()
+    assert len(out) == 5 and all(r.kept is not None and (r.c_lang, r.c_source, r.n, r["__x"], r["__draw"], r["__read"], r["row"], r["given"], r["__source"]) == (5,) * 9 for r in out)
+    assert [r.n_tokens for r in out if r.doc_id == 1] == [2, 2] and [r.n_tokens for r in out if r.doc_id == 4] == [200_001]
+    empty, report = mixing.mixture(spark.createDataFrame([], MIX), VOCABULARY)
+    assert empty.count() == report.count() == 0
 
 
 def test_every_source_that_is_targeted_gets_weight(spark):
-    rows = [(i, f"word{i} and more", f"s{i % 100}", "en") for i in range(400)]
-    out = mixing.mixed(spark.createDataFrame(rows, MIX), {"source": {f"s{i}": 0.01 for i in range(100)}}, keep=0.5).collect()
+    rows = [(i, "three words here", f"s{i % 100}", "en") for i in range(400)]
+    out = mixing.mixed(spark.createDataFrame(rows, MIX), VOCABULARY, {"source": {f"s{i}": 0.01 for i in range(100)}}, keep=0.5).collect()
     assert all(abs(r.probability - 0.5) < 1e-6 for r in out)
 
 
 def test_more_cells_than_the_bound_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_CELLS", 10)
     with pytest.raises(ValueError):
-        mixing.mixed(spark.createDataFrame([(i, "a", f"s{i}", "en") for i in range(11)], MIX))
+        mixing.mixed(spark.createDataFrame([(i, "a", f"s{i}", "en") for i in range(11)], MIX), VOCABULARY)
 
 
 def test_mixing_without_a_broadcast_and_by_a_given_topic(spark, monkeypatch):
     rows = [(i, "some words " * (1 + i % 7), f"s{i % 3}", "en", ["art", None][i % 2]) for i in range(200)]
     df = spark.createDataFrame(rows, MIX + ", topic string")
-    want = sorted(map(str, mixing.mixed(df, topic_col="topic").collect()))
+    want = sorted(map(str, mixing.mixed(df, VOCABULARY, topic_col="topic").collect()))
     monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
-    got = mixing.mixed(df, topic_col="topic")
+    got = mixing.mixed(df, VOCABULARY, topic_col="topic")
     assert sorted(map(str, got.collect())) == want and {r.topic for r in got.collect()} == {"art", None}
 
 
+def held_against(rows, report, keep):
+    """Every category's kept tokens: what is expected is the target, what is drawn is within five deviations of it."""
+    targets = {(r.dimension, r.category): r for r in report}
+    expected, spread, drawn = {}, {}, {}
+    for r in rows:
+        for d in mixing.DIMENSIONS:
+            k = d, mixing.OTHER if r[d] is None else r[d]
+            expected[k] = expected.get(k, 0) + r.n_tokens * r.probability
+            spread[k] = spread.get(k, 0) + r.n_tokens**2 * r.probability * (1 - r.probability)
+            drawn[k] = drawn.get(k, 0) + r.n_tokens * r.kept
+    total = sum(r.n_tokens * r.probability for r in rows)
+    assert abs(total - keep * sum(r.n_tokens for r in rows)) < 1e-4 * total
+    assert {k for k, n in expected.items() if n} <= set(targets)
+    for k, r in targets.items():
+        assert r.met and abs(expected[k] / total - r.target) < 1e-5, (k, r)
+        assert abs(drawn[k] - expected[k]) <= 5 * spread[k] ** 0.5 + 1, k
+
+
 def test_mixing_query(spark, sf):
+    """The sample of the query, by category, against the targets and the tokens counted by the library."""
+    library = Tokenizer.from_file(VOCABULARY)
+    library.encode_special_tokens = True
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = op9_mixing(spark, sf).collect()
-    assert len(got) == len(docs) and all(r.n_tokens == len(docs[r.doc_id].text.split()) for r in got)
-    cells: dict = {}
+    assert len(got) == len(docs) and all(r.n_tokens == len(library.encode(docs[r.doc_id].text or "", add_special_tokens=False).ids) for r in got)
+    by_cell: dict = {}
     for r in got:
-        cells.setdefault((r.source, r.lang, r.topic), []).append(r)
-    assert all(len({(r.weight, r.probability) for r in v}) == 1 for v in cells.values())
-    total = sum(r.n_tokens for r in got)
-    for axis in range(3):  # the weighted tokens meet the tempered shares
-        have, fitted = {}, {}
-        for k, v in cells.items():
-            n = sum(r.n_tokens for r in v)
-            have[k[axis]] = have.get(k[axis], 0) + n
-            fitted[k[axis]] = fitted.get(k[axis], 0) + n * v[0].weight
-        want = mixing.tempered(have)
-        assert all(abs(fitted[k] - want[k]) < 1e-5 for k in want)
-    assert abs(sum(r.n_tokens * r.probability for r in got) / total - 0.7) < 1e-6
-    assert abs(sum(r.n_tokens for r in got if r.kept) / total - 0.7) < 0.12
+        by_cell.setdefault((r.source, r.lang, r.topic), set()).add((r.weight, r.probability))
+    assert all(len(v) == 1 for v in by_cell.values())
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    out, report = mixing.mixture(df, VOCABULARY, keep=0.7)
+    held_against(got, report.collect(), 0.7)
+    shares = {r.category: r for r in report.filter("dimension = 'lang'").collect()}
+    least = min(shares.values(), key=lambda r: r.available)
+    assert least.target > least.available  # leans towards equal parts
+    # named targets that need less than the budget are met with less
+    named = {"lang": {k: 1 / len(shares) for k in shares}}
+    out, report = mixing.mixture(df, VOCABULARY, named, keep=0.9)
+    assert all(r.met for r in report.filter("dimension = 'lang'").collect())
 
 
 def test_regression_on_separable_evidence():

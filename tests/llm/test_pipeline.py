@@ -89,7 +89,7 @@ def test_near_copies(spark, rows, folder):
 def test_mixing_keeps_what_the_probabilities_say(spark, rows, folder):
     df = table(spark, rows)
     out = got(pipe.mix(spark, df, folder))
-    drawn = mixing.mixed(df, keep=0.7).collect()
+    drawn = mixing.mixed(df, P.path("byte_bpe_50k.json"), keep=0.7).collect()
     assert out == sorted(((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in drawn if r.kept), key=str)
     total = sum(len((x or "").split()) for _, x, _, _ in rows)
     assert abs(sum(r.n_tokens * r.probability for r in drawn) / total - 0.7) < 1e-6 and 0 < len(out) < len(rows)
