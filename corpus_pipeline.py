@@ -56,7 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The draw is a seeded hash of id and text, so it is the same in every run and rows that repeat are drawn alike; null
     sources and languages are one category; texts without tokens share their cell's fate; an empty table gives none."""
-    return mixing.mixed(docs, keep=0.7).filter("kept").select(*COLUMNS)
+    return mixing.mixed(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=0.7).filter("kept").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
