@@ -43,6 +43,13 @@ def fisher_yates(n: int, *seed: int) -> np.ndarray:
     return order
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """A name that no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def shuffled(df: DataFrame, shards: int = 24, seed: int = 1, key: str = "doc_id", text: str = "text", overhead: int = 8, bucket_bytes: int = BUCKET_BYTES, path: str | None = None) -> DataFrame:
     """Write df's records with shard, grown_shard (with one shard more), slot and size to path, by shard, and read
     them back."""
@@ -50,24 +57,25 @@ def shuffled(df: DataFrame, shards: int = 24, seed: int = 1, key: str = "doc_id"
     ship(spark)
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long")
     own = df.drop(*_OWN)
+    tie, bucket = (_free(n, own.columns) for n in ("__tie", "__bucket"))
     of_key = own.select(key, size.alias("size")).withColumn("shard", highest(key, shards, seed))
     total = {r["shard"]: r["n"] for r in of_key.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a row for each shard
     buckets = F.lit([max(1, -(-total.get(s, 0) // bucket_bytes)) for s in range(shards)])
     content = F.xxhash64(F.lit(seed + 1), key, text)
-    placed = own.select("*", size.alias("size"), highest(key, shards, seed).alias("shard"), highest(key, shards + 1, seed).alias("grown_shard"), content.alias("__tie"))
-    placed = placed.withColumn("__bucket", F.pmod(F.col("__tie"), F.element_at(buckets, F.col("shard") + 1)))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("__bucket")) - F.col("n")
-    first = placed.groupBy("shard", "__bucket").agg(F.count("*").alias("n")).withColumn("first", before)
+    placed = own.select("*", size.alias("size"), highest(key, shards, seed).alias("shard"), highest(key, shards + 1, seed).alias("grown_shard"), content.alias(tie))
+    placed = placed.withColumn(bucket, F.pmod(F.col(tie), F.element_at(buckets, F.col("shard") + 1)))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy(bucket)) - F.col("n")
+    first = placed.groupBy("shard", bucket).agg(F.count("*").alias("n")).withColumn("first", before)
 
     def mix(rows: pa.Table, at: pa.Table) -> pa.Table:
-        keys = [("__tie", "ascending"), (key, "ascending")]  # the same start whatever order rows came in
+        keys = [(tie, "ascending"), (key, "ascending")]  # the same start whatever order rows came in
         start = pc.sort_indices(rows, sort_keys=keys)
-        rows = rows.take(start.take(pa.array(fisher_yates(rows.num_rows, seed, rows["shard"][0].as_py(), rows["__bucket"][0].as_py()))))
+        rows = rows.take(start.take(pa.array(fisher_yates(rows.num_rows, seed, rows["shard"][0].as_py(), rows[bucket][0].as_py()))))
         slot = at["first"][0].as_py() + np.arange(rows.num_rows)
-        return rows.drop_columns(["__tie", "__bucket"]).append_column("slot", pa.array(slot, pa.int64()))
+        return rows.drop_columns([tie, bucket]).append_column("slot", pa.array(slot, pa.int64()))
 
-    schema = placed.drop("__bucket", "__tie").withColumn("slot", F.lit(0).cast("long")).schema
+    schema = placed.drop(bucket, tie).withColumn("slot", F.lit(0).cast("long")).schema
     path = path or work.path("shards")
-    mixed = placed.groupBy("shard", "__bucket").cogroup(first.groupBy("shard", "__bucket")).applyInArrow(mix, schema)
+    mixed = placed.groupBy("shard", bucket).cogroup(first.groupBy("shard", bucket)).applyInArrow(mix, schema)
     mixed.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path).select(*schema.names)

@@ -111,6 +111,12 @@ def test_shards_keep_large_ids_beside_nulls(spark):
     assert sorted(map(tuple, out), key=lambda r: r[1]) == sorted(rows, key=lambda r: r[1])
 
 
+def test_shards_pass_through_whatever_columns_are_called(spark):
+    df = spark.createDataFrame([(i, f"t{i}", i, -i, "n", 1.5) for i in range(50)], "doc_id long, text string, __tie long, __bucket long, n string, first double")
+    out = shards.shuffled(df, 2, bucket_bytes=200).select(*df.columns).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, df.collect()))
+
+
 def test_shards_are_the_rule_and_fisher_yates_moves_everything(spark):
     """The shard and the slots by the rule itself, without buckets' help."""
     rows = [(i, f"text {i}") for i in range(300)]
