@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-#: The distribution function of Poisson(1) at 0, 1, 2, …
-POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885]
-
-
 def by_ticker(*keys: str) -> WindowSpec:
     return Window.partitionBy(*(keys or ("ticker",))).orderBy("date")
 
@@ -32,11 +28,12 @@ def average_rank(value: Column | str, w: WindowSpec) -> Column:
     return F.rank().over(o) + (F.count("*").over(o.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
-def exact_sum(x: Column | str, over: WindowSpec | None = None, places: int = 9) -> Column:
-    """The sum of doubles as whole units of the last place, so that no order of adding them matters."""
+def exact_sum(x: Column | str, over: WindowSpec | None = None) -> Column:
+    """The sum of doubles as decimals of eighteen places, so that no order of adding them matters and small terms count.
+    Below 1e20."""
     x = F.col(x) if isinstance(x, str) else x
-    units = F.sum(F.round(x * float(10**places), 0).cast("long"))
-    return (units if over is None else units.over(over)) / float(10**places)
+    total = F.sum(x.cast("decimal(38,18)"))
+    return (total if over is None else total.over(over)).cast("double")
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -77,18 +74,6 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def draw(*parts: Column | str | int) -> Column:
-    """A number in [0, 1) that follows from the parts alone, the same in every engine: the first 32 bits of the MD5 of
-    their texts, joined by bars."""
-    texts = [(F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
-def poisson_weight(u: Column) -> Column:
-    """How often a row is drawn by a resample, by the inverse distribution of Poisson(1) at a number in [0, 1)."""
-    return reduce(lambda a, b: a + b, [F.when(u >= c, 1).otherwise(0) for c in POISSON], F.lit(0))
-
-
 def sessions(df: DataFrame, keys: list[str], order: list[str], gap_s: float, ts: str = "ts", out: str = "__session") -> DataFrame:
     """df with a number that rises where at least gap_s seconds lie between a row and the one before it of the same
     keys. A rule that forgets what is gap_s old starts anew there, so it can be worked off by session: a group then

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import statistics
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -11,10 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw, last_rows, poisson_weight, ratio
+from ..functions.columns import last_rows, ratio
 from ..functions.pooled import pooled_spearman
+from ..functions.resamples import name_of, weighted_sums
 from .altdata import share_below
-from .signals import bootstrap_ic_ci
+from .walkforward import Ridge, curve, figures, ridge_folds
 
 #: Fixed value: the Euler-Mascheroni constant.
 EULER = 0.5772156649015329
@@ -141,36 +143,49 @@ def _fold_scores(df: DataFrame, features: list[str], splits: DataFrame, make) ->
 
 def fold_metrics(scored: DataFrame) -> DataFrame:
     """(fold, ic, r2): Spearman's correlation (0 where a side does not vary) and the share of variance explained."""
-    tidy = scored.select("fold", "ret", "prediction").dropna()
-    mean = F.avg("ret").over(Window.partitionBy("fold"))
-    ss = tidy.withColumn("m", mean).groupBy("fold").agg(F.sum((F.col("ret") - F.col("prediction")) ** 2).alias("res"), F.sum((F.col("ret") - F.col("m")) ** 2).alias("tot"))
-    r2 = ss.select("fold", F.coalesce(1 - ratio("res", "tot"), F.lit(0.0)).alias("r2"))
-    return pooled_spearman(tidy, ["fold"], "ret", "prediction").select("fold", F.coalesce("corr", F.lit(0.0)).alias("ic")).join(r2, "fold")
+    known = scored.select("fold", F.col("ret").alias("y"), "prediction").dropna()
+    return figures(known, ["fold"]).select("fold", "ic", "r2")
 
 
-def walk_forward_eval(df: DataFrame, features: list[str], make=None, train: int = 504, test: int = 63, step: int = 21) -> DataFrame:
-    """(n_folds, ic_mean, ic_std, t_stat, r2_mean, significant): a fit for each fold, its figures from one grouped pass.
-    The mean and t count folds alike; without folds one row of zeros."""
-    from pyspark.ml.regression import LinearRegression
-
-    make = make if make is not None else (lambda: LinearRegression(featuresCol="features", labelCol="ret", regParam=0.1))
-    scored = _fold_scores(df, features, walk_forward_splits(df, train, test, step), make)
-    if scored is None:
-        scored = df.sparkSession.createDataFrame([], "fold int, ret double, prediction double")
-    t = F.coalesce(ratio(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count("ic")), F.lit(0.0))
+def _summary(folds: DataFrame, names: DataFrame) -> DataFrame:
+    """(model, n_folds, ic_mean, ic_std, t_stat, r2_mean, significant) of (model, fold, ic, r2): the mean and t count folds
+    alike; a model without folds has zeros."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return fold_metrics(scored).agg(F.count("*").alias("n_folds"), zero(F.avg("ic")).alias("ic_mean"), zero(F.stddev_samp("ic")).alias("ic_std"), t.alias("t_stat"), zero(F.avg("r2")).alias("r2_mean"), (zero(F.avg("ic")) > 0.03).alias("__ic")).withColumn("significant", F.col("__ic") & (F.col("t_stat") > 2)).drop("__ic")
+    t = zero(ratio(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count("ic")))
+    a = names.join(folds, "model", "left").groupBy("model").agg(F.count("ic").alias("n_folds"), zero(F.avg("ic")).alias("ic_mean"), zero(F.stddev_samp("ic")).alias("ic_std"), t.alias("t_stat"), zero(F.avg("r2")).alias("r2_mean"))
+    return a.withColumn("significant", (F.col("ic_mean") > 0.03) & (F.col("t_stat") > 2))
+
+
+def _walked(df: DataFrame, features: list[str], makers: dict, train: int, test: int, step: int) -> DataFrame:
+    """(model, fold, ic, r2) of named models: all ridge regressions from one pass of sums, columns of features without a
+    fit, and estimators with one for each fold."""
+    ridges = {n: m.alpha for n, m in makers.items() if isinstance(m, Ridge)}
+    parts = [ridge_folds(df, features, ridges, train, test, step).select("model", "fold", "ic", "r2")] if ridges else []
+    splits = walk_forward_splits(df.dropna(), train, test, step)
+    for n, m in makers.items():
+        scored = None if isinstance(m, Ridge) else _fold_scores(df, features, splits, m)
+        if scored is not None:
+            parts.append(fold_metrics(scored).select(F.lit(n).alias("model"), F.col("fold").cast("int").alias("fold"), "ic", "r2"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "model string, fold int, ic double, r2 double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def walk_forward_eval(df: DataFrame, features: list[str], make=None, train: int = 504, test: int = 63, step: int = 21) -> DataFrame:
+    """(n_folds, ic_mean, ic_std, t_stat, r2_mean, significant) of a model over an expanding walk forward: a Ridge (the
+    default), a column of features, or something that makes an estimator for each fold. Without folds one row of zeros."""
+    names = df.sparkSession.createDataFrame([("model",)], "model string")
+    return _summary(_walked(df, features, {"model": Ridge() if make is None else make}, train, test, step), names).drop("model")
 
 
-def model_comparison(df: DataFrame, features: list[str], makers: dict, baselines: dict[str, Column] | None = None, **spans: int) -> DataFrame:
+def model_comparison(df: DataFrame, features: list[str], makers: dict, baselines: dict[str, Column] | None = None, train: int = 200, test: int = 63, step: int = 21) -> DataFrame:
     """walk_forward_eval by model, with the models' plain scores beside them (baselines: columns of features that need no
     fit), with dsr, the chance that the mean IC is above what the best of as many tries has by luck, and
     beats_all_baselines."""
-    parts = [walk_forward_eval(df, features, m, **spans).withColumns({"model": F.lit(n), "is_baseline": F.lit(plain)}) for plain, group in ((False, makers), (True, baselines or {})) for n, m in group.items()]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    trials, normal = len(parts), statistics.NormalDist()
+    every = {**makers, **(baselines or {})}
+    names = df.sparkSession.createDataFrame([(n, n not in makers) for n in every], "model string, is_baseline boolean")
+    both = _summary(_walked(df, features, every, train, test, step), names.select("model")).join(names, "model")
+    trials, normal = len(every), statistics.NormalDist()
     luck = (1 - EULER) * normal.inv_cdf(1 - 1 / trials) + EULER * normal.inv_cdf(1 - 1 / (trials * math.e)) if trials > 1 else 0.0
 
     @F.pandas_udf("double")
@@ -190,35 +205,21 @@ def train_test_gap(scores: DataFrame, most: float = 0.15) -> DataFrame:
     return scores.select("*", gap.alias("gap"), ratio("test", "train").alias("ratio"), (gap > most).alias("overfit"))
 
 
-def learning_curve(df: DataFrame, features: list[str], shares: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0)) -> DataFrame:
-    """(share, r2, ic, n) on the last tenth, fitted on the first shares of the rest."""
-    from pyspark.ml.regression import LinearRegression
-
-    split = _vector(temporal_split(df.select("date", "ticker", *features, "ret")), features)
-    dates = split.filter("role = 'train'").select("date").distinct().withColumn("p", F.percent_rank().over(Window.orderBy("date")))
-    both = None
-    for s in shares:
-        some = split.join(F.broadcast(dates.filter(F.col("p") <= s).select("date")), "date", "left_semi")
-        out = LinearRegression(featuresCol="features", labelCol="ret", regParam=0.1).fit(some).transform(split.filter("role = 'test'"))
-        part = _report(out, f"{s:g}")
-        both = part if both is None else both.unionByName(part)
-    return both.select(F.col("model").cast("double").alias("share"), "r2", "ic", "n")
+def learning_curve(df: DataFrame, features: list[str], shares: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0), model: Ridge = Ridge()) -> DataFrame:
+    """(share, n_train, train_r2, test_r2, test_ic, n_test): fitted on the first shares of the training dates, tested on
+    the last tenth of the rows."""
+    return curve(df, features, [(s, model.alpha) for s in shares]).drop("alpha")
 
 
 def complexity_curve(df: DataFrame, features: list[str], strengths: tuple[float, ...] = (0.01, 0.1, 1.0)) -> DataFrame:
-    """(strength, role, r2, ic, n) over one hyper-parameter of ridge regression."""
-    both = None
-    for s in strengths:
-        part = linear_alpha(df, features, "ridge", s).withColumn("strength", F.lit(s)).drop("model")
-        both = part if both is None else both.unionByName(part)
-    return both
+    """(strength, n_train, train_r2, test_r2, test_ic, n_test) over one hyper-parameter of ridge regression."""
+    return curve(df, features, [(1.0, s) for s in strengths]).drop("share").withColumnRenamed("alpha", "strength")
 
 
 def overfit_probability(ics: DataFrame, b: int = 1000, seed: int = 13) -> DataFrame:
     """(signal, p): the share of bootstrap means at or below zero."""
-    drawn = ics.select("signal", "date", "ic", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("i")).withColumn("w", poisson_weight(draw(seed, "signal", "date", "i")))
-    means = drawn.groupBy("signal", "i").agg(F.sum(F.col("w") * F.col("ic")).alias("s"))
-    return means.groupBy("signal").agg(F.avg((F.col("s") <= 0).cast("double")).alias("p"))
+    sums = weighted_sums(ics, ["signal"], "ic", name_of(seed, "signal", "date"), b)
+    return sums.groupBy("signal").agg(F.avg((F.col("s") <= 0).cast("double")).alias("p"))
 
 
 def perturbed(df: DataFrame, columns: list[str], kind: str = "noise", size: float = 0.1, seed: int = 21) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw, exact_sum, last_rows, ratio
+from ..functions.columns import exact_sum, last_rows, ratio
+from ..functions.resamples import name_of, weighted_sums
 
 YEAR = 252
 #: Fixed value: the Euler-Mascheroni constant.
@@ -186,16 +187,14 @@ def bootstrap_ci(series: DataFrame, b: int = 1000, level: float = 0.95, seed: in
     return block_bootstrap(series, b, 1, level, seed, key)
 
 
-def block_bootstrap(series: DataFrame, b: int = 200, block: int = 10, level: float = 0.95, seed: int = 17, key: str = "strategy") -> DataFrame:
-    """(key, low, high): percentiles of the mean over b resamples made of blocks of consecutive rows. A resample is a
-    list of block starts by a seeded digest, joined to the rows by position."""
+def block_bootstrap(series: DataFrame, b: int = 1000, block: int = 10, level: float = 0.95, seed: int = 17, key: str = "strategy") -> DataFrame:
+    """(key, low, high): percentiles of the mean over b resamples made of blocks of consecutive rows (all of a shorter
+    series). Each row begins a block, whose sum a window gives; a resample takes blocks with Poisson(1 / block) weights
+    that follow from their first row's name, as many rows as the series has, on average."""
     w = Window.partitionBy(key).orderBy("date")
-    s = series.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    n = s.groupBy(key).agg(F.max("n").alias("n"))
-    starts = n.select(key, "n", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("i")).select(key, "n", "i", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("j"))
-    first = F.floor(draw(seed, key, "i", "j") * F.greatest(F.col("n") - block + 1, F.lit(1)))
-    places = starts.withColumn("first", first).select(key, "i", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + block, F.col("n")) - 1)).alias("k"))
-    m = places.join(s.select(key, "k", "ret"), [key, "k"]).groupBy(key, "i").agg(F.avg("ret").alias("m"))
+    ahead = w.rowsBetween(0, block - 1)
+    blocks = series.select(key, "date", F.sum("ret").over(ahead).alias("x"), F.count("*").over(ahead).alias("size"), F.row_number().over(w).alias("k")).filter((F.col("size") == block) | (F.col("k") == 1))
+    m = weighted_sums(blocks, [key], "x", name_of(seed, key, "date"), b, 1.0 / block, "size").withColumn("m", ratio("s", "w"))
     tail = (1 - level) / 2
     return m.groupBy(key).agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
 
@@ -204,7 +203,8 @@ def backtest(scores: DataFrame, bars: DataFrame, cost_bps: float | Column = 5.0,
     """(keys…, date, gross_ret, turnover, cost, ret, nav): scores ranked and centred to gross one on every freq-th date,
     held between, earning the next close. One plan for all dates and keys.
 
-    Weights of a rebalance reach to the next one, so a date finds its rebalance by integer division, not by a loop."""
+    Weights of a rebalance reach to the next one, so a date finds its rebalance by integer division, not by a loop. An
+    account that loses all it has stays at nothing: nav is 0 from there on, whatever ret would be."""
     cost = F.lit(cost_bps) if not isinstance(cost_bps, Column) else cost_bps
     every = F.lit(freq) if not isinstance(freq, Column) else freq
     x = Window.partitionBy(*keys, "date")
@@ -223,7 +223,7 @@ def backtest(scores: DataFrame, bars: DataFrame, cost_bps: float | Column = 5.0,
     turn = both.groupBy(*keys, "r").agg(exact_sum("d").alias("turnover"))
     g = gross.join(turn, [*keys, "r"], "left").withColumn("turnover", F.when(F.col("k") % every == 0, F.coalesce("turnover", F.lit(0.0))).otherwise(0.0))
     g = g.withColumn("cost", F.col("turnover") * cost / 1e4).withColumn("ret", F.col("gross_ret") - F.col("cost"))
-    nav = F.product(1 + F.col("ret")).over(Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    nav = F.product(F.greatest(1 + F.col("ret"), F.lit(0.0))).over(Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     return g.withColumn("nav", nav).select(*keys, "date", "gross_ret", "turnover", "cost", "ret", "nav")
 
 

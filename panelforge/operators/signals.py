@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, by_ticker, draw, last_rows, poisson_weight, ratio, safe_corr
+from ..functions.columns import average_rank, by_ticker, last_rows, ratio, safe_corr
 from ..functions.pooled import pooled_ranks, pooled_spearman
+from ..functions.resamples import name_of, weighted_sums
 
 YEAR = 252
 
@@ -90,10 +91,9 @@ def score_signals_fdr(scored: DataFrame, fdr: float = 0.1) -> DataFrame:
 
 
 def bootstrap_ic_ci(ics: DataFrame, b: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """(signal, low, high): percentiles of the means of b resamples of the dates, each date drawn with Poisson(1)
-    weights by a seeded digest; (0, 0) below ten dates. Rows are reduced map-side, so b copies of a date never meet."""
-    drawn = ics.select("signal", "date", "ic", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("i")).withColumn("w", poisson_weight(draw(seed, "signal", "date", "i")))
-    means = drawn.groupBy("signal", "i").agg(ratio(F.sum(F.col("w") * F.col("ic")), F.sum("w").cast("double")).alias("m"), F.count("*").alias("n"))
+    """(signal, low, high): percentiles of the means of b resamples of the dates, each date drawn with Poisson(1) weights
+    that follow from its name; (0, 0) below ten dates."""
+    means = weighted_sums(ics, ["signal"], "ic", name_of(seed, "signal", "date"), b).withColumn("m", ratio("s", "w"))
     tail = (1 - level) / 2
     return means.groupBy("signal").agg(F.when(F.max("n") < 10, 0.0).otherwise(F.percentile("m", tail)).alias("low"), F.when(F.max("n") < 10, 0.0).otherwise(F.percentile("m", 1 - tail)).alias("high"))
 

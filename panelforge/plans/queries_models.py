@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import random
+import statistics
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import POISSON, half_up, rounded
+from ..functions.columns import half_up, rounded
+from ..functions.resamples import mixed_sql, name_sql, weight_sql
 from ..operators import embedding
 from ..operators import models as mod
 from ..operators import normalise as norm
 from ..operators import pairs
 from ..operators import signals as sig
+from ..operators.walkforward import Ridge
 from . import views
 from .queries_data import AS_OF, macro, r
 from .registry import query
@@ -174,11 +178,11 @@ def e05(spark, sf):
     return sig.rank_signals(scored(spark, sf)).select("signal", F.col("rank").cast("long").alias("rank"))
 
 
-PV = "pv AS (SELECT l_orderkey % 20 AS fam, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_extendedprice % 1000 / 1000000.0 AS p FROM lineitem WHERE l_quantity < 3)"
+PV = "pv AS (SELECT l_orderkey % 20 AS fam, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_extendedprice % 1000 / 1000000.0 AS p FROM lineitem)"
 
 
 def pvalues(spark, sf) -> DataFrame:
-    li = views.table(spark, sf, "lineitem").filter("l_quantity < 3")
+    li = views.table(spark, sf, "lineitem")
     ids = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
     return li.select((F.col("l_orderkey") % 20).alias("fam"), ids.alias("id"), (F.col("l_extendedprice") % 1000 / 1000000.0).alias("p"))
 
@@ -200,20 +204,15 @@ def e08(spark, sf):
     return rounded(sig.score_signals_fdr(scored(spark, sf)))
 
 
-def draw_sql(seed: int, *parts: str) -> str:
-    """A number in [0, 1) by the first 32 bits of a digest."""
-    return f"(('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0)"
-
-
 def resampled_sql(b: int, seed: int) -> str:
-    times = " + ".join(f"CAST(u >= {c} AS INT)" for c in POISSON)
-    return f"""{ICS}, dr AS (SELECT signal, date, ic, i, {draw_sql(seed, 'signal', 'date', 'i')} AS u FROM ics, (SELECT unnest(range(1, {b} + 1)) AS i)), dw AS (SELECT *, {times} AS w FROM dr),
+    """Each signal's weighted sums (s), their means (m) and dates (n) by resample."""
+    return f"""{ICS}, nm AS (SELECT signal, date, ic, {name_sql(seed, 'signal', 'date')} AS nm FROM ics), dr AS (SELECT signal, ic, i, {mixed_sql('nm', 'i')} AS u FROM nm, (SELECT unnest(range(1, {b} + 1)) AS i)), dw AS (SELECT *, {weight_sql('u')} AS w FROM dr),
     ms AS (SELECT signal, i, sum(w * ic) AS s, sum(w * ic) / nullif(sum(w), 0) AS m, count(*) AS n FROM dw GROUP BY 1, 2)"""
 
 
-@query("e09_bootstrap_ic_ci", f"WITH {resampled_sql(200, 7)} SELECT signal, CASE WHEN max(n) < 10 THEN 0 ELSE {r('quantile_cont(m, 0.025)')} END AS low, CASE WHEN max(n) < 10 THEN 0 ELSE {r('quantile_cont(m, 0.975)')} END AS high FROM ms GROUP BY signal")
+@query("e09_bootstrap_ic_ci", f"WITH {resampled_sql(1000, 7)} SELECT signal, CASE WHEN max(n) < 10 THEN 0 ELSE {r('quantile_cont(m, 0.025)')} END AS low, CASE WHEN max(n) < 10 THEN 0 ELSE {r('quantile_cont(m, 0.975)')} END AS high FROM ms GROUP BY signal")
 def e09(spark, sf):
-    return rounded(sig.bootstrap_ic_ci(ics(spark, sf), 200))
+    return rounded(sig.bootstrap_ic_ci(ics(spark, sf), 1000))
 
 
 @query("e10_combine_signals", f"SELECT date, ticker, {r('sum(CASE signal WHEN $$mom$$ THEN 2.0 ELSE 1.0 END * score) / 3.0')} AS score FROM signals WHERE signal IN ('mom', 'rev') GROUP BY 1, 2")
@@ -275,13 +274,13 @@ def e15(spark, sf):
 def combos_sql() -> str:
     """The coefficients as a table: the same seeded draws."""
     g = random.Random(3)
-    rows = [(f"combo_{i}", f, g.gauss(0, 1)) for i in range(10) for f in g.sample(NAMES, min(len(NAMES), g.randint(2, 5)))]
+    rows = [(f"combo_{i}", f, g.gauss(0, 1)) for i in range(50) for f in g.sample(NAMES, min(len(NAMES), g.randint(2, 5)))]
     return ", ".join(f"('{c}', '{f}', {v!r}::DOUBLE)" for c, f, v in rows)
 
 
 @query("e16_linear_combos", f"WITH {FEAT}, co(candidate, feature, coef) AS (VALUES {combos_sql()}) SELECT date, ticker, candidate, {r('sum(coef * coalesce(value, 0))')} AS value FROM feat JOIN co USING (feature) GROUP BY 1, 2, 3")
 def e16(spark, sf):
-    return rounded(sig.linear_combos(features(spark, sf), ["mom", "rev", "vol"], 10))
+    return rounded(sig.linear_combos(features(spark, sf), ["mom", "rev", "vol"], 50))
 
 
 @query("e17_ratio_candidates", f"""WITH {FEAT}, h AS (SELECT date, ticker, list({{'f': feature, 'v': value}}) AS l FROM feat GROUP BY 1, 2), a AS (SELECT date, ticker, l, unnest(l) AS a FROM h), b AS (SELECT date, ticker, a, unnest(l) AS b FROM a)
@@ -304,7 +303,7 @@ def wide(spark, sf) -> DataFrame:
 
 @query("e19_expression_search")
 def e19(spark, sf):
-    return rounded(sig.expression_search(wide(spark, sf), ["mom", "rev", "vol"], "ret", 20))
+    return rounded(sig.expression_search(wide(spark, sf), ["mom", "rev", "vol"], "ret", 50))
 
 
 @query("e20_parameter_search")
@@ -399,18 +398,74 @@ def f09(spark, sf):
     return mod.combinatorial_purged_cv(views.bars(spark, sf)).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
-@query("f07_walk_forward_eval")
+def _xx() -> list[tuple[str, str]]:
+    """The sums that a ridge regression of three features needs: name and term."""
+    x = [f"x{i}" for i in range(3)]
+    return [("n", "1"), *[(v, v) for v in x], ("y", "y"), *[(x[i] + x[j], f"{x[i]} * {x[j]}") for i in range(3) for j in range(i, 3)], *[(v + "y", f"{v} * y") for v in x], ("yy", "y * y")]
+
+
+GRAM = f"""{WIDE}, rw AS (SELECT date, mom AS x0, rev AS x1, vol AS x2, ret AS y FROM wide JOIN fwd USING (date, ticker)),
+    gd AS (SELECT date, {', '.join(f'CAST(sum({t}) AS DOUBLE) AS {c}' for c, t in _xx())} FROM rw GROUP BY date),
+    pf AS (SELECT date, row_number() OVER w - 1 AS k, n AS own, {', '.join(f'sum({c}) OVER w AS {c}' for c, _ in _xx())} FROM gd WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING))"""
+
+
+def ridge_sql(source: str, keys: str) -> str:
+    """(keys, n, a, b0, b1, b2, r2) from sums: centred, scaled, and solved by Cramer's rule."""
+    c = lambda i, j: f"(x{min(i, j)}x{max(i, j)} - x{i} * x{j} / n)"
+    z = ", ".join(f"{c(i, j)} / (s{i} * s{j}){' + alpha' if i == j else ''} AS z{i}{j}" for i in range(3) for j in range(i, 3))
+
+    def det(m: list[list[str]]) -> str:
+        return f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+
+    full = [[f"z{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    with_r = lambda k: [[f"r{i}" if j == k else full[i][j] for j in range(3)] for i in range(3)]
+    fit = " + ".join(f"b{i} * b{j} * {c(i, j)}" for i in range(3) for j in range(3))
+    return f"""(SELECT {keys}, n, (y - b0 * x0 - b1 * x1 - b2 * x2) / n AS a, b0, b1, b2, 1 - (yy - y * y / n - 2 * ({' + '.join(f'b{i} * (x{i}y - x{i} * y / n)' for i in range(3))}) + {fit}) / (yy - y * y / n) AS r2
+        FROM (SELECT *, {', '.join(f'{det(with_r(k))} / {det(full)} / s{k} AS b{k}' for k in range(3))} FROM (SELECT *, {z}, {', '.join(f'(x{i}y - x{i} * y / n) / s{i} AS r{i}' for i in range(3))}
+        FROM (SELECT *, {', '.join(f'sqrt({c(i, i)} / n) AS s{i}' for i in range(3))} FROM {source}))))"""
+
+
+def figures_sql(scored: str, keys: str) -> str:
+    """(keys, ic, r2, n_test) of rows (keys, y, prediction)."""
+    return f"""(SELECT {keys}, coalesce({corr_sql('ra', 'rb')}, 0) AS ic, coalesce(1 - sum((y - prediction) ** 2) / nullif(sum(y * y) - sum(y) ** 2 / count(*), 0), 0) AS r2, count(*) AS n_test
+        FROM (SELECT *, {rank_sql('y', keys)} AS ra, {rank_sql('prediction', keys)} AS rb FROM {scored}) GROUP BY {keys})"""
+
+
+def walked_sql(ridges: dict[str, float], plain: dict[str, str], train: int, test: int, step: int) -> str:
+    """fm: (model, fold, ic, r2); sm: the folds' figures by model."""
+    names = ", ".join(f"('{m}', {a}::DOUBLE)" for m, a in ridges.items())
+    rows = f"rp AS (SELECT rw.*, k FROM rw JOIN pf USING (date)), fo AS (SELECT row_number() OVER (ORDER BY t) - 1 AS fold, t FROM (SELECT unnest(range({train}, (SELECT max(k) + 1 FROM pf) - {test} + 1, {step})) AS t))"
+    fitted = f"md(model, alpha) AS (VALUES {names}), sp AS (SELECT model, alpha, fold, t, pf.* FROM fo JOIN pf ON pf.k = fo.t - 1, md), rf AS {ridge_sql('sp', 'model, fold, t')}"
+    tested = f"k BETWEEN t AND t + {test} - 1"
+    scored = f"sc AS (SELECT model, fold, y, a + b0 * x0 + b1 * x1 + b2 * x2 AS prediction FROM rf JOIN rp ON {tested}" + "".join(f" UNION ALL SELECT '{m}', fold, y, {v} FROM fo JOIN rp ON {tested}" for m, v in plain.items()) + ")"
+    return f"""{GRAM}, {rows}, {fitted}, {scored}, fm AS {figures_sql('sc', 'model, fold')},
+    sm AS (SELECT model, count(ic) AS n_folds, coalesce(avg(ic), 0) AS ic_mean, coalesce(stddev_samp(ic), 0) AS ic_std, coalesce(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(ic)), 0) AS t_stat, coalesce(avg(r2), 0) AS r2_mean FROM (SELECT unnest([{', '.join(f"'{m}'" for m in [*ridges, *plain])}]) AS model) LEFT JOIN fm USING (model) GROUP BY model)"""
+
+
+FOLD_FIGURES = f"n_folds, {r('ic_mean')} AS ic_mean, {r('ic_std')} AS ic_std, {r('t_stat')} AS t_stat, {r('r2_mean')} AS r2_mean, ic_mean > 0.03 AND t_stat > 2 AS significant"
+
+
+@query("f07_walk_forward_eval", f"WITH {walked_sql({'model': 1.0}, {}, 504, 63, 21)} SELECT {FOLD_FIGURES} FROM sm")
 def f07(spark, sf):
-    return rounded(mod.walk_forward_eval(wide(spark, sf), NAMES, None, 1200, 63, 600))
+    return rounded(mod.walk_forward_eval(wide(spark, sf), NAMES))
 
 
-@query("f10_model_comparison")
-def f10(spark, sf):
-    from pyspark.ml.regression import LinearRegression
+#: What the best of five tries has by luck, in standard errors (the expected maximum of so many normal variables).
+_NORMAL = statistics.NormalDist()
+LUCK = (1 - mod.EULER) * _NORMAL.inv_cdf(1 - 1 / 5) + mod.EULER * _NORMAL.inv_cdf(1 - 1 / (5 * math.e))
+
 
-    makers = {f"ridge_{s}": (lambda s=s: LinearRegression(featuresCol="features", labelCol="ret", regParam=s)) for s in (0.01, 1.0)}
+def phi_sql(z: str) -> str:
+    """The normal distribution function, by Simpson's rule from the mean on."""
+    return f"(0.5 + {z} / 2000 / 3 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * power({z} * i / 2000, 2)))) / sqrt(2 * pi()))"
+
+
+@query("f10_model_comparison", f"""WITH {walked_sql({'ridge_0.01': 0.01, 'ridge_1.0': 1.0}, {'zero': '0.0::DOUBLE', 'mean_reversion': 'x1', 'momentum': 'x0'}, 200, 63, 21)},
+    z AS (SELECT *, model IN ('zero', 'mean_reversion', 'momentum') AS is_baseline, CASE WHEN n_folds >= 2 AND ic_std > 0 THEN ic_mean / ic_std * sqrt(n_folds) - {LUCK!r} END AS z FROM sm)
+    SELECT model, is_baseline, {FOLD_FIGURES}, CASE WHEN z IS NULL THEN 0 ELSE {r(phi_sql('z'))} END AS dsr, NOT is_baseline AND ic_mean > coalesce(max(CASE WHEN is_baseline THEN ic_mean END) OVER (), 0) AS beats_all_baselines FROM z""")
+def f10(spark, sf):
     plain = {"zero": F.lit(0.0), "mean_reversion": F.col("rev"), "momentum": F.col("mom")}
-    return rounded(mod.model_comparison(wide(spark, sf), NAMES, makers, plain, train=1200, test=63, step=900))
+    return rounded(mod.model_comparison(wide(spark, sf), NAMES, {f"ridge_{s}": Ridge(s) for s in (0.01, 1.0)}, plain))
 
 
 @query("f11_train_test_gap", f"WITH {ICS}, s AS (SELECT signal AS model, avg(ic) FILTER (WHERE year(date) < 1996) AS train, avg(ic) FILTER (WHERE year(date) >= 1996) AS test FROM ics GROUP BY signal) SELECT model, {r('train')} AS train, {r('test')} AS test, {r('train - test')} AS gap, {r('test / nullif(train, 0)')} AS ratio, train - test > 0.15 AS overfit FROM s")
@@ -420,19 +475,28 @@ def f11(spark, sf):
     return rounded(mod.train_test_gap(s))
 
 
-@query("f12_learning_curve")
+def curve_sql(points: list[tuple[float, float]]) -> str:
+    """cv: (share, alpha, n_train, train_r2, test_r2, test_ic, n_test)."""
+    given = ", ".join(f"({s}::DOUBLE, {a}::DOUBLE)" for s, a in points)
+    return f"""{GRAM}, ct AS (SELECT max(k) FILTER (WHERE n <= floor(0.9 * (SELECT sum(own) FROM pf))) AS cut, max(k) AS last FROM pf), pt(share, alpha) AS (VALUES {given}),
+    sp AS (SELECT share, alpha, cut, last, pf.* FROM pt, ct JOIN pf ON pf.k = greatest(ceil(share * (cut + 1)) - 1, 0)), rf AS {ridge_sql('sp', 'share, alpha, cut, last')},
+    sc AS (SELECT share, alpha, y, a + b0 * x0 + b1 * x1 + b2 * x2 AS prediction FROM rf JOIN (SELECT rw.*, k FROM rw JOIN pf USING (date)) q ON q.k BETWEEN cut + 1 AND last), fm AS {figures_sql('sc', 'share, alpha')},
+    cv AS (SELECT share, alpha, CAST(n AS BIGINT) AS n_train, {r('rf.r2')} AS train_r2, {r('fm.r2')} AS test_r2, {r('ic')} AS test_ic, n_test FROM rf JOIN fm USING (share, alpha))"""
+
+
+@query("f12_learning_curve", f"WITH {curve_sql([(s, 1.0) for s in (0.2, 0.4, 0.6, 0.8, 1.0)])} SELECT * EXCLUDE (alpha) FROM cv")
 def f12(spark, sf):
-    return rounded(mod.learning_curve(wide(spark, sf), NAMES, (0.4, 1.0)))
+    return rounded(mod.learning_curve(wide(spark, sf), NAMES))
 
 
-@query("f12_complexity_curve")
+@query("f12_complexity_curve", f"WITH {curve_sql([(1.0, a) for a in (0.01, 0.1, 1.0)])} SELECT alpha AS strength, * EXCLUDE (alpha, share) FROM cv")
 def f12_complexity(spark, sf):
-    return rounded(mod.complexity_curve(wide(spark, sf), NAMES, (0.1, 1.0)))
+    return rounded(mod.complexity_curve(wide(spark, sf), NAMES))
 
 
-@query("f13_overfit_probability", f"WITH {resampled_sql(200, 13)} SELECT signal, {r('avg(CAST(s <= 0 AS DOUBLE))')} AS p FROM ms GROUP BY signal")
+@query("f13_overfit_probability", f"WITH {resampled_sql(1000, 13)} SELECT signal, {r('avg(CAST(s <= 0 AS DOUBLE))')} AS p FROM ms GROUP BY signal")
 def f13(spark, sf):
-    return rounded(mod.overfit_probability(ics(spark, sf), 200))
+    return rounded(mod.overfit_probability(ics(spark, sf), 1000))
 
 
 @query("f14_perturbed_features")
@@ -511,7 +575,7 @@ MONTHLY = """mo AS (SELECT ticker, month AS date, close / lag(close) OVER (PARTI
 
 
 @query("f20_embedding_fit", f"""WITH {MONTHLY}, c AS (SELECT a.ticker AS a, b.ticker AS b, corr(a.ret, b.ret) AS c FROM mk a JOIN mk b USING (date) GROUP BY 1, 2), n AS (SELECT count(DISTINCT ticker) AS n, count(DISTINCT date) AS t FROM mk)
-    SELECT n AS n_tickers, least(16, n - 1) AS embedding_dim, t AS n_dates, {r('(SELECT sum(c * c) FROM c) / (n * n)')} AS mean_square FROM n""")
+    SELECT n AS n_tickers, least(16, n - 1) AS embedding_dim, t AS n_dates, {r('(SELECT sum(c * c) FROM c) / (n * n)')} AS mean_square FROM n WHERE n >= 3 AND t >= 30""")
 def f20_fit(spark, sf):
     """The report, with the mean squared correlation that the error and the embedding's own products add up to."""
     vectors, report = embedding.correlation_embedding(monthly(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_up, rounded
+from ..functions.resamples import mixed_sql, name_sql, weight_sql
 from ..operators import execution as ex
 from ..operators import governance as gov
 from ..operators import portfolio as port
@@ -13,12 +14,12 @@ from ..operators import risk
 from ..streaming import jobs
 from . import views
 from .queries_data import AS_OF, r
-from .queries_models import corr_sql, draw_sql, market, scored, wide
+from .queries_models import corr_sql, market, scored, wide
 from .registry import query
 
 def units(x: str, more: str = "") -> str:
-    """The sum of doubles in whole billionths; more: a filter or a window."""
-    return f"(sum(CAST(round(({x}) * 1e9) AS BIGINT)) {more} / 1e9)"
+    """The sum of doubles as decimals of eighteen places; more: a filter or a window."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(38, 18))) {more} AS DOUBLE)"
 
 
 NEWEST = "newest AS (SELECT ticker, weight FROM weights WHERE date = (SELECT max(date) FROM weights))"
@@ -265,7 +266,7 @@ def i07(spark, sf):
 
 
 @query("i08_stress_test", f"""WITH {BETAS}, sc AS (SELECT unnest(['2008_financial_crisis', '2020_covid_crash', '2022_rate_shock']) AS scenario, unnest([-0.40, -0.35, -0.20]) AS m, unnest([-0.25, -0.15, 0.10]) AS v), e AS (SELECT date AS key, {units('weight * beta', "FILTER (WHERE factor = 'Market')")} AS a, {units('weight * beta', "FILTER (WHERE factor = 'Spread')")} AS b FROM weights JOIN expo USING (ticker) GROUP BY 1),
-    s AS (SELECT key, scenario, (coalesce(CAST(round(a * m * 1e9) AS BIGINT), 0) + coalesce(CAST(round(b * v * 1e9) AS BIGINT), 0)) / 1e9 AS ret FROM e, sc) SELECT key, scenario, {r('ret')} AS ret, {r('abs(least(0, ret))')} AS drawdown FROM s""")
+    s AS (SELECT key, scenario, CAST(coalesce(CAST(a * m AS DECIMAL(38, 18)), 0) + coalesce(CAST(b * v AS DECIMAL(38, 18)), 0) AS DOUBLE) AS ret FROM e, sc) SELECT key, scenario, {r('ret')} AS ret, {r('abs(least(0, ret))')} AS drawdown FROM s""")
 def i08(spark, sf):
     e = risk.factor_exposure_history(views.weights(spark, sf), expo(spark, sf))
     names = F.when(F.col("factor") == "Market", "market").otherwise("value")
@@ -324,21 +325,21 @@ def i15(spark, sf):
 
 
 def blocks_sql(b: int, block: int, level: float = 0.95, seed: int = 17) -> str:
-    tail = (1 - level) / 2
-    return f"""WITH {SR}, s AS (SELECT strategy, ret, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS k, count(*) OVER (PARTITION BY strategy) AS n FROM sr), n AS (SELECT strategy, max(n) AS n FROM s GROUP BY 1),
-    st AS (SELECT strategy, n, i, unnest(range(0, CAST(ceil(n / {block}) AS BIGINT))) AS j FROM n, (SELECT unnest(range(1, {b} + 1)) AS i)), fi AS (SELECT *, CAST(floor({draw_sql(seed, 'strategy', 'i', 'j')} * greatest(n - {block} + 1, 1)) AS BIGINT) AS f FROM st),
-    pl AS (SELECT strategy, i, unnest(range(f, least(f + {block}, n))) AS k FROM fi), m AS (SELECT strategy, i, avg(ret) AS m FROM pl JOIN s USING (strategy, k) GROUP BY 1, 2)
+    tail, u = (1 - level) / 2, mixed_sql("nm", "i")
+    return f"""WITH {SR}, bl AS (SELECT * FROM (SELECT strategy, date, sum(ret) OVER a AS x, count(*) OVER a AS size, row_number() OVER (PARTITION BY strategy ORDER BY date) AS k, {name_sql(seed, 'strategy', 'date')} AS nm FROM sr
+        WINDOW a AS (PARTITION BY strategy ORDER BY date ROWS BETWEEN CURRENT ROW AND {block - 1} FOLLOWING)) WHERE size = {block} OR k = 1),
+    dr AS (SELECT strategy, x, size, i, {u} AS u FROM bl, (SELECT unnest(range(1, {b} + 1)) AS i)), dw AS (SELECT *, {weight_sql('u', 1.0 / block)} AS w FROM dr), m AS (SELECT strategy, i, sum(w * x) / nullif(sum(w * size), 0) AS m FROM dw GROUP BY 1, 2)
     SELECT strategy, {r(f'quantile_cont(m, {tail})')} AS low, {r(f'quantile_cont(m, {1 - tail})')} AS high FROM m GROUP BY 1"""
 
 
-@query("i16_bootstrap_ci", blocks_sql(100, 1))
+@query("i16_bootstrap_ci", blocks_sql(1000, 1))
 def i16_ci(spark, sf):
-    return rounded(risk.bootstrap_ci(strategy_returns(spark, sf), 100))
+    return rounded(risk.bootstrap_ci(strategy_returns(spark, sf), 1000))
 
 
-@query("i16_block_bootstrap", blocks_sql(100, 5))
+@query("i16_block_bootstrap", blocks_sql(1000, 5))
 def i16(spark, sf):
-    return rounded(risk.block_bootstrap(strategy_returns(spark, sf), 100, 5))
+    return rounded(risk.block_bootstrap(strategy_returns(spark, sf), 1000, 5))
 
 
 def scores(spark, sf) -> DataFrame:
@@ -346,15 +347,18 @@ def scores(spark, sf) -> DataFrame:
 
 
 BT = """wd AS (SELECT date, ticker, max(score) FILTER (WHERE signal = 'mom') AS score FROM signals JOIN fwd USING (date, ticker) GROUP BY 1, 2 HAVING count(*) = 3), dk AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM wd)),
-    c0 AS (SELECT date, k, ticker, percent_rank() OVER (PARTITION BY date ORDER BY score) - 0.5 AS c FROM wd JOIN dk USING (date) WHERE k % {f} = 0), bw AS (SELECT ticker, k // {f} AS r, coalesce(c / nullif(sum(CAST(round(abs(c) * 1e9) AS BIGINT)) OVER (PARTITION BY date) / 1e9, 0), 0) AS w FROM c0),
-    nx AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS nx FROM bars), gr AS (SELECT date, k, k // {f} AS r, sum(CAST(round(w * coalesce(nx, 0) * 1e9) AS BIGINT)) / 1e9 AS gross_ret FROM dk JOIN bw ON bw.r = dk.k // {f} LEFT JOIN nx USING (ticker, date) GROUP BY 1, 2, 3),
-    tu AS (SELECT r, sum(CAST(round(d * 1e9) AS BIGINT)) / 1e9 AS turnover FROM (SELECT coalesce(a.r, b.r + 1) AS r, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS d FROM bw a FULL JOIN bw b ON a.ticker = b.ticker AND a.r = b.r + 1) GROUP BY 1),
+    c0 AS (SELECT date, k, ticker, percent_rank() OVER (PARTITION BY date ORDER BY score) - 0.5 AS c FROM wd JOIN dk USING (date) WHERE k % {f} = 0), bw AS (SELECT ticker, k // {f} AS r, coalesce(c / nullif(CAST(sum(CAST(abs(c) AS DECIMAL(38, 18))) OVER (PARTITION BY date) AS DOUBLE), 0), 0) AS w FROM c0),
+    nx AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS nx FROM bars), gr AS (SELECT date, k, k // {f} AS r, CAST(sum(CAST(w * coalesce(nx, 0) AS DECIMAL(38, 18))) AS DOUBLE) AS gross_ret FROM dk JOIN bw ON bw.r = dk.k // {f} LEFT JOIN nx USING (ticker, date) GROUP BY 1, 2, 3),
+    tu AS (SELECT r, CAST(sum(CAST(d AS DECIMAL(38, 18))) AS DOUBLE) AS turnover FROM (SELECT coalesce(a.r, b.r + 1) AS r, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS d FROM bw a FULL JOIN bw b ON a.ticker = b.ticker AND a.r = b.r + 1) GROUP BY 1),
     bt AS (SELECT date, gross_ret, CASE WHEN k % {f} = 0 THEN coalesce(turnover, 0) ELSE 0 END AS turnover FROM gr LEFT JOIN tu USING (r)), bn AS (SELECT *, turnover * 5 / 1e4 AS cost, gross_ret - turnover * 5 / 1e4 AS ret FROM bt)"""
 
 
-@query("i17_backtest", f"WITH {BT.format(f=5)} SELECT date, {r('gross_ret')} AS gross_ret, {r('turnover')} AS turnover, {r('cost')} AS cost, {r('ret')} AS ret, {r('product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)')} AS nav FROM bn")
+@query("i17_backtest", f"WITH {BT.format(f=5)} SELECT date, {r('gross_ret')} AS gross_ret, {r('turnover')} AS turnover, {r('cost')} AS cost, {r('ret')} AS ret, nav > 0 AS solvent, {r('CASE WHEN nav > 0 THEN ln(nav) END')} AS log_nav FROM (SELECT *, product(greatest(1 + ret, 0)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM bn)")
 def i17(spark, sf):
-    return rounded(risk.backtest(scores(spark, sf), views.bars(spark, sf), 5.0, 5))
+    """The path of the account; its value as a logarithm, which has the same digits however large it grows."""
+    b = risk.backtest(scores(spark, sf), views.bars(spark, sf), 5.0, 5)
+    alive = F.col("nav") > 0
+    return rounded(b.select("date", "gross_ret", "turnover", "cost", "ret", alive.alias("solvent"), F.when(alive, F.log("nav")).alias("log_nav")))
 
 
 def sweep_sql(costs: tuple[float, ...], freqs: tuple[int, ...]) -> str:
@@ -526,11 +530,11 @@ def j14(spark, sf):
 
 
 @query("j15_fill_probability", f"""WITH o AS (SELECT order_id, fill_px, CASE WHEN side = 'buy' THEN fill_px - lp ELSE lp - fill_px END / fill_px * 1e4 AS d, filled AS size, target * 2 AS depth FROM (SELECT *, fill_px * (1 + (filled - 25) / 10000) AS lp FROM orders_t)),
-    p AS (SELECT order_id, fill_px, round(d, 6) AS d, greatest(0, least(0.99, CASE WHEN d < 0 THEN least(0.99, 0.95 + abs(d) / 1000) ELSE 1 / (1 + exp(0.5 * d - 1)) END * CASE WHEN depth > 0 AND size > 0 THEN exp(-0.3 * size / depth) ELSE 1 END)) AS p FROM o WHERE abs(d) > 1e-6) SELECT order_id, {r('fill_px')} AS fill_px, {r('p')} AS fill_prob, {r('p * 0.9 + least(0.99, p + (1 - p) * 0.3) * 0.1')} AS expected_pct FROM p""")
+    p AS (SELECT order_id, fill_px, round(d, 6) AS d, greatest(0, least(0.99, CASE WHEN d < 0 THEN least(0.99, 0.95 + abs(d) / 1000) ELSE 1 / (1 + exp(0.5 * d - 1)) END * CASE WHEN depth > 0 AND size > 0 THEN exp(-0.3 * size / depth) ELSE 1 END)) AS p FROM o) SELECT order_id, {r('fill_px')} AS fill_px, {r('p')} AS fill_prob, {r('p * 0.9 + least(0.99, p + (1 - p) * 0.3) * 0.1')} AS expected_pct FROM p""")
 def j15(spark, sf):
     c = F.col
     o = views.orders_t(spark, sf).select("order_id", "fill_px", "side", (c("fill_px") * (1 + (c("filled") - 25) / 10000)).alias("limit_price"), c("fill_px").alias("mid"), c("filled").alias("size"), (c("target") * 2).alias("depth"))
-    return rounded(ex.fill_probability(o).filter(F.abs("distance_bps") > 1e-6).select("order_id", "fill_px", "fill_prob", "expected_pct"))
+    return rounded(ex.fill_probability(o).select("order_id", "fill_px", "fill_prob", "expected_pct"))
 
 
 @query("j16_optimal_limit_offset", f"SELECT ticker, date, {r('(high - low) / 2 * (1 - 2 * greatest(0, least(1, volume / 40)))')} AS offset_bps FROM bars")
@@ -556,11 +560,19 @@ def j17(spark, sf):
     return rounded(ex.book_snapshot(book(spark, sf)).drop("cost_bps"))
 
 
-@query("j18_cost_to_trade", f"""WITH {LEVELS}, a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY ticker ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bk WHERE side = 'ask'), c AS (SELECT ticker, sum(least(size, greatest(500 - before, 0)) * abs(px - 1000)) AS c, sum(size) AS depth, last(abs(px - 1000) ORDER BY level) AS far FROM a GROUP BY ticker)
+def sides(spark, sf) -> DataFrame:
+    """Each side of a ticker's book as a book of its own."""
+    return book(spark, sf).withColumn("ticker", F.concat_ws("/", "ticker", "side")).drop("side")
+
+
+SIDES = f"{LEVELS}, sd AS (SELECT ticker || '/' || side AS ticker, side, px, size, level FROM bk)"
+
+
+@query("j18_cost_to_trade", f"""WITH {SIDES}, a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY ticker ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sd), c AS (SELECT ticker, sum(least(size, greatest(500 - before, 0)) * abs(px - 1000)) AS c, sum(size) AS depth, last(abs(px - 1000) ORDER BY level) AS far FROM a GROUP BY ticker)
     SELECT ticker, {r('(c + greatest(500 - depth, 0) * far * 2) / 500 / 1000 * 1e4')} AS cost_bps FROM c""")
 def j18(spark, sf):
-    b = book(spark, sf).filter("side = 'ask'")
-    return rounded(ex.cost_to_trade(b.drop("side"), b.select("ticker").distinct().withColumn("order_size", F.lit(500.0))))
+    b = sides(spark, sf)
+    return rounded(ex.cost_to_trade(b, b.select("ticker").distinct().withColumn("order_size", F.lit(500.0))))
 
 
 @query("j19_book_from_summary", f"SELECT ticker, date, {r('(open - close) / nullif(open + close, 0)')} AS imbalance, {r('(high - low) / ((low + high) / 2) * 5000 + pow(100000 / ((low + high) / 2) / (volume * 100), 0.6) * 100')} AS cost_bps FROM bars")
@@ -575,10 +587,11 @@ def j20(spark, sf):
     return rounded(ex.queue_position(o).select("ticker", "date", "wait_s", "fill_prob", "position"))
 
 
-@query("j20_depth_ahead", f"WITH {LEVELS}, c AS (SELECT ticker, px, sum(size) OVER (PARTITION BY ticker ORDER BY level ROWS UNBOUNDED PRECEDING) AS cum FROM bk WHERE side = 'bid') SELECT ticker AS order_id, coalesce(min(cum) FILTER (WHERE px = 997), max(cum)) AS depth_ahead FROM c GROUP BY ticker")
+@query("j20_depth_ahead", f"WITH {SIDES}, c AS (SELECT ticker, px, sum(size) OVER (PARTITION BY ticker ORDER BY level ROWS UNBOUNDED PRECEDING) AS cum FROM sd) SELECT ticker AS order_id, coalesce(min(cum) FILTER (WHERE px = CASE WHEN ticker LIKE '%/bid' THEN 997 ELSE 1003 END), max(cum)) AS depth_ahead FROM c GROUP BY ticker")
 def j20_depth(spark, sf):
-    b = book(spark, sf).filter("side = 'bid'")
-    return ex.depth_ahead(b, b.select("ticker").distinct().select("ticker", F.col("ticker").alias("order_id"), F.lit(997.0).alias("limit_price")))
+    b = sides(spark, sf)
+    limit = F.when(F.col("ticker").endswith("/bid"), 997.0).otherwise(1003.0)
+    return ex.depth_ahead(b, b.select("ticker").distinct().select("ticker", F.col("ticker").alias("order_id"), limit.alias("limit_price")))
 
 
 @query("j21_estimate_fills", f"""WITH o AS (SELECT order_id, ticker, side, CAST(target AS BIGINT) AS q, CASE WHEN target % 2 = 0 THEN 'limit' ELSE 'market' END AS ot, decision_px AS lp FROM orders_t), m AS (SELECT ticker, close AS mid, volume * 30 AS adv FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
