@@ -21,6 +21,8 @@ from .walkforward import Ridge, curve, figures, ridge_folds
 #: Fixed value: the Euler-Mascheroni constant.
 EULER = 0.5772156649015329
 SPANS = "fold int, date date, role string"
+#: What a strategy's weight is multiplied by in each state.
+STATE_MULTIPLIERS = {"risk_on": 1.2, "transition": 1.0, "risk_off": 0.6, "crisis": 0.2}
 
 
 def temporal_split(df: DataFrame, share: float = 0.9) -> DataFrame:
@@ -276,12 +278,24 @@ def vol_regime(returns: DataFrame, w: int = 20, look: int = 252, low: float = 25
     return p.withColumn("regime", F.when(F.col("percentile") <= low, "low").when(F.col("percentile") >= high, "high").otherwise("normal"))
 
 
-def market_state(vol: DataFrame, key: str = "ticker") -> DataFrame:
-    """(…, state, multiplier) from vol_regime's rows with ret: crisis, risk_off, risk_on or transition."""
+def market_state(returns: DataFrame, labels: DataFrame | None = None, macro: DataFrame | None = None, key: str = "ticker", crisis_percentile: float = 95.0, crisis_return: float = -0.10) -> DataFrame:
+    """(…, vol, percentile, regime, state, multiplier) of returns (key, date, ret): crisis, risk_off, risk_on or transition.
+
+    labels (date, label): a second regime, such as that of regime_clusters; high volatility in label 0, or without one, is
+    a transition, else risk_off. macro (date, regime): in normal volatility stagflation and deflation are risk_off and
+    goldilocks is risk_on. A crisis is volatility at the crisis percentile with the last 20 returns summing to less than
+    crisis_return. Until 20 returns are known the state is transition."""
+    vol = vol_regime(returns, key=key).select(key, "date", "vol", "percentile", "regime")
     s = F.sum("ret").over(last_rows(Window.partitionBy(key).orderBy("date"), 20))
-    state = F.when((F.col("percentile") >= 95) & (s < -0.10), "crisis").when(F.col("regime") == "high", "risk_off").when(F.col("regime") == "low", "risk_on").otherwise("transition")
-    times = F.create_map(*[F.lit(x) for x in ("risk_on", 1.2, "transition", 1.0, "risk_off", 0.6, "crisis", 0.2)])
-    return vol.withColumn("state", state).withColumn("multiplier", F.when(F.col("state") == "risk_on", 1.2).when(F.col("state") == "transition", 1.0).when(F.col("state") == "risk_off", 0.6).otherwise(0.2))
+    rows = returns.withColumn("__s", s).join(vol, [key, "date"], "left")
+    rows = rows.join(labels.select("date", F.col("label").alias("__label")), "date", "left") if labels is not None else rows.withColumn("__label", F.lit(None).cast("int"))
+    rows = rows.join(macro.select("date", F.col("regime").alias("__macro")), "date", "left") if macro is not None else rows.withColumn("__macro", F.lit(None).cast("string"))
+    high = F.when(F.coalesce("__label", F.lit(0)) == 0, "transition").otherwise("risk_off")
+    normal = F.when(F.col("__macro").isin("stagflation", "deflation"), "risk_off").when(F.col("__macro") == "goldilocks", "risk_on").otherwise("transition")
+    crisis = (F.col("percentile") >= crisis_percentile) & (F.col("__s") < crisis_return)
+    state = F.when(F.col("regime").isNull(), "transition").when(crisis, "crisis").when(F.col("regime") == "high", high).when(F.col("regime") == "low", "risk_on").otherwise(normal)
+    times = F.create_map(*[F.lit(x) for pair in STATE_MULTIPLIERS.items() for x in pair])
+    return rows.withColumn("state", state).withColumn("multiplier", times[F.col("state")]).select(key, "date", *[c for c in returns.columns if c not in (key, "date")], "vol", "percentile", "regime", "state", "multiplier")
 
 
 def feature_compression(df: DataFrame, features: list[str], d: int = 16) -> DataFrame:

@@ -114,13 +114,17 @@ def risk_decomposition(weights: DataFrame, exposures: DataFrame, cov: DataFrame,
     return both.withColumn("share", ratio("variance", F.sum("variance").over(Window.partitionBy())))
 
 
-def top_risk_contributors(weights: DataFrame, full: DataFrame, top: int = 10) -> DataFrame:
-    """(ticker, contribution, rank): |w (S w) / sigma|."""
-    w2 = weights.select(F.col("ticker").alias("t2"), F.col("weight").alias("w2"))
-    s = full.join(w2, "t2").groupBy("t1").agg(F.sum(F.col("cov") * F.col("w2")).alias("s"))
-    j = weights.join(s, weights["ticker"] == s["t1"]).withColumn("v", F.col("weight") * F.col("s"))
-    c = j.withColumn("contribution", F.abs(ratio("v", F.sqrt(F.sum("v").over(Window.partitionBy())))))
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("contribution"), "ticker"))).filter(F.col("rank") <= top).select("ticker", "contribution", "rank")
+def top_risk_contributors(weights: DataFrame, exposures: DataFrame, cov: DataFrame, idio: DataFrame, top: int = 10) -> DataFrame:
+    """(ticker, contribution, rank): |w (S w) / sigma|, with S w as B (F (B' w)) + D w: sums by factor and by ticker, so the
+    covariance of the tickers is never made."""
+    e = portfolio_exposure(weights, exposures)
+    fe = cov.join(e, cov["f2"] == e["factor"]).groupBy(F.col("f1").alias("factor")).agg(F.sum(F.col("cov") * F.col("exposure")).alias("fe"))
+    common = exposures.join(fe, "factor").select("ticker", (F.col("beta") * F.col("fe")).alias("s"))
+    own = weights.join(idio, "ticker").select("ticker", (F.col("weight") * F.col("variance")).alias("s"))
+    v = weights.join(common.union(own).groupBy("ticker").agg(F.sum("s").alias("s")), "ticker").withColumn("v", F.col("weight") * F.col("s"))
+    sigma = v.agg(F.sqrt(F.sum("v")).alias("sigma"))  # one row
+    c = v.join(F.broadcast(sigma)).select("ticker", F.abs(ratio("v", "sigma")).alias("contribution")).orderBy(F.desc("contribution"), "ticker").limit(top)
+    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("contribution"), "ticker")))  # of top rows
 
 
 def validate_weights(weights: DataFrame, sectors: DataFrame, position: float = 0.02, gross: float = 2.0, neutral: bool = True, net: float = 0.01, sector: float = 0.20, key: str = "date", slack: float = 1e-6) -> DataFrame:

@@ -9,6 +9,7 @@ import statistics
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ordered
 from ..functions.columns import half_up, rounded
 from ..functions.resamples import mixed_sql, name_sql, weight_sql
 from ..operators import embedding
@@ -540,10 +541,17 @@ def f17(spark, sf):
     return rounded(mod.vol_regime(vol_base(spark, sf)).select("ticker", "date", "vol", half_up("percentile", 3).alias("percentile"), "regime"))
 
 
-@query("f18_market_state", f"""WITH {VOL}, s AS (SELECT *, sum(ret) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) AS s FROM vr), t AS (SELECT *, CASE WHEN percentile >= 95 AND s < -0.1 THEN 'crisis' WHEN regime = 'high' THEN 'risk_off' WHEN regime = 'low' THEN 'risk_on' ELSE 'transition' END AS state FROM s)
+@query("f18_market_state", f"""WITH {VOL}, s AS (SELECT ticker, date, regime, percentile, sum(r.ret) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING) AS s, CASE WHEN year(date) % 3 > 0 THEN month(date) % 2 END AS label,
+    CASE WHEN year(date) % 2 = 0 THEN ['goldilocks', 'stagflation', 'deflation', 'risk_on_growth'][1 + month(date) % 4] END AS macro FROM returns r LEFT JOIN vr USING (ticker, date)),
+    t AS (SELECT *, CASE WHEN regime IS NULL THEN 'transition' WHEN percentile >= 95 AND s < -0.1 THEN 'crisis' WHEN regime = 'high' AND coalesce(label, 0) = 0 THEN 'transition' WHEN regime = 'high' THEN 'risk_off' WHEN regime = 'low' THEN 'risk_on'
+        WHEN macro IN ('stagflation', 'deflation') THEN 'risk_off' WHEN macro = 'goldilocks' THEN 'risk_on' ELSE 'transition' END AS state FROM s)
     SELECT ticker, date, state, CAST(CASE state WHEN 'risk_on' THEN 1.2 WHEN 'transition' THEN 1.0 WHEN 'risk_off' THEN 0.6 ELSE 0.2 END AS DOUBLE) AS multiplier FROM t""")
 def f18(spark, sf):
-    return mod.market_state(mod.vol_regime(vol_base(spark, sf))).select("ticker", "date", "state", "multiplier")
+    dates, month = views.returns(spark, sf).select("date").distinct(), F.month("date")
+    labels = dates.filter(F.year("date") % 3 > 0).withColumn("label", month % 2)
+    names = F.array(*[F.lit(x) for x in ("goldilocks", "stagflation", "deflation", "risk_on_growth")])
+    macro = dates.filter(F.year("date") % 2 == 0).withColumn("regime", names[month % 4])
+    return mod.market_state(vol_base(spark, sf), labels, macro).select("ticker", "date", "state", "multiplier")
 
 
 @query("f19_feature_compression")
@@ -679,3 +687,20 @@ def g08(spark, sf):
 def g09(spark, sf):
     h = pairs.pair_hedge_ratio(pair_rows(spark, sf)).withColumn("signal", F.when(F.col("n") % 2 == 0, 1).otherwise(-1))
     return rounded(pairs.pair_weights(h))
+
+
+@query("rel_ewm_close", f"""WITH k AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM bars), w AS (WITH RECURSIVE w AS (SELECT ticker, date, k, close AS ewm FROM k WHERE k = 1 UNION ALL
+    SELECT k.ticker, k.date, k.k, w.ewm * (19.0::DOUBLE / 21.0::DOUBLE) + k.close * (2.0::DOUBLE / 21.0::DOUBLE) FROM w JOIN k ON k.ticker = w.ticker AND k.k = w.k + 1) SELECT * FROM w) SELECT ticker, date, {r('ewm')} AS ewm FROM w""")
+def rel_ewm(spark, sf):
+    """The exponential mean of closes, span 20, along each ticker's dates."""
+    return rounded(ordered.ewm(views.bars(spark, sf).select("ticker", "date", "close"), "close", 20, ["ticker"], ["date"]).select("ticker", "date", "ewm"))
+
+
+@query("rel_asof_orders_quotes", f"""WITH o AS (SELECT order_id, ticker, date, side, fill_px FROM orders_t), q AS (SELECT ticker, date AS quoted, low, high FROM bars) SELECT order_id, o.ticker, date, {r('fill_px')} AS fill_px, CASE WHEN date - quoted <= 10 THEN quoted END AS quoted,
+    {r("CASE WHEN date - quoted <= 10 THEN CASE WHEN side = 'buy' THEN high ELSE low END END")} AS px FROM o ASOF LEFT JOIN q ON o.ticker = q.ticker AND o.date > q.quoted""")
+def rel_asof(spark, sf):
+    """Each order beside the last day's quote of its ticker before its own day, if that is no older than ten days."""
+    o = views.orders_t(spark, sf).select("order_id", "ticker", "date", "side", "fill_px")
+    q = views.bars(spark, sf).select("ticker", "date", "low", "high")
+    j = ordered.asof_join(o, q, ["ticker"], "date", tolerance=10, strict=True)
+    return rounded(j.select("order_id", "ticker", "date", "fill_px", F.col("right_date").alias("quoted"), F.when(F.col("side") == "buy", F.col("right_high")).otherwise(F.col("right_low")).alias("px")))

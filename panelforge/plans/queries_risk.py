@@ -116,8 +116,7 @@ def h08(spark, sf):
 @query("h09_top_risk_contributors", f"""WITH {BETAS}, {COV}, {IDIO}, {FULL}, {NEWEST}, s AS (SELECT t1, sum(cov * weight) AS s FROM fc JOIN newest ON t2 = ticker GROUP BY 1), c AS (SELECT ticker, abs(weight * s / nullif(sqrt(sum(weight * s) OVER ()), 0)) AS contribution FROM newest JOIN s ON t1 = ticker),
     k AS (SELECT ticker, round(contribution, 6) + 0.0 AS contribution, row_number() OVER (ORDER BY contribution DESC, ticker) AS rank FROM c) SELECT * FROM k WHERE rank <= 10""")
 def h09(spark, sf):
-    full = port.full_covariance(expo(spark, sf), cov(spark, sf), idio(spark, sf))
-    return rounded(port.top_risk_contributors(newest(spark, sf), full).withColumn("rank", F.col("rank").cast("long")))
+    return rounded(port.top_risk_contributors(newest(spark, sf), expo(spark, sf), cov(spark, sf), idio(spark, sf)).withColumn("rank", F.col("rank").cast("long")))
 
 
 WS = "ws AS (SELECT date, ticker, weight, coalesce(sector, 'Unknown') AS sector FROM weights LEFT JOIN sectors USING (ticker))"
@@ -850,12 +849,15 @@ def st5(spark, sf):
     return out.groupBy("portfolio").agg(F.count("*").alias("n"), F.min(F.when(F.col("halted"), F.col("ts"))).cast("timestamp_ntz").alias("first_halt"))
 
 
-@query("st6_stream_strategy_lifecycle", """WITH k AS (SELECT event_type AS strategy, ts, (value - 20) / 100 AS ic, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events),
+@query("st6_stream_strategy_lifecycle", """WITH k AS (SELECT event_type AS strategy, ts, (value - 20) / 100 AS ic, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
     w AS (WITH RECURSIVE w AS (SELECT strategy, ts, k, 'active' AS status, ts AS since FROM k WHERE k = 1 UNION ALL SELECT strategy, ts, k, nxt, CASE WHEN nxt = status THEN since ELSE ts END FROM (
         SELECT k.strategy, k.ts, k.k, w.status, w.since, CASE WHEN status = 'active' AND ic < 0.01 THEN 'under_review' WHEN status = 'under_review' AND ic >= 0.03 THEN 'active' WHEN status = 'under_review' AND ic < 0 AND k.ts - w.since >= INTERVAL 30 DAY THEN 'suspended' ELSE status END AS nxt
-        FROM w JOIN k ON k.strategy = w.strategy AND k.k = w.k + 1)) SELECT * FROM w) SELECT strategy, status, count(*) AS n, sum(CASE status WHEN 'active' THEN 1.0 WHEN 'under_review' THEN 0.5 ELSE 0.0 END)::DOUBLE AS multipliers FROM w GROUP BY 1, 2""")
+        FROM w JOIN k ON k.strategy = w.strategy AND k.k = w.k + 1)) SELECT * FROM w),
+    o AS (SELECT event_type AS strategy, min(ts) AS over FROM events WHERE event_type <> 'view' AND event_id % 499 = 400 GROUP BY 1), f AS (SELECT strategy, CASE WHEN ts >= over THEN 'retired' ELSE status END AS status FROM w LEFT JOIN o USING (strategy))
+    SELECT strategy, status, count(*) AS n, sum(CASE status WHEN 'active' THEN 1.0 WHEN 'under_review' THEN 0.5 ELSE 0.0 END)::DOUBLE AS multipliers FROM f GROUP BY 1, 2""")
 def st6(spark, sf):
-    e = stream(spark, sf).select(F.col("event_type").alias("strategy"), "ts", ((F.col("value") - 20) / 100).alias("ic"))
+    over = (F.col("event_type") != "view") & (F.col("event_id") % 499 == 400)
+    e = stream(spark, sf).select(F.col("event_type").alias("strategy"), "ts", ((F.col("value") - 20) / 100).alias("ic"), over.alias("retire"), F.col("event_id").alias("nth"))
     return jobs.run_available(jobs.stream_strategy_lifecycle(e)).groupBy("strategy", "status").agg(F.count("*").alias("n"), F.sum("multiplier").alias("multipliers"))
 
 

@@ -120,7 +120,7 @@ def stream_drawdown(nav: DataFrame, limit: float = 0.20) -> DataFrame:
 
 
 class Lifecycle(StatefulProcessor):
-    """The status of each strategy; its first event registers it."""
+    """The status of each strategy; its first event registers it, and a retirement ends it for good."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("status", "status string, multiplier double, since timestamp")
@@ -128,11 +128,19 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
         got = self.state.get()
         state = tuple(got) if got is not None else None
-        pdf = pd.concat(list(rows)).sort_values("ts")
+        # a key's micro-batch, which the source's trigger bounds; what retires at a time comes before what is seen then
+        pdf = pd.concat(list(rows))
+        pdf = pdf.assign(last=~pdf["retire"].fillna(False).astype(bool)).sort_values(["ts", "last", "nth"])
         out = []
-        for ts, ic in zip(pdf["ts"], pdf["ic"]):
-            state = ("active", 1.0, ts.to_pydatetime()) if state is None else _lifecycle(state, ic, ts.to_pydatetime())
-            out.append((key[0], ts, state[0], state[1]))
+        for ts, ic, last in zip(pdf["ts"], pdf["ic"], pdf["last"]):
+            if not last:
+                state = ("retired", 0.0, ts.to_pydatetime()) if state is None or state[0] != "retired" else state
+            elif state is None:
+                state = ("active", 1.0, ts.to_pydatetime())
+            else:
+                state = _lifecycle(state, ic, ts.to_pydatetime())
+            if ic == ic and ic is not None:
+                out.append((key[0], ts, state[0], state[1]))
         self.state.update(state)
         yield pd.DataFrame(out, columns=["strategy", "ts", "status", "multiplier"])
 
@@ -141,8 +149,12 @@ class Lifecycle(StatefulProcessor):
 
 
 def stream_strategy_lifecycle(events: DataFrame) -> DataFrame:
-    """(strategy, ts, ic) to (strategy, ts, status, multiplier)."""
-    return _stateful(events, "strategy", Lifecycle(), "strategy string, ts timestamp, status string, multiplier double")
+    """(strategy, ts, ic) to (strategy, ts, status, multiplier). Two kinds of event on one stream: an IC, and, where there is
+    a column retire, a retirement, which may carry an IC too (null: none, and no row is given). A retired strategy stays
+    so whatever comes later. nth, if there, orders events of one time."""
+    more = {c: F.lit(v) for c, v in (("retire", False), ("nth", 0)) if c not in events.columns}
+    five = events.withColumns(more).select("strategy", "ts", "ic", "retire", "nth")
+    return _stateful(five, "strategy", Lifecycle(), "strategy string, ts timestamp, status string, multiplier double")
 
 
 class Drift(StatefulProcessor):

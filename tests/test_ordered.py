@@ -90,3 +90,14 @@ def test_asof_moves_no_row_twice_over(spark):
 def test_numbered(spark):
     df = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)], "v int, part string")
     assert sorted((x.n, x.v) for x in ordered.numbered(df, ["-v"]).collect()) == [(i, 999 - i) for i in range(1000)]
+
+
+def test_exact_sums_keep_small_terms(spark):
+    from pyspark.sql import functions as F
+
+    from panelforge.functions.columns import exact_sum
+
+    df = spark.range(1_000_000).select((F.lit(1.7e-8) * (1 + F.col("id") % 3)).alias("x"))
+    total = df.agg(exact_sum("x").alias("s")).first().s
+    assert abs(total - 1.7e-8 * (1_000_000 + 999_999)) < 1e-12
+    assert df.repartition(7).agg(exact_sum("x").alias("s")).first().s == total
