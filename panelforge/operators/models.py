@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import last_rows, ratio
+from ..functions.history import moving_rank
 from ..functions.pooled import pooled_spearman
 from ..functions.resamples import name_of, weighted_sums
-from .altdata import share_below
 from .walkforward import Ridge, curve, figures, ridge_folds
 
 #: Fixed value: the Euler-Mascheroni constant.
@@ -273,8 +273,7 @@ def vol_regime(returns: DataFrame, w: int = 20, look: int = 252, low: float = 25
     order = Window.partitionBy(key).orderBy("date")
     n = F.row_number().over(order)
     v = returns.withColumn("vol", F.when(n >= w, F.round(F.stddev_samp("ret").over(last_rows(order, w)), 12))).filter("vol IS NOT NULL")
-    held = v.withColumn("__f", F.collect_list("vol").over(last_rows(order, look)))
-    p = held.withColumn("percentile", share_below("vol", F.col("__f")) * 100).drop("__f")
+    p = moving_rank(v, "vol", [key], ["date"], look).withColumn("percentile", F.col("below") / F.col("held") * 100).drop("below", "held")
     return p.withColumn("regime", F.when(F.col("percentile") <= low, "low").when(F.col("percentile") >= high, "high").otherwise("normal"))
 
 

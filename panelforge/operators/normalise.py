@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import average_rank, last_rows, ratio, safe_corr
+from ..functions.history import history_rank
 from ..functions.pooled import pooled_ranks, pooled_spearman
 
 CROSS = ("date", "feature")
@@ -65,21 +62,11 @@ def zscore_temporal(df: DataFrame, least: int = 60, keys: tuple[str, ...] = SERI
 
 
 def percentile_temporal(df: DataFrame, least: int = 60, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """The share of the history so far below the value, from least known values on. A series is worked off in the order
-    of its dates against its sorted history, so its cost is that of sorting it; series run in parallel."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable")
-        held: list[float] = []
-        share = []
-        for v in pdf["value"]:
-            known = v is not None and v == v
-            if known:
-                insort(held, v)
-            share.append(bisect_left(held, v) / len(held) if known and len(held) >= least else None)
-        return pdf.assign(percentile=pd.array(share, "Float64"))
-
-    return df.groupBy(*keys).applyInPandas(walk, StructType([*df.schema.fields, StructField("percentile", DoubleType())]))
+    """The share of the history so far below the value, from least known values on; null for an unknown value. Earlier
+    values are counted by blocks and ranges, so a series may be of any length."""
+    ranks = history_rank(df, "value", list(keys), ["date"]).withColumn("percentile", F.when(F.col("held") >= least, F.col("below") / F.col("held")))
+    unknown = df.filter(F.col("value").isNull() | F.isnan("value")).withColumn("percentile", F.lit(None).cast("double"))
+    return ranks.select(*df.columns, "percentile").union(unknown.select(*df.columns, "percentile"))
 
 
 def mutual_information(df: DataFrame) -> DataFrame:
