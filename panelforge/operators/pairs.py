@@ -42,7 +42,7 @@ def _steps(spreads: DataFrame) -> DataFrame:
     return spreads.withColumn("x", before).withColumn("y", F.col("spread") - F.col("x")).filter("x IS NOT NULL")
 
 
-def _tested(sums: DataFrame, *keep: str) -> DataFrame:
+def tested(sums: DataFrame, *keep: str) -> DataFrame:
     """(a, b, keep…, t, p, phi, half_life) of (a, b, n, sxx, sxy, syy), the sums of a spread's change on its level."""
     s = sums.withColumn("phi", ratio("sxy", "sxx"))
     sse = F.greatest(F.col("syy") - F.col("phi") * F.col("sxy"), F.lit(0.0))
@@ -60,35 +60,12 @@ def _changes(spreads: DataFrame) -> DataFrame:
 
 def adf_simple(spreads: DataFrame) -> DataFrame:
     """(a, b, t, p): the change on the level and a constant; p by the usual critical values."""
-    return _tested(_changes(spreads)).select(*PAIR, "t", "p")
+    return tested(_changes(spreads)).select(*PAIR, "t", "p")
 
 
 def half_life(spreads: DataFrame) -> DataFrame:
     """(a, b, phi, half_life): null where the spread does not revert."""
-    return _tested(_changes(spreads)).select(*PAIR, "phi", "half_life")
-
-
-def pair_tests(rows: DataFrame, least: int = 252) -> DataFrame:
-    """(a, b, beta, t, p, phi, half_life) of aligned rows, in one pass: the sums of a spread's level and change follow
-    from those of its legs, so the spread itself is never made."""
-    w = Window.partitionBy(*PAIR).orderBy("date")
-    r = rows.withColumns({"yl": F.lag("y").over(w), "xl": F.lag("x").over(w)}).withColumns({"dy": F.col("y") - F.col("yl"), "dx": F.col("x") - F.col("xl")})
-    names = ["yl", "xl", "dy", "dx"]
-    cov = [F.covar_pop(a, b).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
-    g = r.groupBy(*PAIR).agg(F.regr_slope("y", "x").alias("beta"), F.count("*").alias("held"), F.count("yl").alias("n"), *cov).filter(F.col("held") >= least)
-    beta, n = F.col("beta"), F.col("n")
-    # of the level yl - beta xl and the change dy - beta dx
-    sxx = n * (F.col("yl_yl") - 2 * beta * F.col("yl_xl") + beta * beta * F.col("xl_xl"))
-    sxy = n * (F.col("yl_dy") - beta * (F.col("yl_dx") + F.col("xl_dy")) + beta * beta * F.col("xl_dx"))
-    syy = n * (F.col("dy_dy") - 2 * beta * F.col("dy_dx") + beta * beta * F.col("dx_dx"))
-    return _tested(g.withColumns({"sxx": sxx, "sxy": sxy, "syy": syy}), "beta")
-
-
-def find_pairs(bars: DataFrame, tickers: DataFrame, least: int = 252, most_p: float = 0.05, longest: float = 60.0, cap: int = 20) -> DataFrame:
-    """(a, b, beta, p, half_life): cointegrated pairs that revert soon, by p; cap of them as a report."""
-    j = pair_tests(aligned(bars, pair_candidates(tickers)), least)
-    good = j.filter((F.col("p") < most_p) & (F.col("half_life") > 0) & (F.col("half_life") < longest))
-    return good.orderBy("p", "half_life", *PAIR).limit(cap).select(*PAIR, "beta", "p", "half_life")
+    return tested(_changes(spreads)).select(*PAIR, "phi", "half_life")
 
 
 def kalman_pair_signal(rows: DataFrame, q: float = 1e-4, r: float = 1.0, span: int = 60, entry: float = 2.0, leave: float = 0.5, stop: float = 3.5, least: int = 10) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.resamples import mixed_sql, name_sql, weight_sql
 from ..operators import embedding
 from ..operators import models as mod
 from ..operators import normalise as norm
-from ..operators import pairs
+from ..operators import pairs, pairtiles
 from ..operators import signals as sig
 from ..operators.walkforward import Ridge
 from . import views
@@ -638,6 +638,10 @@ def pair_rows(spark, sf) -> DataFrame:
     return pairs.aligned(views.bars(spark, sf), pairs.pair_candidates(views.sectors(spark, sf)))
 
 
+def pair_statistics(spark, sf) -> DataFrame:
+    return pairtiles.pair_statistics(views.bars(spark, sf), pairs.pair_candidates(views.sectors(spark, sf)))
+
+
 def spreads(spark, sf) -> DataFrame:
     rows = pair_rows(spark, sf)
     return pairs.pair_spread(rows, pairs.pair_hedge_ratio(rows))
@@ -650,22 +654,22 @@ def g01(spark, sf):
 
 @query("g02_pair_hedge_ratio", f"WITH {PAIR} SELECT a, b, {r('beta')} AS beta, round(alpha, 4) + 0.0 AS alpha, n FROM hr")
 def g02(spark, sf):
-    return rounded(pairs.pair_hedge_ratio(pair_rows(spark, sf)).withColumn("alpha", half_up("alpha", 4)))
+    return rounded(pair_statistics(spark, sf).select("a", "b", "beta", half_up("alpha", 4).alias("alpha"), "n"))
 
 
 @query("g03_adf_simple", f"WITH {PAIR} SELECT a, b, {r('t')} AS t, p FROM ap")
 def g03(spark, sf):
-    return rounded(pairs.adf_simple(spreads(spark, sf)))
+    return rounded(pair_statistics(spark, sf).select("a", "b", "t", "p"))
 
 
 @query("g04_half_life", f"WITH {PAIR} SELECT a, b, {r('phi')} AS phi, {r('half_life')} AS half_life FROM hl")
 def g04(spark, sf):
-    return rounded(pairs.half_life(spreads(spark, sf)))
+    return rounded(pair_statistics(spark, sf).select("a", "b", "phi", "half_life"))
 
 
 @query("g05_find_pairs", f"WITH {PAIR} SELECT a, b, {r('beta')} AS beta, p, {r('half_life')} AS half_life FROM hr JOIN ap USING (a, b) JOIN hl USING (a, b) WHERE p < 0.05 AND half_life > 0 AND half_life < 60 ORDER BY p, hl.half_life, a, b LIMIT 20")
 def g05(spark, sf):
-    return rounded(pairs.find_pairs(views.bars(spark, sf), views.sectors(spark, sf)))
+    return rounded(pairtiles.find_pairs(views.bars(spark, sf), pairs.pair_candidates(views.sectors(spark, sf))))
 
 
 @query("g06_pair_spread", f"WITH {PAIR} SELECT a, b, date, round(spread, 4) + 0.0 AS spread FROM sp")

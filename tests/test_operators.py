@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import altdata, execution, governance, models, pairs, portfolio, quality, risk, signals, technical
+from panelforge.operators import altdata, execution, governance, models, pairs, pairtiles, portfolio, quality, risk, signals, technical
 from panelforge.operators.quality import LookAhead
 from panelforge.plans import views
 from panelforge.sources import bars as src
@@ -194,28 +194,40 @@ def test_cointegrated_pair_is_found(spark):
         e[i] = 0.8 * e[i - 1] + r.normal(0, 0.5)
     rows = [(day(i), t, float(v)) for i in range(400) for t, v in (("X", x[i]), ("Y", 1.5 * x[i] + e[i] + 5))]
     b = spark.createDataFrame(rows, "date date, ticker string, close double")
-    found = pairs.find_pairs(b, spark.createDataFrame([("X",), ("Y",)], "ticker string")).collect()
+    found = pairtiles.find_pairs(b, pairs.pair_candidates(spark.createDataFrame([("X",), ("Y",)], "ticker string"))).collect()
     assert len(found) == 1 and found[0].p == 0.01 and 1 < found[0].half_life < 10
     sig = pairs.kalman_pair_signal(pairs.aligned(b, spark.createDataFrame([("Y", "X")], "a string, b string")))
     assert sig.count() == 400 and {-1, 0, 1} >= {r.signal for r in sig.collect()}
 
 
-def test_one_pass_over_pairs_equals_the_spreads_tests(spark):
+@pytest.mark.parametrize("tickers, dates", [(64, 2048), (2, 37)])
+def test_tiles_of_pairs_equal_the_spreads_tests(spark, monkeypatch, tickers, dates):
+    """At any size of a tile, dates that a ticker lacks and steps over a tile's edge included, and without a row for a pair
+    and date anywhere in the plan."""
     import numpy as np
 
+    monkeypatch.setattr(pairtiles, "TICKERS", tickers)
+    monkeypatch.setattr(pairtiles, "DATES", dates)
     r = np.random.default_rng(8)
     x = 50 + np.cumsum(r.normal(0, 0.5, (300, 5)), axis=0)
     x[:, 3] = 1.7 * x[:, 0] + r.normal(0, 1, 300)
-    b = spark.createDataFrame([(day(i), f"t{j}", float(x[i, j])) for i in range(300) for j in range(5) if i % 50 or j], "date date, ticker string, close double")
-    rows = pairs.aligned(b, pairs.pair_candidates(spark.createDataFrame([(f"t{j}",) for j in range(5)], "ticker string")))
-    h = pairs.pair_hedge_ratio(rows)
+    lacks = r.random((300, 5)) < 0.05
+    lacks[60:150, 2] = True
+    b = spark.createDataFrame([(day(i), f"t{j}", float(x[i, j])) for i in range(300) for j in range(5) if not lacks[i, j]] + [(day(3), "t9", 4.0), (day(4), "t9", None)], "date date, ticker string, close double")
+    candidates = pairs.pair_candidates(spark.createDataFrame([(f"t{j}",) for j in (0, 1, 2, 3, 4, 9)], "ticker string"))
+    rows = pairs.aligned(b, candidates)
+    h = pairs.pair_hedge_ratio(rows, 150)
     s = pairs.pair_spread(rows, h)
     want = {(r.a, r.b): r for r in h.join(pairs.adf_simple(s), ["a", "b"]).join(pairs.half_life(s), ["a", "b"]).collect()}
-    got = pairs.pair_tests(rows).collect()
+    found = pairtiles.pair_statistics(b, candidates, 150)
+    got = found.collect()
     assert len(got) == len(want) == 10
     for g in got:
         w = want[g.a, g.b]
-        assert (g.beta, g.t, g.p, g.phi) == pytest.approx((w.beta, w.t, w.p, w.phi), rel=1e-8) and (g.half_life == w.half_life or g.half_life == pytest.approx(w.half_life, rel=1e-8))
+        assert g.n == w.n and (g.beta, g.alpha, g.t, g.p, g.phi) == pytest.approx((w.beta, w.alpha, w.t, w.p, w.phi), rel=1e-8) and (g.half_life == w.half_life or g.half_life == pytest.approx(w.half_life, rel=1e-8))
+    plan = found._jdf.queryExecution().toString()
+    assert "close" not in plan.split("== Physical Plan ==")[-1] and "MapInArrow" in plan
+    assert pairtiles.pair_statistics(b.limit(0), candidates).count() == 0
 
 
 def test_pair_filter_against_matrices(spark):
