@@ -315,7 +315,7 @@ def e20(spark, sf):
         j = p.join(F.broadcast(data.toDF("m1", "m2", "m3")))
         return j.select("id", (F.col("w1") * F.col("m1") + F.col("w2") * F.col("m2") + F.col("w3") * F.col("m3") - 0.001 * (F.col("w1") ** 2 + F.col("w2") ** 2 + F.col("w3") ** 2)).alias("fitness"))
 
-    best, p = sig.parameter_search(fitness, {f"w{i}": (-1.0, 1.0) for i in (1, 2, 3)}, spark, 12, 4)
+    best, p = sig.parameter_search(fitness, {f"w{i}": (-1.0, 1.0) for i in (1, 2, 3)}, spark)
     return spark.createDataFrame([(float(best), p["w1"], p["w2"], p["w3"])], "fitness double, w1 double, w2 double, w3 double")
 
 
@@ -365,7 +365,7 @@ def f02(spark, sf):
 
 @query("f03_rf_alpha")
 def f03(spark, sf):
-    return rounded(mod.rf_alpha(wide(spark, sf), NAMES, 10, 4))
+    return rounded(mod.rf_alpha(wide(spark, sf), NAMES))
 
 
 @query("f04_linear_alpha")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import Work
+from ..session import Work, kept
 
 TIE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
@@ -26,16 +26,24 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_made: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_made: dict[tuple[str, str, str, tuple[int, ...]], tuple[str, StructType]] = {}
+
+
+def _written_at(spark: SparkSession, sf: str, *names: str) -> tuple[int, ...]:
+    """When each table was last written, as far as its folder or file tells."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf}/{n}.parquet") for n in names]
+    return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
 
 
 def _once(spark: SparkSession, sf: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """A table that many queries start from, written once a session into the shared folder and read from there, as a
-    library on top of stored bars does."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    library on top of stored bars does; again if what it is made of has been written anew."""
+    key = (spark.sparkContext.applicationId, sf, name, _written_at(spark, sf, "lineitem", "part"))
     if key not in _made:
-        work = Work(spark)
-        _made[key] = (work.path(name), work.cut(make(spark, sf), name).schema)
+        with kept():
+            work = Work(spark)
+            _made[key] = (work.path(name), work.cut(make(spark, sf), name).schema)
     path, schema = _made[key]
     return spark.read.schema(schema).parquet(path)
 

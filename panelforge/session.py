@@ -8,13 +8,15 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
-_works: list[Work] = []
+#: What the scratch around this thread's (or task's) work has to delete in the end; None outside of one.
+_works: ContextVar[list[Work] | None] = ContextVar("works", default=None)
 
 
 def build(cpus: int | str = "*", partitions: int = 8, name: str = "panelforge", **conf: str) -> SparkSession:
@@ -71,7 +73,8 @@ class Work:
     def __init__(self, spark: SparkSession):
         plain_unions(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/panelforge/{uuid.uuid4().hex}"
-        _works.append(self)
+        if (held := _works.get()) is not None:
+            held.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -92,12 +95,23 @@ class Work:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Delete, in the end, what every Work made inside has written. What is read later must be written before that, by
-    a Work from outside."""
-    before = len(_works)
+    """Delete, in the end, what every Work made inside by this thread has written. What is read later must be written
+    before that, by a Work from outside."""
+    held: list[Work] = []
+    before = _works.set(held)
     try:
         yield
     finally:
-        for w in _works[before:]:
+        _works.reset(before)
+        for w in held:
             w.drop("")
-        del _works[before:]
+
+
+@contextmanager
+def kept() -> Iterator[None]:
+    """What is written inside outlives any scratch around it."""
+    before = _works.set(None)
+    try:
+        yield
+    finally:
+        _works.reset(before)
