@@ -1,9 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A store holds runs, tables of (h, n_docs, last_doc) sorted by the hash, by levels: no two runs share a hash. A batch of
-documents is merge-anti-joined with the runs: the lines that no run holds become the batch's own run at level 0, and
-what the batch adds to lines that some run holds goes to a table of additions. When a level has FANOUT runs they are
-compacted into one run of the next.
+A store holds runs, tables of (h, n_docs, last_doc) by levels: no two runs share a hash. Every run is cut by hash into the
+same number of buckets, each a file sorted by the hash, so that runs stay sorted where they lie. A batch of documents is
+dealt into these buckets and sorted once, and merge-anti-joined with one run after the other, none of which is moved or
+sorted again: the lines that no run holds are the batch's own run at level 0, and what the batch adds to lines that some
+run holds stays beside it as additions. When a level has FANOUT runs their buckets are merged, file by file, into one run
+of the next.
 
 dedup_lines works a corpus off in batches: one pass hashes the lines, each batch is anti-joined and adds its run, and
 the runs with the additions tell which lines stand in at least min_docs documents and which document keeps them. Only a
@@ -20,6 +22,10 @@ columns pass through, but those named n_lines, n_dropped or kept are replaced; a
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -28,8 +34,9 @@ from pyspark.sql import functions as F
 
 from ..session import Work, ship
 
-#: Runs of a level that are compacted into one; batches that dedup_lines deals a corpus into.
-FANOUT, BATCHES = 4, 8
+#: Runs of a level that are compacted into one; batches that dedup_lines deals a corpus into at least, and the input's
+#: partitions of a batch where that makes more.
+FANOUT, BATCHES, BATCH_PARTITIONS = 4, 8, 256
 _WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -58,47 +65,95 @@ def line_hashes(df: DataFrame, min_chars: int, text: str = "text", id_col: str =
     return df.select(F.col(id_col).cast("long"), text).mapInArrow(hashes, "h binary, doc_id long")
 
 
+@contextmanager
+def _bucketed(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside read buckets as they lie: partitioned and, where a bucket is one file, sorted."""
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false", "spark.sql.unionOutputPartitioning": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Runs:
-    """The levelled runs, in the shared folder. A run's files are read through its own plan, so compaction may delete
-    them as soon as the larger run is written."""
+    """The levelled runs, tables of buckets in the shared folder. A run's files are read through its own plan, so compaction
+    may delete them as soon as the larger run is written."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.work, self.fanout, self.made, self.compactions = spark, Work(spark), fanout, 0, 0
-        self.levels: list[list[tuple[str, DataFrame]]] = []
-        self.added: list[DataFrame] = []
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        name, self.made = f"run{self.made}", self.made + 1
+        self.buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.levels: list[list[str]] = []
+        self.added: list[str] = []
+        self.tables: list[str] = []
+        self.id = uuid.uuid4().hex
+
+    def _save(self, rows: DataFrame) -> str:
+        """Write rows by buckets of the hash, sorted."""
+        name, self.made = f"panelforge_runs_{self.id}_{self.made}", self.made + 1
+        rows.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").option("path", self.work.path(name)).saveAsTable(name)
+        self.tables.append(name)
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        """A run: of what a batch met, what no other run holds."""
+        return self.spark.table(name).filter("NOT known").drop("known")
+
+    def _put(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append((name, self.work.cut(rows.sortWithinPartitions("h"), name)))
+        self.levels[level].append(name)
         if len(full := self.levels[level]) >= self.fanout:
             self.levels[level], self.compactions = [], self.compactions + 1
-            # runs share no hash: to merge them is to sort them together
-            self._write(_union([r for _, r in full]).repartition("h"), level + 1)
-            self.work.drop(*[n for n, _ in full])
+            self._put(self._save(self.merged(full)), level + 1)
+            if level:  # those of level 0 have a batch's additions in them
+                self._forget(full)
+
+    def merged(self, names: list[str]) -> DataFrame:
+        """Runs, which share no hash, as one: bucket by bucket, in place. (Spark 4.1 zips the buckets of a union as long as
+        no column is dropped on the way; known is false in all that stay.)"""
+        return _union([self.spark.table(n).filter("NOT known") for n in names]).sortWithinPartitions("h")
+
+    def _forget(self, names: list[str]) -> None:
+        for n in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+            self.tables.remove(n)
+        self.work.drop(*names)
+
+    def names(self) -> list[str]:
+        return [n for level in self.levels for n in level]
 
     def all(self) -> DataFrame | None:
         """(h, n_docs, last_doc) of all runs: each hash once, without the additions."""
-        runs = [r for level in self.levels for _, r in level]
-        return _union(runs) if runs else None
+        return _union([self._run(n) for n in self.names()]) if self.names() else None
+
+    def met(self, hashes: DataFrame) -> DataFrame:
+        """(h, n_docs, last_doc, known) of a batch's distinct (h, doc_id): its lines counted, and merge-joined with every
+        run in turn."""
+        own = hashes.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        own = own.repartition(self.buckets, "h") if not self.names() else own
+        own, held = own.hint("merge"), []
+        for i, n in enumerate(self.names()):
+            own = own.join(self._run(n).select("h", F.lit(True).alias(f"in{i}")).hint("merge"), "h", "left")
+            held.append(F.col(f"in{i}"))
+        known = F.coalesce(*held, F.lit(False)) if held else F.lit(False)
+        return own.select("h", "n_docs", "last_doc", known.alias("known"))
 
     def add(self, hashes: DataFrame) -> DataFrame:
-        """A batch's distinct (h, doc_id): its lines are counted and merge-joined with the runs once. Those of no run
-        become the batch's own run, those of one are noted as additions. Returns (h, n_docs, last_doc, known)."""
-        own, held = hashes.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), self.all()
-        if held is None:
-            met = own.withColumn("known", F.lit(False))
-        else:
-            met = own.hint("merge").join(held.select("h", F.lit(True).alias("known")), "h", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-        met = self.work.cut(met, f"met{self.made}_{len(self.added)}", "known")
-        self._write(met.filter("NOT known").drop("known"), 0)
-        self.added.append(met.filter("known").drop("known"))
-        return met
+        """Add a batch's run, and its additions to the other runs. Returns (h, n_docs, last_doc, known)."""
+        with _bucketed(self.spark):
+            name = self._save(self.met(hashes))
+            self._put(name, 0)
+        self.added.append(name)
+        return self.spark.table(name)
 
     def frequent(self, least: int) -> DataFrame:
         """(h, last_doc) of the lines that at least so many documents hold."""
-        added, held = _union(self.added), self.all()
+        added = _union([self.spark.table(n).filter("known").drop("known") for n in self.added])
+        held = self.all()
         again = held.join(added.select("h").distinct(), "h", "left_semi")
         summed = again.union(added).groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
         # the rest stands in one batch alone
@@ -107,6 +162,7 @@ class Runs:
 
     def drop(self) -> None:
         """Delete everything."""
+        self._forget(list(self.tables))
         self.work.drop("")
 
 
@@ -142,10 +198,11 @@ def _gathered(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("doc_id").agg(F.collect_list("h").alias("__drop"))
 
 
-def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, text: str = "text", id_col: str = "doc_id", batches: int = BATCHES) -> DataFrame:
+def dedup_lines(df: DataFrame, min_chars: int = 40, min_docs: int = 5, text: str = "text", id_col: str = "doc_id", batches: int | None = None) -> DataFrame:
     """df with kept, n_lines and n_dropped: lines found in at least min_docs documents stay in the one of the largest
     id alone. Batches are dealt by a hash of the id, so a document that several rows stand for is in one batch."""
     runs = Runs(df.sparkSession)
+    batches = batches or max(BATCHES, -(-df.rdd.getNumPartitions() // BATCH_PARTITIONS))
     # (h, doc_id) once each: rows that repeat an id are one document
     hashes = line_hashes(df, min_chars, text, id_col).distinct()
     hashes = runs.work.cut(hashes.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "hashes", "batch")

@@ -241,6 +241,28 @@ def test_running_batches_and_compaction(spark):
     assert len(held) == len(set(held)) == len(seen)
 
 
+def test_runs_stay_sorted_where_they_lie(spark):
+    """A batch deals itself out, and no run: neither an exchange nor a sort stands over a run's scan, and a compaction
+    zips buckets, each of which is one file again."""
+    runs = line_dedup.Runs(spark, fanout=3, buckets=4)
+    batch = lambda b: spark.range(500 * b, 500 * b + 1000).select(F.md5(F.col("id").cast("string")).cast("binary").alias("h"), F.col("id").alias("doc_id"))
+    for b in range(4):
+        runs.add(batch(b))
+    assert [len(x) for x in runs.levels] == [1, 1] and all(len(spark.table(n).inputFiles()) == 4 for n in runs.tables)
+    with line_dedup._bucketed(spark):
+        plan = runs.met(batch(9))._jdf.queryExecution().executedPlan().toString()
+        merge = runs.merged(runs.names())
+        zipped = merge._jdf.queryExecution().executedPlan().toString()
+        assert merge.rdd.getNumPartitions() == 4
+    assert plan.count("Exchange") == plan.count("Sort [") == 1 and plan.count("Bucketed: true") == plan.count("SortMergeJoin") == 2
+    assert "Exchange" not in zipped and zipped.count("Bucketed: true") == 2
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+    assert runs.all().count() == runs.all().select("h").distinct().count() == 2500
+    names = list(runs.tables)
+    runs.drop()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
 def test_documents_that_rows_repeat(spark, tmp_path):
     """Four rows of one document are one document: the line stands in two, not in five."""
     for others in (1, 4):
