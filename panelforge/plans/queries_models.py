@@ -360,7 +360,7 @@ def f01(spark, sf):
 
 @query("f02_gbt_alpha")
 def f02(spark, sf):
-    return rounded(mod.gbt_alpha(wide(spark, sf), NAMES, 5, 3))
+    return rounded(mod.gbt_alpha(wide(spark, sf), NAMES))
 
 
 @query("f03_rf_alpha")
