@@ -29,11 +29,11 @@ def average_rank(value: Column | str, w: WindowSpec) -> Column:
 
 
 def exact_sum(x: Column | str, over: WindowSpec | None = None) -> Column:
-    """The sum of doubles as decimals of eighteen places, so that no order of adding them matters and small terms count.
-    Below 1e20."""
+    """The sum of doubles as decimals of eighteen places, rounded to twelve, so that neither the order of adding them nor an
+    engine's way from doubles to decimals matters, and small terms count. Below 1e20."""
     x = F.col(x) if isinstance(x, str) else x
     total = F.sum(x.cast("decimal(38,18)"))
-    return (total if over is None else total.over(over)).cast("double")
+    return (total if over is None else total.over(over)).cast("decimal(38,12)").cast("double")
 
 
 def safe_corr(x: Column, y: Column) -> Column:

@@ -100,7 +100,8 @@ def pair_statistics(bars: DataFrame, pairs: DataFrame, least: int = 252) -> Data
     c = lambda xy, x, y, n: F.col(xy) - F.col(x) * F.col(y) / F.col(n)
     beta = ratio(c("sxy", "sx", "sy", "n"), c("sxx", "sx", "sx", "n"))
     alpha = F.col("my") + F.col("sy") / F.col("n") - beta * (F.col("mx") + F.col("sx") / F.col("n"))
-    s = s.withColumns({"beta": beta, "alpha": alpha})
+    work = Work(bars.sparkSession)
+    s = work.cut(s.withColumns({"beta": beta, "alpha": alpha}), "pairs")  # else what follows holds beta's own sums many times over
     u = lambda a, b: c(f"{a}_{b}", a, b, "m")
     k = F.col("beta")
     sums = {
@@ -109,7 +110,7 @@ def pair_statistics(bars: DataFrame, pairs: DataFrame, least: int = 252) -> Data
         "yy": u("dy", "dy") - 2 * k * u("dy", "dx") + k * k * u("dx", "dx"),
     }
     spread = s.select("a", "b", F.col("n").cast("long").alias("held"), "beta", "alpha", F.col("m").alias("n"), sums["xx"].alias("sxx"), sums["xy"].alias("sxy"), sums["yy"].alias("syy"))
-    return tested(spread, "held", "beta", "alpha").withColumnRenamed("held", "n")
+    return tested(work.cut(spread, "spreads"), "held", "beta", "alpha").withColumnRenamed("held", "n")
 
 
 def find_pairs(bars: DataFrame, pairs: DataFrame, least: int = 252, most_p: float = 0.05, longest: float = 60.0, cap: int = 20) -> DataFrame:

@@ -279,9 +279,11 @@ def combos_sql() -> str:
     return ", ".join(f"('{c}', '{f}', {v!r}::DOUBLE)" for c, f, v in rows)
 
 
-@query("e16_linear_combos", f"WITH {FEAT}, co(candidate, feature, coef) AS (VALUES {combos_sql()}) SELECT date, ticker, candidate, {r('sum(coef * coalesce(value, 0))')} AS value FROM feat JOIN co USING (feature) GROUP BY 1, 2, 3")
+@query("e16_linear_combos", f"WITH {FEAT}, co(candidate, feature, coef) AS (VALUES {combos_sql()}), v AS (SELECT date, ticker, candidate, sum(coef * coalesce(value, 0)) AS value FROM feat JOIN co USING (feature) GROUP BY 1, 2, 3) SELECT date, candidate, count(*) AS n, {r('avg(value)')} AS mean, {r('max(value)')} AS most FROM v GROUP BY 1, 2")
 def e16(spark, sf):
-    return rounded(sig.linear_combos(features(spark, sf), ["mom", "rev", "vol"], 50))
+    """Fifty candidates for every row, summed up by date."""
+    v = sig.linear_combos(features(spark, sf), ["mom", "rev", "vol"], 50)
+    return rounded(v.groupBy("date", "candidate").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most")))
 
 
 @query("e17_ratio_candidates", f"""WITH {FEAT}, h AS (SELECT date, ticker, list({{'f': feature, 'v': value}}) AS l FROM feat GROUP BY 1, 2), a AS (SELECT date, ticker, l, unnest(l) AS a FROM h), b AS (SELECT date, ticker, a, unnest(l) AS b FROM a)

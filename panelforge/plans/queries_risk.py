@@ -18,8 +18,8 @@ from .queries_models import corr_sql, market, scored, wide
 from .registry import query
 
 def units(x: str, more: str = "") -> str:
-    """The sum of doubles as decimals of eighteen places; more: a filter or a window."""
-    return f"CAST(sum(CAST({x} AS DECIMAL(38, 18))) {more} AS DOUBLE)"
+    """The sum of doubles as decimals of eighteen places, rounded to twelve; more: a filter or a window."""
+    return f"CAST(CAST(sum(CAST({x} AS DECIMAL(38, 18))) {more} AS DECIMAL(38, 12)) AS DOUBLE)"
 
 
 NEWEST = "newest AS (SELECT ticker, weight FROM weights WHERE date = (SELECT max(date) FROM weights))"
@@ -265,7 +265,7 @@ def i07(spark, sf):
 
 
 @query("i08_stress_test", f"""WITH {BETAS}, sc AS (SELECT unnest(['2008_financial_crisis', '2020_covid_crash', '2022_rate_shock']) AS scenario, unnest([-0.40, -0.35, -0.20]) AS m, unnest([-0.25, -0.15, 0.10]) AS v), e AS (SELECT date AS key, {units('weight * beta', "FILTER (WHERE factor = 'Market')")} AS a, {units('weight * beta', "FILTER (WHERE factor = 'Spread')")} AS b FROM weights JOIN expo USING (ticker) GROUP BY 1),
-    s AS (SELECT key, scenario, CAST(coalesce(CAST(a * m AS DECIMAL(38, 18)), 0) + coalesce(CAST(b * v AS DECIMAL(38, 18)), 0) AS DOUBLE) AS ret FROM e, sc) SELECT key, scenario, {r('ret')} AS ret, {r('abs(least(0, ret))')} AS drawdown FROM s""")
+    s AS (SELECT key, scenario, CAST(CAST(coalesce(CAST(a * m AS DECIMAL(38, 18)), 0) + coalesce(CAST(b * v AS DECIMAL(38, 18)), 0) AS DECIMAL(38, 12)) AS DOUBLE) AS ret FROM e, sc) SELECT key, scenario, {r('ret')} AS ret, {r('abs(least(0, ret))')} AS drawdown FROM s""")
 def i08(spark, sf):
     e = risk.factor_exposure_history(views.weights(spark, sf), expo(spark, sf))
     names = F.when(F.col("factor") == "Market", "market").otherwise("value")
@@ -346,9 +346,9 @@ def scores(spark, sf) -> DataFrame:
 
 
 BT = """wd AS (SELECT date, ticker, max(score) FILTER (WHERE signal = 'mom') AS score FROM signals JOIN fwd USING (date, ticker) GROUP BY 1, 2 HAVING count(*) = 3), dk AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM wd)),
-    c0 AS (SELECT date, k, ticker, percent_rank() OVER (PARTITION BY date ORDER BY score) - 0.5 AS c FROM wd JOIN dk USING (date) WHERE k % {f} = 0), bw AS (SELECT ticker, k // {f} AS r, coalesce(c / nullif(CAST(sum(CAST(abs(c) AS DECIMAL(38, 18))) OVER (PARTITION BY date) AS DOUBLE), 0), 0) AS w FROM c0),
-    nx AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS nx FROM bars), gr AS (SELECT date, k, k // {f} AS r, CAST(sum(CAST(w * coalesce(nx, 0) AS DECIMAL(38, 18))) AS DOUBLE) AS gross_ret FROM dk JOIN bw ON bw.r = dk.k // {f} LEFT JOIN nx USING (ticker, date) GROUP BY 1, 2, 3),
-    tu AS (SELECT r, CAST(sum(CAST(d AS DECIMAL(38, 18))) AS DOUBLE) AS turnover FROM (SELECT coalesce(a.r, b.r + 1) AS r, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS d FROM bw a FULL JOIN bw b ON a.ticker = b.ticker AND a.r = b.r + 1) GROUP BY 1),
+    c0 AS (SELECT date, k, ticker, percent_rank() OVER (PARTITION BY date ORDER BY score) - 0.5 AS c FROM wd JOIN dk USING (date) WHERE k % {f} = 0), bw AS (SELECT ticker, k // {f} AS r, coalesce(c / nullif(CAST(CAST(sum(CAST(abs(c) AS DECIMAL(38, 18))) OVER (PARTITION BY date) AS DECIMAL(38, 12)) AS DOUBLE), 0), 0) AS w FROM c0),
+    nx AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS nx FROM bars), gr AS (SELECT date, k, k // {f} AS r, CAST(CAST(sum(CAST(w * coalesce(nx, 0) AS DECIMAL(38, 18))) AS DECIMAL(38, 12)) AS DOUBLE) AS gross_ret FROM dk JOIN bw ON bw.r = dk.k // {f} LEFT JOIN nx USING (ticker, date) GROUP BY 1, 2, 3),
+    tu AS (SELECT r, CAST(CAST(sum(CAST(d AS DECIMAL(38, 18))) AS DECIMAL(38, 12)) AS DOUBLE) AS turnover FROM (SELECT coalesce(a.r, b.r + 1) AS r, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) AS d FROM bw a FULL JOIN bw b ON a.ticker = b.ticker AND a.r = b.r + 1) GROUP BY 1),
     bt AS (SELECT date, gross_ret, CASE WHEN k % {f} = 0 THEN coalesce(turnover, 0) ELSE 0 END AS turnover FROM gr LEFT JOIN tu USING (r)), bn AS (SELECT *, turnover * 5 / 1e4 AS cost, gross_ret - turnover * 5 / 1e4 AS ret FROM bt)"""
 
 
