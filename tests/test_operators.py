@@ -219,14 +219,13 @@ def test_tiles_of_pairs_equal_the_spreads_tests(spark, monkeypatch, tickers, dat
     h = pairs.pair_hedge_ratio(rows, 150)
     s = pairs.pair_spread(rows, h)
     want = {(r.a, r.b): r for r in h.join(pairs.adf_simple(s), ["a", "b"]).join(pairs.half_life(s), ["a", "b"]).collect()}
-    found = pairtiles.pair_statistics(b, candidates, 150)
-    got = found.collect()
+    got = pairtiles.pair_statistics(b, candidates, 150).collect()
     assert len(got) == len(want) == 10
     for g in got:
         w = want[g.a, g.b]
         assert g.n == w.n and (g.beta, g.alpha, g.t, g.p, g.phi) == pytest.approx((w.beta, w.alpha, w.t, w.p, w.phi), rel=1e-8) and (g.half_life == w.half_life or g.half_life == pytest.approx(w.half_life, rel=1e-8))
-    plan = found._jdf.queryExecution().toString()
-    assert "close" not in plan.split("== Physical Plan ==")[-1] and "MapInArrow" in plan
+    plan = pairtiles.pair_sums(b, candidates)._jdf.queryExecution().executedPlan().toString()
+    assert "close#" not in plan and "MapInArrow" in plan
     assert pairtiles.pair_statistics(b.limit(0), candidates).count() == 0
 
 
