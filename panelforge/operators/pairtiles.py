@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ratio
-from ..functions.ordered import numbered
 from ..session import Work, ship
 from .pairs import tested
 
@@ -42,8 +41,9 @@ def pair_sums(bars: DataFrame, pairs: DataFrame) -> DataFrame:
     ship(spark)
     known = bars.filter(F.col("close").isNotNull() & ~F.isnan("close")).select("ticker", "date", "close")
     means = known.groupBy("ticker").agg(F.avg("close").alias("mean"))
-    placed = work.cut(numbered(means, ["ticker"], "i"), "tickers")
-    days = work.cut(numbered(known.select("date").distinct(), ["date"], "j"), "dates")
+    nth = lambda c: F.row_number().over(Window.orderBy(c)) - 1  # noqa: E731  over a row for each ticker or date
+    placed = work.cut(means.withColumn("i", nth("ticker")), "tickers")
+    days = known.select("date").distinct().withColumn("j", nth("date"))
     cells = known.join(placed, "ticker").join(days, "date").select(F.expr(f"cast(i div {TICKERS} as int)").alias("tb"), F.expr(f"cast(j div {DATES} as int)").alias("db"), F.expr(f"cast(i % {TICKERS} as int)").alias("i"), F.expr(f"cast(j % {DATES} as int)").alias("j"), (F.col("close") - F.col("mean")).alias("z"))
 
     def tile(t: pa.Table) -> pa.Table:
