@@ -1,11 +1,19 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A text's suspicious tokens (letters mixed with look-alike signs, letters told apart by blanks or dots, letters repeated)
-become lattices of what each sign may stand for: a letter, nothing, or the end of a word. The path that a character
-trigram model of the whole corpus likes best, less the cost of the changes, is the restored token (Viterbi over pairs of
-letters, in time linear in the token, so tokens of any length are restored). The words of the restored text and their
-first letters are weighed by a lexicon learned from labels, and the two strongest weights of a document give its score by
-logistic regression.
+Every token that is no known word and may be read in more than one way (letters beside look-alike signs or letters of
+other scripts, letters told apart by blanks or dots, letters doubled or repeated) becomes a lattice of what each sign may
+stand for: a letter, nothing, or the end of a word. The path that a character trigram model of the whole corpus likes
+best, less the cost of the changes, is the restored token (Viterbi over pairs of letters, in time linear in the token, so
+tokens of any length are restored). Before that, texts beyond ASCII are put into compatibility form, and signs that do not
+show (format characters, variation selectors, marks piled on letters) are taken out. The words of the text as it stands
+and as it is restored, and their first letters, are weighed by a lexicon learned from labels, and the two strongest
+weights of a document give its score by logistic regression.
+
+Decoded words that are, but for doubled letters, or joined with their neighbours, a word of the lexicon become that word:
+letters alone do not tell how often one was meant, nor where a word of letters told apart ends.
+
+Known words matter where a letter is doubled: those of at least KNOWN documents of the labelled sample are left as they
+are. A token all in letters of another script is read as Latin only if that gives a word of the lexicon.
 
 The lexicon is learned from at most 2 * sample labelled documents (sample of each label, by a hash of the id), three
 quarters for the weights and the rest for the regression; the shares of the labels come from all labelled rows. It has
@@ -21,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -36,24 +45,52 @@ from ..session import Work, ship
 SAMPLE, CACHE, CACHED_CHARS = 20_000, 1 << 16, 64
 #: Documents of base rate that a word's share of toxic documents is pulled by; the least share of a weighed word.
 PULL, LEAST = 10, 0.3
+#: Documents of the sample that hold a known word.
+KNOWN = 3
 
 #: Letters of the character model; all else is one sign, number 0.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ"
-#: What changes cost, in log-likelihood: a sign read as a letter, a sign dropped, the same at the end of a token (where
-#: it is mostly punctuation), letters told apart that belong together, and the end of a word between them.
-READ, DROP, DROP_LAST, GLUE, BREAK = 1.0, 2.5, 0.3, 0.2, 2.0
-#: What a sign may stand for.
+#: What changes cost, in log-likelihood: a sign read as a letter, a sign dropped, a digit dropped, punctuation dropped at
+#: the end of a token, a star read as a vowel, two letters read as one, letters told apart that belong together, and the
+#: end of a word between them.
+READ, DROP, DROP_DIGIT, DROP_LAST, STAR, ONCE, GLUE, BREAK = 1.0, 4.0, 8.0, 0.3, 1.5, 1.0, 0.2, 2.0
+#: What a sign may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c"}
+#: Lower-case letters of other scripts that look like Latin ones (Unicode's confusable letters).
+CONFUSABLE = {
+    **{"а": "a", "в": "b", "г": "r", "е": "e", "ѕ": "s", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n"},  # Cyrillic
+    **{"р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѵ": "v", "ԁ": "d", "һ": "h", "ӏ": "l", "ԛ": "q", "ԝ": "w", "ь": "b", "ё": "e"},
+    **{"α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w"},  # Greek
+    **{"ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ɪ": "i", "ʟ": "l", "ʏ": "y", "ʀ": "r", "ɴ": "n", "ʙ": "b", "ʜ": "h", "ᴀ": "a", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ᴋ": "k", "ᴍ": "m", "ᴏ": "o", "ᴘ": "p", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z"},  # Latin, other forms
+    **{"օ": "o", "ս": "u", "ո": "n", "հ": "h"},  # Armenian
+}
 _AT = {c: i + 1 for i, c in enumerate(LETTERS)}
 _N = len(LETTERS) + 1
 _SIGNS = re.escape("".join(LOOKS_LIKE))
 _BETWEEN = r".\-_*~'"
-_ODD = re.compile(rf"[^\W\d_][{_SIGNS}{_BETWEEN}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]{{2}}|[^\W\d_]{{2}}[{_SIGNS}]$|([^\W\d_])\1\1").search
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*~]{1,2}[^\W_]){3,}(?!\w)")
+_ODD = re.compile(rf"[^\W\d_][{_SIGNS}{_BETWEEN}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]|[^\W\d_][{_SIGNS}]+\W*$|([^\W\d_])\1\1").search
+_DOUBLED = re.compile(r"([^\W\d_])\1", re.I).search
+_OTHERS = "".join(CONFUSABLE) + "".join(c.upper() for c in CONFUSABLE if len(c.upper()) == 1 and not c.upper().isascii())
+_OTHER, _ALL_OTHER = re.compile(f"[{_OTHERS}]").search, re.compile(f"[{_OTHERS}\\W\\d_]+").fullmatch
+_LATIN = re.compile("[a-zA-Z]").search
+_UNSEEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff\u0300-\u036f\u0488\u0489\u20d0-\u20ff]+")
+_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*~]{1,2}[^\W_]){2,}(?!\w)")
 _RUNS = re.compile(r"(.)\1*", re.S)
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+def _single(word: str) -> str:
+    """A word with every run of a letter as one."""
+    return _RUNS.sub(r"\1", word)
+
+
+def shown(text: str) -> str:
+    """A text in compatibility form, without signs that do not show."""
+    if text.isascii():
+        return text
+    return _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
+
+
 def char_counts(df: DataFrame, text: str = "text") -> np.ndarray:
     """Counts of character trigrams, each run of other signs one sign, over all texts."""
     table = np.zeros(0x250, np.int64)
@@ -92,13 +129,17 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 def _steps(c: str, n: int, last: bool) -> list[tuple[str, float]]:
     """What n times the sign c may stand for, and what that costs."""
     if c in _AT:
-        return [(c * n, 0.0)] if n < 3 else [(c, 0.0), (c * 2, 0.5)]
+        return [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, ONCE)] if n == 2 else [(c, 0.0), (c * 2, 0.5)]
+    if c in CONFUSABLE:
+        x = CONFUSABLE[c]
+        return [(x, 0.0)] if n == 1 else [(x * 2, 0.0), (x, ONCE)]
     if c in LOOKS_LIKE:
         once = [(x, READ) for x in LOOKS_LIKE[c]]
-        return once + [(2 * x, READ) for x, _ in once if n > 1] + [("", DROP_LAST if last and not c.isdigit() else DROP)]
+        return once + [(2 * x, READ) for x, _ in once if n > 1] + [("", DROP_DIGIT if c.isdigit() else DROP_LAST if last and c in "!(" else DROP)]
     if c == " ":
         return [(" ", 0.0)] if n > 1 else [("", GLUE), (" ", BREAK)]
-    return [("", GLUE), (" ", BREAK)]
+    stars = [(x, STAR) for x in "aeiou"] if c == "*" and n == 1 else []
+    return [("", GLUE), (" ", BREAK), *stars]
 
 
 @dataclass
@@ -106,13 +147,24 @@ class Model:
     logs: np.ndarray
     lexicon: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    known: frozenset[str] | None = None
 
     def __post_init__(self):
+        whole = sorted((w, f) for f, w in self.lexicon.items() if len(f) > 3 and not f.endswith("*"))
+        self.single = {_single(f): f for _, f in whole}  # of words alike but for doubled letters, the strongest
         self.kept: dict[str, str] = {}
         self.weighed: dict[str, tuple] = {}
 
     def __getstate__(self):
-        return {"logs": self.logs, "lexicon": self.lexicon, "weights": self.weights, "kept": {}, "weighed": {}}
+        return {"logs": self.logs, "lexicon": self.lexicon, "weights": self.weights, "known": self.known}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def taught(self, lexicon: dict[str, float], known) -> Model:
+        """The model with a lexicon and known words."""
+        return Model(self.logs, lexicon, self.weights, frozenset(known))
 
     def decode(self, token: str) -> str:
         """The best path through a token's lattice."""
@@ -140,24 +192,52 @@ class Model:
             out.append(letters)
         return "".join(reversed(out))
 
+    def mended(self, decoded: str) -> str:
+        """Decoded words, those of the lexicon put right: up to three neighbours joined, doubled letters as it has them."""
+        words, out, i = decoded.split(" "), [], 0
+        while i < len(words):
+            for n in range(min(3, len(words) - i), 0, -1):
+                joined = "".join(words[i : i + n])
+                word = self.single.get(_single(joined)) or (joined if joined in self.lexicon else "")
+                if word:
+                    break
+            out.append(word or words[i])
+            i += n
+        return " ".join(out)
+
     def restored_token(self, token: str) -> str:
         got = self.kept.get(token)
         if got is None:
             low = token.lower()
-            got = self.decode(low) if any(c in _AT for c in low) else low
+            got = low
+            if any(c in _AT for c in low):
+                got = self.mended(self.decode(low))
+            elif _ALL_OTHER(low):
+                read = self.decode(low)
+                got = read if read in self.lexicon else low
             if len(token) <= CACHED_CHARS:
                 if len(self.kept) >= CACHE:
                     self.kept.clear()
                 self.kept[token] = got
         return got
 
+    def _odd(self, token: str) -> bool:
+        """Is a token to be decoded: may it be read in more than one way, and is it no known word?"""
+        if _ODD(token):
+            return True
+        if not token.isascii() and _OTHER(token) and (_LATIN(token) or _ALL_OTHER(token)):
+            return True
+        if self.known is None:  # before there is a lexicon, doubled letters stay
+            return False
+        return bool(_DOUBLED(token)) and not all(w in self.known for w in _WORDS(token.lower()) if _DOUBLED(w))
+
     def restored(self, text: str) -> str:
         """The text in lower case with its suspicious tokens restored."""
-        spaced = _SPACED.sub(lambda m: self.restored_token(m.group()), text)
-        return re.sub(r"\S+", lambda m: self.restored_token(m.group()) if _ODD(m.group()) else m.group().lower(), spaced)
+        spaced = _SPACED.sub(lambda m: self.restored_token(m.group()), shown(text))
+        return re.sub(r"\S+", lambda m: self.restored_token(m.group()) if self._odd(m.group()) else m.group().lower(), spaced)
 
     def features(self, text: str) -> set[str]:
-        """Distinct words of the restored text, and their first four and five letters."""
+        """Distinct words of the text and of the restored text, and their first four and five letters."""
         out = set()
         for chunk in set(self._chunks(text)):
             out.update(self._chunk(chunk))
@@ -166,14 +246,17 @@ class Model:
     def _chunks(self, text: str) -> list[str]:
         """The tokens of a text, and the words of what it tells apart letter by letter (whose letters alone are no
         words)."""
+        text = shown(text)
         chunks = text.split()
         for m in _SPACED.finditer(text):
             chunks += self.restored_token(m.group()).split()
         return chunks
 
     def _chunk(self, chunk: str) -> set[str]:
-        """What a token, restored, is weighed by."""
-        words = _WORDS(self.restored_token(chunk) if _ODD(chunk) else chunk.lower())
+        """What a token, as it stands and restored, is weighed by."""
+        words = _WORDS(chunk.lower())
+        if self._odd(chunk):
+            words += _WORDS(self.restored_token(chunk))
         return {f for w in words if len(w) > 2 for f in ((w, w[:4] + "*", w[:5] + "*") if len(w) > 5 else (w, w[:4] + "*") if len(w) == 5 else (w,))}
 
     def evidence(self, text: str) -> tuple[float, float]:
@@ -265,7 +348,9 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc
     share = (F.col("toxic") + base * PULL) / (F.col("toxic") + clean + PULL)
     weight = F.log(share / (1 - share)) - math.log(base / (1 - base))
     best = counted.filter((F.col("f") != "") & (F.col("toxic") >= 2) & (share >= max(LEAST, 2 * base))).select("f", weight.alias("w")).toArrow()  # words of at most sample toxic documents
-    model.lexicon = dict(zip(best["f"].to_pylist(), best["w"].to_pylist()))
+    doubled = counted.filter((F.col("toxic") + F.col("clean") >= KNOWN) & ~F.col("f").endswith("*") & F.col("f").rlike(r"(.)\1"))
+    known = doubled.select("f").toArrow()["f"].to_pylist()  # words of at least KNOWN of at most 2 * sample documents
+    model = model.taught(dict(zip(best["f"].to_pylist(), best["w"].to_pylist())), known)
     shared = spark.sparkContext.broadcast(model)
 
     def weigh(batches):

@@ -35,6 +35,57 @@ def test_decoding(small_model, token, word):
     assert small_model.restored(f"the {token} walked") == f"the {word} walked"
 
 
+@pytest.mark.parametrize("token, word", [("iiddiioott", "idiot"), ("1d10t", "idiot"), ("id​i­ot", "idiot"), ("idіоt", "idiot"), ("stυpid", "stupid"), ("ｓｔｕｐｉｄ", "stupid"), ("m̶o̶r̶o̶n̶", "moron"), ("st*pid", "stupid"), ("\U0001d5c6\U0001d5c8\U0001d5cb\U0001d5c8\U0001d5c7", "moron")])
+def test_what_does_not_look_odd_is_decoded_too(small_model, token, word):
+    """Doubled letters, signs that do not show, letters of other scripts and forms, stars for vowels."""
+    assert small_model.restored(f"the {token} walked") == f"the {word} walked"
+    assert word in small_model.features(f"the {token} walked")
+
+
+def test_known_words_and_other_scripts_stay(small_model):
+    assert small_model.restored("привет сор book, letter") .split()[:2] == ["привет", "сор"]
+    assert {"book", "letter", "привет"} <= small_model.features("Привет book, letter")
+    assert small_model.restored("") == "" and toxicity.shown("​​") == ""
+
+
+def obfuscations(r):
+    looks = {"o": "0", "i": "1", "e": "3", "a": "@", "s": "$", "t": "7", "b": "8", "l": "|"}
+    other = {"a": "а", "e": "е", "o": "о", "c": "с", "p": "р", "x": "х", "i": "і", "u": "υ"}
+    return {
+        "signs": lambda w: "".join(looks.get(c, c) for c in w),
+        "doubled": lambda w: "".join(2 * c for c in w),
+        "repeated": lambda w: "".join(c * r.choice([1, 1, 4]) for c in w),
+        "blanks": lambda w: " ".join(w),
+        "dots": lambda w: ".".join(w),
+        "unseen": lambda w: "​".join(w),
+        "scripts": lambda w: "".join(other.get(c, c) for c in w),
+    }
+
+
+def test_obfuscated_words_of_held_out_texts(spark):
+    """Every weighed word of held-out toxic texts, disguised by each rule: most of the words are restored, and most of the
+    texts are still found."""
+    import re
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = toxicity.fit(docs, labels.filter(~out))
+    rows = docs.join(labels.filter(out & (F.col("toxic") == 1)).select("doc_id"), "doc_id").select("text").collect()
+    texts = sorted({x.text for x in rows if x.text and model.score(x.text) >= 0.3 and max(map(len, x.text.split())) < 64 and len(x.text) < 20_000})[:150]
+    assert len(texts) > 50
+    for name, rule in obfuscations(random.Random(5)).items():
+        words, back, found = 0, 0, 0
+        for x in texts:
+            named = {w for w in re.findall(r"[a-z]{4,}", x.lower()) if w in model.lexicon}
+            y = re.sub(r"(?<!\w)[a-z]{4,}(?!\w)", lambda m: rule(m.group()) if m.group() in named else m.group(), x.lower())
+            seen = model.features(y)
+            words, back = words + len(named), back + len(named & seen)
+            found += model.score(y) >= 0.3
+        print(name, words, round(back / words, 3), round(found / len(texts), 3))
+        assert back > 0.8 * words and found > 0.8 * len(texts), name
+
+
 def test_obfuscated_and_clean_texts(spark, small_model):
     texts = ["the 1d1ot and m0r0n walked", "you s t u p i d i.d.i.o.t", "quiet river stone 123 under 4 paper", None, "", "x" * 100_000, "STUPID idiot"]
     df = spark.createDataFrame(list(enumerate(texts)), "score int, text string")
