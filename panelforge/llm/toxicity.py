@@ -84,6 +84,11 @@ def _single(word: str) -> str:
     return _RUNS.sub(r"\1", word)
 
 
+def _forms(word: str) -> tuple[str, ...]:
+    """A word and its first letters, if it has at least three."""
+    return () if len(word) < 3 else (word,) if len(word) < 5 else (word, word[:4] + "*") if len(word) == 5 else (word, word[:4] + "*", word[:5] + "*")
+
+
 def shown(text: str) -> str:
     """A text in compatibility form, without signs that do not show."""
     if text.isascii():
@@ -151,6 +156,8 @@ class Model:
 
     def __post_init__(self):
         whole = sorted((w, f) for f, w in self.lexicon.items() if len(f) > 3 and not f.endswith("*"))
+        self.starts = {f[:3] for f in self.lexicon}  # of words that are weighed
+        self.flat = self.logs.ravel().tolist()  # one number at a time is read faster from a list
         self.single = {_single(f): f for _, f in whole}  # of words alike but for doubled letters, the strongest
         self.kept: dict[str, str] = {}
         self.weighed: dict[str, tuple] = {}
@@ -169,6 +176,7 @@ class Model:
     def decode(self, token: str) -> str:
         """The best path through a token's lattice."""
         states = {(0, 0): 0.0}
+        logs, n = self.flat, _N
         back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
         for m in _RUNS.finditer(token):
             steps = _steps(m.group(1), len(m.group()), m.end() == len(token))
@@ -179,7 +187,7 @@ class Model:
                     (x, y), s = at, score - cost
                     for letter in letters:
                         z = _AT.get(letter, 0)
-                        s += self.logs[x, y, z]
+                        s += logs[(x * n + y) * n + z]
                         x, y = y, z
                     if (x, y) not in best or best[x, y] < s:
                         best[x, y], came[x, y] = s, (at, letters)
@@ -223,6 +231,9 @@ class Model:
 
     def _odd(self, token: str) -> bool:
         """Is a token to be decoded: may it be read in more than one way, and is it no known word?"""
+        core = token.rstrip(".,;:")
+        if core.isascii() and core.isalpha() and not _DOUBLED(core):
+            return False
         if _ODD(token):
             return True
         if not token.isascii() and _OTHER(token) and (_LATIN(token) or _ALL_OTHER(token)):
@@ -252,12 +263,18 @@ class Model:
             chunks += self.restored_token(m.group()).split()
         return chunks
 
-    def _chunk(self, chunk: str) -> set[str]:
-        """What a token, as it stands and restored, is weighed by."""
+    def _words(self, chunk: str) -> list[str]:
+        """The words of a token, as it stands and restored."""
         words = _WORDS(chunk.lower())
-        if self._odd(chunk):
-            words += _WORDS(self.restored_token(chunk))
-        return {f for w in words if len(w) > 2 for f in ((w, w[:4] + "*", w[:5] + "*") if len(w) > 5 else (w, w[:4] + "*") if len(w) == 5 else (w,))}
+        return words + _WORDS(self.restored_token(chunk)) if self._odd(chunk) else words
+
+    def _chunk(self, chunk: str) -> set[str]:
+        """What a token is weighed by."""
+        return {f for w in self._words(chunk) for f in _forms(w)}
+
+    def _weighed(self, chunk: str) -> tuple[float, str]:
+        """The strongest weight of a token, and what has it."""
+        return max(((self.lexicon.get(f, 0.0), f) for w in self._words(chunk) if w[:3] in self.starts for f in _forms(w)), default=(0.0, ""))
 
     def evidence(self, text: str) -> tuple[float, float]:
         """The strongest weights of two tokens that are not the same."""
@@ -266,7 +283,7 @@ class Model:
         for chunk in set(self._chunks(text)):
             got = self.weighed.get(chunk)
             if got is None:
-                got = max(((self.lexicon.get(f, 0.0), f) for f in self._chunk(chunk)), default=(0.0, ""))
+                got = self._weighed(chunk)
                 if len(chunk) <= CACHED_CHARS:
                     if len(self.weighed) >= 2 * CACHE:
                         self.weighed.clear()
