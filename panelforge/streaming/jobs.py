@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,12 +37,26 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     def put(batch: DataFrame, k: int) -> None:
         (batch.withColumn("__batch", F.lit(k)) if mode == "update" else batch).write.mode("append" if mode != "complete" else "overwrite").parquet(f"{root}/out")
 
-    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    with sorting(spark):
+        q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     schema = df.schema.add("__batch", "integer") if mode == "update" else df.schema
     return spark.read.schema(schema).parquet(f"{root}/out")
 
 
+@contextmanager
+def sorting(spark: SparkSession) -> Iterator[None]:
+    """Let queries be started whose rows are sorted inside a micro-batch. Spark refuses any sort of a stream unless its
+    check of what streams support is off; it is off in here only, so start the drawdown and the lifecycle inside."""
+    name = "spark.sql.streaming.unsupportedOperationCheck"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def newest_state(updates: DataFrame, *keys: str) -> DataFrame:
     """The last row that an updating stream gave for each key."""
     rest = [c for c in updates.columns if c not in keys and c != "__batch"]
@@ -108,10 +123,20 @@ class Drawdown(StatefulProcessor):
         pass
 
 
-def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, order: list[Column] | None = None) -> DataFrame:
+    """A key's rows of a micro-batch reach the processor part by part; in that order, if there is one, by Spark's sort."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None")
+    rows = df.repartition(key).sortWithinPartitions(key, *order) if order else df
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None")
+
+
+def _rising(before: pd.Timestamp | None, pdf: pd.DataFrame) -> pd.Timestamp:
+    """The last time of a part that follows another; an error where the sort has not reached the processor."""
+    at = pdf["ts"].dropna()
+    if not at.is_monotonic_increasing or before is not None and len(at) and at.iloc[0] < before:
+        raise ValueError("rows out of order: the sort inside the micro-batch is missing")
+    return at.iloc[-1] if len(at) else before
 
 
 def stream_drawdown(nav: DataFrame, limit: float = 0.20) -> DataFrame:
@@ -128,21 +153,21 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
         got = self.state.get()
         state = tuple(got) if got is not None else None
-        # a key's micro-batch, which the source's trigger bounds; what retires at a time comes before what is seen then
-        pdf = pd.concat(list(rows))
-        pdf = pdf.assign(last=~pdf["retire"].fillna(False).astype(bool)).sort_values(["ts", "last", "nth"])
-        out = []
-        for ts, ic, last in zip(pdf["ts"], pdf["ic"], pdf["last"]):
-            if not last:
-                state = ("retired", 0.0, ts.to_pydatetime()) if state is None or state[0] != "retired" else state
-            elif state is None:
-                state = ("active", 1.0, ts.to_pydatetime())
-            else:
-                state = _lifecycle(state, ic, ts.to_pydatetime())
-            if ic == ic and ic is not None:
-                out.append((key[0], ts, state[0], state[1]))
+        seen = None
+        for pdf in rows:
+            seen, out = _rising(seen, pdf), []
+            for ts, ic, retire in zip(pdf["ts"], pdf["ic"], pdf["retire"]):
+                if retire:
+                    state = ("retired", 0.0, ts.to_pydatetime()) if state is None or state[0] != "retired" else state
+                elif state is None:
+                    state = ("active", 1.0, ts.to_pydatetime())
+                else:
+                    state = _lifecycle(state, ic, ts.to_pydatetime())
+                if ic == ic and ic is not None:
+                    out.append((key[0], ts, state[0], state[1]))
+            if out:
+                yield pd.DataFrame(out, columns=["strategy", "ts", "status", "multiplier"])
         self.state.update(state)
-        yield pd.DataFrame(out, columns=["strategy", "ts", "status", "multiplier"])
 
     def close(self) -> None:
         pass
@@ -151,10 +176,13 @@ class Lifecycle(StatefulProcessor):
 def stream_strategy_lifecycle(events: DataFrame) -> DataFrame:
     """(strategy, ts, ic) to (strategy, ts, status, multiplier). Two kinds of event on one stream: an IC, and, where there is
     a column retire, a retirement, which may carry an IC too (null: none, and no row is given). A retired strategy stays
-    so whatever comes later. nth, if there, orders events of one time."""
+    so whatever comes later. nth, if there, orders events of one time. A micro-batch is sorted by Spark and a strategy's
+    rows go past the rule in parts, never in memory together; start the query inside of sorting."""
     more = {c: F.lit(v) for c, v in (("retire", False), ("nth", 0)) if c not in events.columns}
-    five = events.withColumns(more).select("strategy", "ts", "ic", "retire", "nth")
-    return _stateful(five, "strategy", Lifecycle(), "strategy string, ts timestamp, status string, multiplier double")
+    five = events.withColumns(more).select("strategy", "ts", "ic", F.coalesce("retire", F.lit(False)).cast("boolean").alias("retire"), "nth")
+    # what retires at a time comes before what is seen then
+    order = [F.col("ts").asc_nulls_last(), F.col("retire").desc(), F.col("nth").asc_nulls_last()]
+    return _stateful(five, "strategy", Lifecycle(), "strategy string, ts timestamp, status string, multiplier double", order)
 
 
 class Drift(StatefulProcessor):
