@@ -844,7 +844,7 @@ def st4(spark, sf):
 
 @query("st5_stream_drawdown", f"""WITH kp AS (SELECT event_type AS portfolio, ts, value AS nav, coalesce(max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), value) AS p FROM events) SELECT portfolio, count(*) AS n, min(ts) FILTER (WHERE p > 0 AND (p - nav) / p >= 0.2) AS first_halt FROM kp GROUP BY 1""")
 def st5(spark, sf):
-    nav = stream(spark, sf).select(F.col("event_type").alias("portfolio"), "ts", F.col("value").alias("nav"))
+    nav = stream(spark, sf).select(F.col("event_type").alias("portfolio"), "ts", F.col("value").alias("nav"), F.col("event_id").alias("nth"))
     out = jobs.run_available(jobs.stream_drawdown(nav))
     return out.groupBy("portfolio").agg(F.count("*").alias("n"), F.min(F.when(F.col("halted"), F.col("ts"))).cast("timestamp_ntz").alias("first_halt"))
 

@@ -109,15 +109,16 @@ class Drawdown(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
         got = self.state.get()
         peak, halted = (got[0], got[1]) if got is not None else (None, False)
-        pdf = pd.concat(list(rows)).sort_values("ts")
-        out = []
-        for ts, nav in zip(pdf["ts"], pdf["nav"]):
-            peak = nav if peak is None else peak
-            halted = halted or peak > 0 and (peak - nav) / peak >= self.limit
-            out.append((key[0], ts, nav, peak, (peak - nav) / peak if peak > 0 else 0.0, halted))
-            peak = peak if halted else max(peak, nav)
+        seen = None
+        for pdf in rows:
+            seen, out = _rising(seen, pdf), []
+            for ts, nav in zip(pdf["ts"], pdf["nav"]):
+                peak = nav if peak is None or peak != peak else peak
+                halted = halted or peak > 0 and (peak - nav) / peak >= self.limit
+                out.append((key[0], ts, nav, peak, (peak - nav) / peak if peak > 0 else 0.0, halted))
+                peak = peak if halted else max(peak, nav)
+            yield pd.DataFrame(out, columns=["portfolio", "ts", "nav", "peak", "drawdown", "halted"])
         self.state.update((float(peak), bool(halted)))
-        yield pd.DataFrame(out, columns=["portfolio", "ts", "nav", "peak", "drawdown", "halted"])
 
     def close(self) -> None:
         pass
@@ -140,8 +141,11 @@ def _rising(before: pd.Timestamp | None, pdf: pd.DataFrame) -> pd.Timestamp:
 
 
 def stream_drawdown(nav: DataFrame, limit: float = 0.20) -> DataFrame:
-    """(portfolio, ts, nav) to the same with peak, drawdown and halted."""
-    return _stateful(nav, "portfolio", Drawdown(limit), "portfolio string, ts timestamp, nav double, peak double, drawdown double, halted boolean")
+    """(portfolio, ts, nav) to the same with peak, drawdown and halted. nth, if there, orders rows of one time. A
+    portfolio's rows go past the rule in parts, sorted by Spark; start the query inside of sorting."""
+    four = nav.withColumns({} if "nth" in nav.columns else {"nth": F.lit(0)}).select("portfolio", "ts", "nav", "nth")
+    order = [F.col("ts").asc_nulls_last(), F.col("nth").asc_nulls_last()]
+    return _stateful(four, "portfolio", Drawdown(limit), "portfolio string, ts timestamp, nav double, peak double, drawdown double, halted boolean", order)
 
 
 class Lifecycle(StatefulProcessor):
@@ -196,11 +200,13 @@ class Drift(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
         held = [x[0] for x in self.ring.get()]
-        pdf = pd.concat(list(rows)).sort_values("ts")
-        held = [*held, *map(float, pdf["value"])][-self.size :]
+        newest = None  # of the parts so far, no more than the ring takes
+        for pdf in rows:
+            newest = pd.concat([pdf] if newest is None else [newest, pdf]).sort_values("ts", kind="stable")[-self.size :]
+        held = [*held, *map(float, newest["value"])][-self.size :]
         self.ring.put([(v,) for v in held])
         score = abs(sum(held) / len(held) - self.mean) / max(self.std, 1e-10)
-        yield pd.DataFrame([(key[0], pdf["ts"].iloc[-1], len(held), score, len(held) >= self.least and score > self.z)], columns=["model", "ts", "n", "score", "drifted"])
+        yield pd.DataFrame([(key[0], newest["ts"].iloc[-1], len(held), score, len(held) >= self.least and score > self.z)], columns=["model", "ts", "n", "score", "drifted"])
 
     def close(self) -> None:
         pass
