@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chains import accepted
+from ..functions.chains import accepted_times
 from ..functions.columns import last_rows, ratio, sessions
+from ..session import Work
 
 # The day's volume by half hour, from the open.
 VOLUME_PROFILE = [0.12, 0.08, 0.07, 0.06, 0.06, 0.06, 0.06, 0.06, 0.06, 0.06, 0.07, 0.09, 0.15]
@@ -57,29 +60,43 @@ def order_safety_report(orders: DataFrame, max_shares: float = 1e6, pct_nav: flo
 
 def order_rate_and_duplicate_flags(orders: DataFrame, per_second: int = 5, window_s: float = 60.0) -> DataFrame:
     """(order_id, ticker, rate_limited, duplicate) of orders (order_id, ticker, side, quantity, ts), where only accepted
-    ones count. Repeats of a ticker's side and quantity within the window go by pointers. The rate remembers as many
-    accepted orders as it allows: a ticker's orders run past it in order, a burst (a second's pause ends it) in one task
-    but never in memory together."""
-
-    own = accepted(orders.select("order_id", "ticker", "side", "quantity", "ts"), ["ticker", "side", "quantity"], ["order_id"], window_s)
-    bursts = sessions(own.withColumn("order_id", F.col("order_id").cast("string")), ["ticker"], ["order_id"], 1.0)
-    ran = bursts.repartition("ticker", "__session").sortWithinPartitions("ticker", "__session", "ts", "order_id")
-    kinds = dict(own.dtypes)
-
-    def flags(batches):
-        at, recent = None, []
+    ones count. Repeats of a ticker's side and quantity within the window go by pointers from time to time. The rate gives
+    each time of a ticker a quota: what is left of the second's, as orders of one time differ by their order alone. A
+    ticker's times run past it in order, a burst (a second's pause ends it) in one task but never in memory together.
+    Orders are written once and shuffled once, by ticker and time, with the accepted times and the quotas in front."""
+    own = Work(orders.sparkSession).cut(orders.select("order_id", "ticker", "side", "quantity", F.col("ts").cast("timestamp").alias("ts")), "orders")
+    at = F.unix_micros("ts").alias("at")
+    kind = dict(own.dtypes)["ticker"]
+    bursts = sessions(own.filter("ts IS NOT NULL").groupBy("ticker", "ts").count(), ["ticker"], [], 1.0)
+    ran = bursts.repartition("ticker", "__session").sortWithinPartitions("ticker", "__session", "ts")
+
+    def quotas(batches):
+        burst, recent, held = None, deque(), 0
         for b in batches:
             out = []
-            for ticker, session, now in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if (ticker, session) != at:
-                    at, recent = (ticker, session), []
-                out.append(len(recent) >= per_second and (not per_second or now - recent[-per_second] < 1_000_000))
-                if not out[-1]:
-                    recent = [*recent, now][-per_second:] if per_second else []
-            yield pa.record_batch([b.column(3), b.column(0), pa.array(out, pa.bool_()), b.column(4)], ["order_id", "ticker", "rate_limited", "duplicate"])
-
-    five = ran.select("ticker", "__session", F.unix_micros(F.col("ts").cast("timestamp")), "order_id", (~F.col("accepted")).alias("duplicate"))
-    return five.mapInArrow(flags, f"order_id string, ticker {kinds['ticker']}, rate_limited boolean, duplicate boolean")
+            for ticker, session, now, n in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (ticker, session) != burst:
+                    burst, recent, held = (ticker, session), deque(), 0
+                while recent and now - recent[0][0] >= 1_000_000:
+                    held -= recent.popleft()[1]
+                out.append(min(n, max(per_second - held, 0)))
+                if out[-1]:
+                    recent.append((now, out[-1]))
+                    held += out[-1]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(out, pa.int64())], ["ticker", "at", "quota"])
+
+    quota = ran.select("ticker", "__session", at, "count").mapInArrow(quotas, f"ticker {kind}, at long, quota long").withColumn("turn", F.lit(-1))
+    rows = own.select("ticker", at, "side", "quantity", "order_id", F.lit(1).alias("turn"), F.when(F.col("ts").isNull(), F.xxhash64("order_id")).alias("apart"))
+    repeats = int(window_s * 1_000_000) > 0
+    if repeats:
+        quota = quota.unionByName(accepted_times(own, ["ticker", "side", "quantity"], window_s).select("key.*", "at", F.lit(0).alias("turn")), allowMissingColumns=True)
+    met = rows.unionByName(quota, allowMissingColumns=True).repartition("ticker", "at", "apart")
+    first = F.lag("turn").over(Window.partitionBy("ticker", "at", "apart", "side", "quantity").orderBy("turn", "order_id")) == 0
+    w = Window.partitionBy("ticker", "at", "apart").orderBy("turn", F.col("order_id").cast("string")).rowsBetween(Window.unboundedPreceding, 0)
+    limited = F.sum(F.when(F.col("turn") == 1, 1).otherwise(0)).over(w) > F.first("quota").over(w)
+    flagged = met.withColumns({"first": F.coalesce(first, F.lit(False)), "limited": limited}).filter("turn = 1")
+    timed = F.col("at").isNotNull()
+    return flagged.select(F.col("order_id").cast("string").alias("order_id"), "ticker", F.when(timed, F.col("limited")).otherwise(per_second <= 0).alias("rate_limited"), (timed & ~F.col("first") & F.lit(repeats)).alias("duplicate"))
 
 
 def route_algo(order_type: Column, quantity: Column, adv: Column, share: float = 0.01) -> Column:

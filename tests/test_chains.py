@@ -52,3 +52,27 @@ def test_a_rate_over_one_long_burst(spark):
         if not want[-1]:
             recent.append(ts)
     assert [r.rate_limited for r in out] == want and not any(r.duplicate for r in out)
+
+
+def test_orders_of_one_time_are_one_point(spark, monkeypatch):
+    """Copies of tickers and times add rows, and no pointers."""
+    r, placed, numbered = random.Random(8), [], chains.numbered
+    monkeypatch.setattr(chains, "numbered", lambda df, *a: placed.append(df.count()) or numbered(df, *a))
+    rows = [(f"o{i:03d}", r.choice(["a", "b", None]), "buy", float(r.randrange(2)), None if i % 50 == 7 else T0 + datetime.timedelta(milliseconds=250 * r.randrange(30))) for i in range(500)]
+    df = spark.createDataFrame(rows, "order_id string, ticker string, side string, quantity double, ts timestamp")
+    got = {x.order_id: (x.ticker, x.rate_limited, x.duplicate) for x in execution.order_rate_and_duplicate_flags(df, 5, 2.0).collect()}
+    assert placed == [len({x[1:] for x in rows if x[4]})] and len(got) == 500
+    recent, last = {}, {}
+    for o, ticker, side, q, ts in sorted((x for x in rows if x[4]), key=lambda x: (x[4], x[0])):
+        near = [t for t in recent.get(ticker, []) if (ts - t).total_seconds() < 1]
+        again = (ticker, q) in last and (ts - last[ticker, q]).total_seconds() < 2
+        assert got[o] == (ticker, len(near) >= 5, again), o
+        recent[ticker] = near if len(near) >= 5 else [*near, ts]
+        if not again:
+            last[ticker, q] = ts
+    assert all(got[x[0]][1:] == (False, False) for x in rows if x[4] is None)
+
+
+def test_a_window_of_nothing_accepts_all(spark):
+    df = spark.createDataFrame([("k", T0, 1), ("k", T0, 2)], "k string, ts timestamp, id int")
+    assert [x.accepted for x in chains.accepted(df, ["k"], ["id"], 0.0).collect()] == [True, True]
