@@ -18,8 +18,8 @@ from ..functions.columns import require_columns
 from ..functions.ordered import numbered, partitions
 from ..session import Work, ship
 
-#: Tickers and dates of a tile; vectors of a block of nearest; blocks that a task meets in one go.
-TICKERS, DATES, BLOCK, CHUNK = 512, 512, 256, 64
+#: Tickers and dates of a tile; vectors of a block of nearest; blocks that are met in one go; blocks that meet them together.
+TICKERS, DATES, BLOCK, CHUNK, TEAM = 512, 512, 256, 64, 32
 #: Vectors that are iterated beside the wanted ones, to make these settle sooner; when they have settled; rounds at most.
 BESIDE, CLOSE, ROUNDS = 16, 1e-13, 500
 _TILE = "tb int, db int, z binary"
@@ -228,8 +228,8 @@ def nearest(vectors: DataFrame, n: int = 10, by: str = "label", id_col: str = "i
     blocks; two vectors are at least as far apart as their distances to the pivot differ. Each block first meets itself and its
     neighbours, which gives all its rows an n-th best so far; the blocks that can still hold something better than the
     least of these are a range of the order, found by a window over the blocks' bounds. They are met as products of
-    matrices, nearest first, in chunks; a chunk's rows go on with the bests so far and drop out where the bound says so.
-    No group is ever in one task. log: gets the numbers of pairs of blocks that there are and that were met at all.
+    matrices, nearest first, in chunks, by a team of neighbouring blocks at once, to which each block is sent once for all
+    of them; a chunk's rows go on with the bests so far and drop out where the bound says so. No group is ever in one task. log: gets the numbers of pairs of blocks that there are and that were met at all.
 
     Ids are longs and unique; vectors of one group have one length; those without length, with null or non-finite
     components, of a null group or id take no part. Groups of one give no rows."""
@@ -261,51 +261,65 @@ def nearest(vectors: DataFrame, n: int = 10, by: str = "label", id_col: str = "i
     slack = 1 / scale + 1e-12  # rounding may lift what is a little less
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (g, block, chunk, gap, ids, m, best, found): a block's own rows (gap -1, best) and the others it meets,
-        in order. Yields each (g, block, chunk)'s bests, and how many blocks it met."""
-        at, ids, own, best, names, met, rest = None, None, None, None, None, 0, ()
+        """Rows (g, team, chunk, gap, block, lo, hi, from, to, beside, ids, m, best, names): a team's own blocks (gap -1), each with
+        the blocks it asks for, and then the others that come by, in order. Yields each own block's bests, and how many
+        blocks it met."""
+        at, team = None, []
 
-        def done():
-            cols = [pa.array([rest[0]], kinds[0]), pa.array([rest[1]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, best, names)], pa.array([float(best[:, -1].min())]), pa.array([met])]
+        def done(o):
+            cols = [pa.array([at[0]], kind), pa.array([o["block"]], pa.int64()), *[pa.array([o[c].tobytes()], pa.binary()) for c in ("ids", "best", "names")], pa.array([float(o["best"][:, -1].min())]), pa.array([o["met"]])]
             return pa.record_batch(cols, ["g", "block", "ids", "best", "names", "least", "met"])
 
         for b in batches:
-            kinds = [b.schema.field(0).type]
-            for g, block, chunk, gap, i, m, s, f in zip(*(b.column(c).to_pylist() for c in range(8))):
+            kind = b.schema.field(0).type
+            for g, number, chunk, gap, block, lo, hi, from_, to, beside, i, m, s, f in zip(*(b.column(c).to_pylist() for c in range(14))):
+                ids = np.frombuffer(i, np.int64)
+                m = np.frombuffer(m).reshape(len(ids), -1)
                 if gap < 0:
-                    if at is not None:
-                        yield done()
-                    at, rest, met, ids = (g, block, chunk), (g, block), 0, np.frombuffer(i, np.int64)
-                    own = np.frombuffer(m).reshape(len(ids), -1)
+                    if (g, number, chunk) != at:
+                        for o in team:
+                            yield done(o)
+                        at, team = (g, number, chunk), []
                     best = np.frombuffer(s).reshape(len(ids), n) if s else np.full((len(ids), n), -np.inf)
                     names = np.frombuffer(f, np.int64).reshape(len(ids), n) if f else np.full((len(ids), n), np.iinfo(np.int64).max)
+                    team.append({"block": block, "lo": lo, "hi": hi, "from": from_, "to": to, "beside": beside, "ids": ids, "m": m, "best": best, "names": names, "met": 0})
                     continue
-                if 1 - gap * gap / 2 < best[:, -1].min() - slack:
-                    continue
-                met += 1
-                theirs = np.frombuffer(i, np.int64)
-                sim = own @ np.frombuffer(m).reshape(len(theirs), -1).T
-                sim = np.copysign(np.floor(np.abs(sim) * scale + 0.5), sim) / scale + 0.0
-                sim[ids[:, None] == theirs] = -np.inf
-                best, names = _top(best, names, sim, np.broadcast_to(theirs, sim.shape), n)
-        if at is not None:
-            yield done()
+                for o in team:
+                    if not o["from"] <= block <= o["to"] or abs(block - o["block"]) <= 1 and not o["beside"]:
+                        continue
+                    apart = max(0.0, o["lo"] - hi, lo - o["hi"])
+                    if 1 - apart * apart / 2 < o["best"][:, -1].min() - slack:
+                        continue
+                    o["met"] += 1
+                    sim = o["m"] @ m.T
+                    sim = np.copysign(np.floor(np.abs(sim) * scale + 0.5), sim) / scale + 0.0
+                    sim[o["ids"][:, None] == ids] = -np.inf
+                    o["best"], o["names"] = _top(o["best"], o["names"], sim, np.broadcast_to(ids, sim.shape), n)
+        for o in team:
+            yield done(o)
 
     out = f"g {g_kind}, block long, ids binary, best binary, names binary, least double, met long"
+    none = F.lit(None).cast("binary")
 
-    def rounds(asked: DataFrame, rows: DataFrame) -> DataFrame:
-        """asked: (g, block, chunk, of, gap); rows: (g, block, ids, m, best, names) of the blocks that ask."""
-        who = rows.join(asked.select("g", "block", "chunk").distinct(), ["g", "block"]).select("g", "block", "chunk", F.lit(-1.0).alias("gap"), "ids", "m", "best", "names")
-        none = F.lit(None).cast("binary")
-        held = blocks.select("g", F.col("block").alias("of"), "ids", "m")
-        whom = asked.join(held, ["g", "of"]).select("g", "block", "chunk", "gap", "ids", "m", none.alias("best"), none.alias("names"))
-        dealt = who.union(whom).repartition(partitions(vectors), "g", "block", "chunk").sortWithinPartitions("g", "block", "chunk", "gap")
+    def rounds(asks: DataFrame, rows: DataFrame, beside: bool) -> DataFrame:
+        """asks: (g, block, team, from, to, lo, hi), a block and the range it asks for, its neighbours and itself too if
+        beside; rows: (g, block, ids, m, best, names) of the blocks that ask."""
+        chunk = lambda c: F.lit(0).cast("long") if beside else F.expr(f"{c} div {CHUNK}")
+        own = asks.withColumn("chunk", F.explode(F.sequence(chunk("from"), chunk("to"))))
+        who = own.join(rows, ["g", "block"]).select("g", "team", "chunk", F.lit(-1.0).alias("gap"), "block", "lo", "hi", "from", "to", F.lit(beside).alias("beside"), "ids", "m", "best", "names")
+        # a team's others, each once, by how near they come to any of it
+        teams = asks.groupBy("g", "team").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.min("lo").alias("tlo"), F.max("hi").alias("thi"))
+        of = teams.select("g", "team", "tlo", "thi", F.explode(F.sequence("from", "to")).alias("block")).withColumn("chunk", chunk("block"))
+        of = of.join(own.select("g", "team", "chunk").distinct(), ["g", "team", "chunk"])
+        gap = F.greatest(F.lit(0.0), F.col("tlo") - F.col("hi"), F.col("lo") - F.col("thi"))
+        blank = F.lit(None).cast("long")
+        whom = of.join(blocks, ["g", "block"]).select("g", "team", "chunk", gap.alias("gap"), "block", "lo", "hi", blank.alias("from"), blank.alias("to"), F.lit(beside).alias("beside"), "ids", "m", none.alias("best"), none.alias("names"))
+        dealt = who.union(whom).repartition(partitions(vectors), "g", "team", "chunk").sortWithinPartitions("g", "team", "chunk", "gap")
         return dealt.mapInArrow(meet, out)
 
     count = blocks.groupBy("g").agg(F.max("block").alias("most"))
-    near = blocks.join(count, "g").select("g", "block", F.lit(0).cast("long").alias("chunk"), F.explode(F.expr("sequence(greatest(block - 1, 0), least(block + 1, most))")).alias("of"), F.lit(0.0).alias("gap"))
-    none = F.lit(None).cast("binary")
-    begun = work.cut(rounds(near, blocks.withColumns({"best": none, "names": none})), "begun")
+    near = blocks.join(count, "g").select("g", "block", F.expr(f"block div {TEAM}").alias("team"), F.expr("greatest(block - 1, 0)").alias("from"), F.expr("least(block + 1, most)").alias("to"), "lo", "hi")
+    begun = work.cut(rounds(near, blocks.select("g", "block", "ids", "m", none.alias("best"), none.alias("names")), True), "begun")
     # blocks that can hold a better one: those whose distances come within reach of the block's own
     reach = F.when(F.col("least") == float("-inf"), 4.0).otherwise(F.sqrt(F.greatest(2 * (1 - F.col("least") + slack), F.lit(0.0))))
     bounds = work.cut(blocks.select("g", "block", "lo", "hi").join(begun.select("g", "block", "least"), ["g", "block"]).withColumn("reach", reach), "bounds")
@@ -314,12 +328,9 @@ def nearest(vectors: DataFrame, n: int = 10, by: str = "label", id_col: str = "i
     w = Window.partitionBy("g").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     ranked = marks.withColumns({"ended": F.sum((F.col("kind") == 0).cast("long")).over(w), "begun": F.sum((F.col("kind") == 2).cast("long")).over(w)})
     lows, highs = ranked.filter("kind = 1").select("g", "block", F.col("ended").alias("from")), ranked.filter("kind = 3").select("g", "block", (F.col("begun") - 1).alias("to"))
-    pairs = bounds.join(lows, ["g", "block"]).join(highs, ["g", "block"]).filter("from <= to").select("g", "block", "lo", "hi", "least", F.explode(F.expr("sequence(from, to)")).alias("of")).filter("abs(of - block) > 1")
-    theirs = bounds.select("g", F.col("block").alias("of"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    gap = F.greatest(F.lit(0.0), F.col("lo") - F.col("ohi"), F.col("olo") - F.col("hi"))
-    asked = pairs.join(theirs, ["g", "of"]).select("g", "block", F.expr(f"of div {CHUNK}").alias("chunk"), "of", gap.alias("gap"))
+    asks = bounds.join(lows, ["g", "block"]).join(highs, ["g", "block"]).filter("from <= to AND (from < block - 1 OR to > block + 1)").select("g", "block", F.expr(f"block div {TEAM}").alias("team"), "from", "to", "lo", "hi")
     rows = blocks.select("g", "block", "ids", "m").join(begun.select("g", "block", "best", "names"), ["g", "block"])
-    rest = work.cut(rounds(asked, rows), "rest")
+    rest = work.cut(rounds(asks, rows, False), "rest")
     if log is not None:
         log.append((count.agg(F.sum((F.col("most") + 1) * (F.col("most") + 1))).first()[0] or 0, begun.union(rest).agg(F.sum("met")).first()[0] or 0))
 

@@ -82,3 +82,17 @@ def test_nearest_is_exact_and_meets_less(spark, monkeypatch, block, n, d):
     if block in (8, 16):
         assert met < 0.6 * everything, log
     assert embedding.nearest(df.limit(0)).count() == 0
+
+
+def test_a_block_is_sent_once_for_a_team(spark, monkeypatch):
+    """Where no bound rules a block out, each still goes to teams, not to every block."""
+    monkeypatch.setattr(embedding, "BLOCK", 8)
+    r, sent = np.random.default_rng(1), []
+    rows = [(i, 0, [float(x) for x in r.standard_normal(16)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>")
+    repartition = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: (sent.append(self.count()) if "gap" in self.columns else None, repartition(self, *a))[1])
+    got = sorted((x.id, x.other, round(x.similarity, 6), x.rank) for x in embedding.nearest(df, 3).collect())
+    assert got == brute(rows, 3)
+    # 75 blocks of three teams; before, nearly all pairs of blocks
+    assert len(sent) == 2 and sent[0] <= 75 * 2 + 4 and sent[1] <= 75 * 3 + 75 * 2
