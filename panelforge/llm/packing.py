@@ -5,7 +5,8 @@ stand before it. A prefix sum over the partitions' totals then gives every block
 pass cuts the blocks at the multiples of the length. Windows that lie inside a block are done; the two that may cross its
 ends are boundary records, which are brought together by their number: a sequence has at most as many records as ids.
 Documents thus follow each other as the scan gives them, nothing but the boundary records is shuffled, and only the last
-sequence may be short. As the blocks are a written table, a task that is repeated cuts at the same places.
+sequence may be short. As the blocks are a written table, a task that is repeated cuts at the same places;
+their row groups are small, so a task reads a few blocks at a time, however many its split has.
 
 Defined results: null and empty texts hold only the end id; rows are packed each on its own, repeated or not, with or
 without an id; a document longer than a sequence, or standing across a cut, lies in several pieces; special tokens'
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Work
+from ..session import BLOCKS, Work
 from .byte_level import byte_level
 from .word_pieces import shared
 
@@ -94,7 +95,7 @@ def cut(at: int, docs: list, lengths: np.ndarray, ids: bytes, size: int) -> pa.R
 def packed(df: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(sequence_id, n, ids, pieces): all documents' ids in sequences of size, the last one of what is left. ids: as
     little-endian unsigned 32-bit integers; pieces: the documents' parts in it, in order."""
-    blocks = Work(df.sparkSession).cut(encoded(df, vocabulary, end_id, text, id_col), "blocks")
+    blocks = Work(df.sparkSession).cut(encoded(df, vocabulary, end_id, text, id_col), "blocks", options=BLOCKS)
     kinds = f"sequence_id long, at long, n long, ids binary, pieces {_PIECES}"
 
     def windows(whole: bool):

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
+#: A writer's options for tables whose rows are blocks of about a megabyte. Spark's reader holds as many rows at once as a row
+#: group has, up to 4,096, so without a limit a task holds all the blocks of its split, two or three times over.
+BLOCKS = {"parquet.block.row.count.limit": "4"}
 #: What the scratch around this thread's (or task's) work has to delete in the end; None outside of one.
 _works: ContextVar[list[Work] | None] = ContextVar("works", default=None)
 
@@ -79,9 +82,9 @@ class Work:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def cut(self, df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd") -> DataFrame:
+    def cut(self, df: DataFrame, name: str, partition_by: str | None = None, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
         """Write df and read it back, so that nothing above recomputes it."""
-        w = df.write.option("compression", codec)
+        w = df.write.option("compression", codec).options(**options or {})
         (w.partitionBy(partition_by) if partition_by else w).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -82,6 +83,16 @@ def test_empty_and_padding(spark):
     assert np.frombuffer(three.select(packing.padded("ids", "n", 16, 9).alias("p")).first().p, "<u4").tolist() == [1] * 3 + [9] * 13
 
 
+def test_few_blocks_are_read_at_once(spark, monkeypatch):
+    """A reader holds a row group; a split of many blocks must not be one."""
+    monkeypatch.setattr(packing, "BLOCK", 1)
+    rows = list(enumerate(odd_texts(60)))
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), FILE, 64)
+    groups = [m.row_group(i).num_rows for m in (pq.read_metadata(f.removeprefix("file://")) for f in {*out.inputFiles()}) for i in range(m.num_row_groups)]
+    assert sum(groups) == len(rows) and max(groups) <= 4
+    check(rows, out, 64)
+
+
 def test_query(spark, sf):
     docs = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     library = Tokenizer.from_file(FILE)
