@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Work
+from ..session import BLOCKS, Work
 from .word_pieces import library, shared
 
 #: Ids of a block, about.
@@ -113,7 +113,7 @@ def write(coded: DataFrame, path: str, size: int, partitions: int | None = None)
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = coded.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
-    sorted_.select("doc_id", "ids").mapInArrow(blocks, _BLOCKS).write.parquet(f"{path}/blocks")
+    sorted_.select("doc_id", "ids").mapInArrow(blocks, _BLOCKS).write.options(**BLOCKS).parquet(f"{path}/blocks")
     spark.createDataFrame([(order.tolist(),)], "ids array<int>").write.parquet(f"{path}/ids")
 
 

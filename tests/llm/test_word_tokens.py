@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -71,6 +72,15 @@ def test_files(spark, frame, library):
     assert token_files.store(df.limit(0), VOCABULARY, 49_408).count() == 0
 
 
+def test_few_blocks_are_read_at_once(spark, monkeypatch):
+    """A reader holds a row group; a split of many blocks must not be one."""
+    monkeypatch.setattr(token_files, "BLOCK", 1)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    out = token_files.store(df, VOCABULARY, 49_408)
+    groups = [m.row_group(i).num_rows for m in (pq.read_metadata(f.removeprefix("file://")) for f in {*out.inputFiles()}) for i in range(m.num_row_groups)]
+    assert sum(groups) == out.count() == 60 and max(groups) <= 4
+
+
 def test_queries_against_library(spark, sf, library):
     docs = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     ids = {i: library.encode(x, add_special_tokens=False).ids for i, x in docs.items()}
